@@ -10,6 +10,27 @@ from pyspark.sql import functions as F
 from larkfield.llm.common import table
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm.url_filter import fit_urls, judge_urls, labelled_urls
+
+    model = fit_urls(labelled_urls(spark))
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: counts differ by one at most."""
+    from larkfield.llm.sharding import shard
+
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = shard(docs, 16, ties=("size", "text_crc32"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkfield.llm.line_quality import line_quality
 
@@ -26,7 +47,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_quality, op8_simhash)}
+    return {f.__name__: f for f in (op2_url_filter, op5_sharding, op6_line_quality, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
