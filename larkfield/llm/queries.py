@@ -17,6 +17,25 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mix(docs)
+    return mixed.select(
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
+        "n_tokens", "probability", "sampled",
+    )
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, each with the items it contains."""
+    from larkfield.llm.decontaminate import overlaps
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: counts differ by one at most."""
     from larkfield.llm.sharding import shard
@@ -47,7 +66,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op5_sharding, op6_line_quality, op8_simhash)}
+    return {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
