@@ -65,8 +65,27 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm import labelled, quality_nbsvm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_nbsvm.train(docs, table(spark, sf_dir, "labels"), labelled.fold("doc_id", 5) != 0)
+    out = quality_nbsvm.score_quality(docs, model)
+    return out.select("doc_id", (labelled.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm import labelled, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), labelled.fold("doc_id", 3) != 1)
+    out = toxicity.score_toxicity(docs, model)
+    held_out = (labelled.fold("doc_id", 3) == 1).alias("held_out")
+    return out.select("doc_id", held_out, "score", "predicted", "abuse", "misspelled", "quoted", "aimed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op8_simhash)}
+    return {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op8_simhash, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
