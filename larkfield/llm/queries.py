@@ -57,6 +57,12 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs).drop("text")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkfield.llm.simhash import near_duplicates
 
@@ -85,7 +91,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op8_simhash, op9_quality, op10_toxicity)}
+    made = (
+        op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op7_html_extract, op8_simhash, op9_quality, op10_toxicity,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
