@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from larkfield.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkfield.llm.url_filter import fit_urls, judge_urls, labelled_urls
 
@@ -92,7 +98,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op7_html_extract, op8_simhash, op9_quality, op10_toxicity,
+        op1_substring_dedup, op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op7_html_extract, op8_simhash, op9_quality, op10_toxicity,
     )
     return {f.__name__: f for f in made}
 
