@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,3 +208,91 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shi
     best = extra.groupBy("__id", "__node").agg(F.min_by(F.struct(*docs.columns), F.struct(text, F.xxhash64(*docs.columns))).alias("__row"))
     return single.unionByName(best.select("__row.*"))
 
+
+#: For similarity, a text has ``VIEWS`` further fingerprints, each of its ``PICKED`` shingles that hash least for the view.
+VIEWS, PICKED, WIDE_SHINGLE, SIMILARITY = 8, 3, 5, 0.8
+_VIEW_SCHEMA = "view int, bits long, text_key long, n int"
+
+
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted, distinct 64-bit hashes of the word shingles (of the whole text if it is shorter)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def view_fingerprints(values: np.ndarray) -> list[int]:
+    """A SimHash for each view, over the shingles that come first in the view's order."""
+    out = []
+    for view in range(VIEWS):
+        mixed = (values ^ np.uint64(xxhash.xxh64_intdigest(b"view", view))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        first = values[np.argpartition(mixed, PICKED - 1)[:PICKED]] if len(values) > PICKED else values
+        counts = np.unpackbits(first[:, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(first), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: tuple[list, list, list, list] = ([], [], [], [])
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            values = shingle_set(text)
+            if len(values):
+                rows[0].extend(range(VIEWS))
+                rows[1].extend(view_fingerprints(values))
+                rows[2].extend([key] * VIEWS)
+                rows[3].extend([len(values)] * VIEWS)
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["view", "bits", "text_key", "n"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: tuple = (None, None)
+    for batch in batches:
+        keep = []
+        for i, (a, left, right) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))):
+            if last[0] != a:
+                last = (a, shingle_set(left))
+            other = shingle_set(right)
+            shared = len(np.intersect1d(last[1], other, assume_unique=True))
+            if shared >= SIMILARITY * (len(last[1]) + len(other) - shared):
+                keep.append(i)
+        picked = pa.array(keep, type=pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], names=["a", "b"])
+
+
+def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, component) of text keys: texts that share a view's fingerprint, verified at ``SIMILARITY`` of five-word sets.
+
+    Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. In a group
+    of one view each text meets the first and its neighbour in key order, so pairs are linear in the rows; lengths that
+    rule the similarity out are dropped before texts are joined.
+    """
+    keyed = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("body")).where(F.col(text).isNotNull())
+    group = W.partitionBy("view", "bits").orderBy("text_key")
+    me = F.struct("text_key", "n")
+    met = keyed.mapInArrow(_view_rows, _VIEW_SCHEMA).select(me.alias("x"), F.array(F.lag(me).over(group), F.first(me).over(group)).alias("near"))
+    met = met.select("x", F.explode(F.array_distinct("near")).alias("y")).where("y is not null and x.text_key != y.text_key")
+    met = met.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY)
+    pairs = Stored(met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()).df
+    wanted = keyed.join(pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct(), "text_key", "left_semi")
+    both = pairs.join(wanted.toDF("a", "left"), "a").join(wanted.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    return components(both.mapInArrow(_similar, "a long, b long"))
+
+
+def keep_one_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without texts that are similar (0.8 of five-word shingles) to one of a smaller id, through any chain."""
+    found = similar_texts(docs, text)
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("node")).join(found, "node")
+    rows = Stored(rows).df
+    best = rows.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"))
+    stays = F.struct("id", "node") == F.col("best")
+    gone = rows.join(best, "component").where(~stays).select(F.col("node").alias("__node"), F.col("id").alias("__id")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    same = (F.xxhash64(text) == F.col("__node")) & F.col(id_column).eqNullSafe(F.col("__id"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
