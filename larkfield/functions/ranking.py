@@ -45,7 +45,8 @@ def recency_boost(commits_30d: Column, last_commit_at: Column, now: int) -> Colu
     """Mean of the recent commit count (ten at most) and a 90-day decay of the age; both lacking gives 0."""
     busy = F.least(F.coalesce(commits_30d, F.lit(0)), F.lit(10)) / F.lit(10.0)
     age = F.greatest(F.lit(0.0), (F.lit(now) - last_commit_at) / F.lit(float(DAY)))
-    return (busy + F.coalesce(F.exp(-age / 90.0), F.lit(0.0))) / 2.0
+    # greatest() skips nulls, so a missing time is tested by itself.
+    return (busy + F.when(last_commit_at.isNull(), 0.0).otherwise(F.exp(-age / 90.0))) / 2.0
 
 
 def fused_score(fts: Column, path: Column, symbol: Column, recency: Column, weights: Weights = Weights()) -> Column:

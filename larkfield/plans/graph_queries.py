@@ -95,7 +95,7 @@ SQL = {
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY weight DESC, other) AS rank FROM u) WHERE rank <= 5""",
     "recency_counts": _COMMITS + _RECENCY,
     "recency_boost": _COMMITS + f""", s AS ({_RECENCY}) SELECT p_partkey, round((least(coalesce(commits_30d, 0), 10) / 10.0
-        + coalesce(exp(-greatest(0, ({NOW} - last_commit_at) / 86400.0) / 90.0), 0)) / 2.0, 6) AS boost FROM part LEFT JOIN s ON file = p_partkey""",
+        + CASE WHEN last_commit_at IS NULL THEN 0 ELSE exp(-greatest(0, ({NOW} - last_commit_at) / 86400.0) / 90.0) END) / 2.0, 6) AS boost FROM part LEFT JOIN s ON file = p_partkey""",
     "fan_in_cap": _REFS + """ SELECT dst, count(DISTINCT src) AS n_sources, count(DISTINCT src) / (SELECT count(*) FROM part) > 0.2 AS is_hub
         FROM r WHERE kind = 'ruby_const' GROUP BY 1""",
     "referrers_topk": _REFS + """, h AS (SELECT dst FROM r WHERE kind = 'ruby_const' GROUP BY 1 HAVING count(DISTINCT src) / (SELECT count(*) FROM part) > 0.26)
