@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import table
+from larkfield.llm.common import Stored, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +24,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from larkfield.llm.mixing import mix
+    from larkfield.llm.mixing import describe, draw
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    mixed = mix(docs)
-    return mixed.select(
+    return draw(Stored(describe(docs).drop("text", "source", "lang")).df).select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         "n_tokens", "probability", "sampled",
     )
