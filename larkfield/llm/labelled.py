@@ -16,6 +16,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit:
 
     The ids are drawn from the labels alone and broadcast (``limit`` rows), so only their texts are read on.
     """
-    drawn = labels.where(learn & F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("label"))
-    drawn = drawn.orderBy(F.xxhash64("__id"), "__id", "label").limit(limit)
-    return docs.join(F.broadcast(drawn), F.col(id_column) == F.col("__id")).select(F.col("__id").alias("id"), F.coalesce(text, F.lit("")).alias("text"), "label")
+    drawn = labels.where(learn & F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("__label"))
+    drawn = drawn.orderBy(F.xxhash64("__id"), "__id", "__label").limit(limit)
+    return docs.join(F.broadcast(drawn), F.col(id_column) == F.col("__id")).select(F.col("__id").alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.col("__label").alias("label"))

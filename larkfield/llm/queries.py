@@ -103,4 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can state the sharding; the other queries fit models, hash by XXH64 or search tolerantly, and are tested by brute force."""
+    from larkfield.llm import sharding
+
+    return {"op5_sharding": sharding.oracle()}

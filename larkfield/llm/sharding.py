@@ -139,3 +139,33 @@ def write_shards(df: DataFrame, path: str, shards: int, per_file: int = 0, **opt
     step = per_file or max(1, -(-df.count() // shards))
     parts = placed.repartitionByRange(shards, "shard", F.expr(f"slot div {step}")).sortWithinPartitions("shard", "slot")
     parts.write.partitionBy("shard").parquet(path)
+
+
+def oracle(shards: int = 16, seed: int = 20_240_501) -> str:
+    """DuckDB SQL for the places of ``documents`` under the same permutation: the whole grid is permuted, then walked."""
+    steps, before = [], "dom"
+    for i, (k0, k1, k2) in enumerate(round_keys(seed)):
+        one, other, side = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        steps.append(f"t{i} AS (SELECT *, ({other} % {PRIME} + {k0}) % {PRIME} AS t FROM {before})")
+        steps.append(f"u{i} AS (SELECT * REPLACE ((t * t + {k1}) % {PRIME} AS t) FROM t{i})")
+        steps.append(f"s{i} AS (SELECT * EXCLUDE (t) REPLACE (({one} + (t * {k2} + (t >> 15)) % {PRIME}) % {side} AS {one}) FROM u{i})")
+        before = f"s{i}"
+    crc_table = (
+        "SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: "
+        "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))"
+    )
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED ({crc_table}),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parsed AS (SELECT doc_id, n_bytes, list_transform(range(n_bytes), lambda i: CAST(('0x' || x[2 * i + 1 : 2 * i + 2]) AS BIGINT)) AS bytes FROM raw),
+d AS MATERIALIZED (SELECT doc_id, n_bytes + 1 AS size,
+    xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM parsed, tab),
+numbered AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size, text_crc32) - 1 AS x FROM d),
+c0 AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+c AS (SELECT n, a, (n + a - 1) // a AS b FROM c0),
+dom AS (SELECT x, x // b AS l, x % b AS r, a, b FROM (SELECT unnest(range(a * b)) AS x, a, b FROM c)),
+{", ".join(steps)},
+p AS MATERIALIZED (SELECT x, l * b + r AS y FROM {before}),
+w AS (SELECT x, y FROM p WHERE x < (SELECT n FROM c) UNION ALL SELECT w.x, p.y FROM w JOIN p ON p.x = w.y WHERE w.y >= (SELECT n FROM c))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(y % {shards} AS INT) AS shard, y // {shards} AS slot,
+    CAST(NULL AS INT) AS grown_shard FROM numbered JOIN w USING (x) WHERE y < (SELECT n FROM c)"""
