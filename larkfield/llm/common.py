@@ -51,6 +51,16 @@ class Stored:
         path.getFileSystem(self.df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, as texts may be long; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drops the columns that an operator is about to write (names compare without case, as Spark does)."""
     taken = {n.lower() for n in names}
@@ -67,6 +77,7 @@ def append_columns(
 
     Other columns pass through as Arrow arrays, untouched. Columns of the same name are replaced.
     """
+    small_batches(df.sparkSession)
     base = without(df, [f.name for f in fields])
     schema = T.StructType([*base.schema.fields, *fields])
     names = [f.name for f in fields]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkfield.llm.common import append_columns
+from larkfield.llm.common import append_columns, small_batches
 
 TOKEN = re.compile(r"\w+")
 MASKS = ("110110101011", "101110010111", "11101001110")
@@ -130,6 +130,7 @@ def overlaps(
 ) -> DataFrame:
     """(id, item, n_agree, n_item, identity, start_token): each document row with each item that it contains."""
     spark, out = docs.sparkSession, None
+    small_batches(spark)
     kind = benchmark.schema[item].dataType
     schema = T.StructType([
         docs.schema[id_column], T.StructField(item, kind), T.StructField("n_agree", T.LongType()),

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkfield.llm.common import Stored, append_columns
+from larkfield.llm.common import Stored, append_columns, small_batches
 from larkfield.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -194,7 +194,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shi
     few_drops, few_many = drop.count() <= BROADCAST_IDS, many.count()
     # An id of one row needs no fingerprint to be told apart, so that texts are not hashed again.
     gone = drop.join(groups.where(stays).select(F.col(id_column).alias("__kept")).distinct(), F.col(id_column).eqNullSafe(F.col("__kept")), "left_anti")
-    gone = gone.select(F.col(id_column).alias("__gone")).distinct()
+    gone = Stored(gone.select(F.col(id_column).alias("__gone")).distinct()).df
     kept = docs.join(F.broadcast(gone) if few_drops else gone, F.col(id_column).eqNullSafe(F.col("__gone")), "left_anti")
     if not few_many:
         return kept
@@ -266,33 +266,68 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], names=["a", "b"])
 
 
-def similar_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+def _meetings(views: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a view's fingerprint and whose sizes allow the similarity.
+
+    Groups of up to five meet in all pairs. In larger ones each text meets the first and its neighbour, by an order that
+    changes with the view from the second turn on, so that pairs are linear in the rows.
+    """
+    salt = F.lit(0) if turn == 0 else F.col("view") + 1_000 * turn
+    whole = W.partitionBy("view", "bits")
+    group = whole.orderBy(F.xxhash64("text_key", salt), "text_key")
+    me = F.struct("text_key", "n", "component")
+    none = F.lit(None)
+    close = [F.when(F.col("size") <= 5, F.col(f"l{i}")).otherwise(none) for i in (2, 3, 4)]
+    rows = views.select(me.alias("x"), F.count("*").over(whole).alias("size"), F.first(me).over(group).alias("l0"), *[F.lag(me, i).over(group).alias(f"l{i}") for i in (1, 2, 3, 4)])
+    met = rows.select("x", F.explode(F.array_distinct(F.array("l0", "l1", *close))).alias("y"))
+    met = met.where("y is not null and x.component != y.component").where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY)
+    return met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
+
+
+def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFrame:
     """(node, component) of text keys: texts that share a view's fingerprint, verified at ``SIMILARITY`` of five-word sets.
 
-    Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. In a group
-    of one view each text meets the first and its neighbour in key order, so pairs are linear in the rows; lengths that
-    rule the similarity out are dropped before texts are joined.
+    Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. A second
+    turn lets texts meet again that share a view but no component yet; only their texts are read once more.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("body")).where(F.col(text).isNotNull())
-    group = W.partitionBy("view", "bits").orderBy("text_key")
-    me = F.struct("text_key", "n")
-    met = keyed.mapInArrow(_view_rows, _VIEW_SCHEMA).select(me.alias("x"), F.array(F.lag(me).over(group), F.first(me).over(group)).alias("near"))
-    met = met.select("x", F.explode(F.array_distinct("near")).alias("y")).where("y is not null and x.text_key != y.text_key")
-    met = met.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY)
-    pairs = Stored(met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()).df
-    wanted = keyed.join(pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct(), "text_key", "left_semi")
-    both = pairs.join(wanted.toDF("a", "left"), "a").join(wanted.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    return components(both.mapInArrow(_similar, "a long, b long"))
+    views = Stored(keyed.mapInArrow(_view_rows, _VIEW_SCHEMA))
+    temporary = [views]
+    apart = views.df.withColumn("component", F.col("text_key"))
+    done: DataFrame | None = None
+    tried: DataFrame | None = None
+    for turn in range(turns):
+        pairs = _meetings(apart, turn)
+        pairs = Stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        keys = pairs.df.select(F.col("a").alias("text_key")).union(pairs.df.select("b")).distinct()
+        # Without the broadcast, all texts would be shuffled to keep a few.
+        wanted = keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "text_key", "left_semi")
+        both = pairs.df.join(wanted.toDF("a", "left"), "a").join(wanted.toDF("b", "right"), "b").select("a", "b", "left", "right")
+        fresh = Stored(both.mapInArrow(_similar, "a long, b long"))
+        temporary += [pairs, fresh]
+        done = fresh.df if done is None else done.unionByName(fresh.df)
+        tried = pairs.df if tried is None else tried.unionByName(pairs.df)
+        found = components(done)
+        if turn + 1 < turns:
+            at = found.select(F.col("node").alias("text_key"), "component")
+            apart = views.df.join(at, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
+    for table in temporary:  # the components are in a table of their own
+        table.drop()
+    return found
 
 
 def keep_one_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without texts that are similar (0.8 of five-word shingles) to one of a smaller id, through any chain."""
+    """``docs`` without texts that are similar (0.8 of five-word shingles) to one of a smaller id, through any chain.
+
+    Equal texts are similar; rows equal in id and text stay or go together. Null texts stay.
+    """
     found = similar_texts(docs, text)
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("node")).join(found, "node")
-    rows = Stored(rows).df
-    best = rows.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.xxhash64(text).alias("node"))
+    rows = Stored(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))).df
+    best = rows.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"), F.count("*").alias("n")).where("n > 1")
     stays = F.struct("id", "node") == F.col("best")
-    gone = rows.join(best, "component").where(~stays).select(F.col("node").alias("__node"), F.col("id").alias("__id")).distinct()
+    gone = Stored(rows.join(best, "component").where(~stays).select(F.col("node").alias("__node"), F.col("id").alias("__id")).distinct()).df
     few = gone.count() <= BROADCAST_IDS
     same = (F.xxhash64(text) == F.col("__node")) & F.col(id_column).eqNullSafe(F.col("__id"))
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
