@@ -78,7 +78,7 @@ def cluster(anchors: DataFrame, edges: DataFrame, refs: DataFrame, n_files: int)
     return out.select("query_id", "file", F.coalesce("c.other", F.array()).alias("cochange"), F.coalesce("r.src", F.array()).alias("referrers"))
 
 
-def _normal_path(path: Column) -> Column:
+def normal_path(path: Column) -> Column:
     """Removes ``.`` and resolves ``..`` segments."""
     step = lambda acc, s: F.when((s == ".") | (s == ""), acc).when(
         (s == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))
@@ -103,7 +103,7 @@ def resolve_references(imports: DataFrame, files: DataFrame) -> DataFrame:
     rest = imports.where("kind <> 'ruby_const'")
     near = rest.where((F.col("kind") == "require_relative") | F.col("hint").startswith("."))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    base = _normal_path(F.concat_ws("/", folder, F.col("hint")))
+    base = normal_path(F.concat_ws("/", folder, F.col("hint")))
     tries = [F.lit(""), *[F.lit(e) for e in EXTENSIONS], *[F.lit(f"/index{e}") for e in EXTENSIONS]]
     tried = near.select(F.col("file_id").alias("src"), "kind", "hint", base.alias("base"), F.posexplode(F.array(*tries)).alias("turn", "tail"))
     hits = tried.withColumn("target", F.concat("base", "tail")).join(target, "target")

@@ -74,7 +74,7 @@ def test_prompt_class(spark, prompt, kind):
 @pytest.mark.parametrize(
     ("command", "found"),
     [
-        ("cd x && rg foo", ("rg", "foo")), ("ls | grep a | head", None), ("rg navigator; echo done", ("rg", "navigator")), ("find . -iname '*.py'", ("find", "*.py")),
+        ("cd x && rg foo", ("rg", "foo")), ("ls | grep a | head", None), ("rg widget; echo done", ("rg", "widget")), ("find . -iname '*.py'", ("find", "*.py")),
         ("git grep -n 'a b'", ("git-grep", "a b")), ("egrep x", ("grep", "x")), ("echo 'rg foo'", None), ("fdfind n", ("fd", "n")), (None, None), ("find .", None),
     ],
 )
