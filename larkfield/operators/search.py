@@ -2,6 +2,7 @@
 
 Queries come as a frame (query_id, query), so that any number of them shares one scan of the postings. Query terms are
 few and are broadcast only after being counted; postings of other terms are dropped by that join before any shuffle.
+Sides derived from the postings carry no hint: counting them would scan the postings again, so AQE decides by size.
 """
 
 from __future__ import annotations
@@ -38,6 +39,18 @@ def stem_column(df: DataFrame, column: str = "term") -> DataFrame:
     return df.join(table, column).withColumn(column, F.col("__stem")).drop("__stem")
 
 
+def stemmed_postings(docs: DataFrame, fields: list[str], phrases: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Postings of the terms whose stem the phrases ask for, under that stem.
+
+    The distinct terms are stemmed once and cut to the stems asked for; what remains is counted and broadcast, so that
+    all other postings go before any shuffle.
+    """
+    raw = postings(docs, fields, id_column)
+    asked = phrases.where("term is not null").select(F.col("term").alias("stem")).distinct()
+    words = raw.select("term").distinct().withColumn("stem", stemmed(F.col("term"))).join(_small(asked), "stem")
+    return raw.join(_small(words), "term").drop("term").withColumnRenamed("stem", "term")
+
+
 def document_lengths(docs: DataFrame, fields: list[str], id_column: str = "doc_id") -> DataFrame:
     """(doc_id, length): the terms of all fields, counted in the scan."""
     size = sum((F.size(index_terms(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0))
@@ -70,7 +83,7 @@ def bm25(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     """(query_id, n_terms, doc_id, n_hit, b): b is negative, and less is better."""
     stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     df = hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))  # one row for each document and phrase
-    each = hits.join(_small(df), ["query_id", "term_no"]).join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    each = hits.join(df, ["query_id", "term_no"]).join(lengths, "doc_id").crossJoin(F.broadcast(stats))
     part = R.bm25_term(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("n_docs"), F.col("df"))
     return each.groupBy("query_id", "n_terms", "doc_id").agg(F.count("*").alias("n_hit"), (-F.sum(part)).alias("b"))
 
@@ -78,7 +91,7 @@ def bm25(hits: DataFrame, lengths: DataFrame) -> DataFrame:
 def all_or_any(scored: DataFrame) -> DataFrame:
     """Rows with all terms where a query has any such row, else all rows; ``used_or`` tells which."""
     most = scored.groupBy("query_id").agg(F.max(F.col("n_hit") == F.col("n_terms")).alias("has_all"))
-    kept = scored.join(_small(most), "query_id").where("n_hit = n_terms or not has_all")
+    kept = scored.join(most, "query_id").where("n_hit = n_terms or not has_all")
     return kept.withColumn("used_or", ~F.col("has_all")).drop("has_all")
 
 
@@ -92,8 +105,9 @@ def match(docs: DataFrame, queries: DataFrame, weights: Mapping[str, float], k:
 
     Scores that agree to nine places are ties, so that the order in which parts were summed does not show.
     """
-    fields = list(weights)
-    hits = phrase_hits(postings(docs, fields, id_column, stem), query_phrases(queries, stem), weights)
+    fields, phrases = list(weights), query_phrases(queries, stem)
+    found = stemmed_postings(docs, fields, phrases, id_column) if stem else postings(docs, fields, id_column)
+    hits = phrase_hits(found, phrases, weights)
     scored = all_or_any(bm25(hits, document_lengths(docs, fields, id_column)))
     return ranked(scored, k, F.round("b", 9).asc(), F.col("doc_id").asc())
 
@@ -145,7 +159,7 @@ def locate(
     top = ranked(rows, limit, F.desc("is_def"), F.desc("score"), F.asc_nulls_last("b"), F.asc("file_id"))
     per = W.partitionBy("query_id")
     anchored = F.max(F.when(F.col("rank") == 1, (F.col("symbol_signal") > 0) | (F.col("path_signal") > 0))).over(per)
-    top = top.join(_small(fallback), "query_id").withColumns({"has_exact_def": F.max("is_def").over(per), "top_has_anchor": anchored})
+    top = top.join(fallback, "query_id").withColumns({"has_exact_def": F.max("is_def").over(per), "top_has_anchor": anchored})
     verdict = R.confidence(F.col("has_exact_def"), F.col("used_or"), F.col("n_tokens"), F.col("top_has_anchor"))
     return top.select(
         "query_id", "rank", "file_id", "path", "lang", "score", "fts", "path_signal", "symbol_signal", "recency", "is_def",
