@@ -211,6 +211,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shi
 
 #: For similarity, a text has ``VIEWS`` further fingerprints, each of its ``PICKED`` shingles that hash least for the view.
 VIEWS, PICKED, WIDE_SHINGLE, SIMILARITY = 8, 3, 5, 0.8
+#: Rows of a view's fingerprint that meet in all pairs at once.
+MEET = 2_048
 _VIEW_SCHEMA = "view int, bits long, text_key long, n int"
 
 
@@ -284,9 +286,27 @@ def _meetings(views: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
 
 
+def _remaining(views: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a view's fingerprint, for groups that turns met in part.
+
+    Groups of over ``MEET`` rows are compared in pairs of blocks.
+    """
+    whole = W.partitionBy("view", "bits")
+    rows = views.select("view", "bits", F.struct("text_key", "n", "component").alias("me"), F.count("*").over(whole).alias("size"), F.min("component").over(whole).alias("c0"), F.max("component").over(whole).alias("c1"))
+    k = F.ceil(F.col("size") / MEET).cast("int")
+    rows = rows.where("size > 5 and c0 != c1").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("me.text_key"), F.col("k")).cast("int"))
+    x = rows.select("view", "bits", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"), F.col("me").alias("x"))
+    y = rows.select("view", "bits", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("me").alias("y"))
+    met = x.hint("merge").join(y, ["view", "bits", "i", "j"]).where("(i < j or x.text_key < y.text_key) and x.component != y.component")
+    met = met.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY)
+    return met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
+
+
 def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFrame:
     """(node, component) of text keys: texts that share a view's fingerprint, verified at ``SIMILARITY`` of five-word sets.
 
+    The turns merge most of a large group by few pairs; then every pair left of different components is verified.
+
     Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. A second
     turn lets texts meet again that share a view but no component yet; only their texts are read once more.
     """
@@ -297,8 +317,8 @@ def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFr
     apart = views.df.withColumn("component", F.col("text_key"))
     done: DataFrame | None = None
     tried: DataFrame | None = None
-    for turn in range(turns):
-        pairs = _meetings(apart, turn)
+    for turn in range(turns + 1):
+        pairs = _meetings(apart, turn) if turn < turns else _remaining(apart)
         pairs = Stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         keys = pairs.df.select(F.col("a").alias("text_key")).union(pairs.df.select("b")).distinct()
         # Without the broadcast, all texts would be shuffled to keep a few.
@@ -309,7 +329,7 @@ def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFr
         done = fresh.df if done is None else done.unionByName(fresh.df)
         tried = pairs.df if tried is None else tried.unionByName(pairs.df)
         found = components(done)
-        if turn + 1 < turns:
+        if turn < turns:
             at = found.select(F.col("node").alias("text_key"), "component")
             apart = views.df.join(at, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
     for table in temporary:  # the components are in a table of their own

@@ -330,6 +330,18 @@ def test_similar_texts_recall(spark):
     assert expected <= kept and len(kept - expected) <= 0.1 * (len(rows) - len(expected))
 
 
+def test_similar_texts_under_a_common_header_all_merge(spark, monkeypatch):
+    rng = random.Random(27)
+    header = words(rng, 174, 5000)
+    rows = []
+    for d in range(120):
+        body = words(rng, 26, 5000)
+        rows += [(2 * d, " ".join(header + body)), (2 * d + 1, " ".join(header + body[:-1] + ["edit"]))]
+    monkeypatch.setattr(simhash, "MEET", 50, raising=False)
+    kept = simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(range(0, 240, 2))
+
+
 # ---- substring dedup -----------------------------------------------------------------------------
 
 
