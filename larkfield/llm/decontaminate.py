@@ -1,19 +1,20 @@
 """Benchmark decontamination by spaced seeds: masks ignore fixed token positions, so that hits survive substitutions.
 
 Benchmark items become hashes of the tokens at the kept positions of each mask; the windows of every document are
-looked up in that index, and every hit is verified along its diagonal over the whole item. A document is contaminated
+looked up in that index, as are consecutive stretches of each item, one more than the substitutions that ``IDENTITY``
+allows, so that one of them is always whole. Every hit is verified along its diagonal over the whole item. A document is contaminated
 by an item if, at one alignment, ``IDENTITY`` of all item tokens agree, or a run of ``RUN`` tokens or more does.
 
 The index of one block of items is broadcast, and a block holds at most ``BLOCK_CHARS`` characters of items; a larger
 benchmark is scanned in further blocks, each against all documents. Documents are never shuffled.
 
 Defined results: null and empty texts have no tokens and never match; items of fewer than ``LEAST`` tokens carry no
-evidence and never match; items shorter than the masks match only as whole, exact runs; repeated documents are
-reported once each row; null ids are carried along.
+evidence and never match; repeated documents are reported once each row; null ids are carried along.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -50,6 +51,13 @@ def _hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return np.where(known, out | np.uint64(1), np.uint64(0))
 
 
+def _stretches(n: int) -> list[tuple[int, int]]:
+    """An item of ``n`` tokens in one more part than it may have tokens that differ: one part agrees in full."""
+    parts = n - math.ceil(IDENTITY * n) + 1
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 class SeedIndex:
     """Vocabulary, token arrays and seed hashes of a block of benchmark items."""
 
@@ -64,10 +72,13 @@ class SeedIndex:
             self.ids.append(item)
             arr = np.array([words.setdefault(t, len(words) + 1) for t in ts], dtype=np.uint64)
             self.texts.append(arr)
-            masks = [m for m in MASKS if len(m) <= len(ts)] or ["1" * len(ts)]
-            for mask in masks:
-                for pos, h in enumerate(_hashes(arr, mask).tolist()):
-                    self.seeds[mask, h].append((at, pos))
+            for mask in MASKS:
+                if len(mask) <= len(ts):
+                    for pos, h in enumerate(_hashes(arr, mask).tolist()):
+                        self.seeds[mask, h].append((at, pos))
+            for lo, hi in _stretches(len(ts)):
+                mask = "1" * (hi - lo)
+                self.seeds[mask, int(_hashes(arr[lo:hi], mask)[0])].append((at, lo))
         self.words = words
         self.masks = sorted({m for m, _ in self.seeds})
         bits = 1 << max(12, (8 * len(self.seeds)).bit_length())
@@ -79,7 +90,7 @@ class SeedIndex:
     def overlaps(self, text: str | None) -> list[tuple]:
         """(item, agreeing tokens, item tokens, first token in the document) for each item found, the best alignment."""
         ts = tokens(text)
-        if len(ts) < LEAST or not self.masks:
+        if not ts or not self.masks:
             return []
         get = self.words.get
         ids = np.fromiter((get(t, 0) for t in ts), dtype=np.uint64, count=len(ts))

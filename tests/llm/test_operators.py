@@ -162,6 +162,19 @@ def test_a_long_run_counts_and_a_short_one_does_not():
     assert not index.overlaps(" ".join(other + item[20:31] + other))
 
 
+def test_every_substitution_that_identity_allows_is_found():
+    rng = random.Random(24)
+    for n in range(5, 40):
+        item = words(rng, n, 5000)
+        index = decontaminate.SeedIndex([(1, " ".join(item))])
+        allowed = max(k for k in range(n) if n - k >= decontaminate.IDENTITY * n)
+        for _ in range(30):
+            changed = list(item)
+            for i in rng.sample(range(n), allowed):
+                changed[i] = "sub"
+            assert index.overlaps(" ".join(words(rng, 9, 5000) + changed + words(rng, 9, 5000))) == [(1, n - allowed, n, 9)]
+
+
 # ---- line quality --------------------------------------------------------------------------------
 
 
