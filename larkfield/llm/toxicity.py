@@ -3,7 +3,8 @@
 The lexicon is a fixed list of insults with terms and stems mined from labelled documents: words and prefixes that
 toxic documents have and clean ones lack. Words run through one deterministic automaton, built lazily: its states are
 sets of (trie node, edits), which is the product of the trie with the Levenshtein automata of all its terms. A
-misspelling keeps the first letter; misspellings that clean labelled documents contain are excepted. Hits inside
+misspelling may change any letter, the first too, and hold digits and symbols inside; misspellings that clean labelled
+documents contain are excepted. Hits inside
 quotation marks, or after reporting words, count as quotation, the others as abuse; a logistic model on the counts,
 fitted on labelled documents that mining did not see, gives the score.
 
@@ -41,6 +42,7 @@ ADDRESS = frozenset("you your you're youre du dein dich tu ton toi vous tú uste
 SAMPLE, MAX_TERMS = 8_000, 4_000
 THRESHOLD, WINDOW = 0.7, 4
 WORD = re.compile(r"[^\W\d_]+")
+JOINED = re.compile(r"[^\W\d_]+(?:[\d_@$*!]+[^\W\d_]+)*")
 QUOTED = re.compile(r"[\"“«„‹][^\"”»“›\n]{0,400}[\"”»“›]")
 _DEAD = -1
 
@@ -54,12 +56,12 @@ def edits_allowed(term: str, stem: bool) -> int:
 class Matcher:
     """The automaton of all words within the allowed edits of a term, or that begin with a stem."""
 
-    def __init__(self, terms: list[tuple[str, bool]], excepted: frozenset[str] = frozenset()):
-        self.terms, self.excepted = sorted(set(terms)), excepted
+    def __init__(self, terms: list[tuple[str, bool]], excepted: frozenset[str] = frozenset(), any_first: bool = False):
+        self.terms, self.excepted, self.any_first = sorted(set(terms)), excepted, any_first
         self._build()
 
     def __reduce__(self):
-        return Matcher, (self.terms, self.excepted)
+        return Matcher, (self.terms, self.excepted, self.any_first)
 
     def _build(self) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -85,8 +87,8 @@ class Matcher:
         self.moves: list[dict[str, int]] = []
         self.accept: list[int] = []
         self.known: dict[str, int] = {}
-        # The first letter must agree, so the start is the root alone, without deletions.
-        self.start = self._state({0: 0}, None, closed=False)
+        # Unless any first letter may differ, the start is the root alone, without deletions.
+        self.start = self._state({0: 0}, None, closed=self.any_first)
 
     def _state(self, nodes: dict[int, int], absorbed: int | None, closed: bool = True) -> int:
         if closed:
@@ -117,10 +119,10 @@ class Matcher:
         pairs, absorbed = self.sets[state]
         nodes: dict[int, int] = {}
         for node, e in pairs:
-            options = [(child, e + (letter != c)) for letter, child in self.children[node].items()] if node or e else (
+            options = [(child, e + (letter != c)) for letter, child in self.children[node].items()] if node or self.any_first else (
                 [(self.children[0][c], 0)] if c in self.children[0] else []
             )
-            if node:
+            if node or self.any_first:
                 options.append((node, e + 1))
             for to, cost in options:
                 if cost <= self.budget[to] and cost < nodes.get(to, 9):
@@ -151,19 +153,22 @@ class Matcher:
         """(exact abuse, misspelled abuse, quoted hits, abuse near a word of address)."""
         lower = (text or "").lower()
         edits = self.edits
-        hits = {w: e for w in set(WORD.findall(lower)) if (e := edits(w)) >= 0}
+        seen = set(JOINED.findall(lower))
+        hits = {w: e for w in seen if (e := edits(w)) >= 0}
+        # A word with digits or symbols that is no hit is read as its parts.
+        mixed = {w for w in seen if w not in hits and not w.isalpha()}
+        hits |= {p: e for w in mixed for p in WORD.findall(w) if (e := edits(p)) >= 0}
         if not hits:
             return 0, 0, 0, 0
         spans = [m.span() for m in QUOTED.finditer(lower)]
         exact = misspelled = quoted = aimed = at = 0
         recent: list[str] = []
         ahead = 0  # words of the window after an abusive hit that may still hold an address
-        for m in WORD.finditer(lower):
-            word = m[0]
+        for word, begin in _words(lower, mixed):
             if word in hits:
-                while at < len(spans) and spans[at][1] <= m.start():
+                while at < len(spans) and spans[at][1] <= begin:
                     at += 1
-                if (at < len(spans) and spans[at][0] <= m.start()) or REPORTING.intersection(recent):
+                if (at < len(spans) and spans[at][0] <= begin) or REPORTING.intersection(recent):
                     quoted += 1
                 else:
                     exact += hits[word] == 0
@@ -178,6 +183,14 @@ class Matcher:
         return exact, misspelled, quoted, aimed
 
 
+def _words(text: str, mixed: set[str]) -> Iterator[tuple[str, int]]:
+    for m in JOINED.finditer(text):
+        if m[0] in mixed:
+            yield from ((p[0], m.start() + p.start()) for p in WORD.finditer(m[0]))
+        else:
+            yield m[0], m.start()
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     matcher: Matcher
@@ -251,7 +264,7 @@ def _matcher(drawn: DataFrame) -> Matcher:
     try:
         fixed = [(t, False) for t in INSULTS]
         bad = {r.word for r in counted.where(F.col("word").isin(INSULTS) & (F.col("clean") > F.col("toxic"))).collect()}
-        base = Matcher([t for t in fixed if t[0] not in bad] + terms)
+        base = Matcher([t for t in fixed if t[0] not in bad] + terms, any_first=True)
 
         def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -260,7 +273,7 @@ def _matcher(drawn: DataFrame) -> Matcher:
 
         # Clean words within the edits of a term: bounded by the terms, as each has a bounded number of variants.
         clean = counted.where("clean > 0 and clean * 4 >= toxic").select("word").mapInArrow(variants, "word string")
-        return Matcher(base.terms, frozenset(r.word for r in clean.collect()))
+        return Matcher(base.terms, frozenset(r.word for r in clean.collect()), any_first=True)
     finally:
         counted.unpersist()
 

@@ -505,3 +505,19 @@ def test_long_texts_are_read_in_blocks(monkeypatch):
     bits = simhash.simhash(text)
     monkeypatch.setattr(simhash, "_SLICE", 100)
     assert simhash.simhash(text) == bits
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="idotmrnx01", min_size=1, max_size=10))
+def test_automaton_with_any_first_letter_equals_edit_distance(word):
+    terms = ["idiot", "moron", "mordinand", "tom"]
+    found = [d for t in terms if (d := edit_distance(word, t)) <= toxicity.edits_allowed(t, False)]
+    assert toxicity.Matcher([(t, False) for t in terms], any_first=True).edits(word) == min(found, default=-1)
+
+
+def test_misspelled_first_letters_and_digits_are_hits(spark):
+    docs, marks = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    m = toxicity.train(docs, marks, F.lit(True)).matcher
+    for text in ("ediot", "diot", "xmoron", "id1ot", "m0ron", "b@stard"):
+        assert m.counts(text)[:2] == (0, 1), text
+    assert m.counts("x9idiot")[:2] == (1, 0) and m.counts("great!idiot")[0] == 1
