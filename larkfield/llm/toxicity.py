@@ -43,7 +43,8 @@ SAMPLE, MAX_TERMS = 8_000, 4_000
 THRESHOLD, WINDOW = 0.7, 4
 WORD = re.compile(r"[^\W\d_]+")
 JOINED = re.compile(r"[^\W\d_]+(?:[\d_@$*!]+[^\W\d_]+)*")
-QUOTED = re.compile(r"[\"“«„‹][^\"”»“›\n]{0,400}[\"”»“›]")
+OPENING, CLOSING = frozenset("\"“«„‹"), frozenset("\"”»“›")
+MARK = re.compile(r"[\"“«„‹”»›\n]")
 _DEAD = -1
 
 
@@ -160,7 +161,7 @@ class Matcher:
         hits |= {p: e for w in mixed for p in WORD.findall(w) if (e := edits(p)) >= 0}
         if not hits:
             return 0, 0, 0, 0
-        spans = [m.span() for m in QUOTED.finditer(lower)]
+        spans = quotations(lower)
         exact = misspelled = quoted = aimed = at = 0
         recent: list[str] = []
         ahead = 0  # words of the window after an abusive hit that may still hold an address
@@ -183,6 +184,20 @@ class Matcher:
         return exact, misspelled, quoted, aimed
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans from an opening mark to the next closing one in its line, in one pass."""
+    spans, begin = [], None
+    for m in MARK.finditer(text):
+        if m[0] == "\n":
+            begin = None
+        elif begin is None:
+            begin = m.start() if m[0] in OPENING else None
+        elif m[0] in CLOSING:
+            spans.append((begin, m.end()))
+            begin = None
+    return spans
+
+
 def _words(text: str, mixed: set[str]) -> Iterator[tuple[str, int]]:
     for m in JOINED.finditer(text):
         if m[0] in mixed:

@@ -521,3 +521,9 @@ def test_misspelled_first_letters_and_digits_are_hits(spark):
     for text in ("ediot", "diot", "xmoron", "id1ot", "m0ron", "b@stard"):
         assert m.counts(text)[:2] == (0, 1), text
     assert m.counts("x9idiot")[:2] == (1, 0) and m.counts("great!idiot")[0] == 1
+
+
+def test_long_quotations_count_as_quotations():
+    m = toxicity.Matcher([("idiot", False)])
+    assert m.counts('"' + "word " * 200 + 'idiot" he is an idiot')[:3] == (1, 0, 1)
+    toxicity.quotations("«" * 200_000)
