@@ -1,36 +1,41 @@
 """Benchmark decontamination by spaced seeds: masks ignore fixed token positions, so that hits survive substitutions.
 
 Benchmark items become hashes of the tokens at the kept positions of each mask; the windows of every document are
-looked up in that index, as are consecutive stretches of each item, one more than the substitutions that ``IDENTITY``
-allows, so that one of them is always whole. Every hit is verified along its diagonal over the whole item. A document is contaminated
-by an item if, at one alignment, ``IDENTITY`` of all item tokens agree, or a run of ``RUN`` tokens or more does.
-
-The index of one block of items is broadcast, and a block holds at most ``BLOCK_CHARS`` characters of items; a larger
-benchmark is scanned in further blocks, each against all documents. Documents are never shuffled.
-
-Defined results: null and empty texts have no tokens and never match; items of fewer than ``LEAST`` tokens carry no
-evidence and never match; repeated documents are reported once each row; null ids are carried along.
+joined with them, as are consecutive stretches of each item, one more than the substitutions that ``IDENTITY``
+allows, so that one of them is always whole. Every hit is verified along its diagonal over the whole item. A document
+is contaminated by an item if, at one alignment, ``IDENTITY`` of all item tokens agree, or a run of ``RUN`` tokens or
+more does. An item of fewer than ``LEAST`` tokens matches documents that consist of its tokens and nothing else.
+
+The index of one block of items is sorted arrays (about 60 bytes a token), sent to all executors, and a block holds at
+most ``BLOCK_CHARS`` characters of items; a larger benchmark is scanned in further blocks, each against all documents.
+Documents are never shuffled.
+
+Defined results: null and empty texts have no tokens and never match, nor do items without tokens; repeated documents
+are reported once each row, rows of an item that repeat count once; of alignments with equally many agreeing tokens the first
+in the document is reported; null ids are carried along; other columns of the documents, whatever their names, are
+left out by ``overlaps`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larkfield.llm.common import append_columns, small_batches
 
 TOKEN = re.compile(r"\w+")
 MASKS = ("110110101011", "101110010111", "11101001110")
 LEAST, RUN, IDENTITY, GAP_COST = 5, 13, 0.8, 3
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,17 +43,21 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
+def token_hashes(ts: list[str]) -> np.ndarray:
+    known: dict[str, int] = {}
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((known[t] if t in known else known.setdefault(t, digest(t.encode("utf-8", "surrogatepass"))) for t in ts), dtype=np.uint64, count=len(ts))
+
+
 def _hashes(ids: np.ndarray, mask: str) -> np.ndarray:
-    """A hash for each window of the mask; windows with an unknown token (0) at a kept position get 0."""
+    """A hash for each window of the mask, of the tokens at its kept positions."""
     n = len(ids) - len(mask) + 1
-    out, known = np.full(n, len(mask), dtype=np.uint64), np.ones(n, dtype=bool)
+    out = np.full(max(0, n), len(mask), dtype=np.uint64)
     for i, c in enumerate(mask):
-        if c == "1":
-            part = ids[i : i + n]
-            out = (out + part) * _MULTIPLIER
+        if c == "1" and n > 0:
+            out = (out + ids[i : i + n]) * _MULTIPLIER
             out ^= out >> np.uint64(29)
-            known &= part != 0
-    return np.where(known, out | np.uint64(1), np.uint64(0))
+    return out
 
 
 def _stretches(n: int) -> list[tuple[int, int]]:
@@ -59,78 +68,101 @@ def _stretches(n: int) -> list[tuple[int, int]]:
 
 
 class SeedIndex:
-    """Vocabulary, token arrays and seed hashes of a block of benchmark items."""
+    """Token hashes and sorted seed hashes of a block of benchmark items."""
 
     def __init__(self, items: list[tuple]):
-        words: dict[str, int] = {}
-        self.ids, self.texts, self.seeds = [], [], defaultdict(list)
+        self.ids, self.short = [], {}
+        parts, stretches = [], {}
+        end = 0
         for item, text in items:
             ts = tokens(text)
             if len(ts) < LEAST:
+                if ts:
+                    self.short.setdefault(tuple(ts), []).append(len(self.ids))
+                    self.ids.append(item)
+                    parts.append(np.zeros(0, dtype=np.uint64))
                 continue
-            at = len(self.ids)
-            self.ids.append(item)
-            arr = np.array([words.setdefault(t, len(words) + 1) for t in ts], dtype=np.uint64)
-            self.texts.append(arr)
-            for mask in MASKS:
-                if len(mask) <= len(ts):
-                    for pos, h in enumerate(_hashes(arr, mask).tolist()):
-                        self.seeds[mask, h].append((at, pos))
             for lo, hi in _stretches(len(ts)):
-                mask = "1" * (hi - lo)
-                self.seeds[mask, int(_hashes(arr[lo:hi], mask)[0])].append((at, lo))
-        self.words = words
-        self.masks = sorted({m for m, _ in self.seeds})
-        bits = 1 << max(12, (8 * len(self.seeds)).bit_length())
-        self.shift = np.uint64(64 - bits.bit_length() + 1)
-        self.present = {m: np.zeros(bits, dtype=bool) for m in self.masks}
-        for mask, h in self.seeds:
-            self.present[mask][np.uint64(h) >> self.shift] = True
+                stretches.setdefault("1" * (hi - lo), []).append(end + lo)
+            self.ids.append(item)
+            parts.append(token_hashes(ts))
+            end += len(ts)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.seeds: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for mask in (*MASKS, *sorted(stretches)):
+            hs = _hashes(self.flat, mask)
+            if mask in stretches:
+                at = np.unique(np.array(stretches[mask], dtype=np.int64))
+            else:
+                at = np.arange(len(hs))
+                at = at[at + len(mask) <= self.ends[self._item(at)]] if len(at) else at
+            if len(at):
+                order = np.argsort(hs[at], kind="stable")
+                self.seeds[mask] = (hs[at][order], at[order])
+        bits = max(12, *((8 * len(h)).bit_length() for h, _ in self.seeds.values()), 0)
+        self.shift = np.uint64(64 - bits)
+        self.present = {m: np.zeros(1 << bits, dtype=bool) for m in self.seeds}
+        for m, (h, _) in self.seeds.items():
+            self.present[m][h >> self.shift] = True
+
+    def _item(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, side="right")
+
+    def _diagonals(self, ids: np.ndarray) -> np.ndarray:
+        """Distinct (item, place in the document where the item would begin) of all seeds that document and items share."""
+        found = []
+        for mask, (h, at) in self.seeds.items():
+            hs = _hashes(ids, mask)
+            pos = np.flatnonzero(self.present[mask][hs >> self.shift])
+            if not len(pos):
+                continue
+            lo, hi = np.searchsorted(h, hs[pos], side="left"), np.searchsorted(h, hs[pos], side="right")
+            n = hi - lo
+            total = int(n.sum())
+            if total:
+                where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+                item = self._item(at[where])
+                found.append(np.stack([item, np.repeat(pos, n) - (at[where] - self.starts[item])], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
     def overlaps(self, text: str | None) -> list[tuple]:
         """(item, agreeing tokens, item tokens, first token in the document) for each item found, the best alignment."""
         ts = tokens(text)
-        if not ts or not self.masks:
+        if not ts:
             return []
-        get = self.words.get
-        ids = np.fromiter((get(t, 0) for t in ts), dtype=np.uint64, count=len(ts))
-        diagonals: set[tuple[int, int]] = set()
-        for mask in self.masks:
-            if len(mask) > len(ids):
-                continue
-            hs = _hashes(ids, mask)
-            for pos in np.flatnonzero(self.present[mask][hs >> self.shift] & (hs != 0)).tolist():
-                for at, q in self.seeds.get((mask, int(hs[pos])), ()):
-                    diagonals.add((at, pos - q))
+        out = [(self.ids[at], len(ts), len(ts), 0) for at in self.short.get(tuple(ts), ())] if len(ts) < LEAST else []
+        if not self.seeds:
+            return out
+        ids = token_hashes(ts)
         best: dict[int, tuple] = {}
-        for at, diagonal in sorted(diagonals):
-            item = self.texts[at]
+        for at, diagonal in self._diagonals(ids).tolist():
+            item = self.flat[self.starts[at] : self.ends[at]]
             lo, hi = max(0, -diagonal), min(len(item), len(ids) - diagonal)
             same = item[lo:hi] == ids[lo + diagonal : hi + diagonal]
             agree = int(same.sum())
             if (agree >= IDENTITY * len(item) or _run(same)) and agree > best.get(at, (0,))[0]:
                 best[at] = (agree, diagonal + lo)
-        return [(self.ids[at], agree, len(self.texts[at]), start) for at, (agree, start) in best.items()]
+        return out + [(self.ids[at], agree, int(self.ends[at] - self.starts[at]), start) for at, (agree, start) in best.items()]
 
 
 def _run(same: np.ndarray) -> bool:
     """Whether a stretch of RUN tokens or more agrees in IDENTITY of them (the stretch of the best sum is tested)."""
-    score = best = begin = 0
-    top = (0, 0)
-    for i, ok in enumerate(same.tolist()):
-        if score <= 0:
-            score, begin = 0, i
-        score += 1 if ok else -GAP_COST
-        if score > best:
-            best, top = score, (begin, i + 1)
-    length = top[1] - top[0]
-    return length >= RUN and same[top[0] : top[1]].mean() >= IDENTITY
+    if np.count_nonzero(same) < RUN * IDENTITY:
+        return False
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -GAP_COST))])
+    lowest = np.minimum.accumulate(sums)
+    end = int((sums - lowest).argmax())
+    begin = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1])
+    return end - begin >= RUN and same[begin:end].mean() >= IDENTITY
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[SeedIndex]:
     chars = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
     n = max(1, -(-int(chars) // BLOCK_CHARS))
-    rows = benchmark.select(item, text).where(F.col(text).isNotNull())
+    rows = benchmark.select(item, text).where(F.col(text).isNotNull()).distinct()
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == k) if n > 1 else rows
         yield SeedIndex([tuple(r) for r in own.collect()])
@@ -160,18 +192,14 @@ def overlaps(
                 columns = [list(c) for c in zip(*found)] if found else [[]] * 4
                 ids = batch.column(0).take(pa.array(rows, type=pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *[pa.array(c) if found else pa.nulls(0) for c in columns]], names=schema.names
-                ).cast(pa.schema([(n, t) for n, t in zip(schema.names, [ids.type, _item_type(kind), pa.int64(), pa.int64(), pa.int64()])]))
+                    [ids, *[pa.array(c, t) for c, t in zip(columns, [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64()])]], names=schema.names
+                )
 
         part = docs.select(id_column, text).mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("identity", F.col("n_agree") / F.col("n_item"))
 
 
-def _item_type(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows that contain an item."""
     columns = docs.columns

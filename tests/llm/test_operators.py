@@ -134,7 +134,7 @@ def test_overlaps_with_substitutions(spark):
                 item = [f"sub{k}" if k % 7 == 3 else w for k, w in enumerate(item)]
             at = rng.randint(0, len(text))
             text[at:at] = [w.upper() + "," for w in item]
-            if len(item) >= decontaminate.LEAST:
+            if len(item) >= decontaminate.LEAST or len(text) == len(item):
                 expected.add((d, i))
         rows.append((d, " ".join(text)))
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -153,6 +153,39 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert decontaminate.clean(docs, bench).count() == 0
 
 
+def test_overlaps_equal_brute_force(spark):
+    """Every alignment of every item with every document, and short items by equality."""
+    rng = random.Random(12)
+    items = [(f"i{k}", " ".join(words(rng, n, 60))) for k, n in enumerate([1, 2, 3, 4, *range(5, 24), 40, 90])] + [("null", None), ("none", "..."), ("i5", "a b c d e f")]
+    rows = [(None, "A b. c D e f"), (1, None), (2, ""), (3, items[1][1] + "!"), (3, items[1][1])]
+    for d in range(4, 300):
+        text = words(rng, rng.randint(0, 60), 60)
+        item = rng.choice(items[:25])[1].split()
+        for k in rng.sample(range(len(item)), rng.randint(0, len(item) // 4)):
+            item[k] = "sub"
+        at = rng.randint(0, len(text))
+        text[at:at] = item[rng.randint(0, 3) :] if rng.random() < 0.2 else item
+        rows.append((d, " ".join(text)))
+    expected = set()
+    for r, (d, text) in enumerate(rows):
+        ts = decontaminate.tokens(text)
+        for i, item in items:
+            wanted = decontaminate.tokens(item)
+            if 0 < len(wanted) < decontaminate.LEAST and ts == wanted:
+                expected.add((r, d, i))
+            elif len(wanted) >= decontaminate.LEAST and ts:
+                for k in range(1 - len(wanted), len(ts)):
+                    lo, hi = max(0, -k), min(len(wanted), len(ts) - k)
+                    same = np.array([wanted[x] == ts[x + k] for x in range(lo, hi)])
+                    if same.sum() >= decontaminate.IDENTITY * len(wanted):
+                        expected.add((r, d, i))
+    docs = spark.createDataFrame([(r, d, t) for r, (d, t) in enumerate(rows)], "row long, doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id string, text string"), id_column="row").collect()
+    of = {r: d for r, (d, _) in enumerate(rows)}
+    assert {(r.row, of[r.row], r.item_id) for r in found if r.identity >= decontaminate.IDENTITY} == expected
+    assert all(r.n_item > decontaminate.RUN for r in found if r.identity < decontaminate.IDENTITY)
+
+
 def test_a_long_run_counts_and_a_short_one_does_not():
     rng = random.Random(5)
     item = words(rng, 60)
