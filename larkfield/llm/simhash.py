@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,35 +185,38 @@ def group_fingerprints(rows: DataFrame, id_column: str, radius: int = RADIUS) ->
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, the least text first among rows of one id.
 
-    Only ids of dropped rows travel; they are broadcast if counted to be few, else joined by a shuffle.
+    Only ids of dropped rows travel; they are broadcast if counted to be few, else joined by a shuffle. Rows of an id
+    that has several, some of which may stay, are told apart by their fingerprints.
     """
     groups = Stored(near_duplicates(docs, id_column, text, shingle, radius)).df
     stays = F.col(id_column).eqNullSafe(F.col("component_id"))
-    drop = groups.where(~stays).select(id_column, "fingerprint_bits").distinct()
-    many = groups.where(stays).groupBy(id_column).count().where("count > 1").select(id_column)
-    few_drops, few_many = drop.count() <= BROADCAST_IDS, many.count()
-    # An id of one row needs no fingerprint to be told apart, so that texts are not hashed again.
-    gone = drop.join(groups.where(stays).select(F.col(id_column).alias("__kept")).distinct(), F.col(id_column).eqNullSafe(F.col("__kept")), "left_anti")
-    gone = Stored(gone.select(F.col(id_column).alias("__gone")).distinct()).df
-    kept = docs.join(F.broadcast(gone) if few_drops else gone, F.col(id_column).eqNullSafe(F.col("__gone")), "left_anti")
-    if not few_many:
+    ids = groups.groupBy(F.col(id_column).alias("__id")).agg(F.count("*").alias("n"), F.max(stays).alias("some"))
+    ids = Stored(ids.where("n > 1 or not some").select("__id", "some")).df
+    gone, several = ids.where("not some").select("__id"), ids.where("some").select("__id")
+    same = F.col(id_column).eqNullSafe(F.col("__id"))
+    kept = docs.join(_few(ids.select("__id")), same, "left_anti") if ids.limit(1).count() else docs
+    if not several.limit(1).count():
         return kept
-    twice = many.select(F.col(id_column).alias("__twice"))
-    same = F.col(id_column).eqNullSafe(F.col("__twice"))
-    single = kept.join(twice, same, "left_anti")
-    extra = kept.join(twice, same, "left_semi")
-    extra = with_fingerprints(extra, text, shingle, "__bits")
+    names = {c.lower() for c in docs.columns}
+    bits = next(n for n in ("__bits", "__bits_", "__bits__") if n not in names)
+    extra = with_fingerprints(docs.join(_few(several), same, "left_semi"), text, shingle, bits)
     nodes = groups.where(stays).select(F.col(id_column).alias("__id"), F.col("fingerprint_bits").alias("__fp"), F.col("component_node").alias("__node")).distinct()
-    extra = extra.join(nodes, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__bits") == F.col("__fp")))
-    best = extra.groupBy("__id", "__node").agg(F.min_by(F.struct(*docs.columns), F.struct(text, F.xxhash64(*docs.columns))).alias("__row"))
-    return single.unionByName(best.select("__row.*"))
+    extra = extra.join(_few(nodes.join(_few(several.toDF("__s")), F.col("__id").eqNullSafe(F.col("__s")), "left_semi")), same & (F.col(bits) == F.col("__fp")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    best = extra.groupBy("__id", "__node").agg(F.min_by(F.struct(*columns), F.struct(F.col(text), F.xxhash64(*columns))).alias("__row"))
+    return kept.unionByName(best.select("__row.*"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if counted to be at most ``BROADCAST_IDS`` narrow rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 #: For similarity, a text has ``VIEWS`` further fingerprints, each of its ``PICKED`` shingles that hash least for the view.
 VIEWS, PICKED, WIDE_SHINGLE, SIMILARITY = 8, 3, 5, 0.8
-#: Rows of a view's fingerprint that meet in all pairs at once.
-MEET = 2_048
-_VIEW_SCHEMA = "view int, bits long, text_key long, n int"
+#: Rows of a view's fingerprint that are compared in one task, and least hashes of a text that travel with it for that.
+MEET, BINS = 2_048, 128
+_VIEW_SCHEMA = "view int, bits long, text_key long, n int, bins binary"
 
 
 def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -239,9 +242,24 @@ def view_fingerprints(values: np.ndarray) -> list[int]:
     return out
 
 
+def least_bins(values: np.ndarray) -> np.ndarray:
+    """16 bits of the least hash in each of ``BINS`` equal ranges of sorted hashes; 0 for an empty range."""
+    out = np.zeros(BINS, dtype=np.uint16)
+    bins, at = np.unique(values >> np.uint64(57), return_index=True)
+    out[bins.astype(np.int64)] = np.maximum(values[at] & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint16)
+    return out
+
+
+def may_be_similar(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether the share of equal least hashes lies within four deviations of ``SIMILARITY``, or above."""
+    used = ((others != 0) | (mine != 0)).sum(1)
+    same = ((others == mine) & (mine != 0)).sum(1)
+    return same >= SIMILARITY * used - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used)
+
+
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: tuple[list, list, list, list] = ([], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [])
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             values = shingle_set(text)
             if len(values):
@@ -249,8 +267,9 @@ def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[1].extend(view_fingerprints(values))
                 rows[2].extend([key] * VIEWS)
                 rows[3].extend([len(values)] * VIEWS)
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["view", "bits", "text_key", "n"])
+                rows[4].extend([least_bins(values).tobytes()] + [None] * (VIEWS - 1))
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=["view", "bits", "text_key", "n", "bins"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,61 +287,107 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], names=["a", "b"])
 
 
+def _open_groups(views: DataFrame) -> DataFrame:
+    """The rows of views' fingerprints that texts of different components share, with the size of their group."""
+    size = views.groupBy("view", "bits").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    size = Stored(size.where("c0 != c1").select("view", "bits", "size")).df
+    return views.join(_few(size), ["view", "bits"])
+
+
 def _meetings(views: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of different components that share a view's fingerprint and whose sizes allow the similarity.
 
     Groups of up to five meet in all pairs. In larger ones each text meets the first and its neighbour, by an order that
-    changes with the view from the second turn on, so that pairs are linear in the rows.
+    changes with the view from the second turn on, so that pairs are linear in the rows; groups of over ``MEET`` are
+    ordered in parts.
     """
     salt = F.lit(0) if turn == 0 else F.col("view") + 1_000 * turn
-    whole = W.partitionBy("view", "bits")
-    group = whole.orderBy(F.xxhash64("text_key", salt), "text_key")
+    part = F.pmod(F.xxhash64("text_key", F.lit(7)), F.ceil(F.col("size") / MEET))
+    group = W.partitionBy("view", "bits", "part").orderBy(F.xxhash64("text_key", salt), "text_key")
     me = F.struct("text_key", "n", "component")
-    none = F.lit(None)
-    close = [F.when(F.col("size") <= 5, F.col(f"l{i}")).otherwise(none) for i in (2, 3, 4)]
-    rows = views.select(me.alias("x"), F.count("*").over(whole).alias("size"), F.first(me).over(group).alias("l0"), *[F.lag(me, i).over(group).alias(f"l{i}") for i in (1, 2, 3, 4)])
+    opened = _open_groups(views)
+    rows = opened.withColumn("part", part)
+    close = [F.when(F.col("size") <= 5, F.col(f"l{i}")) for i in (2, 3, 4)]
+    rows = rows.select("view", "bits", "size", me.alias("x"), F.first(me).over(group).alias("l0"), *[F.lag(me, i).over(group).alias(f"l{i}") for i in (1, 2, 3, 4)])
     met = rows.select("x", F.explode(F.array_distinct(F.array("l0", "l1", *close))).alias("y"))
+    # In groups that are ordered in parts, each text meets the first of the whole group too.
+    large = opened.where(F.col("size") > MEET)
+    lead = large.groupBy("view", "bits").agg(F.min(me).alias("y"))
+    met = met.unionByName(large.join(_few(lead), ["view", "bits"]).select(me.alias("x"), "y"))
     met = met.where("y is not null and x.component != y.component").where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY)
     return met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
 
 
-def _remaining(views: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that share a view's fingerprint, for groups that turns met in part.
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, i, j, own, text_key, n, component, bins) sorted by task: pairs of texts that may be similar."""
+    task, rows = None, []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if len({r[3] for r in rows}) < 2:
+            return
+        own, keys, n, component = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        bins = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(len(rows), BINS)
+        left, right, held = [], [], 0
+        for x in range(len(rows) - 1):
+            rest = slice(x + 1, len(rows))
+            fits = (component[rest] != component[x]) & (np.minimum(n[rest], n[x]) >= SIMILARITY * np.maximum(n[rest], n[x]))
+            if task[1] != task[2]:  # what lies in one block meets in its own task
+                fits &= own[rest] != own[x]
+            at = np.flatnonzero(fits) + x + 1
+            at = at[may_be_similar(bins[x], bins[at])]
+            left.append(np.minimum(keys[x], keys[at]))
+            right.append(np.maximum(keys[x], keys[at]))
+            held += len(at)
+            if held > 100_000 or held and x == len(rows) - 2:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in (left, right)], names=["a", "b"])
+                left, right, held = [], [], 0
 
-    Groups of over ``MEET`` rows are compared in pairs of blocks.
-    """
-    whole = W.partitionBy("view", "bits")
-    rows = views.select("view", "bits", F.struct("text_key", "n", "component").alias("me"), F.count("*").over(whole).alias("size"), F.min("component").over(whole).alias("c0"), F.max("component").over(whole).alias("c1"))
+    for batch in batches:
+        for *at, own, key, n, component, bins in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            if at != task:
+                yield from found()
+                task, rows = at, []
+            rows.append((own, key, n, component, bins))
+    yield from found()
+
+
+def _remaining(views: DataFrame, bins: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that share a view's fingerprint and whose least hashes allow the
+    similarity, for groups that turns met in part. Groups of over ``MEET`` rows are compared in pairs of blocks."""
     k = F.ceil(F.col("size") / MEET).cast("int")
-    rows = rows.where("size > 5 and c0 != c1").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("me.text_key"), F.col("k")).cast("int"))
-    x = rows.select("view", "bits", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"), F.col("me").alias("x"))
-    y = rows.select("view", "bits", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("me").alias("y"))
-    met = x.hint("merge").join(y, ["view", "bits", "i", "j"]).where("(i < j or x.text_key < y.text_key) and x.component != y.component")
-    met = met.where(F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * SIMILARITY)
-    return met.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
+    rows = _open_groups(views).where("size > 5").withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("text_key"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).join(bins, "text_key")
+    tasks = rows.select(
+        F.xxhash64("view", "bits").alias("task"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text_key", "n", "component", "bins",
+    )
+    return tasks.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(_compared, "a long, b long").distinct()
 
 
 def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFrame:
     """(node, component) of text keys: texts that share a view's fingerprint, verified at ``SIMILARITY`` of five-word sets.
 
-    The turns merge most of a large group by few pairs; then every pair left of different components is verified.
+    The turns merge most of a large group by few pairs; then every pair left of different components is compared by the
+    least hashes of its texts, and verified where these allow the similarity.
 
-    Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. A second
+    Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. Each
     turn lets texts meet again that share a view but no component yet; only their texts are read once more.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("body")).where(F.col(text).isNotNull())
-    views = Stored(keyed.mapInArrow(_view_rows, _VIEW_SCHEMA))
-    temporary = [views]
-    apart = views.df.withColumn("component", F.col("text_key"))
+    made = Stored(keyed.mapInArrow(_view_rows, _VIEW_SCHEMA))
+    single = Stored(made.df.select("view", "bits", "text_key", "n").distinct())
+    views = single.df
+    bins = made.df.where("bins is not null").groupBy("text_key").agg(F.first("bins").alias("bins"))
+    temporary = [made, single]
+    apart = views.withColumn("component", F.col("text_key"))
     done: DataFrame | None = None
     tried: DataFrame | None = None
     for turn in range(turns + 1):
-        pairs = _meetings(apart, turn) if turn < turns else _remaining(apart)
+        pairs = _meetings(apart, turn) if turn < turns else _remaining(apart, bins)
         pairs = Stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         keys = pairs.df.select(F.col("a").alias("text_key")).union(pairs.df.select("b")).distinct()
-        # Without the broadcast, all texts would be shuffled to keep a few.
-        wanted = keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "text_key", "left_semi")
+        # Without the broadcast, all texts would be shuffled to keep a few. Texts that repeat are verified once.
+        wanted = keyed.join(_few(keys), "text_key", "left_semi").groupBy("text_key").agg(F.first("body").alias("body"))
         both = pairs.df.join(wanted.toDF("a", "left"), "a").join(wanted.toDF("b", "right"), "b").select("a", "b", "left", "right")
         fresh = Stored(both.mapInArrow(_similar, "a long, b long"))
         temporary += [pairs, fresh]
@@ -331,7 +396,7 @@ def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFr
         found = components(done)
         if turn < turns:
             at = found.select(F.col("node").alias("text_key"), "component")
-            apart = views.df.join(at, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
+            apart = views.join(_few(at), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
     for table in temporary:  # the components are in a table of their own
         table.drop()
     return found
@@ -344,10 +409,9 @@ def keep_one_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     """
     found = similar_texts(docs, text)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.xxhash64(text).alias("node"))
-    rows = Stored(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))).df
+    rows = Stored(rows.join(_few(found), "node", "left").withColumn("component", F.coalesce("component", "node"))).df
     best = rows.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"), F.count("*").alias("n")).where("n > 1")
     stays = F.struct("id", "node") == F.col("best")
-    gone = Stored(rows.join(best, "component").where(~stays).select(F.col("node").alias("__node"), F.col("id").alias("__id")).distinct()).df
-    few = gone.count() <= BROADCAST_IDS
+    gone = Stored(rows.join(_few(best), "component").where(~stays).select(F.col("node").alias("__node"), F.col("id").alias("__id")).distinct()).df
     same = (F.xxhash64(text) == F.col("__node")) & F.col(id_column).eqNullSafe(F.col("__id"))
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    return docs.join(_few(gone), same, "left_anti")

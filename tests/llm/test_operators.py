@@ -388,6 +388,48 @@ def test_similar_texts_under_a_common_header_all_merge(spark, monkeypatch):
     assert {r.doc_id for r in kept} == set(range(0, 240, 2))
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(31)
+    x, y = (" ".join(words(rng, 60)) for _ in range(2))
+    rows = [(3, x), (7, x), (7, y), (9, x), (9, x), (11, y), (None, x), (12, None), (13, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(3, x), (7, y), (12, None)]
+
+
+def test_similar_texts_equal_brute_force(spark, monkeypatch):
+    """Components of all pairs of 0.8, with families of edited copies and texts that share only a long header."""
+    rng = random.Random(32)
+    header = words(rng, 60)
+    bases = [words(rng, rng.randint(40, 120)) for _ in range(6)]
+    texts = []
+    for d in range(260):
+        if d % 4 == 0:
+            text = list(bases[d % 6])
+            for k in rng.sample(range(len(text)), rng.randint(0, len(text) // 30)):
+                text[k] = f"e{d}x{k}"
+        else:
+            text = (header if d % 4 == 1 else []) + words(rng, rng.randint(5, 60))
+        texts.append(" ".join(text))
+    monkeypatch.setattr(simhash, "MEET", 16)
+    found = simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    keys = dict(spark.createDataFrame(list(enumerate(texts)), "d long, t string").select(F.xxhash64("t"), "d").collect())
+    mine = {}
+    for r in found.collect():
+        mine.setdefault(r.component, set()).add(keys[r.node])
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+    wanted = {}
+    for i, r in enumerate(root):
+        wanted.setdefault(r, set()).add(i)
+    last = {t: i for i, t in enumerate(texts)}  # equal texts are one key, under the id that came last
+    groups = {frozenset(last[texts[i]] for i in g) for g in wanted.values()}
+    assert {frozenset(g) for g in mine.values()} == {g for g in groups if len(g) > 1}
+
+
 # ---- substring dedup -----------------------------------------------------------------------------
 
 
