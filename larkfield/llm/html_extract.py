@@ -1,13 +1,18 @@
 """Main text of web pages: a linear-chain CRF over the DOM's leaf blocks, decoded by Viterbi.
 
 A page becomes its sequence of text blocks, each with the roles of its ancestors (from tag names and the words of
-class, id and role) and with features of its own text. The model is trained once a driver process on pages from a
-seeded generator that marks the article (``labelled_page``), so it needs no table. Scripts, styles and other
-elements that are never text are left out while reading.
+class, id and role) and with features of its own text. Names that state a condition (``has-sidebar``, ``no-js``) give no
+role, nor do names on html and body; an element that wraps nearly all text of a page is no menu, form or notice, whatever
+its name (``WRAPPER``). Roles of the nearest ancestors that have any are told from those further out.
+
+The model is trained once a driver process on pages from seeded generators that mark the article (``labelled_page``),
+so it needs no table; ``FAMILIES`` differ in markup and names, and tests hold each out in turn. Scripts, styles, form
+controls and templates are left out while reading; all other text, formulas and fallbacks included, is a block's.
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is read as far as it goes
 (unclosed elements end with their parent, stray end tags are passed over); pages are read whole; repeated rows give
-the same text; an empty table stays empty; input columns of the names written are replaced.
+the same text, and so do ties of the decoder, which go to the rest of the page; an empty table stays empty; input
+columns of the names written (text, n_chars) are replaced.
 """
 
 from __future__ import annotations
@@ -35,10 +40,11 @@ _TAG = re.compile(
 _OPEN_COMMENT = re.compile(r"<!--.*", re.DOTALL)
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|data-truth|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: Elements whose content is no text, inline elements, void elements, and those that end their like.
-SILENT = frozenset("script style template noscript svg math iframe object canvas title textarea select datalist audio video".split())
+SILENT = frozenset("script style template title textarea select datalist".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover "
+    "munderover mstyle mfenced mpadded semantics annotation svg g text tspan path noscript object canvas".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
@@ -55,7 +61,7 @@ WORD_ROLES = {
     "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs sitemap links skip",
     "header": "header masthead topbar logo branding hero site",
     "footer": "footer foot bottom copyright colophon legal credits",
-    "aside": "aside sidebar side rail widget widgets related recommended popular trending tags complementary more teaser",
+    "aside": "aside sidebar side rail widget widgets related recommended popular trending tags complementary teaser teasers",
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner adsense",
     "form": "form subscribe subscription newsletter login signup signin register search searchbox contact",
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay disclaimer warning paywall announcement toast",
@@ -65,14 +71,24 @@ WORD_ROLES = {
 _BIT = {role: 1 << i for i, role in enumerate(ROLES)}
 _TRUTH = 1 << len(ROLES)
 _WORD_BIT = {word: _BIT[role] for role, words in WORD_ROLES.items() for word in words.split()}
-_CAMEL = re.compile(r"[A-Za-z][a-z]*")
-N_FEATURES = len(ROLES) + 24
+_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words by which a name states a condition of an element and not what it is.
+STATES = frozenset("has have no not with without is are js enabled disabled supports show hide open closed active layout".split())
+#: Roles of what is not the article, and the share of a page's text beyond which an element with one is but a wrapper.
+OUT = ("nav", "ad", "comment", "notice", "form", "aside", "footer", "social", "header")
+_OUT = sum(_BIT[r] for r in OUT)
+_IN = _BIT["article"] | _BIT["main"]
+WRAPPER = 0.85
+N_FEATURES = 2 * len(ROLES) + 25
 
 
 @dataclass(frozen=True)
 class Block:
+    """``near`` are the roles of the innermost ancestor that has any, ``roles`` those of all ancestors."""
+
     text: str
     roles: int
+    near: int
     linked: int
     tag: str
 
@@ -81,20 +97,43 @@ def _mask(name: str, attrs: str) -> int:
     mask = _BIT.get(TAG_ROLES.get(name, ""), 0)
     if attrs and "=" in attrs:
         for m in _ATTR.finditer(attrs):
-            value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "data-truth":
                 mask |= _TRUTH
-                continue
-            for word in _CAMEL.findall(value):
-                mask |= _WORD_BIT.get(word.lower(), 0)
+            elif name not in ("html", "body"):
+                for value in (m[2] or m[3] or m[4] or "").split():
+                    words = [w.lower() for w in _CAMEL.findall(value)]
+                    if STATES.isdisjoint(words):
+                        found = 0
+                        for word in words:
+                            found |= _WORD_BIT.get(word, 0)
+                        # The main element is the page's own statement; names of its layout do not count against it.
+                        mask |= found & ~_OUT if name == "main" else found
     return mask
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks in page order, white space made single, character references decoded."""
+    leaves, elements = _leaves(page)
+    sizes = [0] * len(elements)
+    for text, element, _, _ in leaves:
+        sizes[element] += len(text)
+    for k in range(len(elements) - 1, 0, -1):  # elements come after their parents
+        sizes[elements[k][0]] += sizes[k]
+    roles, near = [0] * len(elements), [0] * len(elements)
+    for k, (parent, mask) in enumerate(elements):
+        if mask & _OUT and sizes[k] > WRAPPER * sizes[0]:
+            mask &= ~_OUT
+        roles[k] = roles[parent] | mask
+        near[k] = mask & ~_TRUTH or near[parent]
+    return [Block(text, roles[k], near[k], linked, tag) for text, k, linked, tag in leaves]
+
+
+def _leaves(page: str | None) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int]]]:
+    """(text, element, linked characters, tag) in page order, and (parent, roles) of the elements, the root first."""
     page = page or ""
     lower = None
-    out: list[Block] = []
+    out: list[tuple[str, int, int, str]] = []
+    elements: list[tuple[int, int]] = [(0, 0)]
     stack: list[tuple[str, int]] = [("", 0)]
     open_tags: dict[str, int] = {}
     parts: list[str] = []
@@ -106,7 +145,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1][1], linked, stack[-1][0]))
+                out.append((text, stack[-1][1], linked, stack[-1][0]))
             parts.clear()
         linked = 0
 
@@ -152,10 +191,11 @@ def blocks(page: str | None) -> list[Block]:
         if stack[-1][0] == "p" or (name in SELF_ENDING and stack[-1][0] == name):
             open_tags[stack.pop()[0]] -= 1
         if not attrs.endswith("/"):
-            stack.append((name, stack[-1][1] | _mask(name, attrs)))
+            elements.append((stack[-1][1], _mask(name, attrs)))
+            stack.append((name, len(elements) - 1))
             open_tags[name] = open_tags.get(name, 0) + 1
     flush()
-    return out
+    return out, elements
 
 
 def block_features(found: list[Block]) -> np.ndarray:
@@ -166,11 +206,11 @@ def block_features(found: list[Block]) -> np.ndarray:
         words = b.text.count(" ") + 1
         link = b.linked / size
         last = b.text[-1]
-        out_of = b.roles & (_BIT["nav"] | _BIT["ad"] | _BIT["comment"] | _BIT["notice"] | _BIT["form"] | _BIT["aside"] | _BIT["footer"] | _BIT["social"])
-        inside = b.roles & (_BIT["article"] | _BIT["main"])
+        out_of, inside = b.roles & _OUT & ~_BIT["header"], b.roles & _IN
         commas = b.text.count(",") + b.text.count(". ")
-        rows.append([1.0 if b.roles >> k & 1 else 0.0 for k in range(len(ROLES))] + [
-            1.0, bool(inside) and not out_of, bool(inside) and bool(out_of), not inside and not out_of, size < 20, 20 <= size < 80, 80 <= size < 200,
+        far = b.roles & ~b.near
+        rows.append([1.0 if b.near >> k & 1 else 0.0 for k in range(len(ROLES))] + [1.0 if far >> k & 1 else 0.0 for k in range(len(ROLES))] + [
+            1.0, bool(b.near & _IN) and bool(b.near & _OUT), bool(inside) and not out_of, bool(inside) and bool(out_of), not inside and not out_of, size < 20, 20 <= size < 80, 80 <= size < 200,
             size >= 200, words <= 2, words > 15, link > 0.2, link > 0.6, last in ".!?…\"”»", last == ":", commas > 1, "©" in b.text,
             b.text[:1].isupper(), sum(map(str.isdigit, b.text)) > 0.3 * size, i == 0, i == n - 1, b.tag in ("h1", "h2"), b.tag == "p",
             b.tag in ("div", "section", "td", "span"), b.tag == "li",
@@ -184,8 +224,30 @@ def main_text(page: str | None, model: crf.Crf) -> str:
     return " ".join(b.text for b, keep in zip(found, labels) if keep)
 
 
-def labelled_page(rng: random.Random) -> str:
+#: Kinds of generated pages: names and wrappers differ.
+FAMILIES = ("plain", "blog", "portal", "docs", "any")
+#: What a family puts on html and body, round the whole page and round the article.
+_SHELLS = {
+    "plain": (("",), ("",), ("",), ("<article>", "<main>", '<div class="content">', '<div id="post">', '<div class="article-body">', "<div>")),
+    "blog": (
+        ('class="no-js comments-enabled"', 'class="js"'), ('class="single post has-sidebar"', 'class="home blog with-sidebar comments-open"'),
+        ('<div id="page" class="site">', '<div class="site-container">'), ('<article class="post hentry has-comments">', '<div class="entry-content">', '<section class="post-content">'),
+    ),
+    "portal": (
+        ("",), ("", 'id="top"', 'class="advert-enabled"'), ('<form id="aspnetForm" action="x">', '<form method="post">', '<table><tr><td>', '<div class="wrapper sidebar-right">'),
+        ('<div class="more content">', '<td class="story">', '<div id="storytext">', '<div class="col-8">'),
+    ),
+    "docs": (
+        ('class="writer-html5"',), ('role="document"', 'class="wy-body-for-nav"'), ('<div class="document">', '<div class="layout-with-toc">', "<div>"),
+        ('<div class="body" role="main">', '<main id="main-content" class="has-toc">', '<section id="introduction">', '<div itemprop="articleBody">'),
+    ),
+}
+
+
+def labelled_page(rng: random.Random, family: str | None = None) -> str:
     """A page of random layout and words; elements of the article carry the attribute data-truth."""
+    family = family or rng.choice(FAMILIES)
+    shells = _SHELLS.get(family) or tuple(sum((s[k] for s in _SHELLS.values()), ()) for k in range(4))
     letters = rng.choice(["etaoinshrdlu", "enisratdhulä", "esaitnruléèç", "eaosrnidlcóñ", "абвгдежзиклм"])
 
     def word() -> str:
@@ -213,6 +275,8 @@ def labelled_page(rng: random.Random) -> str:
             k = rng.randrange(len(cut))
             cut[k] = rng.choice([f'<a href="/x">{cut[k]}</a>', f"<b>{cut[k]}</b>", f"<em>{cut[k]}</em>"])
             text = " ".join(cut)
+        if rng.random() < 0.03:
+            text += rng.choice([" <math><mi>x</mi><mo>=</mo><mn>2</mn></math>", f" <noscript>{word()}</noscript>", f" <svg><text>{word()}</text></svg>"])
         return text
 
     def links(n: int) -> str:
@@ -224,6 +288,11 @@ def labelled_page(rng: random.Random) -> str:
     def wrapped(tags: tuple, names: tuple, inner: str) -> str:
         tag = rng.choice(tags)
         label = rng.choice(names)
+        if family in ("any", "portal", "docs"):  # any word of the role, alone or in a compound
+            kinds = [r for r, ws in WORD_ROLES.items() if r in OUT and set(_CAMEL.findall(label)) & set(ws.split())]
+            if kinds:
+                label = rng.choice(WORD_ROLES[rng.choice(kinds)].split())
+            label = rng.choice([label, label, f"{label}-{word()}", f"{word()}-{label}", f"{label} {word()}", f"x{label.capitalize()}"])
         if tag != "div" and rng.random() < 0.6:
             return f"<{tag}>{inner}</{tag}>"
         attr = rng.choice(["class", "class", "id"])
@@ -283,15 +352,9 @@ def labelled_page(rng: random.Random) -> str:
     marked = re.sub(r"data-truth(?=[ >])", 'data-truth="1"', marked)
     if rng.random() < 0.2:
         marked += comments()
-    kind = rng.random()
-    if kind < 0.5:
-        main = f"<article>{marked}</article>"
-    elif kind < 0.65:
-        main = f"<main>{marked}</main>"
-    elif kind < 0.9:
-        main = f'<div {rng.choice(["class", "id"])}="{rng.choice(["content", "post", "entry-content", "article-body", "story", "main-content"])}">{marked}</div>'
-    else:
-        main = f"<div>{marked}</div>"
+    shell = rng.choice(shells[3])
+    ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", shell)))
+    main = f"{shell}{marked}{ends}"
     if rng.random() < 0.3:
         main = f"<main>{main}{rng.choice([ad, aside, comments, share])()}</main>"
     before = [f() for f in (header, nav, notice, ad, form) if rng.random() < 0.45]
@@ -299,7 +362,10 @@ def labelled_page(rng: random.Random) -> str:
     rng.shuffle(before)
     if rng.random() < 0.5:
         rng.shuffle(after)
-    return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    outer = rng.choice(shells[2])
+    ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", outer)))
+    page = f"{outer}{''.join(before)}{main}{''.join(after)}{ends}"
+    return f"<!DOCTYPE html><html {rng.choice(shells[0])}><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body {rng.choice(shells[1])}>{page}</body></html>"
 
 
 def labelled_blocks(page: str) -> tuple[list[Block], list[int]]:
@@ -307,10 +373,12 @@ def labelled_blocks(page: str) -> tuple[list[Block], list[int]]:
     return found, [int(bool(b.roles & _TRUTH)) for b in found]
 
 
-@lru_cache(maxsize=1)
-def page_model(pages: int = 500, seed: int = 5) -> crf.Crf:
+@lru_cache(maxsize=8)
+def page_model(pages: int = 700, seed: int = 5, without: str | None = None) -> crf.Crf:
+    """Trained on pages of all families, or of all but one."""
     rng = random.Random(seed)
-    made = [labelled_blocks(labelled_page(rng)) for _ in range(pages)]
+    families = [f for f in FAMILIES if f != without and not (without and f == "any")]
+    made = [labelled_blocks(labelled_page(rng, families[k % len(families)])) for k in range(pages)]
     return crf.fit([(block_features(b), y) for b, y in made if b], steps=160)
 
 

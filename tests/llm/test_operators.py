@@ -257,6 +257,43 @@ def test_html_on_held_out_layouts():
     assert right / total > 0.98
 
 
+@pytest.mark.parametrize("family", html_extract.FAMILIES[:-1])
+def test_html_on_a_family_that_was_not_trained_on(family):
+    model, rng = html_extract.page_model(pages=300, without=family), random.Random(99)
+    right = total = 0
+    for _ in range(100):
+        found, y = html_extract.labelled_blocks(html_extract.labelled_page(rng, family))
+        right += sum(a == b for a, b in zip(model.decode(html_extract.block_features(found)), y)) if found else 0
+        total += len(y)
+    assert right / total > 0.97
+
+
+@pytest.mark.parametrize(
+    "shell",
+    [
+        '<html><body class="single post has-sidebar">%s<article>%s</article>%s</body></html>',
+        '<html class="no-js comments-enabled"><body>%s<article>%s</article>%s</body></html>',
+        '<html><body><form id="aspnetForm" action="/x">%s<article>%s</article>%s</form></body></html>',
+        '<html><body>%s<div class="more content">%s</div>%s</body></html>',
+        '<html><body>%s<main class="layout-sidebar-right">%s</main>%s</body></html>',
+        '<html><body>%s<div class="col-md-8">%s</div>%s</body></html>',
+    ],
+)
+def test_wrappers_and_states_do_not_cost_the_article(shell):
+    article = (
+        "<h1>A title of some words</h1><p>First paragraph of an ordinary article, with commas and several words in it.</p>"
+        "<p>Second paragraph. It holds <math><mi>E</mi><mo>=</mo><mn>5</mn></math>, <noscript>a fallback</noscript>, "
+        "<object>an object</object> and <svg><text>a label</text></svg>, until it ends.</p>"
+    )
+    nav = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav><div class="ad-slot">Buy now!</div>'
+    tail = '<div id="comments"><p>Nice text, thank you.</p></div><footer>&copy; 2020 Someone</footer>'
+    wanted = (
+        "A title of some words First paragraph of an ordinary article, with commas and several words in it. "
+        "Second paragraph. It holds E=5, a fallback, an object and a label, until it ends."
+    )
+    assert html_extract.main_text(shell % (nav, article, tail), html_extract.page_model()) == wanted
+
+
 @pytest.mark.parametrize(
     ("page", "texts"),
     [
