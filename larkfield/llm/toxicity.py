@@ -2,15 +2,17 @@
 
 The lexicon is a fixed list of insults with terms and stems mined from labelled documents: words and prefixes that
 toxic documents have and clean ones lack. Words run through one deterministic automaton, built lazily: its states are
-sets of (trie node, edits), which is the product of the trie with the Levenshtein automata of all its terms. A
-misspelling may change any letter, the first too, and hold digits and symbols inside; misspellings that clean labelled
-documents contain are excepted. Hits inside
-quotation marks, or after reporting words, count as quotation, the others as abuse; a logistic model on the counts,
-fitted on labelled documents that mining did not see, gives the score.
+sets of (trie node, edits), which is the product of the trie with the Levenshtein automata of all its terms; two
+letters that changed places are one edit. Any letter may differ, the first too. Digits and symbols that look like
+letters are read as these (``LOOKS``), a star as any vowel, and terms spelled out by hyphens, dots or spaces as one
+word; misspellings that clean labelled documents contain are excepted. Hits inside quotation marks, or after reporting
+words, count as quotation, the others as abuse; a logistic model on the counts, fitted on labelled documents that
+mining did not see, gives the score.
 
 Defined results: null and empty texts have no hits and get the score of the intercept; texts are read whole; without
-labels of both classes the fixed lexicon and fixed weights are used; repeated rows score alike; an empty table stays
-empty; input columns of the names written are replaced.
+labels of both classes the fixed lexicon and fixed weights are used; repeated rows score alike; of terms equally close
+to a word any stands for the hit, since only the edits count; an empty table stays empty; input columns of the names
+written are replaced.
 """
 
 from __future__ import annotations
@@ -38,14 +40,19 @@ REPORTING = frozenset(
     "sagte nannte wort zitat dit appelé mot terme dijo llamó palabra término".split()
 )
 ADDRESS = frozenset("you your you're youre du dein dich tu ton toi vous tú usted te".split())
-#: At most so many labelled documents are used for mining and fitting, and so many terms are kept.
-SAMPLE, MAX_TERMS = 8_000, 4_000
+#: At most so many labelled documents are used for mining and fitting.
+SAMPLE = 8_000
 THRESHOLD, WINDOW = 0.7, 4
 WORD = re.compile(r"[^\W\d_]+")
-JOINED = re.compile(r"[^\W\d_]+(?:[\d_@$*!]+[^\W\d_]+)*")
+JOINED = re.compile(r"[\d@$!]*[^\W\d_]+(?:[\d_@$*!]+[^\W\d_]+)*")
+SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[-._* ][^\W\d_]){3,}(?![^\W_])")
+#: The letters of ``WORD`` for Spark's regular expressions.
+LETTERS = "([\\p{L}\\p{Nl}\\p{No}]+)"
+#: Letters that digits and symbols stand for.
+LOOKS = str.maketrans("0134578@$!", "oieastbasi")
 OPENING, CLOSING = frozenset("\"“«„‹"), frozenset("\"”»“›")
 MARK = re.compile(r"[\"“«„‹”»›\n]")
-_DEAD = -1
+_DEAD, _PLACES = -1, 1 << 40
 
 
 def edits_allowed(term: str, stem: bool) -> int:
@@ -57,12 +64,12 @@ def edits_allowed(term: str, stem: bool) -> int:
 class Matcher:
     """The automaton of all words within the allowed edits of a term, or that begin with a stem."""
 
-    def __init__(self, terms: list[tuple[str, bool]], excepted: frozenset[str] = frozenset(), any_first: bool = False):
-        self.terms, self.excepted, self.any_first = sorted(set(terms)), excepted, any_first
+    def __init__(self, terms: list[tuple[str, bool]], excepted: frozenset[str] = frozenset()):
+        self.terms, self.excepted = sorted(set(terms)), excepted
         self._build()
 
     def __reduce__(self):
-        return Matcher, (self.terms, self.excepted, self.any_first)
+        return Matcher, (self.terms, self.excepted)
 
     def _build(self) -> None:
         self.children: list[dict[str, int]] = [{}]
@@ -88,28 +95,27 @@ class Matcher:
         self.moves: list[dict[str, int]] = []
         self.accept: list[int] = []
         self.known: dict[str, int] = {}
-        # Unless any first letter may differ, the start is the root alone, without deletions.
-        self.start = self._state({0: 0}, None, closed=self.any_first)
-
-    def _state(self, nodes: dict[int, int], absorbed: int | None, closed: bool = True) -> int:
-        if closed:
-            todo = list(nodes.items())
-            while todo:
-                node, e = todo.pop()
-                if nodes[node] < e:
-                    continue
-                for child in self.children[node].values():
-                    if e + 1 <= self.budget[child] and nodes.get(child, 9) > e + 1:
-                        nodes[child] = e + 1
-                        todo.append((child, e + 1))
-            for node, e in nodes.items():
-                if self.stem[node] and (absorbed is None or e < absorbed):
-                    absorbed = e
+        self.start = self._state({0: 0}, None)
+
+    def _state(self, nodes: dict[int, int], absorbed: int | None) -> int:
+        """A node above ``_PLACES`` waits for the first of two letters that changed places."""
+        todo = [x for x in nodes.items() if x[0] < _PLACES]
+        while todo:
+            node, e = todo.pop()
+            if nodes[node] < e:
+                continue
+            for child in self.children[node].values():
+                if e + 1 <= self.budget[child] and nodes.get(child, 9) > e + 1:
+                    nodes[child] = e + 1
+                    todo.append((child, e + 1))
+        for node, e in nodes.items():
+            if node < _PLACES and self.stem[node] and (absorbed is None or e < absorbed):
+                absorbed = e
         key = (tuple(sorted(nodes.items())), absorbed)
         if key in self.states:
             return self.states[key]
         at = self.states[key] = len(self.sets)
-        ends = [e for node, e in nodes.items() if self.final[node] >= e and not self.stem[node]]
+        ends = [e for node, e in nodes.items() if node < _PLACES and self.final[node] >= e and not self.stem[node]]
         ends += [] if absorbed is None else [absorbed]
         self.sets.append(key)
         self.moves.append({})
@@ -120,11 +126,15 @@ class Matcher:
         pairs, absorbed = self.sets[state]
         nodes: dict[int, int] = {}
         for node, e in pairs:
-            options = [(child, e + (letter != c)) for letter, child in self.children[node].items()] if node or self.any_first else (
-                [(self.children[0][c], 0)] if c in self.children[0] else []
-            )
-            if node or self.any_first:
-                options.append((node, e + 1))
+            if node >= _PLACES:
+                options = [(node % _PLACES, e)] if ord(c) == node // _PLACES else []
+            else:
+                options = [(node, e + 1), *((child, e + (letter != c)) for letter, child in self.children[node].items())]
+                for letter, child in self.children[node].items():
+                    to = self.children[child].get(c) if letter != c else None
+                    if to is not None and e + 1 <= self.budget[to]:
+                        key = to + _PLACES * ord(letter)
+                        nodes[key] = min(e + 1, nodes.get(key, 9))
             for to, cost in options:
                 if cost <= self.budget[to] and cost < nodes.get(to, 9):
                     nodes[to] = cost
@@ -150,12 +160,22 @@ class Matcher:
             self.known[word] = found
         return found
 
+    def disguised(self, word: str) -> int:
+        """The edits of a word that holds digits or symbols, read as the letters that they look like."""
+        plain = word.translate(LOOKS)
+        forms = {plain, word.replace("1", "l").translate(LOOKS)}
+        if "*" in word:
+            forms = {f.replace("*", vowel) for f in forms for vowel in "aeiou"}
+        found = [e for f in forms if f.isalpha() and (e := self.edits(f)) >= 0]
+        return max(1, min(found)) if found else self.edits(word)
+
     def counts(self, text: str | None) -> tuple[int, int, int, int]:
         """(exact abuse, misspelled abuse, quoted hits, abuse near a word of address)."""
         lower = (text or "").lower()
         edits = self.edits
+        lower = SPELLED.sub(lambda m: w if edits(w := "".join(WORD.findall(m[0]))) == 0 else m[0], lower)
         seen = set(JOINED.findall(lower))
-        hits = {w: e for w in seen if (e := edits(w)) >= 0}
+        hits = {w: e for w in seen if (e := edits(w) if w.isalpha() else self.disguised(w)) >= 0}
         # A word with digits or symbols that is no hit is read as its parts.
         mixed = {w for w in seen if w not in hits and not w.isalpha()}
         hits |= {p: e for w in mixed for p in WORD.findall(w) if (e := edits(p)) >= 0}
@@ -236,18 +256,19 @@ def _fit_weights(rows: list[list[float]], y: list[int], prior: tuple[float, ...]
 
 def mine(drawn: DataFrame) -> tuple[list[tuple[str, bool]], DataFrame]:
     """Terms and stems of a labelled sample, and its words with the numbers of toxic and clean documents."""
-    words = drawn.select("id", "label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), 1))).alias("word"))
+    words = drawn.select("id", "label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), 1))).alias("word"))
     counted = words.where("length(word) >= 3").groupBy("word").agg(
         F.count(F.when(F.col("label") > 0, 1)).alias("toxic"), F.count(F.when(F.col("label") <= 0, 1)).alias("clean")
     )
-    telling = counted.where("toxic >= 5 and clean * 40 <= toxic").orderBy(F.desc("toxic"), "word").limit(MAX_TERMS)
-    terms = [(r.word, False) for r in telling.collect()]
+    telling = counted.where("toxic >= 5 and clean * 40 <= toxic")
+    terms = [(r.word, False) for r in telling.select("word").collect()]  # bounded by the words of the sample
     # Stems are counted over the words of toxic documents only; clean words count against their prefixes.
     prefixes = counted.where("length(word) >= 4").select("toxic", "clean", F.explode(F.expr("transform(sequence(4, least(8, length(word))), n -> substring(word, 1, n))")).alias("stem"))
     stems = prefixes.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.when(F.col("toxic") > 0, 1)).alias("forms"))
-    kept = stems.where("toxic >= 8 and forms >= 3 and clean * 40 <= toxic").orderBy(F.desc("toxic"), "stem").limit(MAX_TERMS)
+    kept = stems.where("toxic >= 8 and forms >= 3 and clean * 40 <= toxic")
     found = sorted(r.stem for r in kept.collect())
-    shortest = [s for s in found if not any(s[:n] in set(found) for n in range(4, len(s)))]
+    known = set(found)
+    shortest = [s for s in found if not any(s[:n] in known for n in range(4, len(s)))]
     return terms + [(s, True) for s in shortest], counted
 
 
@@ -279,7 +300,7 @@ def _matcher(drawn: DataFrame) -> Matcher:
     try:
         fixed = [(t, False) for t in INSULTS]
         bad = {r.word for r in counted.where(F.col("word").isin(INSULTS) & (F.col("clean") > F.col("toxic"))).collect()}
-        base = Matcher([t for t in fixed if t[0] not in bad] + terms, any_first=True)
+        base = Matcher([t for t in fixed if t[0] not in bad] + terms)
 
         def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -288,7 +309,7 @@ def _matcher(drawn: DataFrame) -> Matcher:
 
         # Clean words within the edits of a term: bounded by the terms, as each has a bounded number of variants.
         clean = counted.where("clean > 0 and clean * 4 >= toxic").select("word").mapInArrow(variants, "word string")
-        return Matcher(base.terms, frozenset(r.word for r in clean.collect()), any_first=True)
+        return Matcher(base.terms, frozenset(r.word for r in clean.collect()))
     finally:
         counted.unpersist()
 
