@@ -53,6 +53,11 @@ class Stored:
         path.getFileSystem(self.df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are stored; it waits for the driver's GC."""
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_ROWS = 1_000
 
 
@@ -73,9 +78,10 @@ def append_columns(
     df: DataFrame,
     column: str,
     fields: Sequence[T.StructField],
-    compute: Callable[[list], dict[str, Sequence]],
+    compute: Callable[..., dict[str, Sequence]],
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds columns that ``compute`` derives from the values of one column, batch by batch.
+    """Adds columns that ``compute`` derives from the values of one column (and of those in ``also``), batch by batch.
 
     Other columns pass through as Arrow arrays, untouched. Columns of the same name are replaced.
     """
@@ -84,11 +90,12 @@ def append_columns(
     schema = T.StructType([*base.schema.fields, *fields])
     names = [f.name for f in fields]
     types = [_arrow(f.dataType) for f in fields]
-    at = [c.lower() for c in base.columns].index(column.lower())
+    lower = [c.lower() for c in base.columns]
+    at = [lower.index(c.lower()) for c in (column, *also)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = compute(batch.column(at).to_pylist())
+            made = compute(*(batch.column(k).to_pylist() for k in at))
             arrays = [pa.array(made[n], type=t) for n, t in zip(names, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
