@@ -38,6 +38,17 @@ def test_shards_are_even_gapless_and_independent_of_the_layout(spark):
     assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
 
 
+def test_hot_ids_are_numbered_in_ranges(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(None if d % 3 == 0 else 5 if d % 3 == 1 else d, f"t{rng.randrange(60)}") for d in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain, n = sharding.number_rows(docs, "doc_id", ("text",))
+    monkeypatch.setattr(sharding, "HOT_ROWS", 100)
+    hot, m = sharding.number_rows(docs, "doc_id", ("text",), digits=1)
+    assert n == m == 900 and sorted(r.row_number for r in hot.collect()) == list(range(900))
+    assert sorted(map(tuple, plain.collect()), key=lambda r: r[2]) == sorted(map(tuple, hot.collect()), key=lambda r: r[2])
+
+
 def test_shards_on_disk(spark, tmp_path):
     docs = spark.range(100).withColumnRenamed("id", "doc_id")
     sharding.write_shards(docs, f"{tmp_path}/s", 4)
@@ -113,6 +124,50 @@ def test_mix_in_tables_equals_mix_on_the_driver_and_targets_hold(spark):
     assert taken / sum(r.n_tokens for r in local.values()) == pytest.approx(0.5, abs=0.05)
 
 
+def test_targets_that_exceed_a_value_are_made_feasible():
+    assert mixing.feasible(np.array([60.0, 30.0, 10.0]), np.array([20.0, 100.0, 100.0])) == pytest.approx([20, 60, 20])
+    assert mixing.feasible(np.array([60.0, 40.0]), np.array([10.0, 20.0])) == pytest.approx([10, 20])
+    assert mixing.feasible(np.array([5.0, 0.0]), np.array([10.0, 20.0])) == pytest.approx([5, 0])
+
+
+def test_raking_reaches_feasible_marginals_through_full_cells():
+    """Targets taken from a sample that exists, with many cells drawn whole."""
+    rng = np.random.default_rng(3)
+    codes = np.array(list(itertools.product(range(4), range(3), range(3))))
+    tokens = rng.pareto(1.0, len(codes)) * 100 + 1
+    raw = 0.7
+    for size in (4, 3, 3):
+        raw = raw * rng.uniform(0.4, 3, size)[codes[:, (4, 3, 3).index(size) if size == 4 else 1]]
+    exists = np.minimum(1.0, raw)
+    targets = [np.bincount(codes[:, d], weights=exists * tokens) for d in range(3)]
+    assert (exists == 1).mean() > 0.2
+    p = mixing.rake(codes, tokens, targets, 0.7)
+    for d, wanted in enumerate(targets):
+        assert np.bincount(codes[:, d], weights=p * tokens) == pytest.approx(wanted, rel=2e-3)
+
+
+def test_default_targets_are_met_and_reported(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    drawn = mixing.mix(docs, 0.7).persist()
+    rows = mixing.report(drawn, 0.7).collect()
+    total = drawn.agg(F.sum("n_tokens")).first()[0]
+    assert {r.dimension for r in rows} == set(mixing.DIMENSIONS)
+    assert all(abs(sum(r.expected for r in rows if r.dimension == d) - 0.7 * total) < 0.01 * total for d in mixing.DIMENSIONS)
+    assert all(abs(r.expected - min(r.wanted, r.tokens)) < 0.03 * total for r in rows)
+    assert drawn.select("mix_topic").distinct().count() > 2
+    drawn.unpersist()
+
+
+def test_topics_tell_kinds_of_texts_apart_within_languages(spark):
+    rng, kinds = random.Random(9), [[f"k{k}w{i}" for i in range(40)] for k in range(2)]
+    rows = [(d, " ".join(rng.choices(kinds[d % 2], k=60) + rng.choices([f"{'ab'[d % 4 // 2]}{i}" for i in range(30)], k=60)), "ab"[d % 4 // 2]) for d in range(400)]
+    docs = spark.createDataFrame([*rows, (400, None, "a"), (401, "", None)], "doc_id long, text string, lang string")
+    model = mixing.fit_topics(docs, topics=2)
+    found = model.topics([r[1] for r in rows], [r[2] for r in rows])
+    assert len({(found[d], d % 2) for d in range(400)}) == 2
+    assert model.topics([None, ""], ["a", None]) == ["(none)", "(none)"]
+
+
 def test_shares_of_missing_targets():
     assert mixing.shares({"a": 1.0, "b": 3.0}, {"a": 0.5, "z": 0.5}, 1) == {"a": 0.5, "b": 0.5}
     assert mixing.shares({}, None, 0.5) == {}
