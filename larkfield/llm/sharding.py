@@ -1,14 +1,17 @@
 """Sharding by a keyed permutation of global row numbers, in DataFrame expressions only.
 
 Rows are numbered by the order of (MD5 of the id, id, further columns). The first hex digits of the MD5 are the
-bucket of a row: bucket sizes (at most ``16 ** digits`` counts, the only thing that reaches the driver) give each
-bucket its offset, so numbering needs no global sort and no task holds more than one bucket. A Feistel network over
-a grid of about sqrt(n) x sqrt(n) cells permutes the numbers; a number that leaves the range walks its cycle until it
-is back. Permuted number p gives shard ``p % shards`` and slot ``p // shards``: counts differ by one at most, and the
-place of any row number can be computed without the data.
-
-Defined results: rows with a null id are numbered as if the id were empty; repeated rows get places of their own;
-an empty table stays empty; input columns of the names written are replaced.
+bucket of a row, as many digits as keep buckets near ``BUCKET_ROWS``: bucket sizes (the only thing that reaches the
+driver) give each bucket its offset, so numbering needs no global sort and no task holds more than one bucket. An id
+of over ``HOT_ROWS`` rows (null ids are one) is a bucket of its own, dealt to tasks by ranges of the further columns
+and stored, so that its rows are numbered range by range. A Feistel network over a grid of about sqrt(n) x sqrt(n)
+cells permutes the numbers; a number that leaves the range walks its cycle until it is back. Permuted number p gives
+shard ``p % shards`` and slot ``p // shards``: counts differ by one at most, and the place of any row number can be
+computed without the data.
+
+Defined results: rows with a null id are numbered as if the id were empty; repeated rows get places of their own, and
+rows that tie in the id and all further columns share their places in any order; an empty table stays empty; input
+columns of the names written (row_number, shard, slot) are replaced, other names travel whatever they are.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkfield.llm.common import without
+from larkfield.llm.common import Stored, without
 
 PRIME, ROUNDS, WALK = 2_147_483_647, 6, 64
+#: Rows of a bucket, about, and rows of one id beyond which it is dealt to several tasks.
+BUCKET_ROWS, HOT_ROWS = 65_536, 1_000_000
 
 
 def round_keys(seed: int) -> list[tuple[int, int, int]]:
@@ -106,23 +111,53 @@ def permute_column(df: DataFrame, column: str, n: int, seed: int, out: str) -> D
     return df.withColumn(out, _walker(F.col("__lf_x"), n, a, b, keys)).drop("__lf_l", "__lf_r", "__lf_t", "__lf_x")
 
 
-def number_rows(df: DataFrame, id_column: str, ties: tuple[str, ...] = (), digits: int = 3, out: str = "row_number") -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, id_column: str, ties: tuple[str, ...] = (), digits: int | None = None, out: str = "row_number") -> tuple[DataFrame, int]:
     """Global row numbers from 0, and how many there are."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if digits is None:
+        digits = min(5, max(3, math.ceil(math.log(max(1, df.count() / BUCKET_ROWS), 16))))
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
-    bucket = F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
-    counts = dict(df.select(bucket.alias("b")).groupBy("b").count().collect())
-    offsets, total = [], 0
-    for b in range(16**digits):
-        offsets.append(total)
-        total += counts.get(b, 0)
-    df = df.withColumn("__lf_h", key).withColumn("__lf_b", bucket)
-    w = W.partitionBy("__lf_b").orderBy("__lf_h", id_column, *ties)
-    start = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("__lf_b") + 1)
-    numbered = df.withColumn(out, F.row_number().over(w).cast("long") - 1 + start)
-    return numbered.drop("__lf_h", "__lf_b"), total
-
-
-def shard(df: DataFrame, shards: int, id_column: str = "doc_id", ties: tuple[str, ...] = (), seed: int = 20_240_501, digits: int = 3) -> DataFrame:
+    df = df.withColumn("__lf_h", key).withColumn("__lf_b", F.conv(F.substring(key, 1, digits), 16, 10).cast("int"))
+    order = ["__lf_h", id_column, *ties]
+    counts = {(b, 0): n for b, n in df.groupBy("__lf_b").count().collect()}
+    large = [b for (b, _), n in counts.items() if n > HOT_ROWS]
+    part = F.lit(0)
+    if large:
+        inside = df.where(F.col("__lf_b").isin(large))
+        hot = [r[0] for r in inside.groupBy("__lf_h").count().where(F.col("count") > HOT_ROWS).select("__lf_h").collect()]
+        # Rows before, of and after a hot id are parts of their bucket: even numbers and odd ones.
+        for h in hot:
+            mine = F.col("__lf_b") == int(h[:digits], 16)
+            part = part + F.when(mine & (F.col("__lf_h") > h), 2).when(mine & (F.col("__lf_h") == h), 1).otherwise(0)
+        df = df.withColumn("__lf_s", part)
+        counts = {(b, s): n for b, s, n in df.groupBy("__lf_b", "__lf_s").count().collect()}
+    else:
+        df = df.withColumn("__lf_s", part)
+    offsets, total = {}, 0
+    for at in sorted(counts):
+        offsets[at], total = total, total + counts[at]
+    starts = [offsets.get((b, 0), 0) for b in range(16**digits)]
+    start = F.element_at(F.lit(starts).cast("array<bigint>"), F.col("__lf_b") + 1)
+    for (b, s), n in offsets.items():
+        if s:
+            start = F.when((F.col("__lf_b") == b) & (F.col("__lf_s") == s), F.lit(n).cast("long")).otherwise(start)
+    w = W.partitionBy("__lf_b", "__lf_s").orderBy(*order)
+    rank = (F.row_number().over(w).cast("long") - 1 + start).alias(out)
+    numbered = df.where(F.col("__lf_s") % 2 == 0).select(*columns, rank)
+    for b, s in sorted(at for at in offsets if at[1] % 2):
+        rows = df.where((F.col("__lf_b") == b) & (F.col("__lf_s") == s)).withColumn("__lf_m", F.monotonically_increasing_id())
+        ranges = rows.repartitionByRange(max(2, -(-counts[b, s] // HOT_ROWS)), *order, "__lf_m").withColumn("__lf_r", F.spark_partition_id())
+        dealt = Stored(ranges.select(*columns, "__lf_h", "__lf_m", "__lf_r")).df  # stored, as the ranges come from a sample
+        at, sizes = offsets[b, s], dict(dealt.groupBy("__lf_r").count().collect())
+        begin = F.lit(0)
+        for r in sorted(sizes):
+            begin, at = F.when(F.col("__lf_r") == r, F.lit(at).cast("long")).otherwise(begin), at + sizes[r]
+        own = W.partitionBy("__lf_r").orderBy(*order, "__lf_m")
+        numbered = numbered.unionByName(dealt.select(*columns, (F.row_number().over(own).cast("long") - 1 + begin).alias(out)))
+    return numbered, total
+
+
+def shard(df: DataFrame, shards: int, id_column: str = "doc_id", ties: tuple[str, ...] = (), seed: int = 20_240_501, digits: int | None = None) -> DataFrame:
     """``df`` with row_number, shard (0 to ``shards`` - 1) and slot (gapless from 0 within the shard)."""
     df = without(df, ["row_number", "shard", "slot"])
     numbered, n = number_rows(df, id_column, ties, digits)
