@@ -2,8 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns they came with; the last
 adds the place of each document. Between stages the documents are written and read again, so that a lost executor
-costs no more than the stage at hand. All input columns travel; null texts count as empty ones and fail the quality
-rules; an empty table passes through all stages.
+costs no more than the stage at hand; a stage's table is deleted once the next one is written.
+
+Defined results: all input columns travel, whatever their names, and the place is called ``shard`` and ``slot``, with an
+underscore behind where the input has these names; null and empty texts fail the quality rules; texts are read whole; of
+rows with one id in a group of near copies one stays, of equal rows any; rows that tie in id, text and all other columns
+share their places in any order; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -51,8 +55,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document its shard and slot."""
-    return shard(docs, SHARDS, ties=("text",)).drop("row_number")
+    """Gives each document its shard and slot; rows of one id and text are told apart by their other columns."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select("doc_id", "text", F.xxhash64(*columns).alias("__tie"), F.struct(*columns).alias("__row"))
+    placed = shard(packed, SHARDS, ties=("text", "__tie"))
+    taken = {c.lower() for c in docs.columns}
+    named = [F.col(n).alias(next(m for m in (n + "_" * k for k in range(9)) if m not in taken)) for n in ("shard", "slot")]
+    return placed.select("__row.*", *named)
 
 
 STAGES = [
@@ -68,7 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir)).df
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        after = Stored(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)
