@@ -40,7 +40,6 @@ BROAD = (
     r"(?i)\b(?:investigate|review\s+(?:this\s+)?(?:linear|ticket|issue|github issue|github pr|pr|pull request)|what needs changing|"
     r"what code needs to change|fix|add support|look into|is this actionable|explain how|find where)\b|\bwhere is\b.*\bimplemented\b"
 )
-TICKET = r"(?i)\b(?:linear|ticket|issue|github issue|github pr|pr|pull request)\b"
 REVIEW_COMMENTS = r"(?i)\b(?:github\s+)?pr comments?\b"
 EXTERNAL = r"(?i)\b(?:what branch am i on|show git status|report git branch information only|git (?:branch|status|log)|slack|sentry|database schema)\b"
 STRONG_COVERAGE = 0.9

@@ -31,6 +31,8 @@ SHARED_STOPWORDS = (
 ).split()
 MIN_LENGTH = 3
 _SCHEME = "^(?i)[a-z]+://"
+#: Fixed value: what running text loses before it is cut.
+URL = r"(?i)[a-z][a-z0-9+\-.]*://\S*"
 
 
 def stoplist(lang: str | None = None, extra: Iterable[str] = ()) -> list[str]:
@@ -67,7 +69,7 @@ def keywords(raw: Column, stop: list[str], min_length: int = MIN_LENGTH) -> Colu
 
 def prose_tokens(text: Column, stop: list[str], min_length: int = MIN_LENGTH) -> Column:
     """Distinct tokens of running text in order of first use; all but ASCII letters, digits and _ separate."""
-    bare = F.regexp_replace(text, "(?i)[a-z]+://\\S+", " ")
+    bare = F.regexp_replace(text, URL, " ")
     return _useful(F.split(F.lower(bare), "[^a-z0-9_]+"), stop, min_length)
 
 

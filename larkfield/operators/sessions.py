@@ -54,12 +54,14 @@ def attribute_ring(locates: DataFrame, consumes: DataFrame, ring: int = RING) ->
     def shown(column: str, kind: int) -> DataFrame:
         return no.select("session_id", "__no", F.lit(kind).alias("__kind"), F.posexplode(column).alias("__pos", "path"))
 
+    # An entry counts for the next ``ring`` turns of the clock of locates, each a key of its own: no consume meets older ones.
     entries = shown("results", 0).unionByName(shown("cochange", 1)).unionByName(shown("referrers", 2))
+    entries = entries.withColumn("__now", F.explode(F.sequence("__no", F.col("__no") + ring - 1)))
     marks = no.select("session_id", "seq", F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in consumes.schema) + ">").alias("__row"), F.col("__no"))
     rows = consumes.select("session_id", "seq", F.struct(*consumes.columns).alias("__row"), F.lit(None).cast("int").alias("__no"))
     order = W.partitionBy("session_id").orderBy("seq", F.col("__row").isNull()).rowsBetween(W.unboundedPreceding, 0)
     merged = marks.unionByName(rows).withColumn("__now", F.max("__no").over(order)).where("__row is not null").select("__row.*", "__now")
-    hits = merged.join(entries, ["session_id", "path"]).where((F.col("__no") <= F.col("__now")) & (F.col("__now") - F.col("__no") < ring))
+    hits = merged.join(entries, ["session_id", "path", "__now"])
     best = hits.groupBy("session_id", "seq", "path").agg(F.max_by(F.struct("__kind", "__pos"), F.struct("__no", -F.col("__kind"), -F.col("__pos"))).alias("__b"))
     out = consumes.join(best, ["session_id", "seq", "path"], "left")
     return out.select(

@@ -1,17 +1,21 @@
 """Tables kept current by snapshots: change detection, upserts, replacement of a file's rows, cascades, versions.
 
-A table is a folder of versions and a pointer to the live one. Writers write a new version and then move the pointer,
-so readers always see a whole table and a failed writer leaves nothing behind but an unused folder.
+A table is a folder of versions and of numbered pointers. A writer writes a new version and then creates the next
+pointer, which only one of several writers can; readers take the highest whole pointer, so they always see a whole
+table, and a failed writer leaves nothing behind but an unused folder. Versions are kept while one of the last ``KEEP``
+pointers names them, for readers that opened them before.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 4
+SCHEMA_VERSION, KEEP = 4, 3
 
 
 def file_id(path: Column) -> Column:
@@ -44,6 +48,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_newest(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the highest ``version`` of each key; ``new`` wins where versions are equal."""
+    touched = new.select(key).distinct()
+    rows = old.join(touched, key, "left_semi").withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in rows.columns if c != "__new"]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, "__new")).alias("__r")).select("__r.*")
+    return old.join(touched, key, "left_anti").unionByName(best, allowMissingColumns=True)
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """The first write of a key wins: old rows, then new ones by ``order``."""
     keys = [key] if isinstance(key, str) else key
@@ -66,46 +79,106 @@ def cascade(children: DataFrame, parents: DataFrame, *links: tuple[str, str]) ->
     return children
 
 
+class Conflict(RuntimeError):
+    """Another writer was faster."""
+
+
 class SnapshotTable:
-    """Versions of one table under ``root``, read and written by Spark alone."""
+    """Versions of one table under ``root``, read and written by Spark alone.
+
+    ``migrations`` maps a schema version to what turns a frame of it into one of the next version; a table of an older
+    schema without a way to this one reads as not there.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema_version: int = SCHEMA_VERSION):
-        self.spark, self.root, self.schema_version = spark, root.rstrip("/"), schema_version
+    def __init__(self, spark: SparkSession, root: str, schema_version: int = SCHEMA_VERSION, migrations: Mapping[int, Callable[[DataFrame], DataFrame]] | None = None):
+        self.spark, self.root, self.schema_version, self.migrations = spark, root.rstrip("/"), schema_version, dict(migrations or {})
 
     def _fs(self, name: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def meta(self) -> dict[str, str]:
-        """The pointer: version and schema_version; empty where nothing is written yet or the schema is older."""
-        fs, path = self._fs("current")
+    def _pointers(self) -> list[int]:
+        fs, path = self._fs("pointers")
         if not fs.exists(path):
-            return {}
-        found = {r.key: r.value for r in self.spark.read.schema("key string, value string").json(f"{self.root}/current").collect()}
-        return found if found.get("schema_version") == str(self.schema_version) else {}
+            return []
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit())
+
+    def _pointer(self, number: int) -> dict | None:
+        """None if the pointer is not whole: its writer has failed or is still writing."""
+        fs, path = self._fs(f"pointers/{number:012d}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _current(self) -> tuple[int, dict]:
+        """The highest pointer taken, and the content of the highest whole one."""
+        numbers = self._pointers()
+        for number in reversed(numbers):
+            found = self._pointer(number)
+            if found is not None:
+                return numbers[-1], found
+        return (numbers[-1] if numbers else 0), {}
+
+    def _path_from(self, version: int) -> bool:
+        return version <= self.schema_version and all(v in self.migrations for v in range(version, self.schema_version))
+
+    def meta(self) -> dict[str, str]:
+        """The pointer: version, schema_version and what ``set_meta`` added; empty where nothing can be read."""
+        found = self._current()[1]
+        return found if found.get("version") and self._path_from(int(found["schema_version"])) else {}
+
+    def get_meta(self, key: str) -> str | None:
+        return self._current()[1].get(f"meta:{key}")
+
+    def set_meta(self, key: str, value: str | None) -> None:
+        """Sets a value beside the table, or drops it."""
+        after, found = self._current()
+        found = {k: v for k, v in found.items() if k != f"meta:{key}"} | ({f"meta:{key}": value} if value is not None else {})
+        self._commit(after, found)
 
     def read(self) -> DataFrame | None:
         found = self.meta()
-        return self.spark.read.parquet(f"{self.root}/{found['version']}") if found else None
-
-    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        if not found:
+            return None
+        df = self.spark.read.parquet(f"{self.root}/{found['version']}")
+        for version in range(int(found["schema_version"]), self.schema_version):
+            df = self.migrations[version](df)
+        return df
+
+    def write(self, df: DataFrame, partition_by: str | None = None, meta: Mapping[str, str] | None = None) -> DataFrame:
+        """Writes and commits a version; fails with ``Conflict`` if another writer committed since it began."""
+        after, found = self._current()
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
-        before = self.meta().get("version")
-        rows = [("version", version), ("schema_version", str(self.schema_version))]
-        self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.json(f"{self.root}/next-{version}")
-        fs, current = self._fs("current")
-        _, fresh = self._fs(f"next-{version}")
-        fs.delete(current, True)
-        if not fs.rename(fresh, current):
-            raise OSError(f"the pointer of {self.root} could not be moved")
-        if before:
-            old_fs, old = self._fs(before)
-            old_fs.delete(old, True)
+        kept = {k: v for k, v in found.items() if k.startswith("meta:")} | {f"meta:{k}": v for k, v in (meta or {}).items()}
+        self._commit(after, {"version": version, "schema_version": str(self.schema_version), **kept})
+        self._clean()
         return self.spark.read.parquet(f"{self.root}/{version}")
 
+    def _commit(self, after: int, content: dict) -> None:
+        fs, path = self._fs(f"pointers/{after + 1:012d}")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            raise Conflict(f"{self.root} was changed by another writer") from e
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+
+    def _clean(self) -> None:
+        """Drops old pointers, and the versions that only they name. A version without pointer may still be being written."""
+        numbers = self._pointers()
+        kept = {(self._pointer(n) or {}).get("version") for n in numbers[-KEEP:]}
+        for n in numbers[:-KEEP]:
+            version = (self._pointer(n) or {}).get("version")
+            for name in ([version] if version and version not in kept else []) + [f"pointers/{n:012d}"]:
+                fs, path = self._fs(name)
+                fs.delete(path, True)
+
     def reset(self) -> None:
-        """Forgets the table, as a full rebuild asks for."""
-        fs, current = self._fs("current")
-        fs.delete(current, True)
+        """Forgets the table and its meta, as a full rebuild asks for."""
+        self._commit(self._current()[0], {})

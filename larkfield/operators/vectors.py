@@ -2,36 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+def _matrix(values: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: positions, and unit vectors as rows. Vectors that are null, empty, zero or hold nulls are left out."""
+    by: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        if v and all(x is not None for x in v):
+            by.setdefault(len(v), []).append(i)
+    out = {}
+    for n, at in by.items():
+        rows = np.array([values[i] for i in at], dtype=np.float64)
+        size = np.sqrt((rows * rows).sum(1))
+        good = size > 0
+        out[n] = np.array(at)[good], rows[good] / size[good, None]
+    return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
     """(query_id, id, score, rank): a stated set of queries against all vectors.
 
-    Queries go out in broadcast blocks of ``block`` rows; the window's rank limit is pushed
-    below the shuffle (WindowGroupLimit), so only k rows a query and task travel. Zero vectors and other lengths score null and are left out.
+    Queries go out in broadcast blocks of ``block`` rows, dealt by hash, and each block is one scan of the vectors, in
+    which batches are scored as matrices and give at most ``k`` rows a query. Scores that agree to twelve places are ties
+    and end by the id. Zero vectors and other lengths have no score.
     """
-    asked = queries.select(F.col("query_id"), F.col(vector).alias("__q")).withColumn("__n", norm(F.col("__q")))
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("__v")).withColumn("__m", norm(F.col("__v")))
-    listed = [r.query_id for r in asked.select("query_id").collect()]
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", F.col(vector).alias("__q"))
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("__v"))
+    blocks = max(1, -(-asked.count() // block))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     out = None
-    for i in range(0, max(1, len(listed)), block):
-        part = asked.where(F.col("query_id").isin(listed[i : i + block]))
-        packed = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "__q", "__n")).alias("__qs")))
-        each = rows.crossJoin(packed).select("id", "__v", "__m", F.explode("__qs").alias("q"))
-        score = F.try_divide(dot(F.col("__v"), F.col("q.__q")), F.col("__m") * F.col("q.__n"))
-        scored = each.where(F.size("__v") == F.size("q.__q")).select(F.col("q.query_id").alias("query_id"), "id", score.alias("score")).where("score is not null")
-        best = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        listed = part.toArrow()
+        shipped = spark.sparkContext.broadcast((listed.column(0).combine_chunks(), _matrix(listed.column(1).to_pylist())))
+
+        def score(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            names, wanted = shipped.value
+            for batch in batches:
+                ids = batch.column(0)
+                rank = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")) if ids.null_count == 0 else np.arange(len(ids))
+                for n, (at, units) in _matrix(batch.column(1).to_pylist()).items():
+                    if n not in wanted:
+                        continue
+                    who, q = wanted[n]
+                    made = np.round(units @ q.T, 12)
+                    for c in range(len(who)):
+                        s = made[:, c]
+                        near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                        near = near[np.lexsort((rank[at[near]], -s[near]))][:k]
+                        yield pa.RecordBatch.from_arrays(
+                            [names.take(pa.array(np.full(len(near), who[c]))), ids.take(pa.array(at[near])), pa.array(s[near])], names=["query_id", "id", "score"]
+                        )
+
+        found = rows.mapInArrow(score, schema)
+        best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out
 

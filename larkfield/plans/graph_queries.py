@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkfield.functions import ranking
 from larkfield.operators import graph
 
-NOW, MAX_FILES = 996_624_000, 8  # 2001-08-01 00:00:00 UTC; larger orders are left out of pairs
+NOW, MAX_FILES = 996_624_000, graph.MAX_FILES  # 2001-08-01 00:00:00 UTC; larger orders are left out of pairs
 
 
 def commits(spark, sf_dir) -> DataFrame:

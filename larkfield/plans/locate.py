@@ -24,12 +24,13 @@ class Index:
 
 
 def build(spark: SparkSession, root: str, now: int, config: Config = Config(), commits: DataFrame | None = None, before: DataFrame | None = None) -> tuple[Index, DataFrame]:
-    """The index of a folder, and its change list against an earlier ``files`` table.
+    """The index of a checkout, and its change list against an earlier ``files`` table; empty outside git.
 
     References resolve by joins after all paths are known, so the order of files does not matter. Recency comes from
     the commits each time; files that are gone drop out with all that hung on them.
     """
-    read = file_source.read_files(spark, root, config.max_file_bytes).withColumn("file_id", file_id(F.col("path")))
+    listed = git.list_files(spark, root)
+    read = file_source.read_files(spark, root, config.max_file_bytes, listed).withColumn("file_id", file_id(F.col("path")))
     commits = git.read_log(spark, root, config.cochange_max_commits) if commits is None else commits
     seen = graph.recency(commits, now).withColumnRenamed("file", "path")
     rows = read.join(seen, "path", "left").withColumn("symbols_done", F.lit(True))

@@ -162,8 +162,8 @@ def scan_baseline(spark, sf_dir):
 def eval_hits(spark, sf_dir):
     """Retrieval quality on benchmark items: documents that hold the whole item are expected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    expect = docs.join(F.broadcast(items), F.contains("text", "item")).groupBy("query_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    expect = evaluate.containing(docs, items).join(items, "needle").groupBy("query_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
     none = F.lit(None).cast("string")
     cases = expect.select("query_id", "expect", none.alias("expect_prefix"), none.alias("expect_contains"), none.alias("expect_not_suffix"))
     found = search.match(docs, short_queries(spark, sf_dir, 8), {"text": 1.0}, k=5)
@@ -220,7 +220,7 @@ _LANG = " ".join(f"WHEN regexp_extract(path, '[^/.][^/]*\\.([^./]+)$', 1, 'i') <
 
 SQL = {
     "prose_tokens_df": f"""SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(text,
-        '(?i)[a-z]+://\\S+', ' ', 'g')), '[^a-z0-9_]+'), lambda t: NOT {_junk('t')} AND NOT list_contains({_list(text.stoplist('prose'))}, t)))) AS term
+        '{text.URL}', ' ', 'g')), '[^a-z0-9_]+'), lambda t: NOT {_junk('t')} AND NOT list_contains({_list(text.stoplist('prose'))}, t)))) AS term
         FROM documents) GROUP BY 1""",
     "identifier_split": """SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(concat(
         upper(split_part(p_name, ' ', 1)[1]), split_part(p_name, ' ', 1)[2:], upper(split_part(p_name, ' ', 2)[1]), split_part(p_name, ' ', 2)[2:],

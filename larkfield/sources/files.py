@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What is never indexed, and the language of each extension.
 SECRET_PREFIXES = (".env", "id_")
@@ -45,16 +49,43 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.substring(content, 1, PROBE_BYTES), F.unhex(F.lit("00")))
 
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, lang, size, mtime, content_hash, text, indexable) of the files below a folder.
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first ``PROBE_BYTES`` of files that are not to be read whole."""
+    for batch in batches:
+        heads = []
+        for uri in batch.column(0).to_pylist():
+            system, path = pafs.FileSystem.from_uri(uri)
+            with system.open_input_stream(path) as f:
+                heads.append(f.read(PROBE_BYTES))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "content"])
 
-    Too large and binary files keep a row with the hash of their first 4096 bytes, no language and no text.
+
+def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, paths: DataFrame | None = None) -> DataFrame:
+    """(path, lang, size, mtime, content_hash, text, indexable) of the files below a folder, or of those in paths(path).
+
+    Files are listed first, without their content: secrets, ignored folders and files that are not asked for are never
+    opened. Too large and binary files keep a row with the hash of their first 4096 bytes, no language and no text; of
+    too large ones no more than their first bytes are read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    local = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9+.-]+:/+", "/"), "^/+", "/")
-    rows = raw.withColumn("path", F.substr(local, F.lit(len(base) + 2)))
-    rows = rows.where(~is_secret(F.col("path")) & ~has_ignored_segment(F.col("path")))
+    local = F.regexp_replace(F.regexp_replace("uri", "^[a-z0-9+.-]+:/+", "/"), "^/+", "/")
+
+    def below(raw: DataFrame) -> DataFrame:
+        return raw.withColumnRenamed("path", "uri").withColumn("path", F.substr(local, F.lit(len(base) + 2)))
+
+    listed = below(scan.load(root).select("path", "length", "modificationTime"))
+    listed = listed.where(~is_secret(F.col("path")) & ~has_ignored_segment(F.col("path")))
+    if paths is not None:
+        listed = listed.join(paths.select("path").distinct(), "path", "left_semi")
+    names = ["uri", "length", "modificationTime", "path"]
+    listed = listed.select(*names)
+    schema = T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())])
+    rows = listed.where(F.col("length") > max_bytes).mapInArrow(_heads, schema)
+    # Spark's own listing holds all names on the driver anyway; those that passed are read with their content.
+    small = [r.uri for r in listed.where(F.col("length") <= max_bytes).select("uri").collect()]
+    if small:
+        rows = rows.unionByName(below(spark.read.format("binaryFile").load(small)).where(F.col("length") <= max_bytes).select(*names, "content"))
     gated = (F.col("length") > max_bytes) | is_binary(F.col("content"))
     lang = language(F.col("path"))
     return rows.select(

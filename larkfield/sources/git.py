@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larkfield.sources.files import has_ignored_segment, is_secret, language
 
 HEADER = "__C__"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: Modes of entries that are no files: symbolic links and submodules.
 NO_FILES = ("120000", "160000")
 MAX_COMMITS = 4_000
@@ -52,15 +53,19 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def parse_log(lines: DataFrame) -> DataFrame:
     """Commits of log lines(source, line_no, line): headers ``__C__ sha ts`` followed by paths.
 
-    A malformed header opens nothing, so its files go to the commit before; files before any header are dropped.
-    Lines are numbered within their source (one log), which is what each task sorts.
+    Lines are trimmed. A header has a number as its third word, signed or not, with or without a fraction; further words
+    do not matter. A malformed header opens nothing, so its files go to the commit before; files before any header are
+    dropped. Lines are numbered within their source (one log), which is what each task sorts.
     """
-    header = F.regexp_extract("line", rf"^{HEADER} (\S+) (\d+)\s*$", 1)
-    is_header, good = F.col("line").startswith(HEADER), header != ""
+    lines = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    parts = F.split("line", " ")
+    header, stamp = F.get(parts, F.lit(1)), F.get(parts, F.lit(2)).try_cast("double")
+    is_header = F.col("line").startswith(f"{HEADER} ")
+    good = is_header & F.coalesce(F.get(parts, F.lit(2)).rlike(NUMBER) & stamp.isNotNull(), F.lit(False))
     opened = F.sum(good.cast("int")).over(W.partitionBy("source").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
     rows = lines.where(F.trim("line") != "").select(
         "source", "line_no", opened.alias("no"), F.when(good, header).alias("sha"),
-        F.when(good, F.regexp_extract("line", r" (\d+)\s*$", 1).cast("long")).alias("ts"), F.when(~is_header, F.col("line")).alias("file"),
+        F.when(good, stamp.cast("long")).alias("ts"), F.when(~is_header, F.col("line")).alias("file"),
     )
     files = F.transform(F.sort_array(F.collect_list(F.when(F.col("file").isNotNull(), F.struct("line_no", "file")))), lambda x: x["file"])
     return rows.where("no > 0").groupBy("source", "no").agg(F.max("sha").alias("sha"), F.max("ts").alias("ts"), files.alias("files")).select("sha", "ts", "files")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkfield.operators.snapshot import SnapshotTable, upsert
+from larkfield.operators.snapshot import SnapshotTable, upsert_newest
 
 
 def with_event_time(events: DataFrame, column: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -34,12 +34,17 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", delay: str = "1 h
 
 
 def keep_current(stream: DataFrame, table: SnapshotTable, key: str, checkpoint: str, once: bool = True):
-    """Merges each micro-batch into a snapshot table; the last row of a key in a batch wins by ``version``."""
-
-    def merge(batch: DataFrame, _: int) -> None:
+    """Merges each micro-batch into a snapshot table: the row of the highest ``version`` of a key stays, the newcomer of
+    equal ones. The number of the last batch is committed with its rows, so a batch that is played again changes nothing.
+    """
+    mark = f"batch:{checkpoint}"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        if number <= int(table.get_meta(mark) or -1):
+            return
         last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "version").alias("__r")).select("__r.*")
         old = table.read()
-        table.write(last if old is None else upsert(old, last, key))
+        table.write(last if old is None else upsert_newest(old, last, key, "version"), meta={mark: str(number)})
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

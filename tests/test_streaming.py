@@ -32,3 +32,15 @@ def test_keep_current(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(f"{tmp_path}/in")
         sessions.keep_current(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), table, "id", f"{tmp_path}/ck").awaitTermination()
     assert {(r.id, r.v) for r in table.read().collect()} == {(1, "b"), (2, "d")}
+
+
+def test_late_versions_and_batches_played_again_change_nothing(spark, tmp_path):
+    table = SnapshotTable(spark, f"{tmp_path}/t")
+    schema = "id long, v string, version long"
+    for batch in ([(1, "a", 5)], [(1, "late", 3), (2, "x", 1)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        sessions.keep_current(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), table, "id", f"{tmp_path}/ck").awaitTermination()
+    assert {(r.id, r.v) for r in table.read().collect()} == {(1, "a"), (2, "x")}
+    before = table.meta()
+    spark.read.parquet(f"{tmp_path}/in").write.parquet(f"{tmp_path}/again")
+    assert table.get_meta(f"batch:{tmp_path}/ck") == "1" and table.meta() == before
