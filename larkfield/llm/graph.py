@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkfield.llm.common import Stored
@@ -16,8 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     shuffle, so a node with very many edges costs no more than its rows. Each round is written to the shared folder.
     """
     pair = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    state = Stored(edges.where(F.col(a) != F.col(b)).select(*pair).distinct())
-    seen = _mark(state.df)
+    state, seen = _marked(edges.where(F.col(a) != F.col(b)).select(*pair).distinct())
     for _ in range(max_rounds):
         e = state.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,8 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         small = hung.where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        after = Stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        mark = _mark(after.df)
+        after, mark = _marked(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         state.drop()
         state = after
         if mark == seen:
@@ -42,6 +40,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _marked(edges: DataFrame) -> tuple[Stored, tuple]:
+    """The edges stored, with their number and a sum of their hashes, which are taken while they are written."""
+    seen = Observation()
+    stored = Stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return stored, (seen.get["n"], seen.get["h"])

@@ -215,7 +215,7 @@ def _few(df: DataFrame) -> DataFrame:
 #: For similarity, a text has ``VIEWS`` further fingerprints, each of its ``PICKED`` shingles that hash least for the view.
 VIEWS, PICKED, WIDE_SHINGLE, SIMILARITY = 8, 3, 5, 0.8
 #: Rows of a view's fingerprint that are compared in one task, and least hashes of a text that travel with it for that.
-MEET, BINS = 2_048, 128
+MEET, BINS = 8_192, 128
 _VIEW_SCHEMA = "view int, bits long, text_key long, n int, bins binary"
 
 
@@ -250,11 +250,62 @@ def least_bins(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slack(used: np.ndarray) -> np.ndarray:
+    """How many of ``used`` least hashes may differ between texts of ``SIMILARITY``, within four deviations."""
+    return (1 - SIMILARITY) * used + 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used)
+
+
 def may_be_similar(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether the share of equal least hashes lies within four deviations of ``SIMILARITY``, or above."""
+    """Whether the number of different least hashes, row by row, allows the similarity."""
     used = ((others != 0) | (mine != 0)).sum(1)
     same = ((others == mine) & (mine != 0)).sum(1)
-    return same >= SIMILARITY * used - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used)
+    return used - same <= _slack(used)
+
+
+def likely_pairs(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows whose least hashes allow the similarity, each pair once.
+
+    Of the hashes of a row, more than may differ are looked up in the others: those that the fewest rows have. Rows that
+    share no more than what very many have (a long common passage) are therefore never compared.
+    """
+    n = len(bins)
+    count = np.zeros(bins.shape, dtype=np.int64)
+    order = np.argsort(bins, axis=0, kind="stable")
+    sizes = []  # for each range of hashes: where the run of a row's hash begins among the rows in order
+    for lane in range(BINS):
+        values = bins[order[:, lane], lane]
+        begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        run = np.diff(np.append(begin, n))
+        place = np.empty(n, dtype=np.int64)
+        place[order[:, lane]] = np.repeat(begin, run)
+        count[order[:, lane], lane] = np.repeat(run, run)
+        sizes.append(place)
+    count[bins == 0] = n + 1
+    used = (bins != 0).sum(1)
+    needed = np.minimum(used, np.floor(_slack(used)).astype(np.int64) + 1)
+    rarest = np.argsort(count, axis=1, kind="stable")
+    found = []
+    for step in range(int(needed.max(initial=0))):
+        rows = np.flatnonzero(needed > step)
+        lanes = rarest[rows, step]
+        shared = count[rows, lanes] > 1
+        rows, lanes = rows[shared], lanes[shared]
+        for lane in np.unique(lanes):
+            mine = rows[lanes == lane]
+            size, begin = count[mine, lane], sizes[lane][mine]
+            for part in range(0, len(mine), 256):
+                x, m, b = mine[part : part + 256], size[part : part + 256], begin[part : part + 256]
+                left = np.repeat(x, m)
+                at = np.repeat(b - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                right = order[at, lane]
+                keep = left != right
+                left, right = left[keep], right[keep]
+                good = may_be_similar(bins[left], bins[right])
+                found.append(np.minimum(left, right)[good] * n + np.maximum(left, right)[good])
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found))]
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+    return pairs // max(1, n), pairs % max(1, n)
 
 
 def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,20 +378,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         own, keys, n, component = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
         bins = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(len(rows), BINS)
-        left, right, held = [], [], 0
-        for x in range(len(rows) - 1):
-            rest = slice(x + 1, len(rows))
-            fits = (component[rest] != component[x]) & (np.minimum(n[rest], n[x]) >= SIMILARITY * np.maximum(n[rest], n[x]))
-            if task[1] != task[2]:  # what lies in one block meets in its own task
-                fits &= own[rest] != own[x]
-            at = np.flatnonzero(fits) + x + 1
-            at = at[may_be_similar(bins[x], bins[at])]
-            left.append(np.minimum(keys[x], keys[at]))
-            right.append(np.maximum(keys[x], keys[at]))
-            held += len(at)
-            if held > 100_000 or held and x == len(rows) - 2:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in (left, right)], names=["a", "b"])
-                left, right, held = [], [], 0
+        x, y = likely_pairs(bins)
+        fits = (component[x] != component[y]) & (np.minimum(n[x], n[y]) >= SIMILARITY * np.maximum(n[x], n[y]))
+        if task[1] != task[2]:  # what lies in one block meets in its own task
+            fits &= own[x] != own[y]
+        x, y = keys[x[fits]], keys[y[fits]]
+        for at in range(0, len(x), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[part], y[part])), pa.array(np.maximum(x[part], y[part]))], names=["a", "b"])
 
     for batch in batches:
         for *at, own, key, n, component, bins in zip(*(batch.column(k).to_pylist() for k in range(8))):
@@ -363,10 +408,10 @@ def _remaining(views: DataFrame, bins: DataFrame) -> DataFrame:
     return tasks.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(_compared, "a long, b long").distinct()
 
 
-def similar_texts(docs: DataFrame, text: str = "text", turns: int = 2) -> DataFrame:
+def similar_texts(docs: DataFrame, text: str = "text", turns: int = 1) -> DataFrame:
     """(node, component) of text keys: texts that share a view's fingerprint, verified at ``SIMILARITY`` of five-word sets.
 
-    The turns merge most of a large group by few pairs; then every pair left of different components is compared by the
+    A turn merges most of a large group by few pairs; then every pair left of different components is compared by the
     least hashes of its texts, and verified where these allow the similarity.
 
     Two texts of similarity J share a view with probability about J ** 3, and one of eight at 0.8 with 0.997. Each
