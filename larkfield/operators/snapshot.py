@@ -149,14 +149,17 @@ class SnapshotTable:
             df = self.migrations[version](df)
         return df
 
-    def write(self, df: DataFrame, partition_by: str | None = None, meta: Mapping[str, str] | None = None) -> DataFrame:
-        """Writes and commits a version; fails with ``Conflict`` if another writer committed since it began."""
-        after, found = self._current()
+    def write(self, df: DataFrame, partition_by: str | None = None, meta: Mapping[str, str] | None = None, after: Callable[[], Mapping[str, str]] | None = None) -> DataFrame:
+        """Writes and commits a version; fails with ``Conflict`` if another writer committed since it began.
+
+        ``meta`` is set with it, and what ``after`` gives once the rows are written.
+        """
+        number, found = self._current()
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
-        kept = {k: v for k, v in found.items() if k.startswith("meta:")} | {f"meta:{k}": v for k, v in (meta or {}).items()}
-        self._commit(after, {"version": version, "schema_version": str(self.schema_version), **kept})
+        kept = {k: v for k, v in found.items() if k.startswith("meta:")} | {f"meta:{k}": v for k, v in {**(meta or {}), **(after() if after else {})}.items()}
+        self._commit(number, {"version": version, "schema_version": str(self.schema_version), **kept})
         self._clean()
         return self.spark.read.parquet(f"{self.root}/{version}")
 

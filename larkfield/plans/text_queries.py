@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.functions import classify, ranking, text
-from larkfield.operators import evaluate, search
+from larkfield.operators import evaluate, postings, search
 from larkfield.plans.graph_queries import NOW
 from larkfield.plans.locate import slice_lines
 from larkfield.sources import files as file_source
@@ -39,33 +39,31 @@ def keyword_filter(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.keywords(raw, text.stoplist("python", ["the"])), " ").alias("words"))
 
 
+def kept_index(spark, sf_dir, fields: list[str]) -> postings.PostingsIndex:
+    """Postings of the documents, written at their first use and read by every later query of the application."""
+    return postings.kept(spark, f"{sf_dir}/documents.parquet", fields)
+
+
 def bm25_topk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = search.match(docs, short_queries(spark, sf_dir), {"text": 1.0}, k=10)
+    out = kept_index(spark, sf_dir, ["text"]).match(short_queries(spark, sf_dir), {"text": 1.0}, k=10)
     return out.select("query_id", "doc_id", F.round("b", 6).alias("b"), "n_hit", "rank")
 
 
 def and_or_fallback(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     odd = short_queries(spark, sf_dir, 2).withColumn("query", F.when(F.col("query_id") % 2 == 0, F.concat("query", F.lit(" zebraword"))).otherwise(F.col("query")))
-    hits = search.phrase_hits(search.postings(docs, ["text"]), search.query_phrases(odd), {"text": 1.0})
-    scored = search.all_or_any(search.bm25(hits, search.document_lengths(docs, ["text"])))
+    scored = search.all_or_any(kept_index(spark, sf_dir, ["text"]).score(search.query_phrases(odd), {"text": 1.0}))
     return scored.groupBy("query_id", "used_or").agg(F.count("*").alias("n_docs"), F.max("n_hit").alias("most_terms"))
 
 
 def fielded_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    asked = short_queries(spark, sf_dir, 2, "src3")
-    hits = search.phrase_hits(search.postings(docs, list(WEIGHTS)), search.query_phrases(asked), WEIGHTS)
-    out = search.bm25(hits, search.document_lengths(docs, list(WEIGHTS)))
+    out = kept_index(spark, sf_dir, list(WEIGHTS)).score(search.query_phrases(short_queries(spark, sf_dir, 2, "src3")), WEIGHTS)
     return out.select("query_id", "doc_id", "n_hit", (F.round("b", 6) + 0.0).alias("b"))
 
 
 def phrase_match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = text.index_terms(F.col("text"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens, 1, 2), "-").alias("query"))
-    return search.phrase_hits(search.postings(docs, ["text"]), search.query_phrases(asked), {"text": 1.0}).select("query_id", "doc_id", "tf")
+    return kept_index(spark, sf_dir, ["text"]).hits(search.query_phrases(asked), {"text": 1.0}).select("query_id", "doc_id", "tf")
 
 
 def stemmed_bm25(spark, sf_dir):
@@ -91,7 +89,7 @@ def test_penalty(spark, sf_dir):
 def fused_rank(spark, sf_dir):
     """Signals of documents for each query, fused; ties end by the id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
-    found = search.match(docs, short_queries(spark, sf_dir, 3), WEIGHTS, k=50)
+    found = kept_index(spark, sf_dir, list(WEIGHTS)).match(short_queries(spark, sf_dir, 3), WEIGHTS, k=50)
     rows = found.join(docs.drop("text"), "doc_id")
     worst = F.max("b").over(search.W.partitionBy("query_id"))
     path = F.concat(F.lit("docs/"), "source", F.lit(".md"))
@@ -166,7 +164,7 @@ def eval_hits(spark, sf_dir):
     expect = evaluate.containing(docs, items).join(items, "needle").groupBy("query_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
     none = F.lit(None).cast("string")
     cases = expect.select("query_id", "expect", none.alias("expect_prefix"), none.alias("expect_contains"), none.alias("expect_not_suffix"))
-    found = search.match(docs, short_queries(spark, sf_dir, 8), {"text": 1.0}, k=5)
+    found = kept_index(spark, sf_dir, ["text"]).match(short_queries(spark, sf_dir, 8), {"text": 1.0}, k=5)
     results = found.select("query_id", "rank", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")).alias("path"))
     return evaluate.judge(results, cases)
 
