@@ -111,28 +111,61 @@ def query_classify(spark, sf_dir):
     return rows.select("conv_id", "turn", classify.query_type(F.col("query")).alias("query_type"), F.size(text.white_space_tokens(F.col("query"))).alias("n_tokens"))
 
 
-_PROMPTS = ("please look at src/app.ts", "what branch am i on", "investigate the crash", "see https://example.com/x", "", "fix pr comments", "pr comments please")
+def _words(column: str = "text") -> tuple:
+    """Two lower-case words of a text, for inputs that are composed of its content."""
+    found = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit("[a-z]{3,}"), F.lit(0))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit("word")), F.coalesce(F.get(found, F.lit(1)), F.lit("other"))
+
+
+def _choice(options, salt: int):
+    """One of the options by the length of the text and the turn."""
+    at = (F.coalesce(F.length("text"), F.lit(0)) * salt + F.col("turn")) % len(options)
+    return F.element_at(F.array(*[o if not isinstance(o, str) else F.lit(o) for o in options]), (at + 1).cast("int"))
+
+
+#: What is put between words of conversations to make prompts of all kinds.
+PHRASES = (
+    "", "src/app.ts", "what branch am i on", "investigate the crash", "https://example.com/x", "fix pr comments", "pr comments please", "README.md", "sentry",
+    "where is it implemented", "lib/a/b.test.rb:10:2,", "explain how", "git status without asking for code impact", "needs changing", "slack", "./x/y.py)", "add support",
+)
 
 
 def prompt_classify(spark, sf_dir):
-    prompt = F.element_at(F.lit(list(_PROMPTS)), (F.col("conv_id") % len(_PROMPTS) + 1).cast("int"))
+    w, u = _words()
+    prompt = F.when(F.col("turn") % 11 == 7, F.lit("  ")).otherwise(F.concat_ws(" ", w, _choice(PHRASES, 1), u, _choice(PHRASES, 7)))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.prompt_class(prompt).alias("kind"))
 
 
-_COMMANDS = ("ls | grep foo", "cd x && rg -n 'a b' .", "git grep sym; echo", "find . -iname '*.py'", "echo hi", "fdfind name")
+#: Simple commands with what each searches for ({w} and {u} are words), and what joins them.
+SEARCHES = (
+    ("ls {w}", None, None), ("rg -n '{w} {u}' src", "rg", "{w} {u}"), ("git grep {w}", "git-grep", "{w}"), ('grep -rn "{w}; {u} | x" .', "grep", "{w}; {u} | x"),
+    ("find . -iname '*{w}*'", "find", "*{w}*"), ("fdfind {w}", "fd", "{w}"), ("egrep {w} x.txt", "grep", "{w}"), ("ack --ruby {w}", "ack", "{w}"), ("echo rg {w}", None, None),
+    ("find . -type f", None, None), ("rg --files", None, None), ("ag '{u}'", "ag", "{u}"), ("fd -H {w}", "fd", "{w}"),
+)
+GREPS = (
+    ("grep -rn {w} src", "symbol"), ("grep {w} a.txt", None), ("grep -R '{w}.{u}'", "regex"), ("egrep {w} lib/", "symbol"), ("git grep {w}", None), ("echo $(grep -r {w})", "symbol"),
+    ("fgrep -e {w} -r src", "symbol"), ("cat x | grep {w}", None), ("grep --help -r {w} src", None), ("grep -ri '{w} {u}' .", "regex"), ("ls src", None), ("grep --recursive {w}", "symbol"),
+)
+JOINTS = (" && ", " | ", " ; ", " || ", "\n", "; ")
+
+
+def _composed(templates, w, u, joint_salt: int = 5):
+    def filled(template: str):
+        return F.replace(F.replace(F.lit(template), F.lit("{w}"), w), F.lit("{u}"), u)
+
+    parts = [_choice([filled(t[0]) for t in templates], salt) for salt in (1, 3, 7)]
+    return F.concat(parts[0], _choice(JOINTS, joint_salt), parts[1], _choice(JOINTS, joint_salt + 6), parts[2])
 
 
 def search_commands(spark, sf_dir):
-    command = F.element_at(F.lit(list(_COMMANDS)), (F.col("conv_id") % len(_COMMANDS) + 1).cast("int"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", command.alias("command"))
+    """Commands of three simple ones with words of the text: what is searched for first, filters of pipes apart."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", _composed(SEARCHES, *_words()).alias("command"))
     return classify.with_searches(rows).select("conv_id", "turn", "search.tool", "search.pattern")
 
 
 def grep_guard(spark, sf_dir):
-    commands = ("grep -rn foo src", "grep foo a.txt", "grep -R 'a.b'", "egrep x lib/", "git grep x", "echo $(grep -r sym)")
-    command = F.element_at(F.lit(list(commands)), (F.col("conv_id") % len(commands) + 1).cast("int"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", command.alias("command"))
-    rows = classify.with_grep_class(rows, ["src", "lib"])
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", _composed(GREPS, *_words()).alias("command"))
+    rows = classify.with_grep_class(rows, ["src", "lib", "."])
     return rows.select("conv_id", "turn", "grep.kind", classify.guard_action(F.col("grep.scans"), F.col("turn") < 5, F.col("turn") != 2).alias("action"))
 
 
@@ -141,9 +174,20 @@ def underscore_paths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.underscore_constant(F.regexp_replace(name, " ", "")).alias("path"))
 
 
+#: What stands before and behind words of pages to make paths of all kinds.
+FOLDERS = ("", "src/", "app/node_modules/lib/", "dist/", "node_modules_x/", "a/.git/", "vendor/", "build.d/", ".venv/", "Coverage/")
+FRONTS, BACKS = ("", ".env", "id_", ".", "x.", "ID_", "env"), (".rb", ".TSX", "", ".pem", ".md", ".Key", ".jsx", ".py", ".txt.gz", ".cjs", ".markdown", ".P12", ".rst", ".mts", ".pfx", ".adoc", ".")
+
+
 def url_languages(spark, sf_dir):
-    suffix = F.element_at(F.lit(["a.rb", ".rb", "id_rsa", "b.TSX", "c.md", "node_modules/x.js", ".env.local", "k.PEM", "d"]), (F.col("page_id") % 9 + 1).cast("int"))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p/"), suffix).alias("path"))
+    """Paths of words of pages: their language, and whether they are secret or below an ignored folder."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    word = F.regexp_extract(html, "<title>([A-Za-z]*)", 1)
+
+    def choice(options, salt):
+        return F.element_at(F.lit(list(options)), ((F.length(html) * salt + F.col("page_id")) % len(options) + 1).cast("int"))
+
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(choice(FOLDERS, 3), choice(FRONTS, 5), word, choice(BACKS, 1)).alias("path"))
     return rows.select("page_id", file_source.language(F.col("path")).alias("lang"), file_source.is_secret(F.col("path")).alias("secret"), file_source.has_ignored_segment(F.col("path")).alias("ignored"))
 
 
@@ -216,6 +260,40 @@ _LINES = "string_split(text, chr(10))"
 _TEST = ranking.TEST_PATH.replace("'", "''")
 _LANG = " ".join(f"WHEN regexp_extract(path, '[^/.][^/]*\\.([^./]+)$', 1, 'i') <> '' AND lower(regexp_extract(path, '[^/.][^/]*\\.([^./]+)$', 1)) IN ({', '.join(repr(x) for x in names)}) THEN '{lang}'" for lang, names in file_source.LANGUAGES.items())
 
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _sql_choice(options, salt: int) -> str:
+    return f"([{', '.join('NULL' if o is None else o for o in options)}])[(n * {salt} + turn) % {len(options)} + 1]"
+
+
+def _page_choice(options, salt: int) -> str:
+    return f"([{', '.join(map(_quoted, options))}])[(length(coalesce(html, '')) * {salt} + page_id) % {len(options)} + 1]"
+
+
+def _filled(template: str) -> str:
+    return "replace(replace(" + _quoted(template) + ", '{w}', w), '{u}', u)"
+
+
+def _part(templates, salt: int, joint: str | None) -> str:
+    """What one simple command searches for, as its template states it, and whether a pipe feeds it."""
+    made = [f"{{'tool': {'NULL::VARCHAR' if tool is None else _quoted(tool)}, 'pattern': {'NULL::VARCHAR' if tool is None else _filled(pattern)}, 'piped': {'false' if joint is None else joint + ' = ' + _quoted(' | ')}}}" for _, tool, pattern in templates]
+    return _sql_choice(made, salt)
+
+
+_COMMANDS = f"""WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, regexp_extract_all(coalesce(text, ''), '[a-z]{{3,}}') AS ws FROM conversations),
+    c AS (SELECT conv_id, turn, n, coalesce(ws[1], 'word') AS w, coalesce(ws[2], 'other') AS u, {_sql_choice([_quoted(j) for j in JOINTS], 5)} AS j1, {_sql_choice([_quoted(j) for j in JOINTS], 11)} AS j2 FROM t)
+"""
+_PATHS = [p.replace(classify._EDGE, r"($|[\s)\"'`.,!?])").replace("'", "''") for p in classify.EXACT_PATH]
+_PROMPT_SQL = _COMMANDS + f""", p AS (SELECT conv_id, turn, CASE WHEN turn % 11 = 7 THEN '  ' ELSE concat_ws(' ', w, {_sql_choice(list(map(_quoted, PHRASES)), 1)}, u, {_sql_choice(list(map(_quoted, PHRASES)), 7)}) END AS x FROM c),
+    f AS (SELECT conv_id, turn, trim(x) = '' AS nothing, regexp_matches(x, '{_PATHS[0]}') OR regexp_matches(x, '{_PATHS[1]}') AS path,
+        regexp_matches(replace(lower(trim(x)), 'without asking for code impact', ' '), '{classify.CODE_CHANGE}') AS code, regexp_matches(lower(trim(x)), '{classify.BROAD}') AS broad,
+        regexp_matches(lower(trim(x)), '{classify.REVIEW_COMMENTS}') AS review, regexp_matches(lower(trim(x)), 'https?://') OR regexp_matches(lower(trim(x)), '{classify.EXTERNAL}') AS outward FROM p)
+    SELECT conv_id, turn, CASE WHEN nothing OR path OR (review AND NOT code) OR (NOT (broad OR code) AND outward) THEN 'skip_nudge' ELSE 'likely_orientation' END AS kind FROM f"""
+
 SQL = {
     "prose_tokens_df": f"""SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(text,
         '{text.URL}', ' ', 'g')), '[^a-z0-9_]+'), lambda t: NOT {_junk('t')} AND NOT list_contains({_list(text.stoplist('prose'))}, t)))) AS term
@@ -255,16 +333,20 @@ SQL = {
     "query_classify": f"""WITH q AS (SELECT conv_id, turn, ({_WS.format('text')})[1 : turn % 5] AS t FROM conversations)
         SELECT conv_id, turn, CASE WHEN len(t) = 1 AND (regexp_full_match(t[1], '[A-Za-z_][A-Za-z0-9_]*') OR regexp_matches(t[1], '[.:]')) THEN 'identifier'
         WHEN len(t) BETWEEN 2 AND 3 THEN 'keyword' ELSE 'open-ended' END AS query_type, len(t) AS n_tokens FROM q""",
-    "prompt_classify": """SELECT conv_id, turn, CASE WHEN conv_id % 7 IN (0, 1, 3, 4, 6) THEN 'skip_nudge' ELSE 'likely_orientation' END AS kind FROM conversations""",
-    "search_commands": """SELECT conv_id, turn, [NULL, 'rg', 'git-grep', 'find', NULL, 'fd'][conv_id % 6 + 1] AS tool,
-        [NULL, 'a b', 'sym', '*.py', NULL, 'name'][conv_id % 6 + 1] AS pattern FROM conversations""",
-    "grep_guard": """SELECT conv_id, turn, ['symbol', NULL, 'regex', 'symbol', NULL, 'symbol'][conv_id % 6 + 1] AS kind,
-        CASE WHEN conv_id % 6 IN (1, 4) OR turn >= 5 THEN 'allow' WHEN turn = 2 THEN 'warn' ELSE 'block' END AS action FROM conversations""",
+    "prompt_classify": _PROMPT_SQL,
+    "search_commands": _COMMANDS + f"""SELECT conv_id, turn, found.tool AS tool, found.pattern AS pattern FROM (
+        SELECT conv_id, turn, list_filter([{_part(SEARCHES, 1, None)}, {_part(SEARCHES, 3, 'j1')}, {_part(SEARCHES, 7, 'j2')}], lambda x: x.tool IS NOT NULL AND NOT x.piped)[1] AS found FROM c)""",
+    "grep_guard": _COMMANDS + f"""SELECT conv_id, turn, kind, CASE WHEN kind IS NULL OR turn >= 5 THEN 'allow' WHEN turn = 2 THEN 'warn' ELSE 'block' END AS action FROM (
+        SELECT conv_id, turn, list_filter([{', '.join(_sql_choice([None if k is None else f"'{k}'" for _, k in GREPS], salt) for salt in (1, 3, 7))}], lambda x: x IS NOT NULL)[1] AS kind FROM c)""",
     "underscore_paths": """SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(concat('HTTPServer::', upper(split_part(p_name, ' ', 1)[1]), split_part(p_name, ' ', 1)[2:],
         upper(split_part(p_name, ' ', 2)[1]), split_part(p_name, ' ', 2)[2:], 'V2Item'), '::', '/'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'),
         '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS path FROM part""",
-    "url_languages": """SELECT page_id, ['ruby', NULL, NULL, 'ts', 'prose', 'js', NULL, NULL, NULL][page_id % 9 + 1] AS lang,
-        page_id % 9 IN (2, 6, 7) AS secret, page_id % 9 = 5 AS ignored FROM pages""",
+    "url_languages": f"""WITH p AS (SELECT page_id, concat({_page_choice(FOLDERS, 3)}, {_page_choice(FRONTS, 5)}, regexp_extract(coalesce(html, ''), '<title>([A-Za-z]*)', 1), {_page_choice(BACKS, 1)}) AS path FROM pages),
+        n AS (SELECT page_id, string_split(path, '/') AS segs, lower(string_split(path, '/')[-1]) AS name FROM p),
+        e AS (SELECT *, CASE WHEN len(string_split(name, '.')) > 1 AND length(ltrim(name, '.')) > length(string_split(name, '.')[-1]) + 1 THEN string_split(name, '.')[-1] ELSE '' END AS ext FROM n)
+        SELECT page_id, CASE {' '.join(f"WHEN ext IN ({', '.join(repr(x) for x in names)}) THEN '{lang}'" for lang, names in file_source.LANGUAGES.items())} END AS lang,
+        starts_with(name, '.env') OR starts_with(name, 'id_') OR regexp_matches(name, '[.](pem|key|p12|pfx)$') AS secret,
+        len(list_filter(segs, lambda x: x IN ({', '.join(repr(x) for x in file_source.IGNORED)}))) > 0 AS ignored FROM e""",
     "line_slices": f"""WITH x AS (SELECT doc_id, {_LINES} AS ls, doc_id % 7 AS a FROM documents),
         y AS (SELECT doc_id, ls, greatest(1, least(a, len(ls))) AS lo, a FROM x)
         SELECT doc_id, array_to_string(ls[lo : greatest(lo, least(a + 2, len(ls)))], chr(10)) AS body FROM y""",
