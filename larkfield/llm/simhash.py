@@ -4,7 +4,9 @@ The tree is built on a bounded sample of distinct fingerprints (``SAMPLE``); eve
 links at ``radius`` differing bits, each fingerprint goes to all leaves that its ball of half that radius (rounded
 up) touches, by the triangle bounds of the vantage points. Two linked fingerprints have a midpoint within half the
 radius of both, and the leaf of the midpoint holds both, so no link is lost; the smaller ball keeps replication low.
-A leaf over ``LEAF_LIMIT`` is compared in pairs of blocks, so that no task holds an unbounded group.
+A leaf over ``LEAF_LIMIT`` gets a tree of its own, built on the executors from at most ``SUB_SAMPLE`` of its
+fingerprints, and so on while that splits it. What stays large, since its fingerprints lie close together, is compared in
+pairs of blocks, so that no task holds an unbounded group.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a null id takes part but never
 names a component unless all ids of the component are null; repeated rows share a component; an empty table gives
@@ -30,6 +32,10 @@ from larkfield.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SAMPLE, LEAF_TARGET, LEAF_LIMIT, BLOCK = 32_768, 2_048, 24_576, 8_192
+#: Fingerprints of a large leaf that its own tree is built on at most, rows of it in a task, and levels of such trees.
+SUB_SAMPLE, SUB_ROWS, LEVELS = 8_192, 500_000, 3
+#: Leaves that a fingerprint of a large leaf goes to on average, at most.
+COPIES = 2
 #: At most so many ids to drop are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _SLICE = 32_768
@@ -142,9 +148,15 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, column: str =
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part[at])], names=["leaf", "value"])
 
     dealt = Stored(distinct.select(column).mapInArrow(deal, "leaf long, value long"))
-    sizes = dealt.df.groupBy("leaf").count()  # at most 2 ** depth rows, and depth is bounded by the sample
-    split = F.greatest(F.lit(1), F.ceil(F.when(F.col("count") > LEAF_LIMIT, F.col("count") / BLOCK).otherwise(1)))
-    blocks = dealt.df.join(F.broadcast(sizes.select("leaf", split.cast("int").alias("k"))), "leaf")
+    for _ in range(LEVELS):
+        finer = _split_leaves(dealt.df, reach)
+        if finer is None:
+            break
+        dealt.drop()
+        dealt = finer
+    large = dealt.df.groupBy("leaf").count().where(F.col("count") > LEAF_LIMIT)
+    large = large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
+    blocks = dealt.df.join(_few(large), "leaf", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     own = F.pmod(F.xxhash64("value"), F.col("k")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     tasks = blocks.withColumn("own", own).select("leaf", "value", "own", other.alias("other"))
@@ -160,6 +172,59 @@ def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS, column: str =
     return out
 
 
+def _split_leaves(dealt: DataFrame, reach: int) -> Stored | None:
+    """The rows (leaf, value) with large leaves dealt on by trees of their own; None if no leaf is large."""
+    sizes = Stored(dealt.groupBy("leaf").count().where(F.col("count") > LEAF_LIMIT))
+    if not sizes.df.limit(1).count():
+        sizes.drop()
+        return None
+    large = dealt.join(_few(sizes.df), "leaf")
+    share = F.ceil(F.col("count") / SUB_SAMPLE)
+    drawn = large.where(F.pmod(F.xxhash64("value", F.lit(3)), share) == 0)
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.sort(pdf["value"].to_numpy().astype(np.int64)).view(np.uint64)[: 4 * SUB_SAMPLE]
+        size = int(pdf["count"].iloc[0])
+        depth = min(max(1, int(np.ceil(np.log2(size / LEAF_TARGET)))), max(1, int(np.log2(max(1, len(values)) / 8))))
+        tree = build_tree(values, depth, reach)
+        # Only as deep as balls are seldom cut: fingerprints close together would be copied to most leaves.
+        while depth and len(VantageTree(tree.points, tree.bounds, depth).leaves(values, reach)[0]) > COPIES * len(values):
+            depth -= 1
+        tree = VantageTree(tree.points[: 2**depth - 1], tree.bounds[: 2**depth - 1], depth)
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "count": [size], "tree": [tree.points.tobytes() + tree.bounds.tobytes()]})
+
+    trees = Stored(drawn.groupBy("leaf").applyInPandas(build, "leaf long, count long, tree binary"))
+    parts = F.ceil(F.col("count") / SUB_ROWS).cast("int")
+    # Each task of a leaf gets its tree first, then values.
+    first = trees.df.select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("value"), "tree")
+    rest = large.select("leaf", F.pmod(F.xxhash64("value"), parts).cast("int").alias("part"), "value", F.lit(None).cast("binary").alias("tree"))
+    rows = first.unionByName(rest).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("tree").isNull())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            packed, leaves = batch.column(3), batch.column(0).to_numpy()
+            at = [*[i for i, x in enumerate(packed.is_valid().to_pylist()) if x], len(leaves)]
+            for i, j in zip([0, *at] if at[0] else at, [*at] if at[0] else at[1:]):
+                if packed[i].is_valid:
+                    raw = np.frombuffer(packed[i].as_py(), dtype=np.uint64)
+                    half = len(raw) // 2
+                    tree = VantageTree(raw[:half], raw[half:].view(np.int64), int(np.log2(half + 1)))
+                    i += 1
+                if i < j:
+                    values = batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
+                    found, leaf = tree.leaves(values.view(np.uint64), reach)
+                    # Numbers of leaves are hashed; two that fell together would only be compared together.
+                    fresh = np.array([xxhash.xxh64_intdigest(leaves[i].tobytes(), int(k)) for k in np.unique(leaf)], dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(fresh[np.searchsorted(np.unique(leaf), leaf)]), pa.array(values[found])], names=["leaf", "value"])
+
+    finer = rows.mapInArrow(deal, "leaf long, value long")
+    out = Stored(dealt.join(_few(sizes.df.select("leaf")), "leaf", "left_anti").unionByName(finer))
+    trees.drop()
+    sizes.drop()
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:

@@ -481,6 +481,9 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     bits = {i: simhash.simhash(t) % 2**64 for i, t in rows}
     pairs = [(a, b) for a, b in itertools.combinations(bits, 2) if (bits[a] ^ bits[b]).bit_count() <= 2]
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == union(pairs, bits)
+    monkeypatch.setattr(simhash, "SAMPLE", 16)  # a first tree of two leaves: large ones are split by their own
+    monkeypatch.setattr(simhash, "SUB_ROWS", 20)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == union(pairs, bits)
     kept = {r.doc_id for r in simhash.keep_one(docs.union(docs)).collect()}
     assert kept == set(union(pairs, bits).values()) and simhash.keep_one(docs.union(docs)).count() == len(kept)
 
