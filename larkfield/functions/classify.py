@@ -74,6 +74,38 @@ def guidance_caveats(indexed: Column, dirty: Column, indexed_head: Column, head:
     return F.array_compact(F.array(F.when(indexed == 0, "booting"), F.when(dirty | moved, "lagging")))
 
 
+def persona_usable(resolved: Column, tools: Column, indexed: Column, failed: Column, tool: str = "locate") -> Column:
+    """Whether standing guidance fits: some file is indexed, the writer lives and the tool is selected, fresh or not."""
+    return F.coalesce(resolved & F.array_contains(tools, tool) & (indexed > 0) & ~failed, F.lit(False))
+
+
+def guidance(
+    prompt: Column, persona: Column, resolved: Column, tools: Column, indexed: Column, total: Column, crawl_done: Column, failed: Column,
+    dirty: Column, indexed_head: Column, head: Column, nudge: Column, tool: str = "locate",
+) -> Column:
+    """What a prompt gets, in this order: the persona, a directive by tier, and caveats, which never come alone."""
+    asked = F.coalesce(nudge & resolved & F.array_contains(tools, tool) & ~failed & (prompt_class(prompt) == "likely_orientation"), F.lit(False))
+    share = F.format_string("%d of %d files are indexed: use it where it helps", indexed.cast("long"), total.cast("long"))
+    strong = guidance_tier(indexed, total, crawl_done) == "strong"
+    words = {"booting": "nothing is indexed yet", "lagging": "the index lags behind the files"}
+    caveats = F.transform(guidance_caveats(indexed, dirty, indexed_head, head), lambda c: F.when(c == "booting", words["booting"]).otherwise(words["lagging"]))
+    own = F.trim(persona)
+    parts = F.array(
+        F.when(persona_usable(resolved, tools, indexed, failed, tool) & (own != ""), own),
+        F.when(asked, F.when(strong, "locate first, then read the best result").otherwise(share)),
+    )
+    return F.array_compact(F.concat(parts, F.when(asked, caveats).otherwise(F.array().cast("array<string>"))))
+
+
+def sub_command(args: Column) -> Column:
+    """struct(sub, path): status, stats or reindex; only reindex has a path, and an unknown word means status."""
+    tokens = white_space_tokens(F.coalesce(args, F.lit("")))
+    first = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
+    sub = F.when(first.isin("reindex", "stats"), first).otherwise("status")
+    path = F.array_join(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), " ")
+    return F.struct(sub.alias("sub"), F.when((sub == "reindex") & (path != ""), path).alias("path"))
+
+
 # ---- shell commands ------------------------------------------------------------------------------
 _PIECE = re.compile(r"'[^']*(?:'|$)|\"[^\"]*(?:\"|$)|&&|\|\||[;|\n]|\$\(|`[^`]*(?:`|$)|[^'\"&|;\n$`]+|.", re.DOTALL)
 _SEARCHES = (

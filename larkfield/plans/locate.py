@@ -87,11 +87,33 @@ def slices(requests: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFra
     )
 
 
-def render(rows: DataFrame) -> DataFrame:
-    """(query_id, text): one line a result, scores to two places, and a note on low confidence."""
-    line = F.format_string("%d. %s (%.2f)", "rank", "path", "score")
-    out = rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), F.first("confidence").alias("c"))
-    return out.select("query_id", F.when(F.col("c") == "low", F.concat("text", F.lit("\nlow confidence: verify before use"))).otherwise(F.col("text")).alias("text"))
+def render(rows: DataFrame, queries: DataFrame | None = None, cluster: DataFrame | None = None, paths: DataFrame | None = None, coverage: float = 1.0, behind: int = 0, dirty: bool = False, directive: bool = True) -> DataFrame:
+    """(query_id, text) of ranked rows: results with their symbols, related files of the first, and notes on the index.
+
+    ``queries`` also gives those without a result their text; ``cluster`` is what ``locate`` returns beside the rows and
+    needs ``paths`` (file_id, path) for its names. ``directive`` adds what to do after an exact hit.
+    """
+    names = F.array_join(F.transform("symbols", lambda s: s["name"]), ", ") if "symbols" in rows.columns else F.lit(None).cast("string")
+    line = F.format_string("%d. %s (%.2f, %s)", "rank", "path", "score", F.coalesce("lang", F.lit("?")))
+    line = F.concat(line, F.when(F.length(names) > 0, F.concat(F.lit("\n   symbols: "), names)).otherwise(""))
+    flags = [F.first(c).alias(c) for c in ("confidence", "has_exact_def", "top_has_anchor") if c in rows.columns]
+    out = rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), *flags)
+    if queries is not None:
+        out = queries.select("query_id").join(out, "query_id", "left")
+    parts = [F.coalesce("text", F.lit("no result: the index may not cover this, search the files themselves"))]
+    if cluster is not None and paths is not None:
+        named = paths.select("file_id", F.col("path").alias("__path"))
+        for kind, label in (("cochange", "changes with"), ("referrers", "referred to by")):
+            each = cluster.select("query_id", F.posexplode(kind).alias("at", "file_id")).join(named, "file_id")
+            listed = each.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "__path"))), lambda x: x["__path"]), ", ").alias(kind))
+            out = out.join(listed, "query_id", "left")
+            parts.append(F.when(F.length(kind) > 0, F.concat(F.lit(f"{label}: "), F.col(kind))))
+    notes = [(dirty, "uncommitted edits: ranking may lag behind the files"), (coverage < 1, f"{round(coverage * 100)}% of the files are indexed so far"), (behind > 0, f"{behind} commit(s) behind HEAD")]
+    parts += [F.lit(note) for holds, note in notes if holds]
+    parts.append(F.when(F.col("confidence") == "low", "low confidence: verify before use"))
+    if directive and {"has_exact_def", "top_has_anchor"} <= set(rows.columns):
+        parts.append(F.when(F.col("has_exact_def") & F.col("top_has_anchor"), "exact hit: read the first result, no further search is needed"))
+    return out.select("query_id", F.concat_ws("\n", *parts).alias("text"))
 
 
 def render_stats(metrics: DataFrame) -> DataFrame:
