@@ -75,9 +75,43 @@ def test_stages(spark, step, tmp_path):
     spark.createDataFrame([(1, "one benchmark item of some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     name, stage = corpus_pipeline.STAGES[step]
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    for frame in (docs, docs.limit(0), docs.limit(4).withColumns({c: F.lit("x") for c in CLASHES if c not in ("shard", "slot", "row_number")})):
+    for frame in (docs, docs.limit(0), docs.limit(4).withColumns({c: F.lit("x") for c in CLASHES})):
         out = stage(spark, frame, str(tmp_path))
         assert out.columns[: len(frame.columns)] == frame.columns
         out.collect()
+    if name == "sharding":
+        assert out.columns[len(frame.columns) :] == ["shard_", "slot_"]
     if name == "quality_rules":
         assert {r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()} == {1}
+
+
+def test_defined_values_of_odd_rows(spark, bench, models):
+    """What null, empty and blank texts, null ids and repeated rows give, operator by operator."""
+    docs = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4], i) for i, r in enumerate(ROWS)], SCHEMA + ", row long")
+    at = {name: {r.row: r for r in f(docs).collect()} for name, f in operators(bench, models).items() if name in ("mix", "shard", "lines", "quality", "toxic", "html", "url", "keep_one")}
+    blank = (2, 3, 7, 9)  # null, empty, white space, null with null id
+    for i in blank:
+        assert (at["lines"][i].n_words, at["lines"][i].base_failed, at["lines"][i].kept) == (0, True, False)
+        assert (at["mix"][i].n_tokens, at["mix"][i].mix_topic) == (0, "(none)")
+        assert at["quality"][i].score == at["quality"][3].score and at["toxic"][i].score == at["toxic"][3].score
+        assert at["html"][i].text == "" and at["html"][i].n_chars == 0
+        assert (at["url"][i].host, at["url"][i].path, at["url"][i].rule) == ("", "", None)
+    for name in ("lines", "quality", "toxic", "html"):  # repeated rows alike
+        assert at[name][0].asDict() | {"row": 0} == at[name][1].asDict() | {"row": 0}
+    places = {(r.shard, r.slot) for r in at["shard"].values()}
+    assert len(places) == len(ROWS)
+    assert at["lines"][5].n_words == 120_000 and at["mix"][5].n_tokens == 120_000  # long texts are read whole
+    near = simhash.near_duplicates(spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string")).collect()
+    zero = [r for r in near if r.fingerprint_bits == 0]
+    assert len(zero) == 4 and {r.component_id for r in zero} == {2}
+    assert {r.component_id for r in near if r.doc_id in (4, 5)} == {4} and {r.component_id for r in near if r.doc_id == 1} == {1}
+
+
+def test_tied_rows_share_their_fate(spark, bench, models):
+    rows = [(5, "the same words again and again, enough of them to be judged in earnest by each of the operators here.", "s", "en", 3)] * 6
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("mix", "lines", "quality", "toxic", "html", "url", "near"):
+        made = [r.asDict() for r in operators(bench, models)[name](docs).collect()]
+        assert len(made) == 6 and all(r == made[0] for r in made), name
+    assert sorted((r.shard, r.slot) for r in sharding.shard(docs, 4).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0)]
+    assert simhash.keep_one(docs).count() == 1 and decontaminate.clean(docs, bench).count() == 6
