@@ -43,6 +43,8 @@ ADDRESS = frozenset("you your you're youre du dein dich tu ton toi vous tú uste
 #: At most so many labelled documents are used for mining and fitting.
 SAMPLE = 8_000
 THRESHOLD, WINDOW = 0.7, 4
+#: Tasks that read the stored sample or its words at most, as each task builds the automaton anew.
+TASKS = 8
 WORD = re.compile(r"[^\W\d_]+")
 JOINED = re.compile(r"[\d@$!]*[^\W\d_]+(?:[\d_@$*!]+[^\W\d_]+)*")
 SPELLED = re.compile(r"(?<![^\W_])[^\W\d_](?:[-._* ][^\W\d_]){3,}(?![^\W_])")
@@ -95,6 +97,7 @@ class Matcher:
         self.moves: list[dict[str, int]] = []
         self.accept: list[int] = []
         self.known: dict[str, int] = {}
+        self.clear: set[str] = set()
         self.start = self._state({0: 0}, None)
 
     def _state(self, nodes: dict[int, int], absorbed: int | None) -> int:
@@ -174,33 +177,53 @@ class Matcher:
         lower = (text or "").lower()
         edits = self.edits
         lower = SPELLED.sub(lambda m: w if edits(w := "".join(WORD.findall(m[0]))) == 0 else m[0], lower)
-        seen = set(JOINED.findall(lower))
-        hits = {w: e for w in seen if (e := edits(w) if w.isalpha() else self.disguised(w)) >= 0}
+        words = JOINED.findall(lower)
+        hits: dict[str, int] = {}
+        mixed: set[str] = set()
+        none: set[str] = set()  # words of letters that are no hits, which later texts skip at once
+        for w in set(words).difference(self.clear):
+            if w.isalpha():
+                e = edits(w)
+                if e < 0:
+                    none.add(w)
+            else:
+                e = self.disguised(w)
+                if e < 0:
+                    mixed.add(w)
+            if e >= 0:
+                hits[w] = e
+        if len(self.clear) > 400_000:
+            self.clear.clear()
+        self.clear |= none
         # A word with digits or symbols that is no hit is read as its parts.
-        mixed = {w for w in seen if w not in hits and not w.isalpha()}
         hits |= {p: e for w in mixed for p in WORD.findall(w) if (e := edits(p)) >= 0}
         if not hits:
             return 0, 0, 0, 0
         spans = quotations(lower)
+        begins: list[int] = []
+        if spans or mixed:
+            listed = list(_words(lower, mixed))
+            words, begins = [w for w, _ in listed], [b for _, b in listed]
+        places = [i for i, w in enumerate(words) if w in hits]
         exact = misspelled = quoted = aimed = at = 0
-        recent: list[str] = []
         ahead = 0  # words of the window after an abusive hit that may still hold an address
-        for word, begin in _words(lower, mixed):
-            if word in hits:
-                while at < len(spans) and spans[at][1] <= begin:
-                    at += 1
-                if (at < len(spans) and spans[at][0] <= begin) or REPORTING.intersection(recent):
-                    quoted += 1
-                else:
-                    exact += hits[word] == 0
-                    misspelled += hits[word] > 0
-                    aimed += bool(ADDRESS.intersection(recent))
-                    ahead = WINDOW
-            elif ahead:
+        for i, following in zip(places, [*places[1:], len(words)]):
+            recent = words[max(0, i - WINDOW) : i]
+            while at < len(spans) and spans[at][1] <= begins[i]:
+                at += 1
+            if (at < len(spans) and spans[at][0] <= begins[i]) or REPORTING.intersection(recent):
+                quoted += 1
+            else:
+                edited = hits[words[i]] > 0
+                exact += not edited
+                misspelled += edited
+                aimed += bool(ADDRESS.intersection(recent))
+                ahead = WINDOW
+            for word in words[i + 1 : min(following, i + 1 + ahead)]:
                 ahead -= 1
                 if word in ADDRESS:
                     aimed, ahead = aimed + 1, 0
-            recent = [*recent[1 - WINDOW :], word]
+                    break
         return exact, misspelled, quoted, aimed
 
 
@@ -285,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
                 arrays = [batch.column(2), *[pa.array([m[i] for m in made], pa.int64()) for i in range(4)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["label", "a", "b", "c", "d"])
 
-        seen = drawn.where(part >= 7).mapInArrow(count, "label int, a long, b long, c long, d long").collect()
+        seen = drawn.where(part >= 7).coalesce(TASKS).mapInArrow(count, "label int, a long, b long, c long, d long").collect()
         seen.sort()
         prior = ToxicityModel.__dataclass_fields__["weights"].default
         weights = _fit_weights([design(tuple(r[1:])) for r in seen], [r.label for r in seen], prior) if len({r.label for r in seen}) > 1 else prior
@@ -308,7 +331,7 @@ def _matcher(drawn: DataFrame) -> Matcher:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
         # Clean words within the edits of a term: bounded by the terms, as each has a bounded number of variants.
-        clean = counted.where("clean > 0 and clean * 4 >= toxic").select("word").mapInArrow(variants, "word string")
+        clean = counted.where("clean > 0 and clean * 4 >= toxic").select("word").coalesce(TASKS).mapInArrow(variants, "word string")
         return Matcher(base.terms, frozenset(r.word for r in clean.collect()))
     finally:
         counted.unpersist()
