@@ -95,15 +95,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out, "score", "predicted", "abuse", "misspelled", "quoted", "aimed")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from larkfield.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkfield.llm.importance import resample
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "benchmark").select("text")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        op1_substring_dedup, op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op7_html_extract, op8_simhash, op9_quality, op10_toxicity,
+        op1_substring_dedup, op2_url_filter, op3_mixing, op4_decontaminate, op5_sharding, op6_line_quality, op7_html_extract, op8_simhash, op9_quality, op10_toxicity, op11_packing,
+        op12_importance,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can state the sharding; the other queries fit models, hash by XXH64 or search tolerantly, and are tested by brute force."""
-    from larkfield.llm import sharding
+    """SQL can state the sharding and the resampling; the other queries fit models, tokenise, hash by XXH64 or search
+    tolerantly, and are tested by brute force."""
+    from larkfield.llm import importance, sharding
 
-    return {"op5_sharding": sharding.oracle()}
+    return {"op5_sharding": sharding.oracle(), "op12_importance": importance.oracle()}
