@@ -604,7 +604,7 @@ def test_all_passages_of_a_pair_are_found():
     rng = random.Random(22)
     p, q = words(rng, 60, 5000), words(rng, 70, 5000)
     a, b = p + words(rng, 100, 5000) + q, p + words(rng, 110, 5000) + q
-    found = substring_dedup.passages(a, b, [0, 10])
+    found = substring_dedup.passages([w.encode() for w in a], [w.encode() for w in b], [0, 10])
     assert [(s, e, t, u) for s, e, t, u, _ in found] == [(0, 60, 0, 60), (160, 230, 170, 240)]
 
 
