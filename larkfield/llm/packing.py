@@ -19,6 +19,7 @@ read, so other columns may have any names. Long texts are tokenised whole, a bou
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -32,40 +33,75 @@ from pyspark.sql import types as T
 from larkfield.llm.common import Stored, small_batches
 
 LENGTH, END_ID = 2_048, 1
-#: Words kept with their ids by a worker, the longest such word, and words encoded at once.
+#: Words kept with their ids by a worker before they are forgotten, the longest such word, and words encoded at once.
 CACHE_WORDS, CACHE_CHARS, ENCODE_WORDS = 600_000, 40, 20_000
 #: Bytes of ids in a batch that goes back to Spark.
 BATCH_BYTES = 8_000_000
 
 
+#: Words of Latin letters, with at most one sign behind them: the tokenizer parts these two and lower-cases the word.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([,.;:!?]?)")
+
+
 class WordEncoder:
     """Ids of texts as little-endian 32-bit numbers, word by word: blanks and line ends part words for the tokenizer, so
-    the ids of a text are those of its words. Words met before are looked up."""
+    the ids of a text are those of its words. Words met before are looked up, plain new ones are encoded as one line and
+    told apart by the mark that the tokenizer's vocabulary has at the ends of words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes ``words`` into ``known``."""
+        known, split, plain, rest = self.known, {}, {}, []
+        for word in words:
+            found = PLAIN_WORD.fullmatch(word)
+            if found:
+                core = found[1].lower()
+                split[word] = core, found[2]
+                if core not in known:
+                    plain[core] = None
+                if found[2] not in known:
+                    known[found[2]] = self._encode([found[2]])[0]
+            else:
+                rest.append(word)
+        cores = list(plain)
+        for at in range(0, len(cores), ENCODE_WORDS):
+            part = cores[at : at + ENCODE_WORDS]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):  # a vocabulary without such marks
+                known.update(zip(part, self._encode(part)))
+                continue
+            line_of, start = ids.tobytes(), 0
+            for core, stop in zip(part, stops.tolist()):
+                known[core], start = line_of[start:stop], stop
+        for word, (core, sign) in split.items():
+            known[word] = known[core] + known[sign]
+        for at in range(0, len(rest), ENCODE_WORDS):
+            part = rest[at : at + ENCODE_WORDS]
+            known.update(zip(part, self._encode(part)))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new, known = [w for w in set(words) if w not in self.known], self.known
-        if len(known) + len(new) > CACHE_WORDS:
-            self.known = known = {"": b""}
-            new = [w for w in set(words) if w]
-        long = []
-        for at in range(0, len(new), ENCODE_WORDS):
-            part = new[at : at + ENCODE_WORDS]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.asarray(found.ids, "<u4").tobytes()
-                if len(word) > CACHE_CHARS:
-                    long.append(word)
-        out = b"".join([known[w] for w in words])
-        if len(known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        else:
-            for word in long:
+        new = set(words).difference(self.known)
+        if new:
+            self._learn(list(new))
+        known = self.known
+        out = b"".join([known[w] for w in words])
+        for word in new:
+            if len(word) > CACHE_CHARS:
                 del known[word]
         return out
 
