@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,53 +36,68 @@ from larkfield.llm.packing import line
 #: Digits, lower-case ASCII letters and all that is not ASCII; A-Z are lower-cased before.
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BUCKETS, LONGEST, SEED, MIN_WORDS, PERCENT = 10_000, 1, "2024", 20, 10
-#: Nodes of a trie beyond which a new one is begun.
-NODES = 400_000
+#: Nodes of a trie beyond which a new one is begun, and words looked up between two looks at their number.
+NODES, STRETCH = 400_000, 50_000
 #: Rows of a range that one task numbers, about.
 RANGE_ROWS = 500_000
 
 
-def words_of(text: str | None) -> Iterator[str]:
-    return (m.group() for m in WORDS.finditer(text.translate(ASCII_LOWER))) if text else iter(())
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return WORDS.findall(text.lower() if text.isascii() else text.translate(ASCII_LOWER))
 
 
-class Trie:
-    """Runs of words as nodes. Node 0 is the empty run; a node has its children by word, its CRC state and a value."""
+class Children(dict):
+    """The nodes below one node, by word; a node is made when it is first asked for."""
 
-    def __init__(self, value_of: Callable[[int], int]):
-        self.children: list[dict[str, int] | None] = [None]
-        self.crc, self.value, self.value_of = [0], [0], value_of
+    def __init__(self, trie: Trie, node: int):
+        super().__init__()
+        self.trie, self.node = trie, node
 
-    def step(self, node: int, word: str) -> int:
-        """The node of the run of ``node`` and ``word``, made at its first use."""
-        below = self.children[node]
-        if below is None:
-            below = self.children[node] = {}
-        found = below.get(word)
-        if found is None:
-            found = below[word] = len(self.crc)
-            data = word.encode()
-            state = zlib.crc32(b" " + data if node else data, self.crc[node])
-            self.crc.append(state)
-            self.value.append(self.value_of(state))
-            self.children.append(None)
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.trie.made(self.node, word)
         return found
 
 
-def runs(trie: Trie, words: Iterable[str], longest: int, full: Callable[[Trie], Trie]) -> Iterator[tuple[Trie, list[int]]]:
-    """For every word the trie and the nodes of the runs of up to ``longest`` words that end with it.
+class Trie:
+    """Runs of words as nodes. Node 0 is the empty run; a node has its children, its CRC state and a value."""
+
+    def __init__(self, value_of: Callable[[int], int] = lambda state: 0):
+        self.children: list[Children | None] = [Children(self, 0)]
+        self.crc, self.value, self.value_of = [0], [0], value_of
 
-    A trie of ``NODES`` nodes is handed to ``full``, which gives the next one; runs that are under way are made there anew.
-    """
-    active, last = [], []
-    for word in words:
+    def made(self, node: int, word: str) -> int:
+        data = word.encode()
+        state = zlib.crc32(b" " + data if node else data, self.crc[node])
+        self.crc.append(state)
+        self.value.append(self.value_of(state))
+        self.children.append(None)
+        return len(self.crc) - 1
+
+    def below(self, node: int) -> Children:
+        if self.children[node] is None:
+            self.children[node] = Children(self, node)
+        return self.children[node]
+
+    def nodes(self, words: list[str], first: int, last: int, longest: int) -> Iterator[list[int]]:
+        """The nodes of the runs that begin at the words ``first`` to ``last`` - 1: those of one word, of two, and so on."""
+        root = self.children[0]
+        level = [root[w] for w in words[first:last]]
+        yield level
+        for n in range(1, longest):
+            level = [self.below(node)[word] for node, word in zip(level, words[first + n : last + n])]
+            yield level
+
+
+def walked(trie: Trie, words: list[str], longest: int, full: Callable[[Trie], Trie]) -> Iterator[tuple[Trie, list[int]]]:
+    """The trie and the nodes of all runs of a text, some at a time. A trie of ``NODES`` nodes is handed to ``full``, which
+    gives the next one; no run is lost, as a run belongs to the stretch in which it begins."""
+    for first in range(0, len(words), STRETCH):
         if len(trie.crc) > NODES:
-            trie, active = full(trie), []
-            for old in last:
-                active = [trie.step(node, old) for node in (0, *active)]
-        active = [trie.step(node, word) for node in (0, *active[: longest - 1])]
-        last = [*last, word][-(longest - 1) :] if longest > 1 else []
-        yield trie, active
+            trie = full(trie)
+        for level in trie.nodes(words, first, min(first + STRETCH, len(words)), longest):
+            yield trie, level
 
 
 def bucket_totals(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST, text_column: str = "text") -> DataFrame:
@@ -92,19 +107,18 @@ def bucket_totals(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
 
-        def emptied(trie: Trie | None) -> Trie:
-            if trie:
-                at = np.asarray(trie.crc, np.int64) % buckets
-                np.add.at(total, at, np.asarray(trie.value, np.int64))
-            return Trie(lambda state: 0)
+        def added(trie: Trie) -> Trie:
+            np.add.at(total, np.asarray(trie.crc, np.int64) % buckets, np.asarray(trie.value, np.int64))
+            return Trie()
 
-        trie = emptied(None)
+        trie = Trie()
         for batch in batches:
             for text in batch.column(0):
-                for trie, nodes in runs(trie, words_of(text.as_py()), longest, emptied):
+                for trie, nodes in walked(trie, words_of(text.as_py()), longest, added):
+                    value = trie.value
                     for node in nodes:
-                        trie.value[node] += 1
-        emptied(trie)
+                        value[node] += 1
+        added(trie)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
@@ -136,20 +150,20 @@ def weigh(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST, id_column:
     gain_of = gain.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emptied(_: Trie | None) -> Trie:
+        def empty(_: Trie | None = None) -> Trie:
             return Trie(lambda state: gain_of[state % len(gain_of)])
 
-        trie = emptied(None)
+        trie = empty()
         for batch in batches:
             found = []
             for text in batch.column(1):
-                n_words = n = total = 0
-                for trie, nodes in runs(trie, words_of(text.as_py()), longest, emptied):
-                    n_words += 1
+                words = words_of(text.as_py())
+                n = total = 0
+                for trie, nodes in walked(trie, words, longest, empty):
+                    value = trie.value
                     n += len(nodes)
-                    for node in nodes:
-                        total += trie.value[node]
-                found.append((n_words, n, total // n if n else 0))
+                    total += sum([value[node] for node in nodes])
+                found.append((len(words), n, total // n if n else 0))
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "n_words", "n_features", "weight"])
 
