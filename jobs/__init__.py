@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobs import index_documents
+from jobs import index_documents, session_outcomes
 
-_JOBS = (index_documents,)
+_JOBS = (index_documents, session_outcomes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

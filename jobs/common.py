@@ -1,4 +1,4 @@
-"""What the jobs share: settings from a JSON file, streams over paths of any kind, the command line's session, logs."""
+"""What the jobs share: settings from a JSON file, tables that may not be there yet, the command line's session, logs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 import uuid
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from larkfield.operators.postings import shared_folder
 
@@ -29,16 +29,6 @@ def settings(spark: SparkSession, kind: type[S], path: str | None) -> S:
     return kind(**row)
 
 
-def stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
-    """New Parquet files of a folder, of a pattern, or a single file, oldest first.
-
-    A file source takes folders and patterns; the name of a file becomes a pattern that fits it alone.
-    """
-    schema = spark.read.parquet(path).schema
-    pattern = path if any(c in path for c in "*?[{") else f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
-
-
 def ensure(spark: SparkSession, path: str, schema: str, partition: str) -> None:
     """Makes an empty table without files at ``path`` if nothing is there."""
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy(partition).parquet(path)

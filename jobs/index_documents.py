@@ -25,8 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import command_line_session, ensure, logger, own_folder, settings, stream
+from jobs.common import command_line_session, ensure, logger, own_folder, settings
 from larkfield.functions.text import MARKED, PLAIN, index_terms
+from larkfield.streaming.event_log import file_stream
 
 NAME = "job1_index_documents"
 LOG = logger("index_documents")
@@ -90,7 +91,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, optio
         done.append(counts)
 
     LOG.info("reading %s, writing %s", documents, output)
-    source = stream(spark, documents, options.files_per_batch)
+    source = file_stream(spark, documents, options.files_per_batch)
     source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     LOG.info("%d batches: %d rows read, %d documents indexed", len(done), sum(d["rows"] for d in done), sum(d["documents"] for d in done))
     return done

@@ -73,7 +73,11 @@ def attribute_ring(locates: DataFrame, consumes: DataFrame, ring: int = RING) ->
 def outcomes(locates: DataFrame, consumes: DataFrame, turns: int = FULL_TURNS, fallback_turns: int = FALLBACK_TURNS) -> DataFrame:
     """locates with outcome, hit_rank, turns_to_useful and searches: a hit goes before an assist that no search
     precedes, that before a search within ``fallback_turns``, else the locate is abandoned."""
-    w = windows(locates, consumes, turns)
+    return judged(locates, windows(locates, consumes, turns), fallback_turns)
+
+
+def judged(locates: DataFrame, w: DataFrame, fallback_turns: int = FALLBACK_TURNS) -> DataFrame:
+    """``outcomes`` for consumes that already know their locate (locate_id, locate_turn, ...), as ``windows`` gives them."""
     used = F.col("kind").isin("read", "slice")
     hit = used & F.col("locate_rank").isNotNull()
     assist = used & F.col("cluster_kind").isNotNull()

@@ -6,10 +6,13 @@ one referrer, all derived from k.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkfield.operators import export, metrics, sessions
+from larkfield.operators.postings import shared_folder
 
 NOW_MS = 1_706_659_200_000  # 2024-01-31 00:00:00 UTC, just after the last event
 
@@ -186,10 +189,24 @@ def stream_session_counts(spark, sf_dir):
     return session_counts(raw.select("ts", "user_id"))
 
 
+def stateful_attribution(spark, sf_dir):
+    """Attribution and latencies by the stateful stream: all files of ``events``, until none is left."""
+    from larkfield.streaming import correlator, event_log
+
+    folder = f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/correlator-{uuid.uuid4().hex}"
+    with correlator.state_store(spark):
+        out = correlator.correlate(event_log.calls(event_log.file_stream(spark, f"{sf_dir}/events.parquet")), own_turns=True)
+        writer = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{folder}/rows").where("kind <> 'locate'")
+    return rows.select(F.col("session_id").cast("long").alias("session_id"), "seq", "path", "locate_rank", "cluster_kind", "latency_ms", "locate_id")
+
+
 QUERIES = {f.__name__: f for f in (
     next_event_window, asof_latest_match, interval_attribution, outcome_precedence, mrr_hit_at_k, precision_by_class, median_turns,
     session_vs_lifetime, count_by_reason_map, pivot_actions, guard_counts, session_bypass, slice_staleness, unchanged_lag, retention_prune,
     orphan_antijoin, ensure_session, tool_latency, verdict_join, priority_sort_limit, stream_session_counts,
+    stateful_attribution,
 )}
 
 SQL = {
@@ -241,6 +258,11 @@ SQL = {
     "tool_latency": PRELUDE + """SELECT e.event_id, epoch_us(e.ts) // 1000 - b.ts AS latency_ms FROM ev e LEFT JOIN (
         SELECT session_id, k, min(epoch_us(ts) // 1000) AS ts FROM ev WHERE event_type = 'view' GROUP BY 1, 2) b ON b.session_id = e.session_id AND b.k = e.k
         WHERE e.event_type = 'purchase'""",
+    "stateful_attribution": PRELUDE + """, calls AS (SELECT session_id, seq, event_type, epoch_us(ts) // 1000 AS ms, lag(event_type) OVER call AS before,
+        lag(epoch_us(ts) // 1000) OVER call AS began FROM ev WHERE event_type IN ('view', 'purchase') WINDOW call AS (PARTITION BY session_id, k ORDER BY seq))
+        SELECT r.session_id, r.seq, r.path, r.locate_rank, r.cluster_kind, w.locate_id,
+        CASE WHEN calls.event_type = 'purchase' AND before = 'view' AND ms - began <= 86400000 THEN ms - began END AS latency_ms
+        FROM r LEFT JOIN calls ON calls.session_id = r.session_id AND calls.seq = r.seq LEFT JOIN w ON w.session_id = r.session_id AND w.seq = r.seq""",
     "verdict_join": PRELUDE + """, fs AS (SELECT locate_id, min(seq) AS s FROM w WHERE kind = 'search' GROUP BY 1),
         miss AS (SELECT w.locate_id, arg_min(path, seq) AS target FROM w JOIN fs USING (locate_id) WHERE kind <> 'search' AND seq > s GROUP BY 1),
         help AS (SELECT w.locate_id, arg_min(w.path, w.seq) AS target FROM w JOIN l USING (locate_id) WHERE kind <> 'search'
