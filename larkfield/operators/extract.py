@@ -11,7 +11,7 @@ import re
 import tokenize
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,13 +242,8 @@ def with_extracted(files: DataFrame) -> DataFrame:
     return files.withColumns({"symbols": symbols(*args), "imports": imports(*args), "texts": texts(*args)})
 
 
-def index_rows(extracted: DataFrame, extra_stop: tuple[str, ...] = ()) -> DataFrame:
-    """(file_id, path, symbol_names, keywords, content): the text fields of the full-text index.
-
-    Prose has no symbol names and the same tokens twice; code has filtered keywords of its names, comments and strings
-    and their unfiltered parts. Files without a language are not indexed.
-    """
-    rows = extracted.where("lang is not null")
+def index_columns(extra_stop: tuple[str, ...] = ()) -> dict[str, Column]:
+    """The text fields of the full-text index, symbol_names, keywords and content, for rows of ``with_extracted``."""
     prose = F.array_join(prose_tokens(F.coalesce("text", F.lit("")), stoplist("prose", extra_stop)), " ")
     names = F.transform("symbols", lambda s: s["name"])
     words = F.concat(names, F.flatten(F.transform("texts", lambda t: F.split(t, "\\s+"))))
@@ -257,7 +252,17 @@ def index_rows(extracted: DataFrame, extra_stop: tuple[str, ...] = ()) -> DataFr
         kept = F.when(F.col("lang") == lang, F.array_join(keywords(words, stoplist(lang, extra_stop)), " ")).otherwise(kept)
     content = F.array_join(keywords(F.flatten(F.transform("texts", lambda t: F.split(t, "\\s+"))), [], 1), " ")
     is_prose = F.col("lang") == "prose"
-    return rows.select(
-        "file_id", "path", F.when(is_prose, "").otherwise(F.array_join(names, " ")).alias("symbol_names"),
-        F.when(is_prose, prose).otherwise(kept).alias("keywords"), F.when(is_prose, prose).otherwise(content).alias("content"),
-    )
+    return {
+        "symbol_names": F.when(is_prose, "").otherwise(F.array_join(names, " ")), "keywords": F.when(is_prose, prose).otherwise(kept),
+        "content": F.when(is_prose, prose).otherwise(content),
+    }
+
+
+def index_rows(extracted: DataFrame, extra_stop: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, path, symbol_names, keywords, content): the text fields of the full-text index.
+
+    Prose has no symbol names and the same tokens twice; code has filtered keywords of its names, comments and strings
+    and their unfiltered parts. Files without a language are not indexed.
+    """
+    made = [column.alias(name) for name, column in index_columns(extra_stop).items()]
+    return extracted.where("lang is not null").select("file_id", "path", *made)

@@ -44,6 +44,28 @@ def cochange(commits: DataFrame, now: int, window_days: int = WINDOW_DAYS, max_f
     return edges.groupBy("file_a", "file_b").agg(F.sum("w").alias("weight"))
 
 
+def cochange_part(commits: DataFrame, asof: int, window_days: int = WINDOW_DAYS, max_files: int = MAX_FILES) -> DataFrame:
+    """``cochange`` of one lot of commits as it stands at ``asof``; commits dated later wait (``not_yet``)."""
+    return cochange(commits.where(F.col("ts") <= asof), asof, window_days, max_files).withColumn("asof", F.lit(asof).cast("long"))
+
+
+def not_yet(commits: DataFrame, asof: Column | int) -> DataFrame:
+    """Commits dated after ``asof``: their age there is nought, so they cannot be kept under decay until then."""
+    return commits.where(F.col("ts") > asof)
+
+
+def cochange_at(parts: DataFrame, now: int, window_days: int = WINDOW_DAYS, waiting: DataFrame | None = None, max_files: int = MAX_FILES) -> DataFrame:
+    """``cochange`` at ``now`` from parts(file_a, file_b, weight, asof) and commits that wait.
+
+    All weights of a part have decayed by the same factor since it was made, so old commits are not read again.
+    """
+    decayed = F.col("weight") * F.exp(-(F.lit(now) - F.col("asof")) / F.lit(float(DAY)) / F.lit(float(window_days)))
+    rows = parts.select("file_a", "file_b", decayed.alias("weight"))
+    if waiting is not None:
+        rows = rows.unionByName(cochange(waiting, now, window_days, max_files))
+    return rows.groupBy("file_a", "file_b").agg(F.sum("weight").alias("weight"))
+
+
 def normalise_edges(edges: DataFrame, a: str = "file_a", b: str = "file_b") -> DataFrame:
     return edges.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkfield.config import Config
 from larkfield.functions import ranking
 from larkfield.operators import graph
+from larkfield.operators.postings import shared_folder
+from larkfield.plans.index_loop import KeptIndex
 
+YEAR = 365 * 86_400
 NOW, MAX_FILES = 996_624_000, graph.MAX_FILES  # 2001-08-01 00:00:00 UTC; larger orders are left out of pairs
 
 
@@ -31,6 +37,17 @@ def cochange_pairs(spark, sf_dir):
     return edges(spark, sf_dir).select("file_a", "file_b", F.round("weight", 6).alias("weight"))
 
 
+def cochange_kept(spark, sf_dir):
+    """Co-change by a kept index that takes the orders year by year: earlier weights decay, new ones are added."""
+    kept = KeptIndex(spark, f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", Config(cochange_window_days=3_650))
+    orders = commits(spark, sf_dir).select(F.col("sha").cast("string").alias("sha"), "ts", F.transform("files", lambda f: f.cast("string")).alias("files"))
+    for year in range(6, -1, -1):  # what is older than all of them comes first
+        until, since = NOW - year * YEAR, None if year == 6 else NOW - (year + 1) * YEAR
+        kept.add_commits(orders.where(F.col("ts") <= until if since is None else F.col("ts").between(since + 1, until)), until)
+    pairs = kept.cochange(NOW).select(*[F.col(c).cast("long").alias(c) for c in ("file_a", "file_b")], "weight")
+    return graph.normalise_edges(pairs).withColumn("weight", F.round("weight", 6))
+
+
 def cochange_topk_neighbors(spark, sf_dir):
     rounded = edges(spark, sf_dir).withColumn("weight", F.round("weight", 6))
     return graph.neighbours(rounded)
@@ -75,7 +92,7 @@ def constant_references(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    cochange_pairs, cochange_topk_neighbors, recency_counts, recency_boost, fan_in_cap, referrers_topk, edge_replace, constant_references,
+    cochange_pairs, cochange_kept, cochange_topk_neighbors, recency_counts, recency_boost, fan_in_cap, referrers_topk, edge_replace, constant_references,
 )}
 
 _COMMITS = f"""
@@ -90,6 +107,7 @@ _REFS = "WITH r AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, CASE WHE
 
 SQL = {
     "cochange_pairs": _COMMITS + "SELECT file_a, file_b, round(weight, 6) AS weight FROM p",
+    "cochange_kept": _COMMITS + "SELECT file_a, file_b, round(weight, 6) AS weight FROM p",
     "cochange_topk_neighbors": _COMMITS + """, u AS (SELECT file_a AS file, file_b AS other, round(weight, 6) AS weight FROM p
         UNION ALL SELECT file_b, file_a, round(weight, 6) FROM p)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY weight DESC, other) AS rank FROM u) WHERE rank <= 5""",

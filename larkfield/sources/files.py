@@ -21,6 +21,8 @@ LANGUAGES = {
     "prose": ("md", "markdown", "txt", "rst", "adoc"),
 }
 MAX_BYTES, PROBE_BYTES, HEAD_BYTES = 1_048_576, 8_000, 4_096
+#: Bytes of content in a batch.
+BATCH_BYTES = 16_000_000
 
 
 def is_secret(path: Column) -> Column:
@@ -49,43 +51,51 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.substring(content, 1, PROBE_BYTES), F.unhex(F.lit("00")))
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first ``PROBE_BYTES`` of files that are not to be read whole."""
-    for batch in batches:
-        heads = []
-        for uri in batch.column(0).to_pylist():
-            system, path = pafs.FileSystem.from_uri(uri)
-            with system.open_input_stream(path) as f:
-                heads.append(f.read(PROBE_BYTES))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=[*batch.schema.names, "content"])
+def _contents(max_bytes: int):
+    """Adds ``content``: files of up to ``max_bytes`` whole, of larger ones the first ``PROBE_BYTES``."""
 
+    def read(uri: str, length: int) -> bytes:
+        system, path = pafs.FileSystem.from_uri(uri)
+        with system.open_input_stream(path) as f:
+            return f.read(length if length <= max_bytes else PROBE_BYTES)
 
-def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, paths: DataFrame | None = None) -> DataFrame:
-    """(path, lang, size, mtime, content_hash, text, indexable) of the files below a folder, or of those in paths(path).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, size, found = 0, 0, []
+            for k, (uri, length) in enumerate(zip(batch.column("uri").to_pylist(), batch.column("length").to_pylist())):
+                found.append(read(uri, length))
+                size += len(found[-1])
+                if size > BATCH_BYTES or k == batch.num_rows - 1:  # small batches, as files may be large
+                    part = batch.slice(first, len(found))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "content"])
+                    first, size, found = k + 1, 0, []
 
-    Files are listed first, without their content: secrets, ignored folders and files that are not asked for are never
-    opened. Too large and binary files keep a row with the hash of their first 4096 bytes, no language and no text; of
-    too large ones no more than their first bytes are read.
-    """
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
+    """(path, uri, length, modificationTime) of the files below a folder, or of those in paths(path), none of them opened;
+    without secrets and ignored folders."""
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     local = F.regexp_replace(F.regexp_replace("uri", "^[a-z0-9+.-]+:/+", "/"), "^/+", "/")
-
-    def below(raw: DataFrame) -> DataFrame:
-        return raw.withColumnRenamed("path", "uri").withColumn("path", F.substr(local, F.lit(len(base) + 2)))
-
-    listed = below(scan.load(root).select("path", "length", "modificationTime"))
+    listed = scan.load(root).select(F.col("path").alias("uri"), "length", "modificationTime").withColumn("path", F.substr(local, F.lit(len(base) + 2)))
     listed = listed.where(~is_secret(F.col("path")) & ~has_ignored_segment(F.col("path")))
     if paths is not None:
         listed = listed.join(paths.select("path").distinct(), "path", "left_semi")
-    names = ["uri", "length", "modificationTime", "path"]
-    listed = listed.select(*names)
+    return listed.select("path", "uri", "length", "modificationTime")
+
+
+def read_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, paths: DataFrame | None = None) -> DataFrame:
+    """(path, lang, size, mtime, content_hash, text, indexable) of the files below a folder, or of those in paths(path).
+
+    Files are listed first, without their content: secrets, ignored folders and files that are not asked for are never
+    opened. Those that passed are read by the tasks that hold their names. Too large and binary files keep a row with the
+    hash of their first 4096 bytes, no language and no text; of too large ones no more than their first bytes are read.
+    """
+    listed = list_tree(spark, root, paths)
     schema = T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())])
-    rows = listed.where(F.col("length") > max_bytes).mapInArrow(_heads, schema)
-    # Spark's own listing holds all names on the driver anyway; those that passed are read with their content.
-    small = [r.uri for r in listed.where(F.col("length") <= max_bytes).select("uri").collect()]
-    if small:
-        rows = rows.unionByName(below(spark.read.format("binaryFile").load(small)).where(F.col("length") <= max_bytes).select(*names, "content"))
+    rows = listed.mapInArrow(_contents(max_bytes), schema)
     gated = (F.col("length") > max_bytes) | is_binary(F.col("content"))
     lang = language(F.col("path"))
     return rows.select(

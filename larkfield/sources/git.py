@@ -79,6 +79,11 @@ def read_log(spark: SparkSession, root: str, max_commits: int = MAX_COMMITS, sin
     return parse_log(spark.createDataFrame(lines, "source string, line_no long, line string"))
 
 
+def descends(root: str, sha: str | None) -> bool:
+    """Whether HEAD has ``sha`` among its ancestors; false once history was rewritten."""
+    return bool(sha) and _git(root, "merge-base", "--is-ancestor", sha or "", "HEAD") is not None
+
+
 def commits_between(root: str, sha: str | None) -> int:
     out = _line(root, "rev-list", "--count", f"{sha}..HEAD") if sha else None
     return int(out) if out and out.isdigit() else 0
