@@ -1,10 +1,19 @@
 """A full-text index that is kept: postings written once, replaced document by document, read by term.
 
-A segment holds the postings of the documents that one call added, in buckets by term and sorted by term, so that a
-query opens the buckets of its terms and skips the row groups between them. A posting carries the length of its document,
-and its positions in a column of their own, which only phrases of several terms read. ``live`` is the table of
-documents with the segment that holds each one's last state: replacing or deleting a document changes that table alone,
-and ``compact`` merges the segments once there are many. Writers commit by ``SnapshotTable``: readers see a whole index.
+A segment holds the postings of the documents that one call added, in buckets by term and spans of documents, sorted by
+term, so that a query opens the files of its terms, skips what lies between them, and no task holds all postings of a
+frequent term. A posting carries the length of its document, and its positions in a column of their own, which only phrases
+of several terms read. Documents are dealt to ranges by a hash of their id; a segment's dictionary has a row for each term
+and range: how many documents there have the term, its largest counts by field, and the least length. So document
+frequencies are read and not counted, and a search can tell what a range may score at most without looking at it.
+``live`` is the table of documents with the segment that holds each one's last state: replacing or deleting a document
+changes that table alone, and ``compact`` merges the segments once there are many. Writers commit by ``SnapshotTable``:
+readers see a whole index.
+
+Searches over many postings go range by range (``match``): ranges that hold all terms of a query first, as only they can
+hold a document with all of them; for a query without any, the ranges that may score most, then those that may still reach
+the k-th score found. That gives the rows of a full scan. It needs an index of one segment without deletions and queries
+without phrases of several terms; others are scanned.
 
 Defined results: null texts have no terms but count as documents of length zero; of documents added twice in one call
 the rows stay as they are, as one call is expected to hold a document once.
@@ -12,23 +21,31 @@ the rows stay as they are, as one call is expected to hold a document once.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkfield.functions import ranking as R
 from larkfield.functions.text import index_terms
 from larkfield.operators import search
-from larkfield.operators.snapshot import SnapshotTable
+from larkfield.operators.snapshot import Conflict, SnapshotTable
 
-#: Buckets of a segment; a scan opens those of its terms.
-BUCKETS = 32
+#: Number of the way in which segments are laid out.
+LAYOUT = 2
+#: Buckets of a segment by term, documents of a range, ranges of a span, and rows of a page of a file.
+BUCKETS, RANGE_DOCS, SPAN_RANGES, PAGE_ROWS = 32, 64, 65_536, 4_000
 #: Terms that become a pushed filter and a list of buckets; more are joined.
 PUSHED_TERMS = 2_000
+#: Postings of the terms of a batch of queries beyond which it goes range by range, and ranges looked at first then.
+SCAN_POSTINGS, FIRST_RANGES = 20_000_000, 16
+#: Terms whose wanted ranges are pushed to the files, as so many intervals each.
+PUSHED_RANGES, INTERVALS = 32, 16
+_SORT_AGGREGATE = "spark.sql.execution.useObjectHashAggregateExec"
 
 
 class PostingsIndex:
@@ -37,6 +54,7 @@ class PostingsIndex:
     def __init__(self, spark: SparkSession, root: str, fields: list[str], id_column: str = "doc_id", buckets: int = BUCKETS):
         self.spark, self.root, self.fields, self.id_column, self.buckets = spark, root.rstrip("/"), list(fields), id_column, buckets
         self.live = SnapshotTable(spark, f"{self.root}/live")
+        self._buckets: dict[str, int] = {}  # of terms asked for before
 
     # ---- writing ---------------------------------------------------------------------------------
 
@@ -47,16 +65,46 @@ class PostingsIndex:
         rows = docs.select(F.col(self.id_column).alias("doc_id"), F.array(*terms).alias("all"))
         rows = rows.withColumn("length", F.aggregate("all", F.lit(0), lambda n, x: n + F.size(x["terms"])).cast("long"))
         each = rows.select("doc_id", "length", F.explode("all").alias("f")).select("doc_id", "length", "f.field", F.posexplode("f.terms").alias("pos", "term"))
-        found = each.groupBy("term", "doc_id", "field").agg(F.first("length").alias("length"), F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        found = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        parts = found.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id")
-        parts.write.partitionBy("bucket").parquet(f"{self.root}/{segment}")
+        # One shuffle and one sort: occurrences come together in the order in which their postings are written.
+        places, keys = self._places(each, docs.count()), ["bucket", "span", "term", "range", "doc_id", "field"]
+        dealt = places.repartition(self._tasks(places), "bucket", "span").sortWithinPartitions(*keys, "pos")
+        found = dealt.groupBy(*keys, "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        before = self.spark.conf.get(_SORT_AGGREGATE)
+        self.spark.conf.set(_SORT_AGGREGATE, "false")  # the rows are sorted already
+        try:
+            self._write(found, segment)
+        finally:
+            self.spark.conf.set(_SORT_AGGREGATE, before)
         fresh = rows.select("doc_id", "length", F.lit(segment).alias("segment"))
         old = self.live.read()
         if old is not None:
             fresh = old.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
         self._commit(fresh, [*self.segments(), segment])
 
+    def _places(self, rows: DataFrame, n_docs: int) -> DataFrame:
+        """``rows`` with the bucket of their term, the range of their document and the span of that."""
+        self._spans = max(1, -(-n_docs // (RANGE_DOCS * SPAN_RANGES)))
+        ranges = max(1, -(-n_docs // RANGE_DOCS))
+        out = rows.withColumns({"bucket": self._bucket(), "range": F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")})
+        return out.withColumn("span", F.expr(f"range div {SPAN_RANGES}").cast("int"))
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+
+    def _tasks(self, _: DataFrame) -> int:
+        return self.buckets * self._spans
+
+    def _write(self, found: DataFrame, segment: str) -> None:
+        """Postings that are dealt and sorted, and the dictionary made from them."""
+        small = {"parquet.page.row.count.limit": PAGE_ROWS, "parquet.page.size.row.check.min": 100}
+        found.write.options(**small).partitionBy("bucket", "span").parquet(f"{self.root}/{segment}/postings")
+        rows = self.spark.read.parquet(f"{self.root}/{segment}/postings")
+        tops = F.array(*[F.coalesce(F.max(F.when(F.col("field") == f, F.col("tf"))), F.lit(0)) for f in self.fields])
+        # A range holds a bounded number of documents.
+        blocks = rows.groupBy("bucket", "term", "range").agg(F.size(F.collect_set("doc_id")).alias("n_docs"), tops.alias("max_tf"), F.min("length").alias("min_length"))
+        blocks = blocks.repartition(self._tasks(blocks), "bucket", F.expr(f"range div {SPAN_RANGES}")).sortWithinPartitions("bucket", "term", "range")
+        blocks.write.options(**small).partitionBy("bucket").parquet(f"{self.root}/{segment}/blocks")
+
     def delete(self, ids: DataFrame) -> None:
         """Drops the documents in ids(doc_id)."""
         self._commit(self._live().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), self.segments(), deleted=True)
@@ -64,8 +112,9 @@ class PostingsIndex:
     def compact(self) -> None:
         """Merges all segments into one that holds live documents only."""
         segment = f"s-{uuid.uuid4().hex}"
-        parts = self._postings(None, positions=True).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        parts.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.root}/{segment}")
+        places = self._places(self._postings(None, positions=True).drop("range"), self.stats()[0])
+        dealt = places.repartition(self._tasks(places), "bucket", "span").sortWithinPartitions("bucket", "span", "term", "range", "doc_id", "field")
+        self._write(dealt, segment)
         self._commit(self._live().withColumn("segment", F.lit(segment)), [segment], deleted=False)
 
     def _commit(self, live: DataFrame, segments: list[str], deleted: bool | None = None) -> None:
@@ -89,42 +138,72 @@ class PostingsIndex:
         n, length = map(int, (self.live.get_meta("stats") or "0 0").split())
         return n, length / n if n else 0.0
 
-    def _postings(self, terms: list[str] | None, positions: bool = False) -> DataFrame:
+    def _whole(self) -> bool:
+        """One segment that nothing was deleted from: all its postings and its dictionary are those of live documents."""
+        return len(self.segments()) == 1 and not self.live.get_meta("deleted")
+
+    def _of_terms(self, rows: DataFrame, terms: list[str]) -> DataFrame:
+        new = [t for t in terms if t not in self._buckets]
+        if new:
+            found = self.spark.createDataFrame([(t,) for t in new], "term string").select("term", self._bucket()).collect()
+            kept = self._buckets if len(self._buckets) < search.BROADCAST_ROWS else {t: self._buckets[t] for t in terms if t in self._buckets}
+            self._buckets = {**kept, **dict(found)}
+        return rows.where(F.col("bucket").isin(sorted({self._buckets[t] for t in terms})) & F.col("term").isin(terms))
+
+    def _postings(self, terms: list[str] | None, positions: bool = False, pushed: Column | None = None) -> DataFrame:
         segments = self.segments()
-        columns = ["term", "doc_id", "field", "length", "tf", *(["positions"] if positions else [])]
+        columns = ["term", "range", "doc_id", "field", "length", "tf", *(["positions"] if positions else [])]
         out = None
         for segment in segments:
-            part = self.spark.read.parquet(f"{self.root}/{segment}")
-            if terms is not None:
-                wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).distinct()
-                part = part.where(F.col("bucket").isin([r[0] for r in wanted.collect()]) & F.col("term").isin(terms))
+            part = self.spark.read.parquet(f"{self.root}/{segment}/postings")
+            part = part if terms is None else self._of_terms(part, terms)
+            part = part if pushed is None else part.where(pushed)
             part = part.select(*columns, F.lit(segment).alias("segment"))
             out = part if out is None else out.unionByName(part)
         if out is None:
             raise ValueError(f"nothing is indexed below {self.root}")
-        # A single segment that nothing was deleted from holds live documents only.
-        if len(segments) > 1 or self.live.get_meta("deleted"):
+        if not self._whole():
             out = out.join(self._live().select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
         return out.drop("segment")
 
-    def hits(self, phrases: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-        """(query_id, n_terms, term_no, doc_id, length, tf) for phrases as ``search.query_phrases`` gives them."""
+    def blocks(self, terms: list[str]) -> DataFrame:
+        """(term, range, n_docs, max_tf, min_length) of the dictionary; ``max_tf`` by field."""
+        (segment,) = self.segments()
+        rows = self.spark.read.parquet(f"{self.root}/{segment}/blocks")
+        return self._of_terms(rows, terms).select("term", "range", "n_docs", "max_tf", "min_length")
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """How many documents have each of the terms."""
+        return {r.term: r.df for r in self.blocks(terms).groupBy("term").agg(F.sum("n_docs").alias("df")).collect()}
+
+    def _asked(self, phrases: DataFrame) -> tuple[DataFrame, list, bool]:
+        """The phrases with terms; on the driver as well if they are few."""
+        phrases = phrases.where("term is not null").select("query_id", "n_terms", "term_no", "phrase_len", "offset", "term")
+        rows = phrases.limit(search.BROADCAST_ROWS + 1).collect()
+        few = len(rows) <= search.BROADCAST_ROWS
+        return (self.spark.createDataFrame(rows, phrases.schema) if few else phrases), rows, few
+
+    def _weight(self, weights: Mapping[str, float]) -> Column:
         weight = F.lit(0.0)
         for field, w in weights.items():
             weight = F.when(F.col("field") == field, w).otherwise(weight)
-        rows = phrases.where("term is not null").select("query_id", "n_terms", "term_no", "phrase_len", "offset", "term").limit(search.BROADCAST_ROWS + 1).collect()
-        few = len(rows) <= search.BROADCAST_ROWS
-        asked = self.spark.createDataFrame(rows, phrases.select("query_id", "n_terms", "term_no", "phrase_len", "offset", "term").schema) if few else phrases.where("term is not null")
+        return weight
+
+    def hits(self, phrases: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+        """(query_id, n_terms, term_no, doc_id, length, tf) for phrases as ``search.query_phrases`` gives them."""
+        return self._hits(*self._asked(phrases), weights)
+
+    def _hits(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float]) -> DataFrame:
         hint = F.broadcast if few else (lambda df: df)
         keys = ["query_id", "n_terms", "term_no", "doc_id"]
-        total = F.sum(weight * F.col("tf")).alias("tf")
+        total = F.sum(self._weight(weights) * F.col("tf")).alias("tf")
 
         def terms(long: bool) -> list[str] | None:
             found = sorted({r.term for r in rows if (r.phrase_len > 1) == long})
             return found if few and len(found) <= PUSHED_TERMS else None
 
         single = self._postings(terms(False)).join(hint(asked.where("phrase_len = 1")), "term")
-        out = single.groupBy(*keys, "length").agg(total) if len(self.fields) > 1 else single.select(*keys, "length", (weight * F.col("tf")).alias("tf"))
+        out = self._summed(single, weights)
         if not few or any(r.phrase_len > 1 for r in rows):
             places = self._postings(terms(True), positions=True).join(hint(asked.where("phrase_len > 1")), "term")
             starts = places.select(*keys, "length", "field", "phrase_len", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
@@ -132,40 +211,137 @@ class PostingsIndex:
             out = out.unionByName(whole.groupBy(*keys, "length").agg(total))
         return out
 
-    def score(self, phrases: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-        """(query_id, n_terms, doc_id, n_hit, b) as ``search.bm25`` gives it."""
-        hits = self.hits(phrases, weights)
+    def _summed(self, single: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+        """Hits of terms that are phrases of their own: the fields of a document are added up."""
+        keys = ["query_id", "n_terms", "term_no", "doc_id", "length"]
+        tf = self._weight(weights) * F.col("tf")
+        return single.groupBy(*keys).agg(F.sum(tf).alias("tf")) if len(self.fields) > 1 else single.select(*keys, tf.alias("tf"))
+
+    def _counted(self, hits: DataFrame, rows: list, few: bool, known: Mapping[str, int] | None = None) -> DataFrame:
+        """``hits`` with ``df``: from the dictionary for single terms, counted for phrases of several terms."""
+        if not (few and self._whole() and len({r.term for r in rows}) <= PUSHED_TERMS):
+            counted = hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
+            return hits.join(F.broadcast(counted) if few else counted, ["query_id", "term_no"])
+        single = {(r.query_id, r.term_no): r.term for r in rows if r.phrase_len == 1}
+        if known is None:
+            known = self.frequencies(sorted(set(single.values()))) if single else {}
+        long = sorted({(r.query_id, r.term_no) for r in rows if r.phrase_len > 1})
+        schema = hits.select("query_id", "term_no", F.lit(0).cast("long").alias("df")).schema
+        table = self.spark.createDataFrame([(*key, known.get(term, 0)) for key, term in single.items()], schema)
+        if long:
+            phrases = self.spark.createDataFrame(long, hits.select("query_id", "term_no").schema)
+            table = table.unionByName(hits.join(F.broadcast(phrases), ["query_id", "term_no"]).groupBy("query_id", "term_no").agg(F.count("*").alias("df")))
+        return hits.join(F.broadcast(table), ["query_id", "term_no"])
+
+    def _parts(self, hits: DataFrame) -> DataFrame:
+        """Hits with their df to scores."""
         n, mean = self.stats()
-        df = F.count("*").over(W.partitionBy("query_id", "term_no"))
         part = R.bm25_term(F.col("tf"), F.col("length"), F.lit(mean), F.lit(n), F.col("df"))
-        return hits.withColumn("df", df).groupBy("query_id", "n_terms", "doc_id").agg(F.count("*").alias("n_hit"), (-F.sum(part)).alias("b"))
+        return hits.groupBy("query_id", "n_terms", "doc_id").agg(F.count("*").alias("n_hit"), (-F.sum(part)).alias("b"))
+
+    def score(self, phrases: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+        """(query_id, n_terms, doc_id, n_hit, b) as ``search.bm25`` gives it."""
+        return self._score(*self._asked(phrases), weights)
+
+    def _score(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], known: Mapping[str, int] | None = None) -> DataFrame:
+        return self._parts(self._counted(self._hits(asked, rows, few, weights), rows, few, known))
 
     def match(self, queries: DataFrame, weights: Mapping[str, float], k: int = R.CANDIDATES) -> DataFrame:
         """(query_id, n_terms, doc_id, n_hit, b, used_or, rank) as ``search.match`` gives it."""
-        scored = self.score(search.query_phrases(queries), weights).withColumn("whole", F.col("n_hit") == F.col("n_terms"))
+        asked, rows, few = self._asked(search.query_phrases(queries))
+        terms = sorted({r.term for r in rows})
+        scored = known = None
+        if rows and few and self._whole() and len(terms) <= PUSHED_TERMS and all(r.phrase_len == 1 for r in rows):
+            known = self.frequencies(terms)
+            if sum(known.values()) > SCAN_POSTINGS:
+                scored = self._by_ranges(asked, known, weights, k)
+        scored = self._score(asked, rows, few, weights, known) if scored is None else scored
+        scored = scored.withColumn("whole", F.col("n_hit") == F.col("n_terms"))
         # Rows with all terms come first, so the first row of a query tells whether it has any.
         top = search.ranked(scored, k, F.desc("whole"), F.round("b", 9).asc(), F.col("doc_id").asc())
         any_whole = F.max("whole").over(W.partitionBy("query_id"))
         return top.withColumn("used_or", ~any_whole).where(F.col("whole") | F.col("used_or")).select("query_id", "n_terms", "doc_id", "n_hit", "b", "used_or", "rank")
 
+    # ---- range by range ----------------------------------------------------------------------------
+
+    def _by_ranges(self, asked: DataFrame, known: Mapping[str, int], weights: Mapping[str, float], k: int) -> DataFrame:
+        """Scores of all documents that can be among the first k of their query, and of others."""
+        n, mean = self.stats()
+        df = self.spark.createDataFrame(sorted(known.items()), "term string, df long")
+        asked = asked.select("query_id", "n_terms", "term_no", "term").join(F.broadcast(df), "term")
+        most = sum((F.lit(float(weights.get(f, 0.0))) * F.get("max_tf", F.lit(i)) for i, f in enumerate(self.fields)), F.lit(0.0))
+        bound = R.bm25_term(most, F.col("min_length"), F.lit(mean), F.lit(n), F.col("df"))
+        of_terms = self.blocks(sorted(known)).join(F.broadcast(asked), "term")
+        per = of_terms.groupBy("query_id", "n_terms", "range").agg(F.count("*").alias("present"), F.sum(bound).alias("bound"))
+        per = self._aside(per)
+
+        whole = self._aside(self._best(asked, per.where("present = n_terms"), weights, k, F.col("n_hit") == F.col("n_terms")))
+        open_ = per.join(whole.select("query_id").distinct(), "query_id", "left_anti")
+        return whole.unionByName(self._best(asked, open_, weights, k, F.lit(True)))
+
+    def _best(self, asked: DataFrame, per: DataFrame, weights: Mapping[str, float], k: int, fit: Column) -> DataFrame:
+        """Scores of ``fit`` documents in the ranges of ``per`` that may score most, and in those that may still reach the
+        k-th of these."""
+        order = W.partitionBy("query_id").orderBy(F.desc("bound"), "range")
+        per = per.withColumn("__no", F.row_number().over(order))
+        first = self._aside(self._in_ranges(asked, per.where(F.col("__no") <= FIRST_RANGES), weights).where(fit))
+        kth = search.ranked(first, k, F.col("b").asc()).where(F.col("rank") == k).select("query_id", (-F.col("b")).alias("kth"))
+        # Ties are broken after nine places, so a range that may come that near is looked at as well.
+        rest = per.where(F.col("__no") > FIRST_RANGES).join(kth, "query_id", "left").where("kth is null or bound >= kth - 1e-8")
+        return first.unionByName(self._in_ranges(asked, rest, weights).where(fit))
+
+    def _in_ranges(self, asked: DataFrame, wanted: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+        """Scores of the documents in wanted(query_id, range, ...)."""
+        wanted = wanted.select("query_id", "range")
+        named = wanted.join(F.broadcast(asked.select("query_id", "term")), "query_id").select("term", "range").distinct()
+        terms = sorted(r.term for r in named.select("term").distinct().collect())
+        pushed = self._intervals(named) if 0 < len(terms) <= PUSHED_RANGES else None
+        single = self._postings(terms, pushed=pushed).join(F.broadcast(asked), "term").join(search._small(wanted), ["query_id", "range"])
+        return self._parts(self._summed(single, weights).join(F.broadcast(asked.select("query_id", "term_no", "df")), ["query_id", "term_no"]))
+
+    def _intervals(self, named: DataFrame) -> Column:
+        """A filter on term and range that files can use to skip pages: each term with a few intervals that hold its ranges."""
+        width = F.expr(f"range div {max(1, -(-(self._last_range(named) + 1) // INTERVALS))}")
+        spans = named.groupBy("term", width.alias("__i")).agg(F.min("range").alias("lo"), F.max("range").alias("hi")).collect()
+        tests = [(F.col("term") == r.term) & F.col("range").between(r.lo, r.hi) for r in spans]
+        while len(tests) > 1:  # balanced, so that the expression is not deep
+            tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+        return tests[0]
+
+    @staticmethod
+    def _last_range(named: DataFrame) -> int:
+        return named.agg(F.max("range")).first()[0]
+
+    def _aside(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the index, as several steps read it."""
+        path = f"{shared_folder(self.spark)}/larkfield-{self.spark.sparkContext.applicationId}/ranges-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 _built: dict[tuple, PostingsIndex] = {}
 
 
 def kept(spark: SparkSession, source: str, fields: list[str], id_column: str = "doc_id") -> PostingsIndex:
-    """The index over a Parquet table, built at its first use by an application and read from then on.
+    """The index over a Parquet table, built at its first use and read from then on, by later applications too.
 
     It lies in the shared folder, under a name made of the table's files, their sizes and times, so a table that has
-    changed is indexed anew.
+    changed is indexed anew. Of several applications that build it at once one commits, the others read that.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(source)
     fs = path.getFileSystem(conf)
     found = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(path) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]))
-    key = (spark.sparkContext.applicationId, source, tuple(fields), id_column, str(found))
+    name = hashlib.sha256(repr((LAYOUT, fs.makeQualified(path).toString(), tuple(fields), id_column, found)).encode()).hexdigest()[:32]
+    key = (spark.sparkContext.applicationId, name)
     if key not in _built:
-        index = PostingsIndex(spark, f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/postings-{uuid.uuid4().hex}", fields, id_column)
-        index.add(spark.read.parquet(source).select(id_column, *fields))
+        index = PostingsIndex(spark, f"{shared_folder(spark)}/larkfield-postings/{name}", fields, id_column)
+        if not index.live.meta():
+            try:
+                index.add(spark.read.parquet(source).select(id_column, *fields))
+            except Conflict:
+                if not index.live.meta():
+                    raise
         _built[key] = index
     return _built[key]
 

@@ -2,7 +2,10 @@
 
 import random
 
-from larkfield.operators import search
+import pytest
+from pyspark.sql import functions as F
+
+from larkfield.operators import postings, search
 from larkfield.operators.postings import PostingsIndex
 
 WEIGHTS = {"title": 4.0, "text": 0.5}
@@ -39,3 +42,57 @@ def test_index_equals_search_over_the_texts(spark, tmp_path):
     index.delete(spark.createDataFrame([(8,)], "doc_id long"))
     del docs[8]
     same()
+
+
+def scanned(df):
+    """Rows that the plan's file scans gave out, after files and pages were skipped."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numOutputRows"))
+
+
+def test_ranges_give_the_rows_of_a_scan_and_skip_pages(spark, tmp_path, monkeypatch):
+    for name, value in (("RANGE_DOCS", 8), ("SPAN_RANGES", 60), ("PAGE_ROWS", 100), ("FIRST_RANGES", 2)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(4)
+    word = lambda: f"w{min(int(rng.expovariate(0.05)), 200)}"
+    docs = spark.createDataFrame([(d, f"{word()} {word()}", " ".join(word() for _ in range(rng.randrange(60)))) for d in range(1_500)], SCHEMA)
+    # Frequent words, rare ones, words that never meet, one that is nowhere, a repeated one, ties.
+    texts = ["w0 w1", "w1 w90 w3", "w150 w151 w152 w153", "w2", "absent w5", "w7 w7", "w0 w1 w2 w3 w4 w5", "absent", "w140 w0"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    index = PostingsIndex(spark, f"{tmp_path}/i", list(WEIGHTS), buckets=3)
+    index.add(docs)
+    expected = rows(search.match(docs, asked, WEIGHTS, k=7))
+    assert rows(index.match(asked, WEIGHTS, k=7)) == expected
+    called = []
+    in_ranges = PostingsIndex._in_ranges
+    monkeypatch.setattr(PostingsIndex, "_in_ranges", lambda self, asked, wanted, weights: called.append(wanted.count()) or in_ranges(self, asked, wanted, weights))
+    monkeypatch.setattr(postings, "SCAN_POSTINGS", 0)
+    assert rows(index.match(asked, WEIGHTS, k=7)) == expected and len(called) == 4
+    assert rows(index.match(asked, WEIGHTS, k=400)) == rows(search.match(docs, asked, WEIGHTS, k=400))
+    # The dictionary holds the frequencies, and says which ranges a query leaves out.
+    known = {r.term: r.df for r in index._postings(None).groupBy("term").agg(F.count_distinct("doc_id").alias("df")).collect()}
+    assert index.frequencies(["w0", "w150", "absent"]) == {t: known[t] for t in ("w0", "w150") if t in known}
+    for query, terms in ((2, "w150 w151 w152 w153"), (3, "w2"), (0, "w0 w1")):
+        called.clear()
+        index.match(asked.where(f"query_id = {query}"), WEIGHTS, k=2).collect()
+        assert sum(called) < index.blocks(terms.split()).select("range").distinct().count() / (2 if query == 3 else 1)
+    assert called[0] == 2
+    # Pages: the intervals of a few ranges give fewer rows out of the files.
+    monkeypatch.setattr(postings, "INTERVALS", 64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        few = spark.createDataFrame([("w0", 3), ("w0", 150)], "term string, range int")
+        assert scanned(index._postings(["w0"], pushed=index._intervals(few))) < scanned(index._postings(["w0"])) / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spans = {r.span for r in spark.read.parquet(f"{tmp_path}/i/{index.segments()[0]}/postings").where("term = 'w0'").select("span").distinct().collect()}
+    assert len(spans) == 4  # postings of a frequent term lie in several files
+
+
+def test_kept_index_outlives_the_application(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "some words", "x")], SCHEMA).write.parquet(f"{tmp_path}/t")
+    first = postings.kept(spark, f"{tmp_path}/t", ["text"])
+    monkeypatch.setattr(postings, "_built", {})  # as in another application
+    monkeypatch.setattr(PostingsIndex, "add", lambda *a: pytest.fail("built again"))
+    assert postings.kept(spark, f"{tmp_path}/t", ["text"]).segments() == first.segments()
