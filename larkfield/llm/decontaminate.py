@@ -2,9 +2,10 @@
 
 Benchmark items become hashes of the tokens at the kept positions of each mask; the windows of every document are
 joined with them, as are consecutive stretches of each item, one more than the substitutions that ``IDENTITY``
-allows, so that one of them is always whole. Every hit is verified along its diagonal over the whole item. A document
-is contaminated by an item if, at one alignment, ``IDENTITY`` of all item tokens agree, or a run of ``RUN`` tokens or
-more does. An item of fewer than ``LEAST`` tokens matches documents that consist of its tokens and nothing else.
+allows, so that one of them is always whole, and short seeds at every place of an item, of which every run that counts
+holds one. Every hit is verified along its diagonal over the whole item. A document is contaminated by an item if, at one
+alignment, ``IDENTITY`` of all item tokens agree, or ``IDENTITY`` of a run of ``RUN`` tokens or more that begins and ends
+with agreeing ones. An item of fewer than ``LEAST`` tokens matches documents that consist of its tokens and nothing else.
 
 The index of one block of items is sorted arrays (about 60 bytes a token), sent to all executors, and a block holds at
 most ``BLOCK_CHARS`` characters of items; a larger benchmark is scanned in further blocks, each against all documents.
@@ -34,7 +35,10 @@ from larkfield.llm.common import append_columns, small_batches
 
 TOKEN = re.compile(r"\w+")
 MASKS = ("110110101011", "101110010111", "11101001110")
-LEAST, RUN, IDENTITY, GAP_COST = 5, 13, 0.8, 3
+#: Every run that counts has four agreeing tokens in a row; the one exception, threes with three other tokens between, has
+#: two threes one token apart.
+RUN_MASKS = ("1111", "1110111")
+LEAST, RUN, IDENTITY = 5, 13, 0.8
 BLOCK_CHARS = 4_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,6 +88,9 @@ class SeedIndex:
                 continue
             for lo, hi in _stretches(len(ts)):
                 stretches.setdefault("1" * (hi - lo), []).append(end + lo)
+            if len(ts) >= RUN:
+                for mask in RUN_MASKS:
+                    stretches.setdefault(mask, []).extend(range(end, end + len(ts) - len(mask) + 1))
             self.ids.append(item)
             parts.append(token_hashes(ts))
             end += len(ts)
@@ -149,14 +156,17 @@ class SeedIndex:
 
 
 def _run(same: np.ndarray) -> bool:
-    """Whether a stretch of RUN tokens or more agrees in IDENTITY of them (the stretch of the best sum is tested)."""
-    if np.count_nonzero(same) < RUN * IDENTITY:
+    """Whether any stretch of RUN tokens or more, from one agreeing token to another, agrees in IDENTITY of them.
+
+    With so much for an agreeing token and so much off for another that IDENTITY sums to nought, such a stretch is two
+    prefix sums, RUN places or more apart, of which the second is not less: the least earlier one is carried along.
+    """
+    if len(same) < RUN or np.count_nonzero(same) < RUN * IDENTITY:
         return False
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -GAP_COST))])
-    lowest = np.minimum.accumulate(sums)
-    end = int((sums - lowest).argmax())
-    begin = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1])
-    return end - begin >= RUN and same[begin:end].mean() >= IDENTITY
+    gain, cost = round(100 * (1 - IDENTITY)), round(100 * IDENTITY)
+    sums = np.concatenate([[0], np.cumsum(np.where(same, gain, -cost))])
+    begins = np.minimum.accumulate(np.where(same, sums[:-1], np.iinfo(np.int64).max))[: len(same) - RUN + 1]
+    return bool(np.any(same[RUN - 1 :] & (sums[RUN:] >= begins)))
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[SeedIndex]:

@@ -248,7 +248,7 @@ def test_overlaps_equal_brute_force(spark):
         at = rng.randint(0, len(text))
         text[at:at] = item[rng.randint(0, 3) :] if rng.random() < 0.2 else item
         rows.append((d, " ".join(text)))
-    expected = set()
+    expected, runs = set(), set()
     for r, (d, text) in enumerate(rows):
         ts = decontaminate.tokens(text)
         for i, item in items:
@@ -261,11 +261,13 @@ def test_overlaps_equal_brute_force(spark):
                     same = np.array([wanted[x] == ts[x + k] for x in range(lo, hi)])
                     if same.sum() >= decontaminate.IDENTITY * len(wanted):
                         expected.add((r, d, i))
+                    elif run_by_definition(same.tolist()):
+                        runs.add((r, d, i))
     docs = spark.createDataFrame([(r, d, t) for r, (d, t) in enumerate(rows)], "row long, doc_id long, text string")
     found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id string, text string"), id_column="row").collect()
     of = {r: d for r, (d, _) in enumerate(rows)}
     assert {(r.row, of[r.row], r.item_id) for r in found if r.identity >= decontaminate.IDENTITY} == expected
-    assert all(r.n_item > decontaminate.RUN for r in found if r.identity < decontaminate.IDENTITY)
+    assert {(r.row, of[r.row], r.item_id) for r in found} == expected | runs
 
 
 def test_a_long_run_counts_and_a_short_one_does_not():
@@ -277,6 +279,36 @@ def test_a_long_run_counts_and_a_short_one_does_not():
     assert not index.overlaps(" ".join(other + item[20:31] + other))
 
 
+def run_by_definition(same):
+    n = len(same)
+    return any(same[i] and same[j - 1] and 5 * sum(same[i:j]) >= 4 * (j - i) for i in range(n) for j in range(i + decontaminate.RUN, n + 1))
+
+
+def test_runs_by_definition():
+    rng = random.Random(31)
+    for _ in range(3_000):
+        share = rng.choice([0.6, 0.75, 0.8, 0.9])
+        same = [rng.random() < share for _ in range(rng.randint(0, 45))]
+        assert decontaminate._run(np.array(same, bool)) == run_by_definition(same), same
+    # An exact run of 13 is not swallowed by the poorer agreement that follows it.
+    assert decontaminate._run(np.array([True] * 13 + [True, True, True, False] * 42 + [True, True]))
+
+
+def test_every_run_that_counts_is_found():
+    """Runs of 13 to 30 tokens of a long item, with as many substitutions as count, wherever they fall."""
+    rng = random.Random(32)
+    item = words(rng, 120, 5000)
+    index = decontaminate.SeedIndex([(1, " ".join(item))])
+    for k in range(1_500):
+        n = rng.randint(13, 30)
+        at = rng.randint(0, len(item) - n)
+        changed = set(rng.sample(range(1, n - 1), rng.randint(0, n // 5))) if k else {3, 7, 11}
+        n, at = (n, at) if k else (15, 20)
+        part = ["sub" if i in changed else w for i, w in enumerate(item[at : at + n])]
+        assert run_by_definition([i not in changed for i in range(n)])
+        assert index.overlaps(" ".join(words(rng, 20, 5000) + part + words(rng, 20, 5000))), (n, changed)
+
+
 def test_every_substitution_that_identity_allows_is_found():
     rng = random.Random(24)
     for n in range(5, 40):
