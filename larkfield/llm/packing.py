@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from larkfield.llm.common import Stored, small_batches
 
 LENGTH, END_ID = 2_048, 1
-#: Words kept with their ids by a worker before they are forgotten, the longest such word, and words encoded at once.
-CACHE_WORDS, CACHE_CHARS, ENCODE_WORDS = 600_000, 40, 20_000
+#: Words kept with their ids by a worker before the half that was not met again is forgotten, the longest such word, and
+#: words encoded at once.
+CACHE_WORDS, CACHE_CHARS, ENCODE_WORDS = 400_000, 40, 20_000
 #: Bytes of ids in a batch that goes back to Spark.
 BATCH_BYTES = 8_000_000
 
@@ -52,20 +53,25 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
         """Encodes ``words`` into ``known``."""
-        known, split, plain, rest = self.known, {}, {}, []
+        known, older, split, plain, rest = self.known, self.older, {}, {}, []
         for word in words:
+            if word in older:
+                known[word] = older[word]
+                continue
             found = PLAIN_WORD.fullmatch(word)
             if found:
                 core = found[1].lower()
                 split[word] = core, found[2]
-                if core not in known:
+                if core in older:
+                    known[core] = older[core]
+                elif core not in known:
                     plain[core] = None
                 if found[2] not in known:
                     known[found[2]] = self._encode([found[2]])[0]
@@ -93,8 +99,8 @@ class WordEncoder:
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
+        if len(self.known) > CACHE_WORDS:  # words that are met again move on from the older half
+            self.older, self.known = self.known, {"": b""}
         new = set(words).difference(self.known)
         if new:
             self._learn(list(new))
