@@ -73,6 +73,11 @@ def prose_tokens(text: Column, stop: list[str], min_length: int = MIN_LENGTH) ->
     return _useful(F.split(F.lower(bare), "[^a-z0-9_]+"), stop, min_length)
 
 
+def raw_prose_tokens(text: Column) -> Column:
+    """Distinct tokens of running text before junk and stop words are taken out."""
+    return F.array_distinct(F.split(F.lower(F.regexp_replace(text, URL, " ")), "[^a-z0-9_]+"))
+
+
 def underscore_constant(name: Column) -> Column:
     """The path stem of a constant: ``Billing::InvoiceItem`` becomes ``billing/invoice_item``."""
     path = F.regexp_replace(name, "::", "/")

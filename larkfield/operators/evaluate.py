@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkfield.functions.text import white_space_tokens
+from larkfield.operators import substrings
+from larkfield.operators.postings import PostingsIndex
 
 
 def _any_match(path: Column, expect: Column) -> Column:
@@ -44,39 +40,10 @@ def scan_token(query: Column) -> Column:
     return F.get(F.filter(white_space_tokens(query), lambda t: F.length(t) > 3), F.lit(0))
 
 
-#: Characters of needles that one automaton holds; more go in further passes.
-NEEDLE_CHARS = 4_000_000
-
-
-def containing(docs: DataFrame, needles: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(needle, id): which texts contain which of needles(needle), found by one automaton over all needles of a pass."""
-    spark = docs.sparkSession
-    wanted = needles.select("needle").where("needle <> ''").distinct()
-    chars = wanted.agg(F.sum(F.length("needle"))).first()[0] or 0
-    passes, out = max(1, -(-int(chars) // NEEDLE_CHARS)), None
-    for k in range(passes):
-        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("needle"), F.lit(passes)) == k)
-        shipped = spark.sparkContext.broadcast(sorted(r.needle for r in part.collect()))
-
-        def find(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for i, needle in enumerate(shipped.value):
-                automaton.add_word(needle, i)
-            automaton.make_automaton()
-            for batch in batches:
-                found = [{i for _, i in automaton.iter(t)} if t and shipped.value else () for t in batch.column(1).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([pa.array([shipped.value[i] for x in found for i in x], pa.string()), batch.column(0).take(rows)], names=["needle", id_column])
-
-        made = docs.select(id_column, text).mapInArrow(find, T.StructType([T.StructField("needle", T.StringType()), docs.schema[id_column]]))
-        out = made if out is None else out.unionByName(made)
-    return out
-
-
-def scan_baseline(docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_baseline(index: PostingsIndex, docs: DataFrame, queries: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, n_candidates): documents that contain the scanned token, for a stated set of queries."""
     asked = queries.select("query_id", scan_token(F.col("query")).alias("token")).where("token is not null")
-    hits = containing(docs, asked.withColumnRenamed("token", "needle"), id_column, text)
+    hits = substrings.containing(index, docs, asked.withColumnRenamed("token", "needle"), id_column, text)
     counted = hits.groupBy(F.col("needle").alias("token")).agg(F.count_distinct(id_column).alias("n_candidates"))
     return asked.join(counted, "token", "left").select("query_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 

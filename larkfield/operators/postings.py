@@ -48,6 +48,16 @@ PUSHED_RANGES, INTERVALS = 32, 16
 _SORT_AGGREGATE = "spark.sql.execution.useObjectHashAggregateExec"
 
 
+#: Characters of the parts by which words are found that hold a part of a needle.
+GRAM = 3
+
+
+def grams_of(word: Column) -> Column:
+    """The distinct runs of ``GRAM`` characters of a word."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - (GRAM - 1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(word, i, F.lit(GRAM))))
+
+
 class PostingsIndex:
     """An index over the text ``fields`` of documents, below ``root``."""
 
@@ -105,6 +115,31 @@ class PostingsIndex:
         blocks = blocks.repartition(self._tasks(blocks), "bucket", F.expr(f"range div {SPAN_RANGES}")).sortWithinPartitions("bucket", "term", "range")
         blocks.write.options(**small).partitionBy("bucket").parquet(f"{self.root}/{segment}/blocks")
 
+    def grams(self) -> DataFrame:
+        """(gram, term): the runs of three characters of each term of the index, made at their first use."""
+        out = None
+        for segment in self.segments():
+            path = f"{self.root}/{segment}/grams"
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+            if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+                terms = self.spark.read.parquet(f"{self.root}/{segment}/blocks").select("term").distinct().where(F.length("term") >= GRAM)
+                cut = terms.select(F.explode(grams_of(F.col("term"))).alias("gram"), "term")
+                cut = cut.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int"))
+                cut.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            part = self.spark.read.parquet(path).select("gram", "term")
+            out = part if out is None else out.unionByName(part)
+        return out.distinct() if len(self.segments()) > 1 else out
+
+    def words(self, terms: list[str] | None = None) -> DataFrame:
+        """(term, df) of all segments, or those of ``terms``; replaced documents are counted as well, so df is not less
+        than what is live."""
+        out = None
+        for segment in self.segments():
+            part = self.spark.read.parquet(f"{self.root}/{segment}/blocks")
+            part = (part if terms is None else self._of_terms(part, terms)).select("term", "n_docs")
+            out = part if out is None else out.unionByName(part)
+        return out.groupBy("term").agg(F.sum("n_docs").alias("df"))
+
     def delete(self, ids: DataFrame) -> None:
         """Drops the documents in ids(doc_id)."""
         self._commit(self._live().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), self.segments(), deleted=True)

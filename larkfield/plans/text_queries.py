@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.functions import classify, ranking, text
-from larkfield.operators import evaluate, postings, search
+from larkfield.operators import evaluate, postings, search, substrings
 from larkfield.plans.graph_queries import NOW
 from larkfield.plans.locate import slice_lines
 from larkfield.sources import files as file_source
@@ -25,8 +25,10 @@ def short_queries(spark, sf_dir, words: int = 4, tail: str = "") -> DataFrame:
 
 
 def prose_tokens_df(spark, sf_dir):
-    terms = F.explode(text.prose_tokens(F.col("text"), text.stoplist("prose")))
-    return table(spark, sf_dir, "documents").select(terms.alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """Document frequencies of prose tokens; junk and stop words are told from the terms that were counted, once each."""
+    terms = F.explode(text.raw_prose_tokens(F.col("text")))
+    counted = table(spark, sf_dir, "documents").select(terms.alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return counted.where(~text.is_junk(F.col("term")) & ~F.col("term").isin(text.stoplist("prose")))
 
 
 def identifier_split(spark, sf_dir):
@@ -198,17 +200,18 @@ def line_slices(spark, sf_dir):
 
 def scan_baseline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return evaluate.scan_baseline(docs, short_queries(spark, sf_dir, 6))
+    return evaluate.scan_baseline(kept_index(spark, sf_dir, ["text"]), docs, short_queries(spark, sf_dir, 6))
 
 
 def eval_hits(spark, sf_dir):
     """Retrieval quality on benchmark items: documents that hold the whole item are expected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    expect = evaluate.containing(docs, items).join(items, "needle").groupBy("query_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
+    index = kept_index(spark, sf_dir, ["text"])
+    expect = substrings.containing(index, docs, items).join(items, "needle").groupBy("query_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")))).alias("expect"))
     none = F.lit(None).cast("string")
     cases = expect.select("query_id", "expect", none.alias("expect_prefix"), none.alias("expect_contains"), none.alias("expect_not_suffix"))
-    found = kept_index(spark, sf_dir, ["text"]).match(short_queries(spark, sf_dir, 8), {"text": 1.0}, k=5)
+    found = index.match(short_queries(spark, sf_dir, 8), {"text": 1.0}, k=5)
     results = found.select("query_id", "rank", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")).alias("path"))
     return evaluate.judge(results, cases)
 

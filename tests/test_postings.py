@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkfield.operators import postings, search
+from larkfield.operators import postings, search, substrings
 from larkfield.operators.postings import PostingsIndex
 
 WEIGHTS = {"title": 4.0, "text": 0.5}
@@ -96,3 +96,19 @@ def test_kept_index_outlives_the_application(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "_built", {})  # as in another application
     monkeypatch.setattr(PostingsIndex, "add", lambda *a: pytest.fail("built again"))
     assert postings.kept(spark, f"{tmp_path}/t", ["text"]).segments() == first.segments()
+
+
+def test_texts_that_contain_strings(spark, tmp_path):
+    rng = random.Random(9)
+    letters = "abcÉé"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    texts = {d: " ".join(word() + rng.choice(["", ",", ".x", "-", "İ", "ΑΣ"]) for _ in range(rng.randrange(25))) for d in range(200)} | {200: None, 201: ""}
+    docs = spark.createDataFrame([(d, "", t) for d, t in texts.items()], SCHEMA)
+    index = PostingsIndex(spark, f"{tmp_path}/i", ["text"], buckets=3)
+    index.add(docs.where("doc_id < 100"))
+    index.add(docs.where("doc_id >= 90"))  # two segments, some documents in both
+    cut = [t[(i := rng.randrange(len(t))) : i + rng.choice([1, 2, 4, 5, 9, 30])] for t in rng.choices([t for t in texts.values() if t], k=60)]
+    needles = [*cut, "absent", "zzz zzz", ", ", "ΑΣ", "abc", "Éa", *(texts[d] for d in (3, 4, 5)), "", None, cut[0]]
+    found = substrings.containing(index, docs, spark.createDataFrame([(n,) for n in needles], "needle string")).collect()
+    expected = {(n, d) for n in needles if n for d, t in texts.items() if t and n in t}
+    assert len(found) == len(expected) and {(r.needle, r.doc_id) for r in found} == expected
