@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkfield.functions import ranking as R
+from larkfield.functions.stem import stemmed
 from larkfield.functions.text import index_terms
 from larkfield.operators import search
 from larkfield.operators.snapshot import Conflict, SnapshotTable
@@ -120,8 +121,7 @@ class PostingsIndex:
         out = None
         for segment in self.segments():
             path = f"{self.root}/{segment}/grams"
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-            if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            if not self._written(path):
                 terms = self.spark.read.parquet(f"{self.root}/{segment}/blocks").select("term").distinct().where(F.length("term") >= GRAM)
                 cut = terms.select(F.explode(grams_of(F.col("term"))).alias("gram"), "term")
                 cut = cut.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int"))
@@ -130,6 +130,30 @@ class PostingsIndex:
             out = part if out is None else out.unionByName(part)
         return out.distinct() if len(self.segments()) > 1 else out
 
+    def stems(self, stems: list[str] | None) -> DataFrame:
+        """(stem, term): the terms of the index by their stem, for ``stems`` or all; made at their first use, so that each
+        term is stemmed once for all searches."""
+        out = None
+        for segment in self.segments():
+            path = f"{self.root}/{segment}/stems"
+            if not self._written(path):
+                cut = self.spark.read.parquet(f"{self.root}/{segment}/blocks").select("term").distinct().select(stemmed(F.col("term")).alias("stem"), F.col("term").alias("word"))
+                cut = cut.withColumnRenamed("stem", "term").withColumn("bucket", self._bucket())
+                cut.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            part = self.spark.read.parquet(path)
+            part = (part if stems is None else self._of_terms(part, stems)).select(F.col("term").alias("stem"), F.col("word").alias("term"))
+            out = part if out is None else out.unionByName(part)
+        return out.distinct() if len(self.segments()) > 1 else out
+
+    def _written(self, path: str) -> bool:
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+    def few(self, rows: DataFrame) -> list[str] | None:
+        """The terms of rows(term) if they are few enough to be pushed to the files."""
+        found = [r.term for r in rows.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        return sorted(found) if len(found) <= PUSHED_TERMS else None
+
     def words(self, terms: list[str] | None = None) -> DataFrame:
         """(term, df) of all segments, or those of ``terms``; replaced documents are counted as well, so df is not less
         than what is live."""
@@ -228,7 +252,14 @@ class PostingsIndex:
         """(query_id, n_terms, term_no, doc_id, length, tf) for phrases as ``search.query_phrases`` gives them."""
         return self._hits(*self._asked(phrases), weights)
 
-    def _hits(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float]) -> DataFrame:
+    def _of_stems(self, stems: list[str] | None, positions: bool) -> DataFrame:
+        """Postings of all terms of the stems, under the stem."""
+        table = self.stems(stems)
+        terms = self.few(table) if stems is not None else None
+        rows = self._postings(terms, positions).join(F.broadcast(table) if terms is not None else table, "term")
+        return rows.drop("term").withColumnRenamed("stem", "term")
+
+    def _hits(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], stem: bool = False) -> DataFrame:
         hint = F.broadcast if few else (lambda df: df)
         keys = ["query_id", "n_terms", "term_no", "doc_id"]
         total = F.sum(self._weight(weights) * F.col("tf")).alias("tf")
@@ -237,20 +268,21 @@ class PostingsIndex:
             found = sorted({r.term for r in rows if (r.phrase_len > 1) == long})
             return found if few and len(found) <= PUSHED_TERMS else None
 
-        single = self._postings(terms(False)).join(hint(asked.where("phrase_len = 1")), "term")
-        out = self._summed(single, weights)
+        of = self._of_stems if stem else self._postings
+        single = of(terms(False), False).join(hint(asked.where("phrase_len = 1")), "term")
+        out = self._summed(single, weights, stem)
         if not few or any(r.phrase_len > 1 for r in rows):
-            places = self._postings(terms(True), positions=True).join(hint(asked.where("phrase_len > 1")), "term")
+            places = of(terms(True), True).join(hint(asked.where("phrase_len > 1")), "term")
             starts = places.select(*keys, "length", "field", "phrase_len", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
             whole = starts.groupBy(*keys, "length", "field", "phrase_len", "start").agg(F.count("*").alias("n")).where("n = phrase_len").withColumn("tf", F.lit(1))
             out = out.unionByName(whole.groupBy(*keys, "length").agg(total))
         return out
 
-    def _summed(self, single: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-        """Hits of terms that are phrases of their own: the fields of a document are added up."""
+    def _summed(self, single: DataFrame, weights: Mapping[str, float], stem: bool = False) -> DataFrame:
+        """Hits of terms that are phrases of their own: the fields of a document are added up, and the terms of a stem."""
         keys = ["query_id", "n_terms", "term_no", "doc_id", "length"]
         tf = self._weight(weights) * F.col("tf")
-        return single.groupBy(*keys).agg(F.sum(tf).alias("tf")) if len(self.fields) > 1 else single.select(*keys, tf.alias("tf"))
+        return single.groupBy(*keys).agg(F.sum(tf).alias("tf")) if stem or len(self.fields) > 1 else single.select(*keys, tf.alias("tf"))
 
     def _counted(self, hits: DataFrame, rows: list, few: bool, known: Mapping[str, int] | None = None) -> DataFrame:
         """``hits`` with ``df``: from the dictionary for single terms, counted for phrases of several terms."""
@@ -281,12 +313,14 @@ class PostingsIndex:
     def _score(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], known: Mapping[str, int] | None = None) -> DataFrame:
         return self._parts(self._counted(self._hits(asked, rows, few, weights), rows, few, known))
 
-    def match(self, queries: DataFrame, weights: Mapping[str, float], k: int = R.CANDIDATES) -> DataFrame:
+    def match(self, queries: DataFrame, weights: Mapping[str, float], k: int = R.CANDIDATES, stem: bool = False) -> DataFrame:
         """(query_id, n_terms, doc_id, n_hit, b, used_or, rank) as ``search.match`` gives it."""
-        asked, rows, few = self._asked(search.query_phrases(queries))
+        asked, rows, few = self._asked(search.query_phrases(queries, stem))
         terms = sorted({r.term for r in rows})
         scored = known = None
-        if rows and few and self._whole() and len(terms) <= PUSHED_TERMS and all(r.phrase_len == 1 for r in rows):
+        if stem:
+            scored = self._parts(self._counted(self._hits(asked, rows, few, weights, stem), [], few=False))
+        elif rows and few and self._whole() and len(terms) <= PUSHED_TERMS and all(r.phrase_len == 1 for r in rows):
             known = self.frequencies(terms)
             if sum(known.values()) > SCAN_POSTINGS:
                 scored = self._by_ranges(asked, known, weights, k)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkfield.functions.text import index_terms
-from larkfield.operators.postings import GRAM, PUSHED_TERMS, PostingsIndex, grams_of
+from larkfield.operators.postings import GRAM, PostingsIndex, grams_of
 
 #: Grams intersected for a needle, and needles tested against all texts at once.
 RAREST, BLOCK = 3, 500
@@ -34,9 +34,9 @@ def containing(index: PostingsIndex, docs: DataFrame, needles: DataFrame, id_col
     within = ~inner & (F.col("longest.n") >= GRAM)
 
     whole = parts.where(inner).select("needle", F.explode(F.array_distinct(F.expr("slice(parts, 2, size(parts) - 2)"))).alias("term"))
-    counted = whole.join(index.words(_few(whole)), "term", "left").groupBy("needle").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    counted = whole.join(index.words(index.few(whole)), "term", "left").groupBy("needle").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     terms = index._aside(counted.unionByName(_words_with(index, parts.where(within).select("needle", F.col("longest.p").alias("part")))))
-    postings = index._postings(_few(terms)).where(F.col("field") == text).select("term", "doc_id")
+    postings = index._postings(index.few(terms)).where(F.col("field") == text).select("term", "doc_id")
     found = postings.join(terms, "term").groupBy(F.col("doc_id").alias(id_column)).agg(F.collect_set("needle").alias("needles"))
     tested = docs.select(id_column, text).join(found, id_column).select(id_column, F.explode(F.filter("needles", lambda n: F.col(text).contains(n))).alias("needle"))
 
@@ -46,12 +46,6 @@ def containing(index: PostingsIndex, docs: DataFrame, needles: DataFrame, id_col
     return tested.unionByName(scanned).select("needle", id_column).distinct()
 
 
-def _few(rows: DataFrame) -> list[str] | None:
-    """The terms of ``rows`` if they are few enough to be pushed to the files."""
-    found = [r.term for r in rows.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    return sorted(found) if len(found) <= PUSHED_TERMS else None
-
-
 def _words_with(index: PostingsIndex, parts: DataFrame) -> DataFrame:
     """(needle, term): the terms of the index that contain the part of each needle."""
     grams, cut = index.grams(), parts.select("needle", "part", F.explode(grams_of(F.col("part"))).alias("gram"))

@@ -69,8 +69,8 @@ def phrase_match(spark, sf_dir):
 
 
 def stemmed_bm25(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return search.match(docs, short_queries(spark, sf_dir), WEIGHTS, k=10, stem=True)
+    """Stems are expanded over the kept index, so texts are not cut again."""
+    return kept_index(spark, sf_dir, list(WEIGHTS)).match(short_queries(spark, sf_dir), WEIGHTS, k=10, stem=True)
 
 
 def _page_paths(spark, sf_dir) -> DataFrame:

@@ -18,14 +18,16 @@ def rows(df):
 
 def test_index_equals_search_over_the_texts(spark, tmp_path):
     rng = random.Random(1)
-    text = lambda n: " ".join(f"w{rng.randrange(25)}" + rng.choice(["", "-", "."]) for _ in range(n))
+    word = lambda: rng.choice([f"w{rng.randrange(25)}", rng.choice(("power", "sync", "model")) + rng.choice(("", "s", "ed", "ing"))])
+    text = lambda n: " ".join(word() + rng.choice(["", "-", "."]) for _ in range(n))
     docs = {d: (text(2), text(rng.randrange(30))) for d in range(60)} | {60: (None, None)}
-    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3-w4 w5"), (3, "w6-w7-w8"), (4, "absent w9"), (5, "..."), (6, "w1.w1 w2")], "query_id long, query string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3-w4 w5"), (3, "w6-w7-w8"), (4, "absent w9"), (5, "..."), (6, "w1.w1 w2"), (7, "powers synced"), (8, "power-syncing models"), (9, "modeling absent")], "query_id long, query string")
     index = PostingsIndex(spark, f"{tmp_path}/i", list(WEIGHTS), buckets=4)
     frame = lambda ds: spark.createDataFrame([(d, *t) for d, t in ds.items()], SCHEMA)
 
     def same():
         assert rows(index.match(asked, WEIGHTS, k=7)) == rows(search.match(frame(docs), asked, WEIGHTS, k=7))
+        assert rows(index.match(asked, WEIGHTS, k=7, stem=True)) == rows(search.match(frame(docs), asked, WEIGHTS, k=7, stem=True))
 
     index.add(frame(docs))
     same()
