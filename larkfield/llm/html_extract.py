@@ -3,7 +3,7 @@
 A page becomes its sequence of text blocks, each with the roles of its ancestors (from tag names and the words of
 class, id and role) and with features of its own text. Names that state a condition (``has-sidebar``, ``no-js``) give no
 role, nor do names on html and body; an element that wraps nearly all text of a page is no menu, form or notice, whatever
-its name (``WRAPPER``). Roles of the nearest ancestors that have any are told from those further out.
+its name (``WRAPPER``). Words that name a place or a topic as often as a part of the page (``WEAK``) count for little. Roles of the nearest ancestors that have any are told from those further out.
 
 The model is trained once a driver process on pages from seeded generators that mark the article (``labelled_page``),
 so it needs no table; ``FAMILIES`` differ in markup and names, and tests hold each out in turn. Scripts, styles, form
@@ -11,7 +11,8 @@ controls and templates are left out while reading; all other text, formulas and
 
 Defined results: null, empty or text-free html gives the empty text; broken markup is read as far as it goes
 (unclosed elements end with their parent, stray end tags are passed over); pages are read whole; repeated rows give
-the same text, and so do ties of the decoder, which go to the rest of the page; an empty table stays empty; input
+the same text, and so do ties of the decoder, which go to the rest of the page; an empty table stays empty; where
+the decoder keeps nothing, running text outside menus, headers, footers and the like (by tag) is the page's text; input
 columns of the names written (text, n_chars) are replaced.
 """
 
@@ -73,7 +74,13 @@ _TRUTH = 1 << len(ROLES)
 _WORD_BIT = {word: _BIT[role] for role, words in WORD_ROLES.items() for word in words.split()}
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words by which a name states a condition of an element and not what it is.
-STATES = frozenset("has have no not with without is are js enabled disabled supports show hide open closed active layout".split())
+STATES = frozenset("has have no not with without is are js enabled disabled supports show hide open closed active layout free".split())
+#: Words that name a place or a topic as often as a part of the page. One counts only as the last
+#: word of its name (generic ones aside), where no word of the same attribute names the article, and on an element of no more than ``LARGE`` of the text.
+WEAK = frozenset("bottom foot top side rail legal credits site hero widget widgets".split())
+LARGE = 0.4
+#: Words that say no more than that there is an element, passed over at the end of a name.
+GENERIC = frozenset("area list column col box block wrap wrapper container section inner bar panel item items module zone group".split())
 #: Roles of what is not the article, and the share of a page's text beyond which an element with one is but a wrapper.
 OUT = ("nav", "ad", "comment", "notice", "form", "aside", "footer", "social", "header")
 _OUT = sum(_BIT[r] for r in OUT)
@@ -91,24 +98,32 @@ class Block:
     near: int
     linked: int
     tag: str
+    #: Roles of all ancestors by their tags alone.
+    tags: int = 0
 
 
-def _mask(name: str, attrs: str) -> int:
-    mask = _BIT.get(TAG_ROLES.get(name, ""), 0)
+def _mask(name: str, attrs: str) -> tuple[int, int]:
+    """Roles of an element, and those that only weak words give it."""
+    strong, weak = _BIT.get(TAG_ROLES.get(name, ""), 0), 0
     if attrs and "=" in attrs:
         for m in _ATTR.finditer(attrs):
             if m[1].lower() == "data-truth":
-                mask |= _TRUTH
+                strong |= _TRUTH
             elif name not in ("html", "body"):
+                firm = loose = 0
                 for value in (m[2] or m[3] or m[4] or "").split():
                     words = [w.lower() for w in _CAMEL.findall(value)]
                     if STATES.isdisjoint(words):
-                        found = 0
                         for word in words:
-                            found |= _WORD_BIT.get(word, 0)
-                        # The main element is the page's own statement; names of its layout do not count against it.
-                        mask |= found & ~_OUT if name == "main" else found
-    return mask
+                            if word not in WEAK:
+                                firm |= _WORD_BIT.get(word, 0)
+                        head = next((w for w in reversed(words) if w not in GENERIC), "")
+                        loose |= _WORD_BIT.get(head, 0) if head in WEAK else 0
+                # The main element is the page's own statement; names of its layout do not count against it.
+                strong |= firm & ~_OUT if name == "main" else firm
+                if not firm & _IN and name != "main":
+                    weak |= loose
+    return strong | weak, weak & ~strong
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -119,21 +134,25 @@ def blocks(page: str | None) -> list[Block]:
         sizes[element] += len(text)
     for k in range(len(elements) - 1, 0, -1):  # elements come after their parents
         sizes[elements[k][0]] += sizes[k]
-    roles, near = [0] * len(elements), [0] * len(elements)
-    for k, (parent, mask) in enumerate(elements):
+    roles, near, tags = [0] * len(elements), [0] * len(elements), [0] * len(elements)
+    for k, (parent, mask, weak, by_tag) in enumerate(elements):
         if mask & _OUT and sizes[k] > WRAPPER * sizes[0]:
             mask &= ~_OUT
+        elif weak & _OUT and sizes[k] > LARGE * sizes[0]:
+            mask &= ~(weak & _OUT)
         roles[k] = roles[parent] | mask
         near[k] = mask & ~_TRUTH or near[parent]
-    return [Block(text, roles[k], near[k], linked, tag) for text, k, linked, tag in leaves]
+        tags[k] = tags[parent] | by_tag
+    return [Block(text, roles[k], near[k], linked, tag, tags[k]) for text, k, linked, tag in leaves]
 
 
-def _leaves(page: str | None) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int]]]:
-    """(text, element, linked characters, tag) in page order, and (parent, roles) of the elements, the root first."""
+def _leaves(page: str | None) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int, int, int]]]:
+    """(text, element, linked characters, tag) in page order, and (parent, roles, weak roles, roles by tag) of the elements,
+    the root first."""
     page = page or ""
     lower = None
     out: list[tuple[str, int, int, str]] = []
-    elements: list[tuple[int, int]] = [(0, 0)]
+    elements: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]
     stack: list[tuple[str, int]] = [("", 0)]
     open_tags: dict[str, int] = {}
     parts: list[str] = []
@@ -191,7 +210,7 @@ def _leaves(page: str | None) -> tuple[list[tuple[str, int, int, str]], list[tup
         if stack[-1][0] == "p" or (name in SELF_ENDING and stack[-1][0] == name):
             open_tags[stack.pop()[0]] -= 1
         if not attrs.endswith("/"):
-            elements.append((stack[-1][1], _mask(name, attrs)))
+            elements.append((stack[-1][1], *_mask(name, attrs), _BIT.get(TAG_ROLES.get(name, ""), 0)))
             stack.append((name, len(elements) - 1))
             open_tags[name] = open_tags.get(name, 0) + 1
     flush()
@@ -221,9 +240,16 @@ def block_features(found: list[Block]) -> np.ndarray:
 def main_text(page: str | None, model: crf.Crf) -> str:
     found = blocks(page)
     labels = model.decode(block_features(found)) if found else []
+    if not any(labels):  # a page of prose is not empty: what its names say is passed over, then what the model says
+        labels = [prose(b) and not b.tags & _OUT for b in found]
     return " ".join(b.text for b, keep in zip(found, labels) if keep)
 
 
+def prose(block: Block) -> bool:
+    """Running text: a sentence of some length that is not made of links."""
+    return len(block.text) >= 60 and block.linked <= 0.2 * len(block.text) and bool(re.search(r"[.!?…]['\"”»)]*(\s|$)", block.text)) and "©" not in block.text
+
+
 #: Kinds of generated pages: names and wrappers differ.
 FAMILIES = ("plain", "blog", "portal", "docs", "any")
 #: What a family puts on html and body, round the whole page and round the article.

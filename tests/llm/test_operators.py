@@ -640,6 +640,26 @@ def test_all_passages_of_a_pair_are_found():
     assert [(s, e, t, u) for s, e, t, u, _ in found] == [(0, 60, 0, 60), (160, 230, 170, 240)]
 
 
+PROSE = "The council met on Monday to discuss the plan. It was agreed that the bridge will be repaired next year."
+PARAS = f"<p>{PROSE}</p>" * 3
+
+
+@pytest.mark.parametrize("body, n", [
+    ("<br><br>".join([PROSE] * 4), 4), (f"<nav><a href=x>Home</a></nav>{PROSE} {PROSE}<footer>Imprint of the house.</footer>", 2), (f'<div class="legal-news">{PARAS}</div>', 3),
+    (f'<section class="hero">{PARAS}</section><section class="widget-text">{PARAS}</section>', 6), (f'<div class="story top">{PARAS}</div><div class="story bottom">{PARAS}</div>', 6),
+    (f'<div class="content-ad-free">{PARAS}</div><div class="content-more">{PARAS}</div>', 6), (f'<div class="news credits-page">{PARAS}</div><aside><p>{PROSE} Aside.</p></aside>', 3),
+])
+def test_names_of_both_kinds_lose_no_article(body, n):
+    assert html_extract.main_text(f"<html><body>{body}</body></html>", html_extract.page_model()) == " ".join([PROSE] * n)
+
+
+def test_names_of_what_is_no_article_still_count():
+    model = html_extract.page_model()
+    for name in ("widget", "site-footer bottom", "comment-text", "sidebar-content", "ad-content", "legal", "bottom"):
+        page = f'<html><body><article>{PARAS * 2}</article><div class="{name}"><p>Something else is told in this place of the page.</p></div></body></html>'
+        assert html_extract.main_text(page, model) == " ".join([PROSE] * 6), name
+
+
 # ---- classifiers ---------------------------------------------------------------------------------
 
 
