@@ -122,3 +122,27 @@ def render_stats(metrics: DataFrame) -> DataFrame:
         "locates %d, hit %.0f%%, assist %.0f%%, fallback %.0f%%, abandoned %.0f%%, mrr %.3f", "n_locates", F.col("hit_rate") * 100,
         F.col("cluster_assist_rate") * 100, F.col("miss_fallback_rate") * 100, F.col("abandoned_rate") * 100, "mrr",
     ).alias("text"))
+
+
+def render_summary(outcomes: DataFrame, sessions: DataFrame, slices: DataFrame, guards: DataFrame, reasons: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """The text of all statistics, from the one-row frames of ``operators.metrics``: outcome_metrics, session_metrics,
+    slice_metrics, guard_counts, reasons and, for the state of an index, coverage."""
+    percent = lambda c: F.col(c) * 100
+    listed = F.array_join(F.transform(F.map_entries(F.coalesce("by_reason", F.create_map().cast("map<string,bigint>"))), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))), ", ")
+    rows = outcomes.select(F.format_string(
+        "searches %d: hit %.0f%%, cluster assist %.0f%%, fallback %.0f%%, abandoned %.0f%%\nranking: mrr %.3f, hit@1 %.0f%%, hit@3 %.0f%%, hit@5 %.0f%%\n"
+        "precision: high %.0f%%, low %.0f%%\nturns to a useful file (median) %.1f, fallback searches %d, unjustified %d",
+        "n_locates", percent("hit_rate"), percent("cluster_assist_rate"), percent("miss_fallback_rate"), percent("abandoned_rate"), "mrr", percent("hit_at_1"), percent("hit_at_3"),
+        percent("hit_at_5"), percent("precision_high"), percent("precision_low"), "median_turns", "fallback_searches", "n_unjustified_fallback",
+    ).alias("a"))
+    parts = [
+        sessions.select(F.format_string("sessions %d, %d with a search, bypassed %.0f%%; tools selected in %d, not in %d", "sessions", "with_locate", percent("bypass_rate"), "with_tools", "without_tools").alias("b")),
+        slices.select(F.format_string("slices %d, stale %.0f%%, reads of unchanged text avoided %d", "slices", percent("stale_rate"), "unchanged_avoided").alias("c")),
+        guards.select(F.format_string("scans: allowed %d, warned %d, blocked %d", "allow", "warn", "block").alias("d")),
+        reasons.select(F.concat(F.lit("unavailable: "), F.when(listed == "", "never").otherwise(listed)).alias("e")),
+    ]
+    if coverage is not None:
+        parts.append(coverage.select(F.format_string("index: %d of %d files (%.0f%%)", "indexed", "total", percent("ratio")).alias("f")))
+    for part in parts:  # each has one row
+        rows = rows.crossJoin(F.broadcast(part))
+    return rows.select(F.concat_ws("\n", *rows.columns).alias("text"))
