@@ -26,6 +26,24 @@ def _matrix(values: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def nearest(names: pa.Array, ids: pa.Array, who: np.ndarray, at: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """(query_id, id, score): the best ``k`` rows of a matrix of scores for each of its columns, ties by the id.
+
+    ``at`` are the places of the rows in ``ids``, ``who`` those of the columns in ``names``.
+    """
+    rank = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")) if ids.null_count == 0 else np.arange(len(ids))
+    winners, columns, values = [], [], []
+    for c in range(len(who)):
+        s = scores[:, c]
+        near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+        near = near[np.lexsort((rank[at[near]], -s[near]))][:k]
+        winners.append(at[near])
+        columns.append(np.full(len(near), who[c]))
+        values.append(s[near])
+    chosen = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (columns, winners)]
+    return pa.RecordBatch.from_arrays([names.take(pa.array(chosen[0])), ids.take(pa.array(chosen[1])), pa.array(np.concatenate(values) if values else [], pa.float64())], names=["query_id", "id", "score"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
     """(query_id, id, score, rank): a stated set of queries against all vectors.
 
@@ -47,20 +65,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_
         def score(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             names, wanted = shipped.value
             for batch in batches:
-                ids = batch.column(0)
-                rank = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")) if ids.null_count == 0 else np.arange(len(ids))
                 for n, (at, units) in _matrix(batch.column(1).to_pylist()).items():
-                    if n not in wanted:
-                        continue
-                    who, q = wanted[n]
-                    made = np.round(units @ q.T, 12)
-                    for c in range(len(who)):
-                        s = made[:, c]
-                        near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                        near = near[np.lexsort((rank[at[near]], -s[near]))][:k]
-                        yield pa.RecordBatch.from_arrays(
-                            [names.take(pa.array(np.full(len(near), who[c]))), ids.take(pa.array(at[near])), pa.array(s[near])], names=["query_id", "id", "score"]
-                        )
+                    if n in wanted:
+                        who, q = wanted[n]
+                        yield nearest(names, batch.column(0), who, at, np.round(units @ q.T, 12), k)
 
         found = rows.mapInArrow(score, schema)
         best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from larkfield.operators import metrics, snapshot, vectors
+from larkfield.operators import cells, metrics, snapshot, vectors
+from larkfield.operators.postings import shared_folder
 from larkfield.plans.text_queries import table
 
 
@@ -82,9 +85,18 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(rows, asked, 5).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
+def vector_cells(spark, sf_dir):
+    """``vector_topk`` through cells: those that cannot reach the fifth score are not read."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = cells.CellIndex(spark, f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}")
+    index.build(rows)
+    return index.top_k(asked, 5).select("query_id", "id", F.round("score", 5).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
     backlog_diff, priority_work_list, upsert_snapshot, replace_children, cascade_delete, insert_or_ignore, deleted_files, coverage_ratio,
-    union_dedup, symbol_lookup_join, hash_dedup, vector_topk,
+    union_dedup, symbol_lookup_join, hash_dedup, vector_topk, vector_cells,
 )}
 
 _BOTH = """WITH disk AS (SELECT concat('d/', doc_id) AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size, doc_id * 3 AS mtime FROM documents WHERE doc_id % 10 <> 9),
@@ -114,3 +126,4 @@ SQL = {
         FROM e a, e b WHERE a.vec_id % 20 = 0)
         SELECT query_id, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""",
 }
+SQL["vector_cells"] = SQL["vector_topk"]
