@@ -202,11 +202,38 @@ def stateful_attribution(spark, sf_dir):
     return rows.select(F.col("session_id").cast("long").alias("session_id"), "seq", "path", "locate_rank", "cluster_kind", "latency_ms", "locate_id")
 
 
+#: Deliveries of the log end at these times; what comes again or late is chosen by the id.
+CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+
+
+def deduplicated_events(spark, sf_dir):
+    """The log in three deliveries with repeats within and across them and late rows: each event once, late ones apart."""
+    from larkfield.streaming import dedup
+
+    folder = f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/deliveries-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    first, second = (F.lit(c).cast("timestamp") for c in CUTS)
+    old, near = F.col("ts") < first, (F.col("ts") >= first - F.expr("interval 12 hours")) & (F.col("ts") < first)
+    deliveries = [
+        rows.where(old).unionByName(rows.where(old & (F.col("event_id") % 5 == 0))),
+        rows.where((F.col("ts") >= first) & (F.col("ts") < second)).unionByName(rows.where(near)),
+        rows.where(F.col("ts") >= second).unionByName(rows.where(old & (F.col("event_id") % 7 == 0))),
+    ]
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        dedup.split(stream, f"{folder}/out", f"{folder}/c1").awaitTermination()
+        dedup.once(spark, f"{folder}/out", ["event_id"], f"{folder}/c2").awaitTermination()
+    made = spark.read.schema(rows.schema).parquet(f"{folder}/out/rows").withColumn("late", F.lit(False))
+    late = spark.read.parquet(f"{folder}/out/late").select(*rows.columns).withColumn("late", F.lit(True))
+    return made.unionByName(late).groupBy("event_id", "event_type", "late").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     next_event_window, asof_latest_match, interval_attribution, outcome_precedence, mrr_hit_at_k, precision_by_class, median_turns,
     session_vs_lifetime, count_by_reason_map, pivot_actions, guard_counts, session_bypass, slice_staleness, unchanged_lag, retention_prune,
     orphan_antijoin, ensure_session, tool_latency, verdict_join, priority_sort_limit, stream_session_counts,
-    stateful_attribution,
+    stateful_attribution, deduplicated_events,
 )}
 
 SQL = {
@@ -263,6 +290,9 @@ SQL = {
         SELECT r.session_id, r.seq, r.path, r.locate_rank, r.cluster_kind, w.locate_id,
         CASE WHEN calls.event_type = 'purchase' AND before = 'view' AND ms - began <= 86400000 THEN ms - began END AS latency_ms
         FROM r LEFT JOIN calls ON calls.session_id = r.session_id AND calls.seq = r.seq LEFT JOIN w ON w.session_id = r.session_id AND w.seq = r.seq""",
+    "deduplicated_events": f"""SELECT event_id, event_type, false AS late, 1 AS n FROM events
+        UNION ALL SELECT event_id, event_type, true, 1 FROM events WHERE ts < TIMESTAMP '{CUTS[0]}' AND event_id % 7 = 0
+        AND ts <= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '{CUTS[1]}') - INTERVAL 1 DAY""",
     "verdict_join": PRELUDE + """, fs AS (SELECT locate_id, min(seq) AS s FROM w WHERE kind = 'search' GROUP BY 1),
         miss AS (SELECT w.locate_id, arg_min(path, seq) AS target FROM w JOIN fs USING (locate_id) WHERE kind <> 'search' AND seq > s GROUP BY 1),
         help AS (SELECT w.locate_id, arg_min(w.path, w.seq) AS target FROM w JOIN l USING (locate_id) WHERE kind <> 'search'

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from jobs import common, index_documents, session_outcomes
 
 SCHEMA = "doc_id long, text string, lang string, source string"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def arrive(spark, rows, folder, schema=SCHEMA):
@@ -85,7 +86,8 @@ def test_settings(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"buckets": 4}, indent=1))
     assert common.settings(spark, index_documents.Settings, str(path)) == index_documents.Settings(buckets=4)
-    assert common.settings(spark, index_documents.Settings, "jobs/index_documents.json") == index_documents.Settings()
+    assert common.settings(spark, index_documents.Settings, f"{ROOT}/jobs/index_documents.json") == index_documents.Settings()
+    assert common.settings(spark, session_outcomes.Settings, f"{ROOT}/jobs/session_outcomes.json") == session_outcomes.Settings()
     for bad in ({"bucket": 4}, {"buckets": "4"}):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError):
@@ -94,9 +96,8 @@ def test_settings(spark, tmp_path):
 
 def test_command_line(spark, tmp_path):
     arrive(spark, [(7, "one file", "en", "a")], f"{tmp_path}/docs")
-    args = ["--documents", f"{tmp_path}/docs", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/ck", "--config", "jobs/index_documents.json"]
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    done = subprocess.run([sys.executable, "-m", "jobs.index_documents", *args], cwd=root, capture_output=True, text=True, timeout=180)
+    args = ["--documents", f"{tmp_path}/docs", "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/ck", "--config", f"{ROOT}/jobs/index_documents.json"]
+    done = subprocess.run([sys.executable, "-m", "jobs.index_documents", *args], cwd=ROOT, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0 and "batch 0: read 1 rows, indexed 1 documents, wrote 2 postings of 2 words" in done.stderr
     assert held(spark, f"{tmp_path}/out") == postings({7: "one file"})
 
