@@ -279,8 +279,9 @@ def _few(df: DataFrame) -> DataFrame:
 
 #: For similarity, a text has ``VIEWS`` further fingerprints, each of its ``PICKED`` shingles that hash least for the view.
 VIEWS, PICKED, WIDE_SHINGLE, SIMILARITY = 8, 3, 5, 0.8
-#: Rows of a view's fingerprint that are compared in one task, and least hashes of a text that travel with it for that.
-MEET, BINS = 8_192, 128
+#: Rows of a view's fingerprint that are compared in one task; least hashes of a text that travel with it for that, and those
+#: by which pairs are looked up; pairs that are compared at once.
+MEET, FINE, BINS, PAIRS = 8_192, 1_024, 128, 10_000
 _VIEW_SCHEMA = "view int, bits long, text_key long, n int, bins binary"
 
 
@@ -308,13 +309,31 @@ def view_fingerprints(values: np.ndarray) -> list[int]:
 
 
 def least_bins(values: np.ndarray) -> np.ndarray:
-    """16 bits of the least hash in each of ``BINS`` equal ranges of sorted hashes; 0 for an empty range."""
-    out = np.zeros(BINS, dtype=np.uint16)
-    bins, at = np.unique(values >> np.uint64(57), return_index=True)
+    """16 bits of the least hash in each of ``FINE`` equal ranges of sorted hashes; 0 for an empty range."""
+    out = np.zeros(FINE, dtype=np.uint16)
+    bins, at = np.unique(values >> np.uint64(65 - FINE.bit_length()), return_index=True)
     out[bins.astype(np.int64)] = np.maximum(values[at] & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint16)
     return out
 
 
+def coarse_bins(fine: np.ndarray) -> np.ndarray:
+    """The least hashes of ``BINS`` wider ranges: each holds that of its first fine range that is not empty."""
+    parts = fine.reshape(len(fine), BINS, FINE // BINS)
+    return np.take_along_axis(parts, (parts != 0).argmax(2)[:, :, None], axis=2)[:, :, 0]
+
+
+def still_similar(mine: np.ndarray, others: np.ndarray, n_mine: np.ndarray, n_others: np.ndarray) -> np.ndarray:
+    """As ``may_be_similar`` with ``FINE`` least hashes and the sizes of both texts.
+
+    Each range shows one random shingle of both texts together, none twice. Of a text of a few hundred shingles nearly all
+    are seen, so the number that differ strays less, by the share that is not seen.
+    """
+    used = ((others != 0) | (mine != 0)).sum(1)
+    same = ((others == mine) & (mine != 0)).sum(1)
+    unseen = np.clip(1 - used * (1 + SIMILARITY) / (n_mine + n_others), 0.02, 1)
+    return used - same <= (1 - SIMILARITY) * used + 1 + 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used * unseen)
+
+
 def _slack(used: np.ndarray) -> np.ndarray:
     """How many of ``used`` least hashes may differ between texts of ``SIMILARITY``, within four deviations."""
     return (1 - SIMILARITY) * used + 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) * used)
@@ -442,15 +461,18 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len({r[3] for r in rows}) < 2:
             return
         own, keys, n, component = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
-        bins = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(len(rows), BINS)
-        x, y = likely_pairs(bins)
+        fine = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint16).reshape(len(rows), FINE)
+        x, y = likely_pairs(coarse_bins(fine))
         fits = (component[x] != component[y]) & (np.minimum(n[x], n[y]) >= SIMILARITY * np.maximum(n[x], n[y]))
         if task[1] != task[2]:  # what lies in one block meets in its own task
             fits &= own[x] != own[y]
-        x, y = keys[x[fits]], keys[y[fits]]
-        for at in range(0, len(x), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[part], y[part])), pa.array(np.maximum(x[part], y[part]))], names=["a", "b"])
+        x, y = x[fits], y[fits]
+        for at in range(0, len(x), PAIRS):
+            i, j = x[at : at + PAIRS], y[at : at + PAIRS]
+            good = still_similar(fine[i], fine[j], n[i], n[j])
+            a, b = keys[i[good]], keys[j[good]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for batch in batches:
         for *at, own, key, n, component, bins in zip(*(batch.column(k).to_pylist() for k in range(8))):

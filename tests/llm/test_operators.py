@@ -584,6 +584,29 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
     assert {frozenset(g) for g in mine.values()} == {g for g in groups if len(g) > 1}
 
 
+@pytest.mark.parametrize("n", [8, 60, 300, 1_500, 9_000])
+def test_least_hashes_leave_out_no_similar_pair(n):
+    """Pairs of 0.8 or more pass both sieves; of those well below few pass the finer one."""
+    rng = np.random.default_rng(n)
+    passed = {True: [], False: []}
+    for _ in range(400):
+        similar = rng.random() < 0.5
+        share = rng.uniform(0.8, 0.83) if similar else rng.uniform(0.6, 0.7)
+        both = max(1, int(np.ceil(share * n)))
+        alone = n - both
+        values = rng.integers(0, 2**64, n, dtype=np.uint64)
+        left = alone // 2 if rng.random() < 0.5 else alone
+        a, b = np.sort(values[: both + left]), np.sort(np.concatenate([values[:both], values[both + left :]]))
+        x, y = (simhash.least_bins(v)[None] for v in (a, b))
+        assert (simhash.coarse_bins(x) != 0).sum() == len(np.unique(a >> np.uint64(57)))
+        fine = bool(simhash.still_similar(x, y, np.array([len(a)]), np.array([len(b)]))[0])
+        if both >= 0.8 * n:
+            assert simhash.may_be_similar(simhash.coarse_bins(x), simhash.coarse_bins(y))[0]
+        passed[both >= 0.8 * n].append(fine)
+    assert np.mean(passed[True]) > 0.995
+    assert n < 300 or np.mean(passed[False]) < 0.02
+
+
 # ---- substring dedup -----------------------------------------------------------------------------
 
 
