@@ -91,8 +91,26 @@ def constant_references(spark, sf_dir):
     return graph.resolve_references(imports, files).select("src", "dst", "kind")
 
 
+def import_references(spark, sf_dir):
+    """References by relative and by bare imports: customers are files of five folders that import one another."""
+    key = F.col("c_custkey")
+    tail = F.element_at(F.lit([".ts", ".py", ".rb", "/index.js"]), (key % 4 + 1).cast("int"))
+    name = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("file_id"), F.concat(F.lit("src/p"), (key % 5).cast("string"), F.lit("/"), name(key), tail).alias("path"))
+    k = F.col("file_id")
+    # A file below a folder of its own is one level deeper.
+    up = F.when(k % 4 == 3, "../").otherwise("")
+    hint = (
+        F.when(k % 3 == 0, F.concat(F.lit("./"), up, F.lit("../p"), ((k + 1) % 5).cast("string"), F.lit("/"), name(k + 1)))
+        .when(k % 3 == 1, F.concat(F.lit("./"), up, name(k + 5))).otherwise(F.concat(F.lit("lib/x/"), name(k % 40)))
+    )
+    imports = files.select("file_id", "path", hint.alias("hint"), F.when(k % 2 == 0, "import").otherwise("require").alias("kind"))
+    return graph.resolve_references(imports, files).select("src", "dst", "kind")
+
+
 QUERIES = {f.__name__: f for f in (
     cochange_pairs, cochange_kept, cochange_topk_neighbors, recency_counts, recency_boost, fan_in_cap, referrers_topk, edge_replace, constant_references,
+    import_references,
 )}
 
 _COMMITS = f"""
@@ -121,6 +139,9 @@ SQL = {
         WHERE dst NOT IN (SELECT dst FROM h))) WHERE rank <= 10""",
     "edge_replace": """SELECT least(l_partkey, l_suppkey) AS file_a, greatest(l_partkey, l_suppkey) AS file_b,
         arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS weight FROM lineitem GROUP BY 1, 2""",
+    "import_references": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'import' ELSE 'require' END AS kind FROM customer),
+        e AS (SELECT k AS src, CASE k % 3 WHEN 0 THEN k + 1 WHEN 1 THEN k + 5 ELSE k % 40 END AS dst, kind, k % 3 = 2 AS bare FROM c)
+        SELECT DISTINCT src, dst, e.kind FROM e JOIN c ON c.k = dst WHERE src <> dst AND NOT (bare AND dst % 4 = 3)""",
     "constant_references": """WITH f AS (SELECT s_suppkey AS dst, concat('app/models/nation_', s_nationkey % 25, '/item_', s_suppkey % 7, '.rb') AS path FROM supplier),
         c AS (SELECT s_suppkey + 1000000 AS src, concat('nation_', s_suppkey % 25, '/item_', s_suppkey % 5, '.rb') AS tail FROM supplier)
         SELECT DISTINCT src, dst, 'ruby_const' AS kind FROM c JOIN f ON path = tail OR ends_with(path, concat('/', tail)) WHERE src <> dst""",

@@ -216,10 +216,23 @@ def eval_hits(spark, sf_dir):
     return evaluate.judge(results, cases)
 
 
+#: What the cases of ``eval_kinds`` ask for, by the query's id: a suffix the first result must not have, a prefix, a part, a list.
+ASKED = ("3.", "doc-1", "7", ["doc-2", "doc-45.x"])
+
+
+def eval_kinds(spark, sf_dir):
+    """Verdicts of all kinds of expectations on the ranked documents of each benchmark item."""
+    kind = F.col("item_id") % 4
+    wanted = [F.when(kind == i, F.lit(a)).alias(n) for i, (n, a) in enumerate(zip(("expect_not_suffix", "expect_prefix", "expect_contains", "expect"), ASKED))]
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), *wanted)
+    found = kept_index(spark, sf_dir, ["text"]).match(short_queries(spark, sf_dir, 2), {"text": 1.0}, k=5)
+    return evaluate.judge(found.select("query_id", "rank", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".")).alias("path")), cases)
+
+
 QUERIES = {f.__name__: f for f in (
     prose_tokens_df, identifier_split, keyword_filter, bm25_topk, and_or_fallback, fielded_bm25, phrase_match, stemmed_bm25, path_match_signal,
     test_penalty, fused_rank, confidence_flag, query_classify, prompt_classify, search_commands, grep_guard, underscore_paths, url_languages,
-    line_slices, scan_baseline, eval_hits,
+    line_slices, scan_baseline, eval_hits, eval_kinds,
 )}
 
 _FOLD = f"translate(lower({{}}), '{text.MARKED}', '{text.PLAIN}')"
@@ -355,6 +368,12 @@ SQL = {
         SELECT doc_id, array_to_string(ls[lo : greatest(lo, least(a + 2, len(ls)))], chr(10)) AS body FROM y""",
     "scan_baseline": f"""WITH q AS (SELECT query_id, (list_filter({_WS.format('query')}, lambda t: length(t) > 3))[1] AS token FROM ({_asked(6)}))
         SELECT query_id, count(DISTINCT doc_id) AS n_candidates FROM q LEFT JOIN documents ON contains(text, token) WHERE token IS NOT NULL GROUP BY 1""",
+    "eval_kinds": _bm25({"text": 1.0}, _asked(2)) + f""", t AS (SELECT query_id, concat('doc-', doc_id, '.') AS path, r FROM (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY round(b, 9), doc_id) AS r FROM k) WHERE r <= 5),
+        v AS (SELECT item_id AS query_id, r, CASE item_id % 4 WHEN 0 THEN NOT ends_with(path, '{ASKED[0]}') WHEN 1 THEN starts_with(path, '{ASKED[1]}')
+        WHEN 2 THEN contains(path, '{ASKED[2]}') ELSE contains(path, '{ASKED[3][0]}') OR contains(path, '{ASKED[3][1]}') OR contains('{ASKED[3][0]}', path) OR contains('{ASKED[3][1]}', path) END AS ok
+        FROM benchmark LEFT JOIN t ON query_id = item_id)
+        SELECT query_id, coalesce(bool_or(ok) FILTER (r = 1), false) AS hit1, coalesce(bool_or(ok) FILTER (r = 1 OR query_id % 4 <> 0), false) AS hitk FROM v GROUP BY 1""",
     "eval_hits": _bm25({"text": 1.0}, _asked(8)) + """, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9), doc_id) AS r FROM k) WHERE r <= 5),
         e AS (SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
         SELECT query_id, coalesce(bool_or(r = 1), false) AS hit1, count(r) > 0 AS hitk FROM e LEFT JOIN t USING (query_id, doc_id) GROUP BY 1""",
