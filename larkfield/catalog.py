@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkfield.plans import graph_queries, session_queries, table_queries, text_queries
+from larkfield.plans import graph_queries, session_queries, source_queries, table_queries, text_queries
 
-_MODULES = (text_queries, graph_queries, session_queries, table_queries)
+_MODULES = (text_queries, graph_queries, session_queries, table_queries, source_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
