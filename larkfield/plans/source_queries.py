@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkfield.functions import classify, text
-from larkfield.operators import events, extract
+from larkfield.operators import events, extract, sessions
 from larkfield.plans.text_queries import table
 from larkfield.sources import git
 
@@ -95,7 +95,36 @@ def answers(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_imports, extracted_texts, parsed_log, paths_below, answers)}
+#: Results of calls that were served.
+SHOWN = '{"results":[{"path":"{w}.rb"},{"path":"b.rb"}],"cluster":{"cochange":["c.rb"],"referrers":[]},"confidence":"high"}'
+SLICED = '{"path":"/r/c.rb","stale_index":true}'
+
+
+def dispatched_calls(spark, sf_dir):
+    """Calls of seven kinds, a conversation a session: the rows they give, with the numbers that only those rows use up."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{3,}"), F.lit(0))
+    w = F.coalesce(F.get(found, F.lit(0)), F.lit("word"))
+    at = (F.length(F.coalesce("text", F.lit(""))) + F.col("turn")) % 7
+    of = lambda *values: F.element_at(F.array(*[v if not isinstance(v, (str, type(None))) else F.lit(v).cast("string") for v in values]), (at + 1).cast("int"))
+    calls = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), (F.col("turn") * 1_000).alias("ts"), F.col("turn").cast("int").alias("turn"), of("locate", "locate", "slice", "read", "read", "bash", "edit").alias("tool"),
+        F.create_map(
+            F.lit("query"), F.concat_ws(" ", w, w), F.lit("path"), of(None, None, None, "b.rb", "../../etc", None, None), F.lit("command"), of(None, None, None, None, None, F.concat(F.lit("cd x && rg "), w), None),
+        ).alias("args"),
+        of(F.replace(F.lit(SHOWN), F.lit("{w}"), w), None, SLICED, None, None, None, None).alias("details"), F.lit("it is disabled here").alias("content"),
+        F.lit(False).alias("is_error"), F.lit("/r").alias("root"), F.lit("/r").alias("cwd"),
+    )
+    made = events.dispatch(calls)
+    locates, used = made["locates"], sessions.attribute_ring(made["locates"], made["consumes"])
+    place = F.coalesce(F.col("locate_rank").cast("string"), "cluster_kind", F.lit("-"))
+    return (
+        locates.select("session_id", "seq", "turn", F.lit("locate").alias("kind"), F.concat_ws(" ", "query_type", F.col("result_count").cast("string"), "confidence").alias("what"))
+        .unionByName(used.select("session_id", "seq", "turn", "kind", F.concat_ws(" ", "path", "search_tool", "search_pattern", place).alias("what")))
+        .unionByName(made["unavailable"].select("session_id", "seq", "turn", F.lit("unavailable").alias("kind"), F.concat_ws(" ", "tool", "reason").alias("what")))
+    )
+
+
+QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_imports, extracted_texts, parsed_log, paths_below, answers, dispatched_calls)}
 
 _WORDS = """WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[a-z]{3,}') AS ws FROM conversations),
     c AS (SELECT conv_id, turn, coalesce(ws[1], 'word') AS w, coalesce(ws[2], 'other') AS u FROM t)
@@ -124,6 +153,12 @@ SQL = {
         m AS (SELECT *, max(CASE WHEN good THEN k END) OVER (PARTITION BY source ORDER BY k) AS owner FROM o),
         f AS (SELECT owner, list_sort(list(concat('p', l_partkey))) AS files FROM m JOIN lineitem ON l_orderkey = k WHERE owner IS NOT NULL GROUP BY 1)
         SELECT CAST(k AS VARCHAR) AS sha, ts, coalesce(array_to_string(files, ','), '') AS files FROM o LEFT JOIN f ON owner = k WHERE good""",
+    "dispatched_calls": """WITH t AS (SELECT conv_id AS session_id, turn, (length(coalesce(text, '')) + turn) % 7 AS c, coalesce(regexp_extract_all(coalesce(text, ''), '[a-z]{3,}')[1], 'word') AS w FROM conversations),
+        k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS seq FROM t WHERE c NOT IN (4, 6)),
+        n AS (SELECT *, count(*) FILTER (c = 0) OVER (PARTITION BY session_id ORDER BY turn) AS locates FROM k)
+        SELECT session_id, seq, turn, CASE c WHEN 0 THEN 'locate' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'slice' WHEN 3 THEN 'read' ELSE 'search' END AS kind,
+        CASE c WHEN 0 THEN 'keyword 2 high' WHEN 1 THEN 'locate disabled' WHEN 2 THEN concat('c.rb ', CASE WHEN locates > 0 THEN 'cochange' ELSE '-' END)
+        WHEN 3 THEN concat('b.rb ', CASE WHEN locates > 0 THEN '2' ELSE '-' END) ELSE concat('rg ', w, ' -') END AS what FROM n""",
     "paths_below": f"""WITH c AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, coalesce(nullif(regexp_extract(coalesce(text, ''), '[a-z]{{3,}}'), ''), 'word') AS w FROM conversations)
         SELECT conv_id, turn, replace(([{', '.join('NULL' if p is None else f"'{p}'" for _, p in PATHS)}])[(n + turn) % {len(PATHS)} + 1], '{{w}}', w) AS path FROM c""",
     "answers": f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations),
