@@ -182,6 +182,15 @@ def priority_sort_limit(spark, sf_dir):
     return export.export_cases(rows, used, spark.range(15).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"))).select("locate_id", "priority", "outcome")
 
 
+def case_consumes(spark, sf_dir):
+    """What was used after the searches of the exported cases, and how many results they show, without a secret file."""
+    locates, used = telemetry(spark, sf_dir)
+    named = lambda p: F.when(p == "f3", "id_f3").otherwise(p)
+    locates, used = locates.withColumn("results", F.transform("results", named)), used.withColumn("path", named(F.col("path")))
+    cases = export.export_cases(sessions.outcomes(locates, used), used, spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path")))
+    return cases.select("locate_id", F.size("results").alias("n_results"), F.explode_outer("consumes").alias("c")).select("locate_id", "n_results", "c.seq", "c.kind", "c.path", "c.locate_rank")
+
+
 def stream_session_counts(spark, sf_dir):
     from larkfield.streaming.sessions import session_counts
 
@@ -233,7 +242,7 @@ QUERIES = {f.__name__: f for f in (
     next_event_window, asof_latest_match, interval_attribution, outcome_precedence, mrr_hit_at_k, precision_by_class, median_turns,
     session_vs_lifetime, count_by_reason_map, pivot_actions, guard_counts, session_bypass, slice_staleness, unchanged_lag, retention_prune,
     orphan_antijoin, ensure_session, tool_latency, verdict_join, priority_sort_limit, stream_session_counts,
-    stateful_attribution, deduplicated_events,
+    stateful_attribution, deduplicated_events, case_consumes,
 )}
 
 SQL = {
@@ -290,6 +299,12 @@ SQL = {
         SELECT r.session_id, r.seq, r.path, r.locate_rank, r.cluster_kind, w.locate_id,
         CASE WHEN calls.event_type = 'purchase' AND before = 'view' AND ms - began <= 86400000 THEN ms - began END AS latency_ms
         FROM r LEFT JOIN calls ON calls.session_id = r.session_id AND calls.seq = r.seq LEFT JOIN w ON w.session_id = r.session_id AND w.seq = r.seq""",
+    "case_consumes": PRELUDE + """, top AS (SELECT locate_id, CASE WHEN outcome = 'miss-fallback' AND NOT justified_fallback THEN 0
+        WHEN outcome = 'cluster-assist' THEN 1 WHEN outcome = 'miss-fallback' THEN 2 WHEN outcome = 'abandoned' THEN 3
+        WHEN confidence = 'low' THEN 4 ELSE 5 END AS priority FROM oo ORDER BY priority, locate_id LIMIT 50),
+        n AS (SELECT locate_id, count(*) AS n FROM shown WHERE src = 0 AND path <> 'f3' GROUP BY 1),
+        u AS (SELECT * FROM w WHERE path IS NULL OR path <> 'f3')
+        SELECT top.locate_id, coalesce(n.n, 0) AS n_results, u.seq, u.kind, u.path, u.locate_rank FROM top LEFT JOIN n USING (locate_id) LEFT JOIN u USING (locate_id)""",
     "deduplicated_events": f"""SELECT event_id, event_type, false AS late, 1 AS n FROM events
         UNION ALL SELECT event_id, event_type, true, 1 FROM events WHERE ts < TIMESTAMP '{CUTS[0]}' AND event_id % 7 = 0
         AND ts <= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '{CUTS[1]}') - INTERVAL 1 DAY""",
