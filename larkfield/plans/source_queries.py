@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions import classify, text
 from larkfield.operators import events, extract, sessions
+from larkfield.plans.locate import slices
 from larkfield.plans.text_queries import table
 from larkfield.sources import git
 
@@ -124,7 +125,23 @@ def dispatched_calls(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_imports, extracted_texts, parsed_log, paths_below, answers, dispatched_calls)}
+def file_slices(spark, sf_dir):
+    """Slices of documents by lines and by symbol, and requests that are refused; every fourth document has changed since."""
+    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    own = F.concat(F.lit("docs/"), key.cast("string"), F.lit(".md"))
+    of = lambda *values: F.element_at(F.array(*[v if not isinstance(v, (str, int, type(None))) else F.lit(v) for v in values]), (key % 6 + 1).cast("int"))
+    requests = docs.select(
+        key.alias("request_id"), of(own, F.concat(F.lit("@"), own), "../x.md", ".env", "missing.md", own).alias("path"), of(None, "S", None, None, None, "Absent").cast("string").alias("symbol"),
+        of(2, None, 1, 1, 1, None).cast("int").alias("start_line"), of(4, None, 9, 9, 9, None).cast("int").alias("end_line"),
+    )
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    files = docs.select(own.alias("path"), "text", digest.alias("content_hash"), F.when(key % 4 == 0, "x").otherwise(digest).alias("indexed_hash"), key.alias("file_id"))
+    line = (key % 5).cast("int")
+    symbols = docs.select(key.alias("file_id"), F.lit("S").alias("name"), F.explode(F.array(F.struct((line + 3).alias("start_line"), (line + 4).alias("end_line")), F.struct(line.alias("start_line"), (line + 1).alias("end_line")))).alias("s"))
+    return slices(requests, files, symbols.select("file_id", "name", "s.start_line", "s.end_line")).drop("path")
+
+
+QUERIES = {f.__name__: f for f in (extracted_symbols, extracted_imports, extracted_texts, parsed_log, paths_below, answers, dispatched_calls, file_slices)}
 
 _WORDS = """WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[a-z]{3,}') AS ws FROM conversations),
     c AS (SELECT conv_id, turn, coalesce(ws[1], 'word') AS w, coalesce(ws[2], 'other') AS u FROM t)
@@ -159,6 +176,12 @@ SQL = {
         SELECT session_id, seq, turn, CASE c WHEN 0 THEN 'locate' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'slice' WHEN 3 THEN 'read' ELSE 'search' END AS kind,
         CASE c WHEN 0 THEN 'keyword 2 high' WHEN 1 THEN 'locate disabled' WHEN 2 THEN concat('c.rb ', CASE WHEN locates > 0 THEN 'cochange' ELSE '-' END)
         WHEN 3 THEN concat('b.rb ', CASE WHEN locates > 0 THEN '2' ELSE '-' END) ELSE concat('rg ', w, ' -') END AS what FROM n""",
+    "file_slices": """WITH d AS (SELECT doc_id, doc_id % 6 AS c, string_split(text, chr(10)) AS ls FROM documents),
+        e AS (SELECT *, CASE WHEN c IN (2, 3) THEN 'forbidden path' WHEN c = 4 OR ls IS NULL THEN 'no such file' WHEN c = 5 THEN 'no such symbol' END AS error,
+        CASE c WHEN 0 THEN 2 ELSE doc_id % 5 + 1 END AS lo, CASE c WHEN 0 THEN 4 ELSE doc_id % 5 + 2 END AS hi FROM d),
+        p AS (SELECT *, greatest(1, least(lo, len(ls))) AS a FROM e), q AS (SELECT *, greatest(a, least(hi, len(ls))) AS b FROM p)
+        SELECT doc_id AS request_id, CASE WHEN error IS NULL THEN CAST(a - 1 AS INT) END AS start_line, CASE WHEN error IS NULL THEN CAST(b - 1 AS INT) END AS end_line,
+        CASE WHEN error IS NULL THEN array_to_string(ls[a:b], chr(10)) END AS body, c NOT IN (2, 3, 4) AND doc_id % 4 = 0 AS stale, error FROM q""",
     "paths_below": f"""WITH c AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, coalesce(nullif(regexp_extract(coalesce(text, ''), '[a-z]{{3,}}'), ''), 'word') AS w FROM conversations)
         SELECT conv_id, turn, replace(([{', '.join('NULL' if p is None else f"'{p}'" for _, p in PATHS)}])[(n + turn) % {len(PATHS)} + 1], '{{w}}', w) AS path FROM c""",
     "answers": f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations),
