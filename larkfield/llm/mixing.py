@@ -9,7 +9,8 @@ gives, and gaps of over ``GAP`` of the budget raise a warning. Up to ``MAX_CELLS
 in Spark tables, a sweep at a time. Each document is drawn by a hash of its id and the seed, so a draw can be repeated.
 
 Topics, unless a column is given, are clusters of texts by their words (``TopicModel``): hashed word counts, less the
-mean of the language, nearest of ``TOPICS`` centres that are fitted on at most ``TOPIC_SAMPLE`` documents.
+mean of the language, nearest of ``TOPICS`` centres. Means and centres are fitted on all texts: their counts are stored once
+as whole numbers, each turn adds them up by centre in the tasks, and the sums are exact in whatever order they come.
 
 Defined results: null or empty texts have no tokens, topic ``(none)``, and take their cell's probability; null sources
 and languages form a value of their own (``(none)``); repeated ids share their fate; values without a target keep their
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import warnings
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,21 +35,30 @@ from larkfield.llm.common import Stored, append_columns, without
 
 DIMENSIONS = ("mix_source", "mix_lang", "mix_topic")
 MAX_CELLS, SWEEPS, TOLERANCE, GAP = 100_000, 400, 1e-9, 0.01
-#: Clusters of texts, documents that they are fitted on at most, and dimensions of the hashed word counts.
-TOPICS, TOPIC_SAMPLE, WIDTH = 6, 3_000, 256
+#: Clusters of texts, turns of their fit, dimensions of the hashed word counts, and what a count of one is as a whole number.
+TOPICS, TURNS, WIDTH, UNIT = 6, 25, 256, 32_767
+#: Texts that a language must have for a mean of its own, and sums that a task holds before it sends them.
+OWN_MEAN, HELD_SUMS = 20, 1_000
 #: Shares of the default targets are token sums to these powers: large values are damped.
 TEMPER = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.8}
 WRITTEN = (*DIMENSIONS, "n_tokens", "probability", "sampled")
 
 
-_known: dict[str, int] = {}
+class _Codes(dict):
+    """The dimension of each word met, so that a word is hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        return self.setdefault(word, zlib.crc32(word.encode("utf-8", "surrogatepass")) % WIDTH)
+
+
+_known = _Codes()
 
 
 def word_counts(text: str | None) -> np.ndarray:
     """Damped, normalised counts of the hashed words of a whole text; zero without words."""
-    if len(_known) > 500_000:
-        _known.clear()
-    at = [_known[w] if w in _known else _known.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) % WIDTH) for w in (text or "").lower().split()]
+    at = list(map(_known.__getitem__, (text or "").lower().split()))
     out = np.log1p(np.bincount(at, minlength=WIDTH)) if at else np.zeros(WIDTH)
     size = np.linalg.norm(out)
     return (out / size if size else out).astype(np.float32)
@@ -70,32 +80,80 @@ class TopicModel:
         return ["(none)" if none or not len(self.centres) else f"topic{k}" for none, k in zip(empty, near)]
 
 
-def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, limit: int = TOPIC_SAMPLE, seed: int = 5) -> TopicModel:
-    """Fits on the ``limit`` texts of least hash; their counts are made on the executors."""
-    drawn = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text, lang).alias("h"), F.coalesce(F.col(lang).cast("string"), F.lit("(none)")).alias("lang"), F.col(text).alias("text"))
-    least = drawn.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    if least is None:
-        return TopicModel({}, np.zeros((0, WIDTH), dtype=np.float32))
+def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, seed: int = 5) -> TopicModel:
+    """Fits on all texts with words, from the ``topics`` different ones of least hash on; the driver gets sums alone."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text, lang, F.lit(seed)).alias("h"), F.coalesce(F.col(lang).cast("string"), F.lit("(none)")).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [word_counts(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["h", "lang", "counts"])
-
-    # Texts that repeat are drawn once: without that, a text of a third of all rows would come in whole.
-    once = drawn.where(F.col("h") <= least).groupBy("h", "lang").agg(F.first("text").alias("text")).select("h", "lang", "text")
-    rows = sorted(map(tuple, once.mapInArrow(count, "h long, lang string, counts binary").collect()))
-    x = np.stack([np.frombuffer(bytes(r[2]), dtype=np.float32) for r in rows]).astype(np.float64)
-    langs = np.array([r[1] for r in rows])
-    means = {str(k): x[langs == k].mean(0).astype(np.float32) for k in np.unique(langs) if (langs == k).sum() >= 20}
-    means[""] = x.mean(0).astype(np.float32)
-    x = x - np.stack([means.get(str(k), means[""]) for k in langs])
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(topics, len(x)), replace=False)]
-    for _ in range(25):
-        near = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
-        centres = np.stack([x[near == k].mean(0) if (near == k).any() else centres[k] for k in range(len(centres))])
-    return TopicModel(means, centres.astype(np.float32))
+            made = [np.rint(word_counts(t) * UNIT).astype(np.int16) for t in batch.column(2).to_pylist()]
+            some = pa.array([bool(x.any()) for x in made], pa.bool_())
+            counts = pa.array([x.tobytes() for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["h", "lang", "counts"]).filter(some)
+
+    stored = Stored(rows.mapInArrow(count, "h long, lang string, counts binary"))
+    first = [r.h for r in stored.df.select("h").distinct().orderBy("h").limit(topics).collect()]
+    if not first:
+        stored.drop()
+        return TopicModel({}, np.zeros((0, WIDTH), dtype=np.float32))
+    by_lang = _sums(stored.df, lambda langs, x: (langs, x))
+    n, total = sum(n for n, _ in by_lang.values()), sum(x for _, x in by_lang.values())
+    means = {k: np.rint(x / m).astype(np.int64) for k, (m, x) in by_lang.items() if m >= OWN_MEAN}
+    means[""] = np.rint(total / n).astype(np.int64)
+    del by_lang
+
+    def centred(langs: list[str], x: np.ndarray) -> np.ndarray:
+        return x - np.stack([means.get(k, means[""]) for k in langs])
+
+    begun = stored.df.where(F.col("h").isin(first)).groupBy("h").agg(F.first("lang").alias("lang"), F.first("counts").alias("counts")).orderBy("h").collect()
+    centres = centred([r.lang for r in begun], np.stack([np.frombuffer(bytes(r.counts), dtype=np.int16) for r in begun])) / UNIT
+    for _ in range(TURNS):
+
+        def nearest(langs: list[str], x: np.ndarray, centres: np.ndarray = centres) -> tuple[list[str], np.ndarray]:
+            x = centred(langs, x)
+            return [str(k) for k in (x @ centres.T / UNIT - (centres**2).sum(1) / 2).argmax(1)], x
+
+        found = _sums(stored.df, nearest)
+        moved = np.stack([found[str(k)][1] / (found[str(k)][0] * UNIT) if str(k) in found else c for k, c in enumerate(centres)])
+        if (moved == centres).all():
+            break
+        centres = moved
+    stored.drop()
+    return TopicModel({k: (x / UNIT).astype(np.float32) for k, x in means.items()}, centres.astype(np.float32))
+
+
+def _sums(rows: DataFrame, group: Callable[[list[str], np.ndarray], tuple[list[str], np.ndarray]]) -> dict[str, tuple[int, np.ndarray]]:
+    """How many rows(h, lang, counts) each group has, and the sum of what ``group`` makes of their counts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([x.tolist() for _, x in held.values()], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["k", "n", "sums"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int16).reshape(-1, WIDTH).astype(np.int64)
+            keys, x = group(batch.column(1).to_pylist(), x)
+            names, at = np.unique(np.array(keys, dtype=object), return_inverse=True)
+            for i, name in enumerate(names.tolist()):
+                mine = at == i
+                before = held.setdefault(name, [0, np.zeros(WIDTH, dtype=np.int64)])
+                before[0] += int(mine.sum())
+                before[1] += x[mine].sum(0)
+            if len(held) >= HELD_SUMS:
+                yield sent()
+                held = {}
+        yield sent()
+
+    made = rows.mapInArrow(add, "k string, n long, sums array<long>")
+    added = made.select("k", "n", F.posexplode("sums")).groupBy("k", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("x"))
+    out: dict[str, tuple[int, np.ndarray]] = {}
+    for k, pos, n, x in added.collect():
+        out.setdefault(k, (n, np.zeros(WIDTH, dtype=np.int64)))[1][pos] = x
+    return out
 
 
 def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:

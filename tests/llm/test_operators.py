@@ -195,6 +195,17 @@ def test_topics_tell_kinds_of_texts_apart_within_languages(spark):
     assert model.topics([None, ""], ["a", None]) == ["(none)", "(none)"]
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    rng, kinds = random.Random(4), [[f"k{k}w{i}" for i in range(40)] for k in range(2)]
+    rows = [(d, " ".join(rng.choices(kinds[d % 2], k=30) + rng.choices([f"c{i}" for i in range(30)], k=rng.randint(1, 30))), "ab"[d % 4 // 2]) for d in range(3_400)]
+    model = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), topics=2)
+    counts, langs, found = np.stack([mixing.word_counts(r[1]) for r in rows]), np.array([r[2] for r in rows]), np.array(model.topics([r[1] for r in rows], [r[2] for r in rows]))
+    for lang in "ab":
+        assert np.abs(model.means[lang] - counts[langs == lang].mean(0)).max() < 5e-5
+    rest = counts - np.stack([model.means[x] for x in langs])
+    assert all(np.abs(model.centres[k] - rest[found == f"topic{k}"].mean(0)).max() < 5e-5 for k in range(2))
+
+
 def test_shares_of_missing_targets():
     assert mixing.shares({"a": 1.0, "b": 3.0}, {"a": 0.5, "z": 0.5}, 1) == {"a": 0.5, "b": 0.5}
     assert mixing.shares({}, None, 0.5) == {}
