@@ -96,22 +96,22 @@ def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
     if not first:
         stored.drop()
         return TopicModel({}, np.zeros((0, WIDTH), dtype=np.float32))
-    by_lang = _sums(stored.df, lambda langs, x: (langs, x))
+    by_lang = _sums(stored.df, lambda langs, at, x: (langs, at, x))
     n, total = sum(n for n, _ in by_lang.values()), sum(x for _, x in by_lang.values())
     means = {k: np.rint(x / m).astype(np.int64) for k, (m, x) in by_lang.items() if m >= OWN_MEAN}
     means[""] = np.rint(total / n).astype(np.int64)
     del by_lang
 
-    def centred(langs: list[str], x: np.ndarray) -> np.ndarray:
-        return x - np.stack([means.get(k, means[""]) for k in langs])
+    def centred(langs: list[str], at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return x - np.stack([means.get(k, means[""]) for k in langs])[at]
 
     begun = stored.df.where(F.col("h").isin(first)).groupBy("h").agg(F.first("lang").alias("lang"), F.first("counts").alias("counts")).orderBy("h").collect()
-    centres = centred([r.lang for r in begun], np.stack([np.frombuffer(bytes(r.counts), dtype=np.int16) for r in begun])) / UNIT
+    centres = centred([r.lang for r in begun], np.arange(len(begun)), np.stack([np.frombuffer(bytes(r.counts), dtype=np.int16) for r in begun])) / UNIT
     for _ in range(TURNS):
 
-        def nearest(langs: list[str], x: np.ndarray, centres: np.ndarray = centres) -> tuple[list[str], np.ndarray]:
-            x = centred(langs, x)
-            return [str(k) for k in (x @ centres.T / UNIT - (centres**2).sum(1) / 2).argmax(1)], x
+        def nearest(langs: list[str], at: np.ndarray, x: np.ndarray, centres: np.ndarray = centres) -> tuple[list[str], np.ndarray, np.ndarray]:
+            x = centred(langs, at, x)
+            return [str(k) for k in range(len(centres))], (x @ centres.T / UNIT - (centres**2).sum(1) / 2).argmax(1), x
 
         found = _sums(stored.df, nearest)
         moved = np.stack([found[str(k)][1] / (found[str(k)][0] * UNIT) if str(k) in found else c for k, c in enumerate(centres)])
@@ -122,8 +122,9 @@ def fit_topics(docs: DataFrame, text: str = "text", lang: str = "lang", topics:
     return TopicModel({k: (x / UNIT).astype(np.float32) for k, x in means.items()}, centres.astype(np.float32))
 
 
-def _sums(rows: DataFrame, group: Callable[[list[str], np.ndarray], tuple[list[str], np.ndarray]]) -> dict[str, tuple[int, np.ndarray]]:
-    """How many rows(h, lang, counts) each group has, and the sum of what ``group`` makes of their counts."""
+def _sums(rows: DataFrame, group: Callable[[list[str], np.ndarray, np.ndarray], tuple[list[str], np.ndarray, np.ndarray]]) -> dict[str, tuple[int, np.ndarray]]:
+    """How many rows(h, lang, counts) each group has, and the sum of what ``group`` makes of the languages, the number of
+    each row's language among them, and the counts: names, the number of each row's name, and whole numbers."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -135,14 +136,16 @@ def _sums(rows: DataFrame, group: Callable[[list[str], np.ndarray], tuple[list[s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int16).reshape(-1, WIDTH).astype(np.int64)
-            keys, x = group(batch.column(1).to_pylist(), x)
-            names, at = np.unique(np.array(keys, dtype=object), return_inverse=True)
-            for i, name in enumerate(names.tolist()):
-                mine = at == i
-                before = held.setdefault(name, [0, np.zeros(WIDTH, dtype=np.int64)])
-                before[0] += int(mine.sum())
-                before[1] += x[mine].sum(0)
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int16).reshape(-1, WIDTH).astype(np.float64)
+            langs = batch.column(1).dictionary_encode()
+            names, at, x = group(langs.dictionary.to_pylist(), langs.indices.to_numpy(), x)
+            mine = at == np.arange(len(names))[:, None]
+            # Sums of whole numbers far below 2**53 are exact.
+            for name, n, sums in zip(names, mine.sum(1).tolist(), (mine.astype(np.float64) @ x).astype(np.int64)):
+                if n:
+                    before = held.setdefault(name, [0, np.zeros(WIDTH, dtype=np.int64)])
+                    before[0] += n
+                    before[1] += sums
             if len(held) >= HELD_SUMS:
                 yield sent()
                 held = {}
