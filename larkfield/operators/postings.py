@@ -13,7 +13,8 @@ readers see a whole index.
 Searches over many postings go range by range (``match``): ranges that hold all terms of a query first, as only they can
 hold a document with all of them; for a query without any, the ranges that may score most, then those that may still reach
 the k-th score found. That gives the rows of a full scan. It needs an index of one segment without deletions and queries
-without phrases of several terms; others are scanned.
+without phrases of several terms; others are scanned. Batches of more than ``RANGE_QUERIES`` queries are scored document by
+document (``_by_documents``): the postings of all their terms are shuffled once, however many queries ask for a term.
 
 Defined results: null texts have no terms but count as documents of length zero; of documents added twice in one call
 the rows stay as they are, as one call is expected to hold a document once.
@@ -24,8 +25,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +49,9 @@ PUSHED_TERMS = 2_000
 SCAN_POSTINGS, FIRST_RANGES = 20_000_000, 16
 #: Terms whose wanted ranges are pushed to the files, as so many intervals each.
 PUSHED_RANGES, INTERVALS = 32, 16
+#: Queries that go range by range at most; terms times queries that are scored document by document, numbers of a matrix
+#: of documents, and postings that are scored at once.
+RANGE_QUERIES, DENSE, CELLS, AT_ONCE = 16, 4_000_000, 1_000_000, 400_000
 _SORT_AGGREGATE = "spark.sql.execution.useObjectHashAggregateExec"
 
 
@@ -310,7 +316,11 @@ class PostingsIndex:
         """(query_id, n_terms, doc_id, n_hit, b) as ``search.bm25`` gives it."""
         return self._score(*self._asked(phrases), weights)
 
-    def _score(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], known: Mapping[str, int] | None = None) -> DataFrame:
+    def _score(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], known: Mapping[str, int] | None = None, k: int | None = None) -> DataFrame:
+        """All scores, or with ``k`` at least those of the first ``k`` documents of each query."""
+        terms = sorted({r.term for r in rows})
+        if rows and few and self._whole() and len(terms) <= PUSHED_TERMS and len(terms) * len({r.query_id for r in rows}) <= DENSE and all(r.phrase_len == 1 for r in rows):
+            return self._by_documents(asked, rows, self.frequencies(terms) if known is None else known, weights, k)
         return self._parts(self._counted(self._hits(asked, rows, few, weights), rows, few, known))
 
     def match(self, queries: DataFrame, weights: Mapping[str, float], k: int = R.CANDIDATES, stem: bool = False) -> DataFrame:
@@ -322,15 +332,42 @@ class PostingsIndex:
             scored = self._parts(self._counted(self._hits(asked, rows, few, weights, stem), [], few=False))
         elif rows and few and self._whole() and len(terms) <= PUSHED_TERMS and all(r.phrase_len == 1 for r in rows):
             known = self.frequencies(terms)
-            if sum(known.values()) > SCAN_POSTINGS:
+            if sum(known.values()) > SCAN_POSTINGS and len({r.query_id for r in rows}) <= RANGE_QUERIES:
                 scored = self._by_ranges(asked, known, weights, k)
-        scored = self._score(asked, rows, few, weights, known) if scored is None else scored
+        scored = self._score(asked, rows, few, weights, known, k) if scored is None else scored
         scored = scored.withColumn("whole", F.col("n_hit") == F.col("n_terms"))
         # Rows with all terms come first, so the first row of a query tells whether it has any.
         top = search.ranked(scored, k, F.desc("whole"), F.round("b", 9).asc(), F.col("doc_id").asc())
         any_whole = F.max("whole").over(W.partitionBy("query_id"))
         return top.withColumn("used_or", ~any_whole).where(F.col("whole") | F.col("used_or")).select("query_id", "n_terms", "doc_id", "n_hit", "b", "used_or", "rank")
 
+    # ---- document by document ----------------------------------------------------------------------
+
+    def _by_documents(self, asked: DataFrame, rows: list, known: Mapping[str, int], weights: Mapping[str, float], k: int | None) -> DataFrame:
+        """The postings of all terms come together by document, and a task scores its documents against all queries."""
+        terms = sorted({r.term for r in rows})
+        code = {t: i for i, t in enumerate(terms)}
+        queries = sorted({(r.query_id, r.n_terms) for r in rows})
+        column = {q: i for i, (q, _) in enumerate(queries)}
+        times = np.zeros((len(terms), len(queries)))
+        for r in rows:
+            times[code[r.term], column[r.query_id]] += 1
+        n, mean = self.stats()
+        shipped = self.spark.sparkContext.broadcast((queries, times, np.array([known.get(t, 0) for t in terms], dtype=np.float64), n, mean))
+        codes = self.spark.createDataFrame(list(code.items()), "term string, code int")
+        tf = (self._weight(weights) * F.col("tf")).alias("tf")
+        found = self._postings(terms).join(F.broadcast(codes), "term").select("doc_id", "length", "code", tf)
+        kinds = {c.name: c.dataType.simpleString() for c in (*asked.schema.fields, *found.schema.fields)}
+        schema = f"query_id {kinds['query_id']}, n_terms int, doc_id {kinds['doc_id']}, n_hit long, b double"
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = _Scorer(*shipped.value, k)
+            for ids, lengths, at, codes, tf in _documents(batches):
+                yield from scorer.add(ids, lengths, at, codes, tf)
+            yield from scorer.rest()
+
+        return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(score, schema)
+
     # ---- range by range ----------------------------------------------------------------------------
 
     def _by_ranges(self, asked: DataFrame, known: Mapping[str, int], weights: Mapping[str, float], k: int) -> DataFrame:
@@ -388,6 +425,83 @@ class PostingsIndex:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(ids, lengths, which of them each posting is of, codes, counts) of whole documents, from postings sorted by document."""
+    held: list[pa.RecordBatch] = []
+
+    def made(table: pa.Table) -> tuple:
+        ids, lengths, codes, tf = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in table.columns)
+        fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
+        begin = np.flatnonzero(fresh)
+        return ids[begin], lengths[begin], np.cumsum(fresh) - 1, codes, tf
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= AT_ONCE:
+            table = pa.Table.from_batches(held)
+            ids = table.column(0).combine_chunks().to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[-1])  # it may go on in the next batch
+            if last:
+                yield made(table.slice(0, last))
+                held = table.slice(last).to_batches()
+    if held:
+        yield made(pa.Table.from_batches(held))
+
+
+class _Scorer:
+    """Scores of documents, which come in the order of their ids, against all queries of a batch; with ``k`` the first
+    ``k`` of each query are held back until the end."""
+
+    def __init__(self, queries: list[tuple], times: np.ndarray, df: np.ndarray, n: int, mean: float, k: int | None):
+        self.queries, self.times, self.mean, self.k = queries, times, mean, k
+        self.n_terms = np.array([t for _, t in queries])
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        self.idf = np.where(idf > 0, idf, R.LEAST_IDF)
+        self.names = np.array([q for q, _ in queries], dtype=object)
+        self.best = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0)]
+        self.whole, self.kth = np.zeros(len(queries), bool), np.full(len(queries), np.inf)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray, at: np.ndarray, codes: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+        width = len(self.times)
+        step = max(1, CELLS // max(self.times.shape))
+        for lo in range(0, len(ids), step):
+            hi = min(lo + step, len(ids))
+            mine = slice(*np.searchsorted(at, [lo, hi]))
+            cell = (at[mine] - lo) * width + codes[mine]
+            there = np.bincount(cell, minlength=(hi - lo) * width).reshape(-1, width) > 0
+            sums = np.bincount(cell, weights=tf[mine], minlength=(hi - lo) * width).reshape(-1, width)
+            part = self.idf * sums * (R.K1 + 1.0) / (sums + R.K1 * (1.0 - R.B0 + R.B0 * lengths[lo:hi, None] / self.mean))
+            n_hit, b = np.rint(there.astype(np.float64) @ self.times).astype(np.int64), -(part @ self.times)
+            whole, near, some = n_hit == self.n_terms, np.round(b, 9), n_hit > 0
+            if self.k is not None:  # a tie loses to the documents before it
+                some &= (whole & ~self.whole) | ((whole == self.whole) & (near < self.kth))
+            d, q = np.nonzero(some)
+            rows = [q, whole[d, q], near[d, q], ids[lo:hi][d].astype(object), n_hit[d, q], b[d, q]]
+            if self.k is None:
+                yield self._batch(rows)
+            elif len(d):
+                self._merge(rows)
+
+    def _merge(self, rows: list[np.ndarray]) -> None:
+        rows = [np.concatenate(x) for x in zip(self.best, rows)]
+        order = np.lexsort((np.arange(len(rows[0])), rows[2], ~rows[1], rows[0]))  # earlier rows have lesser ids
+        begin = np.searchsorted(rows[0][order], np.arange(len(self.queries)))
+        no = np.arange(len(order)) - begin[rows[0][order]]
+        self.best = [x[order[no < self.k]] for x in rows]
+        last = order[no == self.k - 1]
+        self.whole[rows[0][last]], self.kth[rows[0][last]] = rows[1][last], rows[2][last]
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.k is not None:
+            yield self._batch(self.best)
+
+    def _batch(self, rows: list[np.ndarray]) -> pa.RecordBatch:
+        q, _, _, ids, n_hit, b = rows
+        columns = [self.names[q].tolist(), self.n_terms[q].astype(np.int32), ids.tolist(), n_hit, b]
+        return pa.RecordBatch.from_pydict(dict(zip(("query_id", "n_terms", "doc_id", "n_hit", "b"), columns)))
+
+
 _built: dict[tuple, PostingsIndex] = {}
 
 

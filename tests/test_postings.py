@@ -114,3 +114,39 @@ def test_texts_that_contain_strings(spark, tmp_path):
     found = substrings.containing(index, docs, spark.createDataFrame([(n,) for n in needles], "needle string")).collect()
     expected = {(n, d) for n in needles if n for d, t in texts.items() if t and n in t}
     assert len(found) == len(expected) and {(r.needle, r.doc_id) for r in found} == expected
+
+
+def test_batches_are_scored_by_documents_whatever_queries_share(spark, tmp_path, monkeypatch):
+    for name, value in (("CELLS", 900), ("AT_ONCE", 300)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(6)
+    word = lambda: f"w{min(int(rng.expovariate(0.08)), 90)}"
+    texts = {d: (word(), " ".join(word() for _ in range(rng.randrange(40)))) for d in range(500)}
+    texts |= {d: texts[d % 500] for d in range(500, 700)} | {700: (None, None)}  # ties
+    docs = spark.createDataFrame([(d, *t) for d, t in texts.items()], SCHEMA)
+    asked = spark.createDataFrame([(q, " ".join(word() for _ in range(rng.randint(1, 5)))) for q in range(60)] + [(60, "w1 absent"), (61, "w2 w2"), (62, "w3 ..."), (63, "absent")], "query_id long, query string")
+    index = PostingsIndex(spark, f"{tmp_path}/i", list(WEIGHTS), buckets=3)
+    index.add(docs)
+    assert rows(index.match(asked, WEIGHTS, k=7)) == rows(search.match(docs, asked, WEIGHTS, k=7))
+    hits, lengths = search.phrase_hits(search.postings(docs, list(WEIGHTS)), search.query_phrases(asked), WEIGHTS), search.document_lengths(docs, list(WEIGHTS))
+    scores = lambda df: sorted((r.query_id, r.n_terms, r.doc_id, r.n_hit, round(r.b, 9)) for r in df.collect())
+    expected = scores(search.bm25(hits, lengths))
+    found = index.score(search.query_phrases(asked), WEIGHTS)
+    assert scores(found) == expected
+    # Many queries share few terms: what is shuffled are the postings of the terms, and not the hits of all queries.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = index.score(search.query_phrases(asked), WEIGHTS)
+        found.collect()
+        assert shuffled(found) < len(expected) / 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def shuffled(df):
+    """Rows that the plan's exchanges wrote, broadcasts apart."""
+    def walk(node):
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if node.metrics().contains("shuffleRecordsWritten") else []
+        return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
