@@ -14,11 +14,10 @@ further with another window than with their parent in the tree are linked to tha
 texts of a class are not lost. ``passage_id`` names the class: the passages of a text that overlap are one, and
 classes are the connected components of verified links. Equal texts are one class of texts and searched once.
 
-Large groups: equal surroundings meet by aggregation; what is left of a group of over ``BLOCK`` windows is dealt by
-three shingles over 41 places, which a common passage has and a frequent line has not, and groups that are still larger
-are compared in pairs of blocks, so that no task holds a whole group. Edited passages, where no 41 places stay aligned,
-meet by two shingles 24 places apart as far as at most ``FEW`` windows share these, and else only where one of their
-other anchors lies in a smaller group (README has the measured loss).
+Large groups: equal surroundings meet by aggregation; what is left of a group of over ``BLOCK`` windows is dealt by the
+eight shingles before the anchor and by the eight behind it, one of which all windows that agree have in common, and groups
+that are still larger are compared in pairs of blocks, so that no task holds a whole group and none is left out. A line of
+13 words or more that is frequent in texts that differ around it costs the square of their number.
 
 Defined results: null, empty and short texts (under 50 words) have no passages; passages repeated within one text are
 not reported; every id of a text that other rows equal has a row over the whole text, once, however many rows it has
@@ -52,9 +51,9 @@ _SEEDS = [np.uint64(xxhash.xxh64_intdigest(b"window", i)) for i in range(FUNCTIO
 #: Places round the anchor that must agree one by one before edits are allowed for. One edit leaves a passage two parts, and
 #: the anchors of four functions all lie in one of fewer places with a chance of 0.02 at most.
 ROUND = 17
-#: Distances from the anchor of shingles that deal out a large group: three over 41 places, which all passages that agree
-#: place by place have, and two over 25, which edited ones have but frequent lines too.
-TRIPLES, PAIRS = tuple((x, x + 20, x + 40) for x in range(-45, 6, 5)), tuple((x, x + 24) for x in range(-42, 24, 6))
+#: Distances from the anchor of the shingles that deal out a large group. Windows that ``_agree`` have ``ROUND`` places in a row
+#: that hold the anchor, so eight before it or eight behind it, whatever is edited elsewhere.
+SIDES = (tuple(range(-(ROUND // 2), 0)), tuple(range(1, ROUND // 2 + 1)))
 #: Windows that are compared in one task.
 BLOCK = 2_048
 #: Texts that are verified in one task against the text that leads them.
@@ -367,8 +366,6 @@ def _edge_batch(keys: np.ndarray, places: np.ndarray, sketch: np.ndarray, edges:
     return pa.RecordBatch.from_arrays([pa.array(x.astype(t, copy=False)) for x, t in zip(columns, types)], names=[f.split()[0] for f in EDGE_SCHEMA.split(", ")])
 
 
-#: Windows of a large group that are dealt by two shingles, at most.
-FEW = 64
 #: Windows of a group that are compared pair by pair, and pairs that are compared at once.
 SMALL, AT_ONCE = 256, 16_384
 
@@ -481,13 +478,12 @@ def _root(root: list[int], x: int) -> int:
     return x
 
 
-def _blocks(rows: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """Rows with the blocks (i, j) that they meet in: groups of over ``BLOCK`` rows, which only dealt ones can have, have several.
-    Groups of over ``most`` rows are left out."""
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with the blocks (i, j) that they meet in: groups of over ``BLOCK`` rows, which only dealt ones can have, have several."""
     if key == "h":
         rows = rows.withColumn("k", F.lit(1))
     else:
-        size = rows.groupBy(key).count().where("count > 1" if most is None else f"count between 2 and {most}")
+        size = rows.groupBy(key).count().where("count > 1")
         rows = rows.join(_sized(Stored(size.select(key, F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))).df), key)
     own = F.pmod(F.xxhash64("text_key", "c"), F.col("k")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -528,8 +524,7 @@ def window_links(texts: DataFrame) -> DataFrame:
         equal = found.df.join(_sized(first.df), ["h", "sig"])
         stands = (F.col("text_key") == F.col("a")) & (F.col("c") == F.col("a_c"))
         alone = equal.where(stands)
-        dealt = _blocks(alone.select(_dealt_by(TRIPLES).alias("key"), "text_key", "c", "sketch"), "key")
-        dealt = _tasks(dealt.unionByName(_blocks(alone.select(_dealt_by(PAIRS).alias("key"), "text_key", "c", "sketch"), "key", FEW)))
+        dealt = _tasks(_blocks(alone.select(_dealt_by(SIDES).alias("key"), "text_key", "c", "sketch"), "key"))
         arm = F.lit(ARM)
         stars = equal.where("a < text_key").select("a", F.col("text_key").alias("b"), "a_c", F.col("c").alias("b_c"), arm.alias("left"), arm.alias("right"))
         out = Stored(out.unionByName(dealt.mapInArrow(_link, EDGE_SCHEMA)).unionByName(stars)).df

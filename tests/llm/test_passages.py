@@ -110,6 +110,35 @@ def test_hot_passages_lose_no_text_and_no_longer_passage(spark, monkeypatch, blo
     assert 130 in {r.n_words for r in out if (r.doc_id, r.partner_id) == (7, 61)}
 
 
+def test_large_groups_link_all_windows_that_agree(spark, monkeypatch):
+    """All places that an edited pair has in line with an anchor are those of a line that many other texts have."""
+    rng, line = random.Random(5), words(random.Random(2), 30)
+    rows = []
+    for d in range(0, 240, 2):
+        left = words(rng, 29)
+        rows += [(d, " ".join(words(rng, 20) + left + line + words(rng, 20))), (d + 1, " ".join(words(rng, 25) + left + words(rng, 1) + line + words(rng, 9)))]
+    shingles = sub.shingle_hashes([w.encode() for w in line])
+    anchors = [int(h) for fn in range(sub.FUNCTIONS) for h in (np.maximum(sub.hashed(shingles, fn), np.uint64(1)) ^ sub._SEEDS[fn]).view(np.int64)]
+    made, seen = sub._with_sketches, []
+
+    def in_the_line(windows, texts):
+        seen.append(made(windows.where(windows.h.isin(anchors)), texts).persist())
+        return seen[-1]
+
+    monkeypatch.setattr(sub, "BLOCK", 16)
+    monkeypatch.setattr(sub, "_with_sketches", in_the_line)
+    links = sub.window_links(spark.createDataFrame(rows, "text_key long, text string")).collect()
+    root = list(range(240))
+    for r in links:
+        x, y = sub._root(root, r.a), sub._root(root, r.b)
+        root[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for r in (r for df in seen for r in df.collect()):
+        groups[r.h].append((r.text_key, np.frombuffer(bytes(r.sketch), dtype=np.uint8)))
+    agree = {(a, b) for g in groups.values() for a, x in g for b, y in g if a // 2 == b // 2 and a < b and sub._agree(x, y[None])[0]}
+    assert len(agree) > 40 and all(sub._root(root, a) == sub._root(root, b) for a, b in agree)
+
+
 def test_recall_of_edited_passages_at_the_limit():
     """Lone pairs: the share of passages at 0.8 or more that some window links."""
     rng, hit, n = random.Random(8), 0, 0
