@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkfield.operators.vectors import _matrix, nearest
+from larkfield.operators.vectors import _matrix, scored
 
 #: Vectors that centres are learnt from, cells at most, steps of learning, and cells looked at first.
 SAMPLE, CELLS, STEPS, FIRST = 16_384, 1_024, 12, 2
@@ -147,7 +147,7 @@ class CellIndex:
                             who, q = matrices[n]
                             mine = of_cell[int(cell)][who]
                             if mine.any():
-                                yield nearest(names, part.column(0), who[mine], at, np.round(units @ q[mine].T, 12), k)
+                                yield from scored(names, part.column(0), who[mine], at, units, q[mine], k)
 
         rows = self._vectors().where(F.col("cell").isin(read)).select("id", "v", "cell")
         schema = self.spark.createDataFrame([], f"query_id {_simple(names.type)}, id {rows.schema['id'].dataType.simpleString()}, score double").schema

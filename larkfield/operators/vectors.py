@@ -44,6 +44,17 @@ def nearest(names: pa.Array, ids: pa.Array, who: np.ndarray, at: np.ndarray, sco
     return pa.RecordBatch.from_arrays([names.take(pa.array(chosen[0])), ids.take(pa.array(chosen[1])), pa.array(np.concatenate(values) if values else [], pa.float64())], names=["query_id", "id", "score"])
 
 
+#: Scores that are held at once.
+SCORES = 4_000_000
+
+
+def scored(names: pa.Array, ids: pa.Array, who: np.ndarray, at: np.ndarray, units: np.ndarray, wanted: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """``nearest`` for unit vectors and the unit vectors of queries, so many queries at a time that their scores stay few."""
+    step = max(1, SCORES // max(1, len(units)))
+    for q in range(0, len(who), step):
+        yield nearest(names, ids, who[q : q + step], at, np.round(units @ wanted[q : q + step].T, 12), k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = 4_096) -> DataFrame:
     """(query_id, id, score, rank): a stated set of queries against all vectors.
 
@@ -68,7 +79,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_
                 for n, (at, units) in _matrix(batch.column(1).to_pylist()).items():
                     if n in wanted:
                         who, q = wanted[n]
-                        yield nearest(names, batch.column(0), who, at, np.round(units @ q.T, 12), k)
+                        yield from scored(names, batch.column(0), who, at, units, q, k)
 
         found = rows.mapInArrow(score, schema)
         best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -1,6 +1,7 @@
 """Cells against the scan of all vectors."""
 
 import numpy as np
+import pyarrow as pa
 
 from larkfield.operators import vectors
 from larkfield.operators.cells import CellIndex, learn
@@ -38,3 +39,17 @@ def test_every_centre_keeps_vectors():
     units = np.eye(6)[[0, 0, 0, 0, 1, 2, 3]]
     centres = learn(units, 4)
     assert len(np.unique((units @ centres.T).argmax(1))) == 4
+
+
+def test_scores_are_held_for_a_few_queries_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    units, asked = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(300, 8)), rng.normal(size=(50, 8))))
+    names, ids = pa.array(range(50)), pa.array(range(1000, 1300))
+    called = []
+    nearest = vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda *x: called.append(x[4].size) or nearest(*x))
+    monkeypatch.setattr(vectors, "SCORES", 2_000)
+    rows = [r for b in vectors.scored(names, ids, np.arange(50), np.arange(300), units, asked, 4) for r in b.to_pylist()]
+    assert max(called) <= 2_000 and len(called) == 9
+    scores = asked @ units.T
+    assert [(r["query_id"], r["id"]) for r in rows] == [(q, 1000 + i) for q in range(50) for i in np.argsort(-scores[q], kind="stable")[:4].tolist()]
