@@ -108,6 +108,10 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+#: Importers of one constant that meet its files in one task.
+IMPORTERS = 4_096
+
+
 def resolve_references(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, dst, kind) edges from imports(file_id, path, hint, kind) and files(file_id, path).
 
@@ -116,12 +120,6 @@ def resolve_references(imports: DataFrame, files: DataFrame) -> DataFrame:
     Unresolved hints and self-references give no edge.
     """
     target = files.select(F.col("file_id").alias("dst"), F.col("path").alias("target"))
-    constants = imports.where("kind = 'ruby_const'").select(F.col("file_id").alias("src"), "kind", F.concat(underscore_constant(F.col("hint")), F.lit(".rb")).alias("suffix"))
-    parts = F.split("target", "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    by_tail = target.select("dst", F.explode(tails).alias("suffix"))
-    named = constants.join(by_tail, "suffix").select("src", "dst", "kind")
-
     rest = imports.where("kind <> 'ruby_const'")
     near = rest.where((F.col("kind") == "require_relative") | F.col("hint").startswith("."))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
@@ -134,4 +132,33 @@ def resolve_references(imports: DataFrame, files: DataFrame) -> DataFrame:
     bare = rest.where((F.col("kind") != "require_relative") & ~F.col("hint").startswith("."))
     first = target.groupBy(stem_of(F.col("target")).alias("stem")).agg(F.min("dst").alias("dst"))
     stems = bare.select(F.col("file_id").alias("src"), "kind", stem_of(F.col("hint")).alias("stem")).join(first, "stem").select("src", "dst", "kind")
-    return named.unionByName(local).unionByName(stems).where("src <> dst").distinct()
+    return _named(imports, target).unionByName(local.unionByName(stems).distinct()).where("src <> dst")
+
+
+def _tails(path: Column) -> Column:
+    """A path, and what is left of it below each of its folders."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def _named(imports: DataFrame, target: DataFrame) -> DataFrame:
+    """(src, dst, kind) of constants, each once, without comparing the pairs, which may be many more than the rows.
+
+    Of two constants of a file the longer is left out if it ends in the other, as the other names all its paths. Those that
+    are left cannot both name a path, so only files of several paths can be met twice.
+    """
+    suffix = F.concat(underscore_constant(F.col("hint")), F.lit(".rb"))
+    constants = imports.where("kind = 'ruby_const'").select(F.col("file_id").alias("src"), "kind", suffix.alias("suffix")).where("suffix is not null").distinct()
+    shorter = constants.select("src", "kind", F.col("suffix").alias("whole"), F.explode(_tails(F.col("suffix"))).alias("suffix")).where("suffix <> whole")
+    longer = shorter.join(constants, ["src", "kind", "suffix"], "left_semi").select("src", "kind", F.col("whole").alias("suffix"))
+    constants = constants.join(longer.distinct(), ["src", "kind", "suffix"], "left_anti")
+    sizes = constants.groupBy("suffix").agg(F.ceil(F.count("*") / IMPORTERS).cast("int").alias("parts"))
+    by_tail = target.distinct().select("dst", F.explode(_tails(F.col("target"))).alias("suffix"))
+    by_tail = by_tail.groupBy("dst", "suffix").agg(F.lit(1).alias("__one")).drop("__one").join(sizes, "suffix")
+    several = target.groupBy("dst").agg(F.count_distinct("target").alias("n")).where("n > 1").select("dst", F.lit(True).alias("several"))
+    by_tail = by_tail.join(several, "dst", "left").select("dst", "suffix", "several", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # Constants that many files name are dealt to several tasks.
+    dealt = constants.join(sizes, "suffix").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
+    once = dealt.join(by_tail.where("several is null"), ["suffix", "part"]).select("src", "dst", "kind")
+    again = dealt.join(by_tail.where("several"), ["suffix", "part"]).select("src", "dst", "kind").distinct()
+    return once.unionByName(again)

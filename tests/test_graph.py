@@ -71,3 +71,35 @@ def test_cluster(spark):
 @pytest.mark.parametrize("now", [0, 10**10])
 def test_age_is_never_negative(spark, now):
     assert spark.range(1).select(graph.age_days(F.lit(5), now)).first()[0] >= 0
+
+
+def test_references_by_constants_are_met_once_and_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(graph, "IMPORTERS", 3)
+    paths = [(d, f"app/{'abc'[d % 3]}/item_{d % 4}.rb") for d in range(40)] + [(0, "lib/item_1.rb"), (0, "app/b/item_1.rb"), (41, None), (42, "item_1.rb")]
+    hints = [(100 + k, h) for k in range(20) for h in ("Item_1", "B::Item_1", "App::B::Item_1", f"A::Item_{k % 4}", "Item_1")] + [(0, "Item_1"), (101, None)]
+    files = spark.createDataFrame(paths, "file_id long, path string")
+    imports = spark.createDataFrame([(s, "x.rb", h, "ruby_const") for s, h in hints], "file_id long, path string, hint string, kind string")
+    tail = lambda h: h.lower().replace("::", "/") + ".rb"
+    expected = {(s, d) for s, h in hints if h for d, p in paths if p and s != d and (p == tail(h) or p.endswith("/" + tail(h)))}
+    found = graph.resolve_references(imports, files)
+    rows = [(r.src, r.dst) for r in found.collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+    # What is shuffled is in line with the rows, and not with the pairs.
+    files = spark.createDataFrame([(d, "a/item.rb") for d in range(200)], "file_id long, path string")
+    imports = spark.createDataFrame([(1_000 + s, "x.rb", "Item", "ruby_const") for s in range(30)], "file_id long, path string, hint string, kind string")
+    monkeypatch.setattr(graph, "IMPORTERS", 4_096)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = graph.resolve_references(imports, files)
+        assert len(found.collect()) == 6_000 and shuffled(found) < 3_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def shuffled(df):
+    """Rows that the plan's exchanges wrote, broadcasts apart."""
+    def walk(node):
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if node.metrics().contains("shuffleRecordsWritten") else []
+        return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
