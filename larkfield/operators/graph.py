@@ -124,10 +124,12 @@ def resolve_references(imports: DataFrame, files: DataFrame) -> DataFrame:
     near = rest.where((F.col("kind") == "require_relative") | F.col("hint").startswith("."))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     base = normal_path(F.concat_ws("/", folder, F.col("hint")))
-    tries = [F.lit(""), *[F.lit(e) for e in EXTENSIONS], *[F.lit(f"/index{e}") for e in EXTENSIONS]]
-    tried = near.select(F.col("file_id").alias("src"), "kind", "hint", base.alias("base"), F.posexplode(F.array(*tries)).alias("turn", "tail"))
-    hits = tried.withColumn("target", F.concat("base", "tail")).join(target, "target")
-    local = hits.groupBy("src", "kind", "hint").agg(F.min_by("dst", "turn").alias("dst")).select("src", "dst", "kind")
+    # A file stands under every path that comes to it by one of the endings tried, so that hints are not multiplied by them.
+    tails = ["", *EXTENSIONS, *[f"/index{e}" for e in EXTENSIONS]]
+    tried = [F.when(F.col("target").endswith(t), F.struct(F.lit(i).alias("turn"), F.expr(f"left(target, length(target) - {len(t)})").alias("base"))) for i, t in enumerate(tails)]
+    reached = target.select("dst", F.explode(F.array_compact(F.array(*tried))).alias("t")).select("dst", "t.turn", "t.base")
+    hits = near.select(F.col("file_id").alias("src"), "kind", "hint", base.alias("base")).join(reached, "base")
+    local = hits.groupBy("src", "kind", "hint").agg(F.min(F.struct("turn", "dst")).alias("first")).select("src", "first.dst", "kind")
 
     bare = rest.where((F.col("kind") != "require_relative") & ~F.col("hint").startswith("."))
     first = target.groupBy(stem_of(F.col("target")).alias("stem")).agg(F.min("dst").alias("dst"))

@@ -96,6 +96,21 @@ def test_references_by_constants_are_met_once_and_not_compared(spark, monkeypatc
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_hints_are_not_multiplied_by_endings(spark):
+    files = spark.createDataFrame([(d, f"a/f{d}.ts") for d in range(50)] + [(90, "a/f1"), (91, "a/f2/index.js"), (92, "a/f2.rb")], "file_id long, path string")
+    imports = files.select("file_id", "path", F.concat(F.lit("./f"), (F.col("file_id") % 50).cast("string")).alias("hint"), F.lit("import").alias("kind")).where("file_id < 50")
+    imports = imports.withColumn("file_id", F.col("file_id") + 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.resolve_references(imports, files)
+        assert {(r.src, r.dst) for r in found.collect()} == {(d + 100, {1: 90, 2: 92}.get(d, d)) for d in range(50)}
+        assert shuffled(found) < 50 * len(graph.EXTENSIONS)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def shuffled(df):
     """Rows that the plan's exchanges wrote, broadcasts apart."""
     def walk(node):
