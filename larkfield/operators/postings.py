@@ -29,6 +29,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ from larkfield.operators import search
 from larkfield.operators.snapshot import Conflict, SnapshotTable
 
 #: Number of the way in which segments are laid out.
-LAYOUT = 2
+LAYOUT = 3
 #: Buckets of a segment by term, documents of a range, ranges of a span, and rows of a page of a file.
-BUCKETS, RANGE_DOCS, SPAN_RANGES, PAGE_ROWS = 32, 64, 65_536, 4_000
+BUCKETS, RANGE_DOCS, SPAN_RANGES, PAGE_ROWS = 32, 64, 4_096, 4_000
 #: Terms that become a pushed filter and a list of buckets; more are joined.
 PUSHED_TERMS = 2_000
 #: Postings of the terms of a batch of queries beyond which it goes range by range, and ranges looked at first then.
@@ -52,7 +53,8 @@ PUSHED_RANGES, INTERVALS = 32, 16
 #: Queries that go range by range at most; terms times queries that are scored document by document, numbers of a matrix
 #: of documents, and postings that are scored at once.
 RANGE_QUERIES, DENSE, CELLS, AT_ONCE = 16, 4_000_000, 1_000_000, 400_000
-_SORT_AGGREGATE = "spark.sql.execution.useObjectHashAggregateExec"
+#: Occurrences that are grouped by document and term at once.
+GROUPED = 400_000
 
 
 #: Characters of the parts by which words are found that hold a part of a needle.
@@ -77,49 +79,46 @@ class PostingsIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Adds documents, or replaces those that are there."""
-        segment = f"s-{uuid.uuid4().hex}"
-        terms = [F.struct(F.lit(f).alias("field"), index_terms(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for f in self.fields]
-        rows = docs.select(F.col(self.id_column).alias("doc_id"), F.array(*terms).alias("all"))
-        rows = rows.withColumn("length", F.aggregate("all", F.lit(0), lambda n, x: n + F.size(x["terms"])).cast("long"))
-        each = rows.select("doc_id", "length", F.explode("all").alias("f")).select("doc_id", "length", "f.field", F.posexplode("f.terms").alias("pos", "term"))
-        # One shuffle and one sort: occurrences come together in the order in which their postings are written.
-        places, keys = self._places(each, docs.count()), ["bucket", "span", "term", "range", "doc_id", "field"]
-        dealt = places.repartition(self._tasks(places), "bucket", "span").sortWithinPartitions(*keys, "pos")
-        found = dealt.groupBy(*keys, "length").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        before = self.spark.conf.get(_SORT_AGGREGATE)
-        self.spark.conf.set(_SORT_AGGREGATE, "false")  # the rows are sorted already
-        try:
-            self._write(found, segment)
-        finally:
-            self.spark.conf.set(_SORT_AGGREGATE, before)
-        fresh = rows.select("doc_id", "length", F.lit(segment).alias("segment"))
+        segment, n_docs = f"s-{uuid.uuid4().hex}", docs.count()
+        terms = [index_terms(F.coalesce(F.col(f), F.lit(""))) for f in self.fields]
+        rows = docs.select(F.col(self.id_column).alias("doc_id"), *[t.alias(f"terms{i}") for i, t in enumerate(terms)])
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        found = rows.mapInArrow(_grouped, f"doc_id {kind}, length long, field byte, first boolean, term string, positions array<int>")
+        self._write(self._dealt(found, n_docs), segment)
+        length = sum((F.size(t) for t in terms), F.lit(0)).cast("long")
+        fresh = docs.select(F.col(self.id_column).alias("doc_id"), length.alias("length"), F.lit(segment).alias("segment"))
         old = self.live.read()
         if old is not None:
             fresh = old.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
         self._commit(fresh, [*self.segments(), segment])
 
-    def _places(self, rows: DataFrame, n_docs: int) -> DataFrame:
-        """``rows`` with the bucket of their term, the range of their document and the span of that."""
-        self._spans = max(1, -(-n_docs // (RANGE_DOCS * SPAN_RANGES)))
-        ranges = max(1, -(-n_docs // RANGE_DOCS))
-        out = rows.withColumns({"bucket": self._bucket(), "range": F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")})
-        return out.withColumn("span", F.expr(f"range div {SPAN_RANGES}").cast("int"))
+    def _dealt(self, rows: DataFrame, n_docs: int) -> DataFrame:
+        """Postings in the order in which they are written, a task for each bucket and span. What follows from the term and
+        the document is made after the shuffle."""
+        spans, ranges = max(1, -(-n_docs // (RANGE_DOCS * SPAN_RANGES))), max(1, -(-n_docs // RANGE_DOCS))
+        range_ = F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")
+        span = F.floor(range_ / SPAN_RANGES).cast("int")
+        out = rows.repartitionById(self.buckets * spans, self._bucket() * spans + span)
+        names = F.array(*[F.lit(f) for f in self.fields])
+        out = out.select(
+            self._bucket().alias("bucket"), span.alias("span"), "term", range_.alias("range"), "doc_id", F.get(names, F.col("field").cast("int")).alias("field"), "length", F.size("positions").alias("tf"), "first", "positions",
+        )
+        return out.sortWithinPartitions("bucket", "span", "term", "range", "doc_id", "field")
 
     def _bucket(self):
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
-    def _tasks(self, _: DataFrame) -> int:
-        return self.buckets * self._spans
-
     def _write(self, found: DataFrame, segment: str) -> None:
-        """Postings that are dealt and sorted, and the dictionary made from them."""
+        """Postings that are dealt and sorted, and the dictionary made from their files, which needs no shuffle: where a
+        file is read in parts, a term may have two rows for a range (``blocks`` adds them up)."""
         small = {"parquet.page.row.count.limit": PAGE_ROWS, "parquet.page.size.row.check.min": 100}
         found.write.options(**small).partitionBy("bucket", "span").parquet(f"{self.root}/{segment}/postings")
         rows = self.spark.read.parquet(f"{self.root}/{segment}/postings")
-        tops = F.array(*[F.coalesce(F.max(F.when(F.col("field") == f, F.col("tf"))), F.lit(0)) for f in self.fields])
-        # A range holds a bounded number of documents.
-        blocks = rows.groupBy("bucket", "term", "range").agg(F.size(F.collect_set("doc_id")).alias("n_docs"), tops.alias("max_tf"), F.min("length").alias("min_length"))
-        blocks = blocks.repartition(self._tasks(blocks), "bucket", F.expr(f"range div {SPAN_RANGES}")).sortWithinPartitions("bucket", "term", "range")
+        tops = [F.when(F.col("field") == f, F.col("tf")).otherwise(0).alias(f"tf{i}") for i, f in enumerate(self.fields)]
+        blocks = rows.select("bucket", "term", "range", F.col("first").cast("long").alias("n_docs"), F.col("length").alias("min_length"), *tops)
+        names = [f"tf{i}" for i in range(len(self.fields))]
+        blocks = blocks.mapInArrow(_blocks, f"bucket int, term string, range int, n_docs long, min_length long, {', '.join(f'{n} int' for n in names)}")
+        blocks = blocks.select("bucket", "term", "range", "n_docs", F.array(*names).alias("max_tf"), "min_length").sortWithinPartitions("bucket", "term", "range")
         blocks.write.options(**small).partitionBy("bucket").parquet(f"{self.root}/{segment}/blocks")
 
     def grams(self) -> DataFrame:
@@ -177,9 +176,9 @@ class PostingsIndex:
     def compact(self) -> None:
         """Merges all segments into one that holds live documents only."""
         segment = f"s-{uuid.uuid4().hex}"
-        places = self._places(self._postings(None, positions=True).drop("range"), self.stats()[0])
-        dealt = places.repartition(self._tasks(places), "bucket", "span").sortWithinPartitions("bucket", "span", "term", "range", "doc_id", "field")
-        self._write(dealt, segment)
+        rows = self._postings(None, "positions", "first")
+        code = F.array_position(F.array(*[F.lit(f) for f in self.fields]), F.col("field")) - 1
+        self._write(self._dealt(rows.select("doc_id", "length", code.cast("byte").alias("field"), "first", "term", "positions"), self.stats()[0]), segment)
         self._commit(self._live().withColumn("segment", F.lit(segment)), [segment], deleted=False)
 
     def _commit(self, live: DataFrame, segments: list[str], deleted: bool | None = None) -> None:
@@ -215,9 +214,9 @@ class PostingsIndex:
             self._buckets = {**kept, **dict(found)}
         return rows.where(F.col("bucket").isin(sorted({self._buckets[t] for t in terms})) & F.col("term").isin(terms))
 
-    def _postings(self, terms: list[str] | None, positions: bool = False, pushed: Column | None = None) -> DataFrame:
+    def _postings(self, terms: list[str] | None, *more: str, pushed: Column | None = None) -> DataFrame:
         segments = self.segments()
-        columns = ["term", "range", "doc_id", "field", "length", "tf", *(["positions"] if positions else [])]
+        columns = ["term", "range", "doc_id", "field", "length", "tf", *more]
         out = None
         for segment in segments:
             part = self.spark.read.parquet(f"{self.root}/{segment}/postings")
@@ -234,12 +233,15 @@ class PostingsIndex:
     def blocks(self, terms: list[str]) -> DataFrame:
         """(term, range, n_docs, max_tf, min_length) of the dictionary; ``max_tf`` by field."""
         (segment,) = self.segments()
-        rows = self.spark.read.parquet(f"{self.root}/{segment}/blocks")
-        return self._of_terms(rows, terms).select("term", "range", "n_docs", "max_tf", "min_length")
+        rows = self._of_terms(self.spark.read.parquet(f"{self.root}/{segment}/blocks"), terms)
+        tops = F.array(*[F.max(F.get("max_tf", F.lit(i))) for i in range(len(self.fields))])
+        return rows.groupBy("term", "range").agg(F.sum("n_docs").alias("n_docs"), tops.alias("max_tf"), F.min("min_length").alias("min_length"))
 
     def frequencies(self, terms: list[str]) -> dict[str, int]:
         """How many documents have each of the terms."""
-        return {r.term: r.df for r in self.blocks(terms).groupBy("term").agg(F.sum("n_docs").alias("df")).collect()}
+        (segment,) = self.segments()
+        rows = self._of_terms(self.spark.read.parquet(f"{self.root}/{segment}/blocks"), terms)
+        return {r.term: r.df for r in rows.groupBy("term").agg(F.sum("n_docs").alias("df")).collect()}
 
     def _asked(self, phrases: DataFrame) -> tuple[DataFrame, list, bool]:
         """The phrases with terms; on the driver as well if they are few."""
@@ -258,11 +260,11 @@ class PostingsIndex:
         """(query_id, n_terms, term_no, doc_id, length, tf) for phrases as ``search.query_phrases`` gives them."""
         return self._hits(*self._asked(phrases), weights)
 
-    def _of_stems(self, stems: list[str] | None, positions: bool) -> DataFrame:
+    def _of_stems(self, stems: list[str] | None, *more: str) -> DataFrame:
         """Postings of all terms of the stems, under the stem."""
         table = self.stems(stems)
         terms = self.few(table) if stems is not None else None
-        rows = self._postings(terms, positions).join(F.broadcast(table) if terms is not None else table, "term")
+        rows = self._postings(terms, *more).join(F.broadcast(table) if terms is not None else table, "term")
         return rows.drop("term").withColumnRenamed("stem", "term")
 
     def _hits(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], stem: bool = False) -> DataFrame:
@@ -275,10 +277,10 @@ class PostingsIndex:
             return found if few and len(found) <= PUSHED_TERMS else None
 
         of = self._of_stems if stem else self._postings
-        single = of(terms(False), False).join(hint(asked.where("phrase_len = 1")), "term")
+        single = of(terms(False)).join(hint(asked.where("phrase_len = 1")), "term")
         out = self._summed(single, weights, stem)
         if not few or any(r.phrase_len > 1 for r in rows):
-            places = of(terms(True), True).join(hint(asked.where("phrase_len > 1")), "term")
+            places = of(terms(True), "positions").join(hint(asked.where("phrase_len > 1")), "term")
             starts = places.select(*keys, "length", "field", "phrase_len", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
             whole = starts.groupBy(*keys, "length", "field", "phrase_len", "start").agg(F.count("*").alias("n")).where("n = phrase_len").withColumn("tf", F.lit(1))
             out = out.unionByName(whole.groupBy(*keys, "length").agg(total))
@@ -425,6 +427,63 @@ class PostingsIndex:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of documents (doc_id, the terms of each field): an occurrence leaves its task as a position in a list.
+    ``first`` marks one posting of each document and term."""
+    for batch in batches:
+        n, width = batch.num_rows, batch.num_columns - 1
+        counts = np.stack([c.value_lengths().to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(np.int64)
+        length = counts.sum(0)
+        done, lo = np.cumsum(length), 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + GROUPED, side="right")))
+            size = counts[:, lo:hi].ravel()
+            words = pa.concat_arrays([c.slice(lo, hi - lo).flatten() for c in batch.columns[1:]]).dictionary_encode()
+            at = np.repeat(np.tile(np.arange(hi - lo), width), size)
+            field = np.repeat(np.repeat(np.arange(width), hi - lo), size)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            term = at * len(words.dictionary) + code
+            key = term * width + field
+            order = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.diff(key[order], prepend=-1))
+            head = order[begin]
+            offsets = pa.array(np.append(begin, len(order)).astype(np.int32))
+            columns = [
+                batch.column(0).take(pa.array(lo + at[head])), pa.array(length[lo:hi][at[head]]), pa.array(field[head].astype(np.int8)), pa.array(np.diff(term[head], prepend=-1) != 0),
+                words.dictionary.take(pa.array(code[head])), pa.ListArray.from_arrays(offsets, pa.array(place[order].astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "length", "field", "first", "term", "positions"])
+            lo = hi
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, term, range, n_docs, min_length, a count for each field) sorted by the first three, one for each of these."""
+    held = None
+
+    def begins(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, dtype=bool)
+        new[:1] = True
+        for c in rows.columns[:3]:
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def made(rows: pa.RecordBatch, begin: np.ndarray) -> pa.RecordBatch:
+        sums, least, *tops = (c.to_numpy(zero_copy_only=False) for c in rows.columns[3:])
+        columns = [np.add.reduceat(sums, begin), np.minimum.reduceat(least, begin), *[np.maximum.reduceat(t, begin) for t in tops]]
+        return pa.RecordBatch.from_arrays([*[c.take(pa.array(begin)) for c in rows.columns[:3]], *map(pa.array, columns)], names=rows.schema.names)
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            begin = begins(rows)
+            if len(begin) > 1:  # the last group may go on in the next batch
+                yield made(rows.slice(0, int(begin[-1])), begin[:-1])
+            held = rows.slice(int(begin[-1]))
+    if held is not None:
+        yield made(held, begins(held))
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(ids, lengths, which of them each posting is of, codes, counts) of whole documents, from postings sorted by document."""
     held: list[pa.RecordBatch] = []
