@@ -43,7 +43,7 @@ from larkfield.operators.snapshot import Conflict, SnapshotTable
 #: Number of the way in which segments are laid out.
 LAYOUT = 3
 #: Buckets of a segment by term, documents of a range, ranges of a span, and rows of a page of a file.
-BUCKETS, RANGE_DOCS, SPAN_RANGES, PAGE_ROWS = 32, 64, 4_096, 4_000
+BUCKETS, RANGE_DOCS, SPAN_RANGES, PAGE_ROWS = 32, 64, 1_024, 4_000
 #: Terms that become a pushed filter and a list of buckets; more are joined.
 PUSHED_TERMS = 2_000
 #: Postings of the terms of a batch of queries beyond which it goes range by range, and ranges looked at first then.

@@ -150,3 +150,23 @@ def shuffled(df):
         return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
 
     return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_occurrences_are_grouped_before_they_are_shuffled(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(postings, "GROUPED", 7)
+    docs = [(1, ["a", "b", "a"], ["a"]), (2, [], []), (3, ["c"] * 9, ["b", "c"]), (4, [], ["a", "b"])]
+    lists = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs], lists), pa.array([d[2] for d in docs], lists)], names=["doc_id", "terms0", "terms1"])
+    found = [r for b in postings._grouped(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    expected = {(d, f, t): [i for i, x in enumerate(words) if x == t] for d, *fields in docs for f, words in enumerate(fields) for t in words}
+    assert len(found) == len(expected) == 8 and {(r["doc_id"], r["field"], r["term"]): r["positions"] for r in found} == expected
+    assert {r["doc_id"]: r["length"] for r in found} == {1: 4, 3: 11, 4: 2}
+    assert sorted((r["doc_id"], r["term"]) for r in found if r["first"]) == sorted({(d, t) for d, _, t in expected})
+    # The dictionary: groups that go on in the next batch are one row.
+    rows = [(0, "a", 1, 1, 5, 2, 0), (0, "a", 1, 0, 5, 0, 3), (0, "a", 1, 1, 4, 1, 0), (0, "a", 2, 1, 9, 1, 0), (0, "b", 2, 1, 9, 0, 7)]
+    names, types = ["bucket", "term", "range", "n_docs", "min_length", "tf0", "tf1"], [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k]], t) for k, t in enumerate(types)], names=names) for r in rows]
+    blocks = [tuple(r.values()) for b in postings._blocks(iter(batches)) for r in b.to_pylist()]
+    assert blocks == [(0, "a", 1, 2, 4, 2, 3), (0, "a", 2, 1, 9, 1, 0), (0, "b", 2, 1, 9, 0, 7)]
