@@ -35,7 +35,7 @@ from larkfield.llm.common import Stored, small_batches
 LENGTH, END_ID = 2_048, 1
 #: Words kept with their ids by a worker before the half that was not met again is forgotten, the longest such word, and
 #: words encoded at once.
-CACHE_WORDS, CACHE_CHARS, ENCODE_WORDS = 400_000, 40, 20_000
+CACHE_WORDS, CACHE_CHARS, ENCODE_WORDS = 300_000, 40, 20_000
 #: Bytes of ids in a batch that goes back to Spark.
 BATCH_BYTES = 8_000_000
 
