@@ -69,24 +69,22 @@ class Correlator(StatefulProcessor):
         self.newest = handle.getValueState("newest", "locate_id long, seq long, turn long, ts timestamp")
         self.open = handle.getMapState("open", "call string", "ms long")
 
-    def _latency(self, call: str, ms: int) -> int | None:
-        if not self.open.containsKey((call,)):
-            return None
-        took = ms - self.open.getValue((call,))[0]
-        self.open.removeKey((call,))
-        return took if took <= self.longest else None
-
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        seq, turn, last = self.clock.get() if self.clock.exists() else (0, 0, 0)
-        ring = [tuple(shown) for shown in self.ring.get()] if self.ring.exists() else []
-        newest = self.newest.get() if self.newest.exists() else None
-        wake = set()
+        """State is read once and what differs is written once: each access is a call to the JVM."""
+        seq, turn, last = self.clock.get() or (0, 0, 0)
+        ring = [tuple(shown) for shown in self.ring.get()] if seq else []
+        newest = self.newest.get() if seq else None
+        kept = {call[0]: ms[0] for call, ms in self.open.iterator()} if last else {}
+        open_ = dict(kept)
+        before = newest
         for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
             last = max(last, r.ms)
-            latency = self._latency(r.closes, r.ms) if r.closes is not None else None
+            latency = None
+            if r.closes is not None and r.closes in open_:
+                took = r.ms - open_.pop(r.closes)
+                latency = took if took <= self.longest else None
             if r.opens is not None:
-                self.open.updateValue((r.opens,), (r.ms,))
-                wake.add(self._hour(r.ms + self.longest))
+                open_[r.opens] = r.ms
             if r.turn is not None:
                 turn = r.turn
             if r.kind is None:
@@ -106,10 +104,19 @@ class Correlator(StatefulProcessor):
                 locate_id=owner[0], locate_turn=owner[2], locate_ts=owner[3], confidence=r.confidence, result_count=r.result_count, n_shown=len(r.results or []),
             )
         self.clock.update((seq, turn, last))
-        if ring:
+        if newest is not before:
             self.ring.put(ring)
             self.newest.update(tuple(newest))
-        for at in {*wake, self._hour(last + self.idle)}:
+        # Calls open for longer than ``longest`` have no latency any more, and timers are needed for those that stay open only.
+        open_ = {call: ms for call, ms in open_.items() if ms + self.longest >= last}
+        for call in kept.keys() - open_.keys():
+            self.open.removeKey((call,))
+        wake = {self._hour(last + self.idle)}
+        for call, ms in open_.items():
+            if kept.get(call) != ms:
+                self.open.updateValue((call,), (ms,))
+                wake.add(self._hour(ms + self.longest))
+        for at in wake:
             self.handle.registerTimer(at)
 
     @staticmethod

@@ -110,3 +110,60 @@ def test_rows_with_nulls(spark, tmp_path):
     rows = [(None, 1, START, None, "locate", *none[:6], None, None), (None, 2, START, None, "read", *none[:6], None, None), ("s", 3, START, None, None, *none[:6], None, None)]
     out = sorted((r.event_id, r.session_id, r.seq, r.locate_rank, r.locate_id) for r in streamed(spark, tmp_path, [rows]).collect())
     assert out == [(1, "null", 1, None, 1), (2, "null", 2, None, 1)]
+
+
+class _State:
+    """One state of a session that counts how often it is asked."""
+
+    def __init__(self, asked):
+        self.asked, self.value, self.calls = asked, None, {}
+
+    def __getattr__(self, name):
+        self.asked.append(name)
+        return getattr(self, f"_{name}")
+
+    def _exists(self):
+        return self.value is not None or bool(self.calls)
+
+    def _get(self):
+        return self.value
+
+    def _put(self, value):
+        self.value = value
+
+    _update = _put
+
+    def _iterator(self):
+        return iter(list(self.calls.items()))
+
+    def _containsKey(self, key):
+        return key in self.calls
+
+    def _getValue(self, key):
+        return self.calls[key]
+
+    def _updateValue(self, key, value):
+        self.calls[key] = value
+
+    def _removeKey(self, key):
+        self.calls.pop(key, None)
+
+
+def test_state_is_asked_a_few_times_a_batch():
+    """Each access to state goes to the JVM and back: calls that open and close within a batch must not need any."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    asked = []
+    handle = SimpleNamespace(**{f"get{kind}State": (lambda *_: _State(asked)) for kind in ("Value", "List", "Map")}, registerTimer=lambda at: asked.append("timer"))
+    worker = correlator.Correlator(own_turns=True)
+    worker.init(handle)
+    none = dict(turn=None, path=None, results=["a"], cochange=None, referrers=None, confidence=None, result_count=None)
+    hour = correlator.HOUR
+    rows = [Row(us=i * hour * 1000, ms=i * hour, ts=None, event_id=i, kind="locate" if i % 2 == 0 else "slice", opens=f"c{i}" if i % 2 == 0 else None, closes=f"c{i - 1}" if i % 2 else None, **none) for i in range(400)]
+    for part in (rows[:200], rows[200:]):
+        asked.clear()
+        out = list(worker.handleInputRows(("s",), part, None))
+        assert [r.latency_ms for r in out] == [None, hour] * 100 and len(asked) <= 10
+    assert [r.seq for r in out] == list(range(201, 401))
