@@ -13,6 +13,15 @@ MAX_FILES, WINDOW_DAYS = 50, 180
 #: Extensions tried for an import, in this order.
 EXTENSIONS = (".rb", ".py", ".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs")
 
+#: Rows that one task groups.
+TASK_ROWS = 500_000
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for a grouping of the rows of a stored table. Spark sizes its own by bytes before they are unfolded, so that
+    what a task holds grows with the input."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
 
 def age_days(ts: Column, now: int) -> Column:
     """Days since ``ts`` (seconds); a future time counts as now."""
@@ -28,11 +37,12 @@ def recency(commits: DataFrame, now: int) -> DataFrame:
     )
 
 
-def cochange(commits: DataFrame, now: int, window_days: int = WINDOW_DAYS, max_files: int = MAX_FILES, self_pairs: bool = False) -> DataFrame:
+def cochange(commits: DataFrame, now: int, window_days: int = WINDOW_DAYS, max_files: int = MAX_FILES, self_pairs: bool = False, parts: int | None = None) -> DataFrame:
     """(file_a, file_b, weight) with file_a < file_b: the decayed count of common commits.
 
     Commits of more than ``max_files`` files are left out before pairs are made, so that a commit yields a bounded
-    number of pairs; they are made from its own array, without a self-join.
+    number of pairs; they are made from its own array, without a self-join. With ``parts`` pairs are dealt to so many tasks
+    before they are added up, as few of them come twice in one task of commits.
     """
     small = commits.where(F.size("files") <= max_files)
     weight = F.exp(-age_days(F.col("ts"), now) / F.lit(float(window_days)))
@@ -41,12 +51,13 @@ def cochange(commits: DataFrame, now: int, window_days: int = WINDOW_DAYS, max_f
     edges = pairs.select(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b"), "w")
     if not self_pairs:
         edges = edges.where("file_a < file_b")
+    edges = edges if parts is None else edges.repartition(parts, "file_a", "file_b")
     return edges.groupBy("file_a", "file_b").agg(F.sum("w").alias("weight"))
 
 
-def cochange_part(commits: DataFrame, asof: int, window_days: int = WINDOW_DAYS, max_files: int = MAX_FILES) -> DataFrame:
+def cochange_part(commits: DataFrame, asof: int, window_days: int = WINDOW_DAYS, max_files: int = MAX_FILES, parts: int | None = None) -> DataFrame:
     """``cochange`` of one lot of commits as it stands at ``asof``; commits dated later wait (``not_yet``)."""
-    return cochange(commits.where(F.col("ts") <= asof), asof, window_days, max_files).withColumn("asof", F.lit(asof).cast("long"))
+    return cochange(commits.where(F.col("ts") <= asof), asof, window_days, max_files, parts=parts).withColumn("asof", F.lit(asof).cast("long"))
 
 
 def not_yet(commits: DataFrame, asof: Column | int) -> DataFrame:

@@ -20,12 +20,15 @@ NOW, MAX_FILES = 996_624_000, graph.MAX_FILES  # 2001-08-01 00:00:00 UTC; larger
 def commits(spark, sf_dir) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"))
-    files = items.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("files"))
+    parts = graph.tasks(items)
+    files = items.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("files"))
+    orders = orders.repartition(parts, "o_orderkey")
     return files.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("sha"), "ts", "files")
 
 
 def edges(spark, sf_dir) -> DataFrame:
-    return graph.cochange(commits(spark, sf_dir), NOW, 3_650, MAX_FILES)
+    parts = graph.tasks(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return graph.cochange(commits(spark, sf_dir), NOW, 3_650, MAX_FILES, parts=parts)
 
 
 def refs(spark, sf_dir) -> DataFrame:
@@ -39,11 +42,17 @@ def cochange_pairs(spark, sf_dir):
 
 def cochange_kept(spark, sf_dir):
     """Co-change by a kept index that takes the orders year by year: earlier weights decay, new ones are added."""
-    kept = KeptIndex(spark, f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}", Config(cochange_window_days=3_650))
-    orders = commits(spark, sf_dir).select(F.col("sha").cast("string").alias("sha"), "ts", F.transform("files", lambda f: f.cast("string")).alias("files"))
+    folder = f"{shared_folder(spark)}/larkfield-{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    kept = KeptIndex(spark, folder, Config(cochange_window_days=3_650))
+    made = commits(spark, sf_dir).select(F.col("sha").cast("string").alias("sha"), "ts", F.transform("files", lambda f: f.cast("string")).alias("files"))
+    # Made once for all passes, a folder for each year.
+    age = F.least(F.lit(6), F.floor((F.lit(NOW) - F.col("ts")) / F.lit(YEAR))).cast("int")
+    made.withColumn("age", age).write.partitionBy("age").parquet(f"{folder}/orders")
+    orders = spark.read.schema(made.withColumn("age", age).schema).parquet(f"{folder}/orders")
     for year in range(6, -1, -1):  # what is older than all of them comes first
         until, since = NOW - year * YEAR, None if year == 6 else NOW - (year + 1) * YEAR
-        kept.add_commits(orders.where(F.col("ts") <= until if since is None else F.col("ts").between(since + 1, until)), until)
+        mine = orders.where(F.col("age") == year).drop("age")
+        kept.add_commits(mine.where(F.col("ts") <= until if since is None else F.col("ts").between(since + 1, until)), until)
     pairs = kept.cochange(NOW).select(*[F.col(c).cast("long").alias(c) for c in ("file_a", "file_b")], "weight")
     return graph.normalise_edges(pairs).withColumn("weight", F.round("weight", 6))
 

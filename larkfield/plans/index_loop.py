@@ -101,7 +101,9 @@ class KeptIndex:
     def _fold(self, commits: DataFrame, now: int, number: int) -> None:
         self._write(commits.withColumn("asof", F.lit(now).cast("long")), "commits", number)
         stored = self.spark.read.schema(COMMITS).parquet(f"{self.store}/commits").where(F.col("pass") == number)
-        self._write(graph.cochange_part(stored, now, self.config.cochange_window_days, self.config.cochange_max_files_per_commit), "weights", number)
+        # A pair of a commit is a row to add up; of commits as they are, a task for so many files.
+        parts = max(graph.tasks(stored), -(-(stored.agg(F.sum(F.size("files"))).first()[0] or 0) // graph.TASK_ROWS))
+        self._write(graph.cochange_part(stored, now, self.config.cochange_window_days, self.config.cochange_max_files_per_commit, parts), "weights", number)
 
     def _finish(self, number: int, *values) -> None:
         self._write(self.spark.createDataFrame([(*values, number)], PASSES).coalesce(1), "passes", number)

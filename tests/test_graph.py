@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkfield.operators import graph
+from larkfield.plans import graph_queries
 from larkfield.sources import git
 
 COMMITS = [("aaa", 1000, ["grid", "grid_sync"]), ("bbb", 900, ["grid", "README"])]
@@ -118,3 +119,12 @@ def shuffled(df):
         return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
 
     return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_tasks_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    """What one task groups is bounded by its rows, whatever Spark makes of the bytes before commits are unfolded."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    for made in (graph_queries.edges(spark, sf_dir), graph_queries.commits(spark, sf_dir)):
+        assert made.rdd.getNumPartitions() == -(-rows // 100)
