@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import command_line_session, ensure, logger, own_folder, settings
 from larkfield.functions.text import MARKED, PLAIN, index_terms
+from larkfield.operators import postings as kept
 from larkfield.streaming.event_log import file_stream
 
 NAME = "job1_index_documents"
@@ -35,6 +36,9 @@ DOCUMENTS = "doc_id long, content_hash string, n_terms long, lang string, batch
 POSTINGS = "term string, doc_id long, tf long, batch long, bucket int"
 WORDS = "term string, df long, max_tf long, batch long"
 
+#: Documents whose words of one bucket a task sorts.
+TASK_DOCUMENTS = 50_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -67,16 +71,20 @@ def index_batch(spark: SparkSession, rows: DataFrame, number: int, output: str,
     def replace(df: DataFrame, name: str, *parts: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *parts).parquet(f"{output}/{name}")
 
-    found = new.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # A document has one row here, so its words are counted beside it and no task groups those of others.
+    found = new.select("doc_id", "terms").mapInArrow(kept._grouped, "doc_id long, length long, field byte, first boolean, term string, positions array<int>")
     bucket = F.pmod(F.xxhash64("term"), F.lit(options.buckets)).cast("int")
-    # A bucket is dealt to several tasks, as a frequent word may hold a good part of it.
-    postings = found.select("term", "doc_id", "tf", F.lit(number).alias("batch"), bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    # A bucket is dealt to several tasks, as a frequent word may hold a good part of it; a task sorts words of so many documents.
+    n_rows = rows.count()
+    parts = max(4, -(-n_rows // TASK_DOCUMENTS))
+    postings = found.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), F.lit(number).alias("batch"), bucket.alias("bucket"))
+    postings = postings.repartition(options.buckets * parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     replace(postings.sortWithinPartitions("bucket", "term", "doc_id"), "postings", "bucket")
     written = spark.read.schema(POSTINGS).parquet(f"{output}/postings").where(F.col("batch") == number)
     replace(written.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf")).withColumn("batch", F.lit(number)), "words")
     replace(documents, "documents")  # last: what it names is written
     count = lambda name, schema: spark.read.schema(schema).parquet(f"{output}/{name}").where(F.col("batch") == number).count()
-    return {"rows": rows.count(), "documents": count("documents", DOCUMENTS), "postings": written.count(), "words": count("words", WORDS)}
+    return {"rows": n_rows, "documents": count("documents", DOCUMENTS), "postings": written.count(), "words": count("words", WORDS)}
 
 
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, options: Settings = Settings()) -> list[dict[str, int]]:

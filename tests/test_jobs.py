@@ -186,3 +186,13 @@ def test_a_log_with_named_files_late_rows_and_nulls(spark, tmp_path):
     deliver(spark, [(7, 20, 1, "click", 1.0, None)], f"{tmp_path}/log")
     with pytest.raises(ValueError, match="later than 1 day"):
         session_outcomes.run(spark, f"{tmp_path}/log", f"{tmp_path}/out", f"{tmp_path}/ck")
+
+
+def test_tasks_of_postings_grow_with_the_documents(spark, tmp_path, monkeypatch):
+    """What a task sorts is bounded by its documents; a bucket was dealt to four tasks, however many documents came."""
+    monkeypatch.setattr(index_documents, "TASK_DOCUMENTS", 20)
+    texts = {i: f"same other word{i} same" for i in range(400)}
+    arrive(spark, [(i, t, "en", "s") for i, t in texts.items()], f"{tmp_path}/in")
+    index_documents.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck", index_documents.Settings(buckets=1))
+    assert held(spark, f"{tmp_path}/out") == postings(texts)
+    assert len(files(spark, f"{tmp_path}/out/postings/batch=0/bucket=0")) > 4
