@@ -64,6 +64,11 @@ def word_counts(text: str | None) -> np.ndarray:
     return (out / size if size else out).astype(np.float32)
 
 
+def n_words(text: str | None) -> int:
+    """Runs of anything but ASCII white space, which is what bytes are split at."""
+    return len((text or "").encode("utf-8", "surrogatepass").split())
+
+
 @dataclass(frozen=True)
 class TopicModel:
     """Means of languages and centres of clusters."""
@@ -162,17 +167,17 @@ def _sums(rows: DataFrame, group: Callable[[list[str], np.ndarray, np.ndarray],
 def describe(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None) -> DataFrame:
     """``docs`` with the cell of each row and its tokens; topics are fitted unless a column is given."""
     docs = without(docs, WRITTEN)
-    body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumns({
-        "mix_source": F.coalesce(F.col(source).cast("string"), F.lit("(none)")),
-        "mix_lang": F.coalesce(F.col(lang).cast("string"), F.lit("(none)")),
-        "n_tokens": F.regexp_count(body, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"),
-    })
+    docs = docs.withColumns({name: F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for name, c in (("mix_source", source), ("mix_lang", lang))})
     if topic is not None:
-        return docs.withColumn("mix_topic", F.coalesce(topic, F.lit("(none)")))
+        n_tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+        return docs.withColumns({"n_tokens": n_tokens, "mix_topic": F.coalesce(topic, F.lit("(none)"))})
     shipped = docs.sparkSession.sparkContext.broadcast(fit_topics(docs, text, "mix_lang"))
-    field = T.StructField("mix_topic", T.StringType())
-    return append_columns(docs, text, [field], lambda texts, langs: {"mix_topic": shipped.value.topics(texts, langs)}, also=("mix_lang",))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("mix_topic", T.StringType())]
+
+    def made(texts: list, langs: list) -> dict[str, list]:
+        return {"n_tokens": list(map(n_words, texts)), "mix_topic": shipped.value.topics(texts, langs)}
+
+    return append_columns(docs, text, fields, made, also=("mix_lang",))
 
 
 def shares(found: Mapping[str, float], wanted: Mapping[str, float] | None, power: float) -> dict[str, float]:

@@ -116,3 +116,16 @@ def test_tied_rows_share_their_fate(spark, bench, models):
         assert len(made) == 6 and all(r == made[0] for r in made), name
     assert sorted((r.shard, r.slot) for r in sharding.shard(docs, 4).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0)]
     assert simhash.keep_one(docs).count() == 1 and decontaminate.clean(docs, bench).count() == 6
+
+
+def test_tokens_of_mixing_are_counted_beside_the_topics(spark):
+    """One pass over the texts counts words and finds topics; words end at ASCII white space alone."""
+    import re
+
+    from larkfield.llm.mixing import describe
+
+    texts = ["a b  c", "", None, " \t\n\x0b\x0c\r ", "a b c d", "x\x1cy\x1fz\x85w", "café 日本 \U0001f600", "a\x00b c\n"]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    made = describe(docs)
+    assert {r.doc_id: r.n_tokens for r in made.collect()} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+    assert "regexp_count" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
