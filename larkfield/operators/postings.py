@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from larkfield.functions import ranking as R
 from larkfield.functions.stem import stemmed
@@ -279,13 +281,43 @@ class PostingsIndex:
         of = self._of_stems if stem else self._postings
         single = of(terms(False)).join(hint(asked.where("phrase_len = 1")), "term")
         out = self._summed(single, weights, stem)
-        if not few or any(r.phrase_len > 1 for r in rows):
-            places = of(terms(True), "positions").join(hint(asked.where("phrase_len > 1")), "term")
+        if few and any(r.phrase_len > 1 for r in rows):
+            out = out.unionByName(self._phrases(of(terms(True), "positions"), asked, [r for r in rows if r.phrase_len > 1], weights))
+        elif not few:
+            places = of(None, "positions").join(asked.where("phrase_len > 1"), "term")
             starts = places.select(*keys, "length", "field", "phrase_len", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
             whole = starts.groupBy(*keys, "length", "field", "phrase_len", "start").agg(F.count("*").alias("n")).where("n = phrase_len").withColumn("tf", F.lit(1))
             out = out.unionByName(whole.groupBy(*keys, "length").agg(total))
         return out
 
+    def _phrases(self, places: DataFrame, asked: DataFrame, rows: list, weights: Mapping[str, float]) -> DataFrame:
+        """Hits of phrases of several terms: the positions of all their terms come together by document, once however many
+        phrases ask for a term, and a task looks for the phrases in its documents."""
+        parts: dict[tuple, list[tuple]] = {}
+        for r in rows:
+            parts.setdefault((r.query_id, r.n_terms, r.term_no), []).append((r.offset, r.term))
+        code = {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+        alike: dict[tuple, list[int]] = {}
+        for i, p in enumerate(parts.values()):
+            alike.setdefault(tuple(sorted((o, code[t]) for o, t in p)), []).append(i)
+        shipped = self.spark.sparkContext.broadcast((list(parts), list(alike.items()), len(code), np.array([float(weights.get(f, 0.0)) for f in self.fields])))
+        codes = self.spark.createDataFrame(list(code.items()), "term string, code int")
+        field = (F.array_position(F.array(*[F.lit(f) for f in self.fields]), F.col("field")) - 1).cast("byte").alias("field")
+        found = places.join(F.broadcast(codes), "term").select("doc_id", "length", field, "code", "positions")
+        kinds = {c.name: c.dataType.simpleString() for c in (*asked.schema.fields, *found.schema.fields)}
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("query_id", "n_terms", "term_no", "doc_id", "length")) + ", tf double"
+
+        def search_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, phrases, n_codes, of_field = shipped.value
+            names = [pa.array(list(x)) for x in zip(*keys)]
+            for table in _whole_documents(batches):
+                at, row, tf = _phrase_hits(table, phrases, n_codes, of_field)
+                columns = [x.take(pa.array(at)) for x in names] + [table.column(c).combine_chunks().take(pa.array(row)) for c in ("doc_id", "length")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tf)], names=["query_id", "n_terms", "term_no", "doc_id", "length", "tf"]).cast(target)
+
+        target = to_arrow_schema(_parse_datatype_string(schema))
+        return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(search_, schema)
+
     def _summed(self, single: DataFrame, weights: Mapping[str, float], stem: bool = False) -> DataFrame:
         """Hits of terms that are phrases of their own: the fields of a document are added up, and the terms of a stem."""
         keys = ["query_id", "n_terms", "term_no", "doc_id", "length"]
@@ -486,13 +518,47 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(ids, lengths, which of them each posting is of, codes, counts) of whole documents, from postings sorted by document."""
-    held: list[pa.RecordBatch] = []
-
-    def made(table: pa.Table) -> tuple:
+    for table in _whole_documents(batches):
         ids, lengths, codes, tf = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in table.columns)
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
         begin = np.flatnonzero(fresh)
-        return ids[begin], lengths[begin], np.cumsum(fresh) - 1, codes, tf
+        yield ids[begin], lengths[begin], np.cumsum(fresh) - 1, codes, tf
+
+
+def _phrase_hits(table: pa.Table, phrases: list[tuple], n_codes: int, of_field: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the phrase, a row of its document, weighted count) of all phrases, ((offset, code), ...) each with the
+    numbers that it has, in whole documents (doc_id, length, field, code, positions)."""
+    ids, _, field, code = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(4))
+    lists = table.column(4).combine_chunks()
+    begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    doc = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(ids))))
+    size, pos = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    # Places of the fields of all documents in one row, with room between them for the longest phrase.
+    width = int(pos.max(initial=0)) + max(o for p, _ in phrases for o, _ in p) + 2
+    place = np.repeat((doc * len(of_field) + field) * width, size) + pos
+    code = np.repeat(code, size)
+    order = np.lexsort((place, code))
+    place, ends = place[order], np.searchsorted(code[order], np.arange(n_codes + 1))
+    found = []
+    for parts, numbers in phrases:
+        of = sorted(((place[ends[c] : ends[c + 1]], o) for o, c in parts), key=lambda x: len(x[0]))
+        start = of[0][0] - of[0][1]
+        for there, offset in of[1:]:
+            if not len(start):
+                break
+            near = np.searchsorted(there, start + offset)
+            start = start[there[np.minimum(near, len(there) - 1)] == start + offset]
+        if len(start):
+            at, n = np.unique(start // width, return_counts=True)
+            docs, back = np.unique(at // len(of_field), return_inverse=True)
+            tf = np.bincount(back, weights=n * of_field[at % len(of_field)])
+            found += [(np.full(len(docs), k), begin[docs], tf) for k in numbers]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by document, whose first column names it, in tables that hold whole documents."""
+    held: list[pa.RecordBatch] = []
 
     for batch in batches:
         if batch.num_rows:
@@ -502,10 +568,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             ids = table.column(0).combine_chunks().to_numpy(zero_copy_only=False)
             last = int(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[-1])  # it may go on in the next batch
             if last:
-                yield made(table.slice(0, last))
+                yield table.slice(0, last)
                 held = table.slice(last).to_batches()
     if held:
-        yield made(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
 
 
 class _Scorer:

@@ -170,3 +170,25 @@ def test_occurrences_are_grouped_before_they_are_shuffled(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([r[k]], t) for k, t in enumerate(types)], names=names) for r in rows]
     blocks = [tuple(r.values()) for b in postings._blocks(iter(batches)) for r in b.to_pylist()]
     assert blocks == [(0, "a", 1, 2, 4, 2, 3), (0, "a", 2, 1, 9, 1, 0), (0, "b", 2, 1, 9, 0, 7)]
+
+
+def test_phrases_are_found_by_documents_whatever_queries_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "AT_ONCE", 200)
+    rng = random.Random(8)
+    word = lambda: f"w{min(int(rng.expovariate(0.5)), 9)}"
+    docs = spark.createDataFrame([(d, " ".join(word() for _ in range(rng.randrange(4))), " ".join(word() for _ in range(rng.randrange(60)))) for d in range(150)] + [(150, None, None)], SCHEMA)
+    asked = spark.createDataFrame([(q, " ".join("-".join(word() for _ in range(rng.randint(1, 4))) for _ in range(2))) for q in range(40)] + [(40, "w1-absent"), (41, "w0-w0-w0"), (42, "w1-w2 w1-w2")], "query_id long, query string")
+    index = PostingsIndex(spark, f"{tmp_path}/i", list(WEIGHTS), buckets=2)
+    index.add(docs)
+    found = lambda df: sorted((r.query_id, r.n_terms, r.term_no, r.doc_id, r.tf) for r in df.collect())
+    expected = found(search.phrase_hits(search.postings(docs, list(WEIGHTS)), search.query_phrases(asked), WEIGHTS))
+    assert len(expected) > 1_000 and found(index.hits(search.query_phrases(asked), WEIGHTS)) == expected
+    # What is shuffled are the postings of the terms, once, and not their positions for each phrase.
+    long = search.query_phrases(asked).where("phrase_len > 1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = index.hits(long, WEIGHTS)
+        hits.collect()
+        assert shuffled(hits) <= 2 * index._postings(None).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
