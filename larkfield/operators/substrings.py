@@ -3,7 +3,8 @@
 A needle of three index terms or more has whole terms of a text within it: the rarest of them gives the candidates. One of
 one or two terms may lie within words: its longest term is cut into runs of three characters, the rarest of these are
 intersected over the vocabulary (which grows far more slowly than the texts), and the words that do contain it give the
-candidates. What has no term of three characters is tested against all texts, a block of needles at a time.
+candidates. The runs of needles are counted and broadcast, so that those of the vocabulary are read and not shuffled.
+What has no term of three characters is tested against all texts, a block of needles at a time.
 
 Defined results: texts are compared as they are, with case and marks; null texts contain nothing; null and empty needles
 are left out, repeated ones count once; each pair is given once. The index must hold ``text`` of the same documents.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from larkfield.functions.text import index_terms
 from larkfield.operators.postings import GRAM, PostingsIndex, grams_of
+from larkfield.operators.search import _small
 
 #: Grams intersected for a needle, and needles tested against all texts at once.
 RAREST, BLOCK = 3, 500
@@ -48,10 +50,13 @@ def containing(index: PostingsIndex, docs: DataFrame, needles: DataFrame, id_col
 
 def _words_with(index: PostingsIndex, parts: DataFrame) -> DataFrame:
     """(needle, term): the terms of the index that contain the part of each needle."""
-    grams, cut = index.grams(), parts.select("needle", "part", F.explode(grams_of(F.col("part"))).alias("gram"))
-    counted = grams.join(cut.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    cut = index._aside(parts.select("needle", "part", F.explode(grams_of(F.col("part"))).alias("gram")))
+    if cut.isEmpty():
+        return parts.select("needle", F.col("part").alias("term"))
+    grams = index.grams()
+    counted = grams.join(_small(cut.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("n"))
     order = W.partitionBy("needle").orderBy(F.coalesce("n", F.lit(0)), "gram")
     rare = cut.join(counted, "gram", "left").withColumn("no", F.row_number().over(order)).where(F.col("no") <= RAREST)
     asked = rare.withColumn("asked", F.count("*").over(W.partitionBy("needle"))).select("needle", "part", "gram", "asked")
-    met = grams.join(asked, "gram").groupBy("needle", "part", "term", "asked").agg(F.count("*").alias("met"))
+    met = grams.join(_small(index._aside(asked)), "gram").groupBy("needle", "part", "term", "asked").agg(F.count("*").alias("met"))
     return met.where((F.col("met") == F.col("asked")) & F.col("term").contains(F.col("part"))).select("needle", "term")

@@ -192,3 +192,19 @@ def test_phrases_are_found_by_documents_whatever_queries_share(spark, tmp_path,
         assert shuffled(hits) <= 2 * index._postings(None).count()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_runs_of_characters_are_not_shuffled_for_few_needles(spark, tmp_path):
+    docs = spark.createDataFrame([(d, "", f"word{d}x other{d % 7} more{d}") for d in range(300)], SCHEMA)
+    index = PostingsIndex(spark, f"{tmp_path}/i", ["text"], buckets=2)
+    index.add(docs)
+    of = lambda texts: sorted((r.needle, r.doc_id) for r in substrings.containing(index, docs, spark.createDataFrame([(t,) for t in texts], "needle string")).collect())
+    assert of(["word7x other0 more7", "x other3 more1"]) == [("word7x other0 more7", 7), *(("x other3 more1", d) for d in (10, 17, 101, 108, 115, 122, 129, 136, 143, 150, 157, 164, 171, 178, 185, 192, 199) if d % 7 == 3 and str(d).startswith("1"))]
+    assert not index._written(f"{index.root}/{index.segments()[0]}/grams")  # whole terms need none
+    assert of(["ord25x", "rd25"]) == [("ord25x", 25), *(("rd25", d) for d in (25, *range(250, 260)))]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        words = substrings._words_with(index, spark.createDataFrame([("ord25x", "ord25x")], "needle string, part string"))
+        assert [r.term for r in words.collect()] == ["word25x"] and shuffled(words) < index.grams().count() / 10
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
