@@ -265,7 +265,7 @@ class PostingsIndex:
         """Postings of all terms of the stems, under the stem."""
         table = self.stems(stems)
         terms = self.few(table) if stems is not None else None
-        rows = self._postings(terms, *more).join(F.broadcast(table) if terms is not None else table, "term")
+        rows = self._postings(terms, *more).join(search._small(table) if stems is not None else table, "term")
         return rows.drop("term").withColumnRenamed("stem", "term")
 
     def _hits(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], stem: bool = False) -> DataFrame:
@@ -351,17 +351,23 @@ class PostingsIndex:
 
     def _score(self, asked: DataFrame, rows: list, few: bool, weights: Mapping[str, float], known: Mapping[str, int] | None = None, k: int | None = None) -> DataFrame:
         """All scores, or with ``k`` at least those of the first ``k`` documents of each query."""
-        terms = sorted({r.term for r in rows})
-        if rows and few and self._whole() and len(terms) <= PUSHED_TERMS and len(terms) * len({r.query_id for r in rows}) <= DENSE and all(r.phrase_len == 1 for r in rows):
-            return self._by_documents(asked, rows, self.frequencies(terms) if known is None else known, weights, k)
+        if self._dense(rows, few):
+            return self._by_documents(asked, rows, self.frequencies(sorted({r.term for r in rows})) if known is None else known, weights, k)
         return self._parts(self._counted(self._hits(asked, rows, few, weights), rows, few, known))
 
+    def _dense(self, rows: list, few: bool) -> bool:
+        """Whether a batch of queries can be scored document by document."""
+        n = len({r.term for r in rows})
+        return bool(rows) and few and self._whole() and n <= PUSHED_TERMS and n * len({r.query_id for r in rows}) <= DENSE and all(r.phrase_len == 1 for r in rows)
+
     def match(self, queries: DataFrame, weights: Mapping[str, float], k: int = R.CANDIDATES, stem: bool = False) -> DataFrame:
         """(query_id, n_terms, doc_id, n_hit, b, used_or, rank) as ``search.match`` gives it."""
         asked, rows, few = self._asked(search.query_phrases(queries, stem))
         terms = sorted({r.term for r in rows})
         scored = known = None
-        if stem:
+        if stem and self._dense(rows, few):
+            scored = self._by_documents(asked, rows, None, weights, k, stem)
+        elif stem:
             scored = self._parts(self._counted(self._hits(asked, rows, few, weights, stem), [], few=False))
         elif rows and few and self._whole() and len(terms) <= PUSHED_TERMS and all(r.phrase_len == 1 for r in rows):
             known = self.frequencies(terms)
@@ -376,8 +382,9 @@ class PostingsIndex:
 
     # ---- document by document ----------------------------------------------------------------------
 
-    def _by_documents(self, asked: DataFrame, rows: list, known: Mapping[str, int], weights: Mapping[str, float], k: int | None) -> DataFrame:
-        """The postings of all terms come together by document, and a task scores its documents against all queries."""
+    def _by_documents(self, asked: DataFrame, rows: list, known: Mapping[str, int] | None, weights: Mapping[str, float], k: int | None, stem: bool = False) -> DataFrame:
+        """The postings of all terms come together by document, and a task scores its documents against all queries. Those of
+        the terms of a stem are added up there first, and stored, so that documents of a stem are counted without a shuffle."""
         terms = sorted({r.term for r in rows})
         code = {t: i for i, t in enumerate(terms)}
         queries = sorted({(r.query_id, r.n_terms) for r in rows})
@@ -385,11 +392,18 @@ class PostingsIndex:
         times = np.zeros((len(terms), len(queries)))
         for r in rows:
             times[code[r.term], column[r.query_id]] += 1
-        n, mean = self.stats()
-        shipped = self.spark.sparkContext.broadcast((queries, times, np.array([known.get(t, 0) for t in terms], dtype=np.float64), n, mean))
         codes = self.spark.createDataFrame(list(code.items()), "term string, code int")
         tf = (self._weight(weights) * F.col("tf")).alias("tf")
-        found = self._postings(terms).join(F.broadcast(codes), "term").select("doc_id", "length", "code", tf)
+        found = (self._of_stems(terms) if stem else self._postings(terms)).join(F.broadcast(codes), "term").select("doc_id", "length", "code", tf)
+        together = found.repartition("doc_id").sortWithinPartitions("doc_id")
+        if stem:
+            summed = together.mapInArrow(_summed_documents, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, length long, code array<int>, tf array<double>")
+            summed = self._aside(summed)
+            known = {terms[r.code]: r["count"] for r in summed.select(F.explode("code").alias("code")).groupBy("code").count().collect()}
+            # Files are read in any order; the scorer wants its documents in the order of their ids.
+            together = summed.sortWithinPartitions("doc_id").select("doc_id", "length", F.explode(F.arrays_zip("code", "tf")).alias("x")).select("doc_id", "length", "x.code", "x.tf")
+        n, mean = self.stats()
+        shipped = self.spark.sparkContext.broadcast((queries, times, np.array([known.get(t, 0) for t in terms], dtype=np.float64), n, mean))
         kinds = {c.name: c.dataType.simpleString() for c in (*asked.schema.fields, *found.schema.fields)}
         schema = f"query_id {kinds['query_id']}, n_terms int, doc_id {kinds['doc_id']}, n_hit long, b double"
 
@@ -399,7 +413,7 @@ class PostingsIndex:
                 yield from scorer.add(ids, lengths, at, codes, tf)
             yield from scorer.rest()
 
-        return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(score, schema)
+        return together.mapInArrow(score, schema)
 
     # ---- range by range ----------------------------------------------------------------------------
 
@@ -524,6 +538,16 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield ids[begin], lengths[begin], np.cumsum(fresh) - 1, codes, tf
 
 
+def _summed_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, from postings sorted by document: its codes, once each, and their summed counts."""
+    for ids, lengths, at, codes, tf in _documents(batches):
+        width = int(codes.max()) + 1
+        cell, back = np.unique(at * width + codes, return_inverse=True)
+        offsets = pa.array(np.searchsorted(cell, np.arange(len(ids) + 1) * width).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((cell % width).astype(np.int32), np.bincount(back, weights=tf))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), *lists], names=["doc_id", "length", "code", "tf"])
+
+
 def _phrase_hits(table: pa.Table, phrases: list[tuple], n_codes: int, of_field: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the phrase, a row of its document, weighted count) of all phrases, ((offset, code), ...) each with the
     numbers that it has, in whole documents (doc_id, length, field, code, positions)."""

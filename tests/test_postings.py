@@ -208,3 +208,18 @@ def test_runs_of_characters_are_not_shuffled_for_few_needles(spark, tmp_path):
         assert [r.term for r in words.collect()] == ["word25x"] and shuffled(words) < index.grams().count() / 10
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_stems_are_scored_by_documents(spark, tmp_path, monkeypatch):
+    for name, value in (("CELLS", 900), ("AT_ONCE", 300)):
+        monkeypatch.setattr(postings, name, value)
+    rng = random.Random(12)
+    word = lambda: rng.choice(("power", "sync", "model", "graph", "index", "float")) + rng.choice(("", "s", "ed", "ing", "er")) if rng.random() < 0.4 else f"w{rng.randrange(300)}"
+    texts = {d: (word(), " ".join(word() for _ in range(rng.randrange(40)))) for d in range(300)}
+    texts |= {d: texts[d % 300] for d in range(300, 420)} | {420: (None, None)}  # ties
+    docs = spark.createDataFrame([(d, *t) for d, t in texts.items()], SCHEMA)
+    asked = spark.createDataFrame([(q, " ".join(word() for _ in range(rng.randint(1, 5)))) for q in range(40)] + [(40, "powers power"), (41, "syncing absent"), (42, "models ..."), (43, "absent")], "query_id long, query string")
+    index = PostingsIndex(spark, f"{tmp_path}/i", list(WEIGHTS), buckets=3)
+    index.add(docs)
+    monkeypatch.setattr(PostingsIndex, "_hits", lambda *a: pytest.fail("hits of all queries are shuffled"))
+    assert rows(index.match(asked, WEIGHTS, k=7, stem=True)) == rows(search.match(docs, asked, WEIGHTS, k=7, stem=True))
