@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkfield.functions.text import index_terms
+from larkfield.operators import search
 from larkfield.operators.postings import GRAM, PostingsIndex, grams_of
 from larkfield.operators.search import _small
 
@@ -39,7 +40,9 @@ def containing(index: PostingsIndex, docs: DataFrame, needles: DataFrame, id_col
     counted = whole.join(index.words(index.few(whole)), "term", "left").groupBy("needle").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     terms = index._aside(counted.unionByName(_words_with(index, parts.where(within).select("needle", F.col("longest.p").alias("part")))))
     postings = index._postings(index.few(terms)).where(F.col("field") == text).select("term", "doc_id")
-    found = postings.join(terms, "term").groupBy(F.col("doc_id").alias(id_column)).agg(F.collect_set("needle").alias("needles"))
+    # Words that hold a short needle may be a million: tables of them by part of the terms, so that postings are not sorted.
+    few = terms.limit(search.BROADCAST_ROWS + 1).count() <= search.BROADCAST_ROWS
+    found = postings.join(terms.hint("broadcast" if few else "shuffle_hash"), "term").groupBy(F.col("doc_id").alias(id_column)).agg(F.collect_set("needle").alias("needles"))
     tested = docs.select(id_column, text).join(found, id_column).select(id_column, F.explode(F.filter("needles", lambda n: F.col(text).contains(n))).alias("needle"))
 
     rest = parts.where(~inner & ~F.coalesce(within, F.lit(False)))

@@ -223,3 +223,23 @@ def test_stems_are_scored_by_documents(spark, tmp_path, monkeypatch):
     index.add(docs)
     monkeypatch.setattr(PostingsIndex, "_hits", lambda *a: pytest.fail("hits of all queries are shuffled"))
     assert rows(index.match(asked, WEIGHTS, k=7, stem=True)) == rows(search.match(docs, asked, WEIGHTS, k=7, stem=True))
+
+
+def test_postings_of_many_terms_are_not_shuffled_for_needles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "PUSHED_TERMS", 1)
+    docs = spark.createDataFrame([(d, "", " ".join(f"a{d}b{i}" for i in range(40)) + f" word{d}x") for d in range(60)], SCHEMA)
+    index = PostingsIndex(spark, f"{tmp_path}/i", ["text"], buckets=2)
+    index.add(docs)
+    needles = spark.createDataFrame([("ord5",), ("ord17x",)], "needle string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substrings.containing(index, docs, needles)
+        assert sorted((r.needle, r.doc_id) for r in found.collect()) == [("ord17x", 17), *(("ord5", d) for d in (5, *range(50, 60)))]
+        assert shuffled(found) < index._postings(None).count() / 4
+        monkeypatch.setattr(search, "BROADCAST_ROWS", 0)  # more of them: by a shuffle, without a sort
+        many = substrings.containing(index, docs, needles)
+        assert sorted(many.collect()) == sorted(found.collect()) and "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
