@@ -7,17 +7,17 @@ function and shingle meet, aligned at the shared shingle, and are compared over
 of ``SPAN`` shingles or more that holds the anchor and agrees in 8 of 9 places links them (``linked_windows``; a word
 more or less on one side is allowed for). The passages of linked texts are then verified word by word.
 
-Links of a group of windows form a tree: a window is linked to the first one that it matches and is not tried again
-with the others that match it, and every window that matches nothing yet is compared with all others, so that two texts
-with a common passage are always in one class, at a cost in line with the rows. Windows whose surroundings agree
-further with another window than with their parent in the tree are linked to that too, so that longer passages of some
-texts of a class are not lost. ``passage_id`` names the class: the passages of a text that overlap are one, and
-classes are the connected components of verified links. Equal texts are one class of texts and searched once.
-
-Large groups: equal surroundings meet by aggregation; what is left of a group of over ``BLOCK`` windows is dealt by the
-eight shingles before the anchor and by the eight behind it, one of which all windows that agree have in common, and groups
-that are still larger are compared in pairs of blocks, so that no task holds a whole group and none is left out. A line of
-13 words or more that is frequent in texts that differ around it costs the square of their number.
+Links of a group of windows form trees, so that two texts with a common passage are always in one class. Windows of a
+group of over ``SMALL`` are not compared pair by pair: those that agree place by place meet by hashes of the stretch, and
+those that agree round an edit by what they share and a centre of the group has not, or by both being near a centre
+(``_Group``; bytes of sketches that are alike by chance alone may stay apart). Windows whose surroundings agree further with
+another window than with their partners in the tree are linked to that too, so that longer passages of some texts of a
+class are not lost. ``passage_id`` names the class: the passages of a text that overlap are one, and classes are the
+connected components of verified links. Equal texts are one class of texts and searched once.
+
+Large groups: what is left of a group of over ``BLOCK`` windows, equal surroundings aside, is dealt by the eight shingles
+before the anchor and by the eight behind it, one of which all windows that agree have in common, and groups that are still
+larger are linked in pairs of blocks, so that no task holds a whole group and none is left out.
 
 Defined results: null, empty and short texts (under 50 words) have no passages; passages repeated within one text are
 not reported; every id of a text that other rows equal has a row over the whole text, once, however many rows it has
@@ -55,7 +55,7 @@ ROUND = 17
 #: that hold the anchor, so eight before it or eight behind it, whatever is edited elsewhere.
 SIDES = (tuple(range(-(ROUND // 2), 0)), tuple(range(1, ROUND // 2 + 1)))
 #: Windows that are compared in one task.
-BLOCK = 2_048
+BLOCK = 32_768
 #: Texts that are verified in one task against the text that leads them.
 TEXTS = 512
 #: At most so many rows of a few numbers, or bare keys, are broadcast, counted before; more are joined by a shuffle.
@@ -308,49 +308,267 @@ def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return differ[:, ARM::-1].argmax(1), differ[:, ARM + 2 :].argmax(1)
 
 
-def linked_windows(sketch: np.ndarray, text: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of windows of different texts that agree: trees over all that do, and longer agreements of neighbours.
+class _Forest:
+    """Trees over windows; ``made`` has the pairs that joined two of them."""
+
+    def __init__(self, n: int):
+        self.root, self.made = np.arange(n), []
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            a, b = self.root[x], self.root[y]
+            apart = a != b
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            below, at = np.unique(np.maximum(a, b), return_index=True)
+            self.root[below] = np.minimum(a, b)[at]
+            self.made.append((x[at], y[at]))
+            while ((up := self.root[self.root]) != self.root).any():
+                self.root = up
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip((none, none), *self.made))
+
 
-    Rows come in the order of preference as root. Rows of one number of ``known`` (0 or more) are linked already.
+class _Group:
+    """Windows of one anchor, to be linked: a pair that agrees and is of different texts ends in one tree.
+
+    Pairs that agree place by place share a stretch of ``SPAN`` places at one of ``SPAN`` distances, and meet by its hash.
+    What then still lies in different trees can only agree round an edit. Such pairs are found by centres, sketches made of the most
+    frequent byte at each place: where a pair has three places in a row alike of which one is not the centre's, it meets by these;
+    a pair that has none agrees only where both agree with the centre, so that both must come near enough to it.
     """
-    edges: list[tuple[int, int]] = []
-    left = np.arange(len(text))
-    best = np.zeros(len(text), dtype=np.int64)
-    trees: list[list[int]] = []
-    while len(left):
-        tree, left = [int(left[0])], left[1:]
-        for x in tree:
-            if not len(left):
+
+    def __init__(self, sketch: np.ndarray, text: np.ndarray):
+        self.sketch, self.text, self.forest = sketch, text, _Forest(len(text))
+        inside = sketch != 0
+        self.low, self.high = inside.argmax(1), 2 * ARM + 1 - inside[:, ::-1].argmax(1)
+        near = ROUND // 2
+        self.sides = [np.ascontiguousarray(sketch[:, x : x + near]).view(np.uint64).ravel() for x in (ARM - near, ARM + 1)]
+
+    def neighbours(self, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, length) of windows of one ``tree`` that follow each other in the order of what lies on either side, and agree place by place."""
+        found = []
+        for part in (self.sketch[:, ARM:], self.sketch[:, ARM::-1]):
+            order = np.lexsort((np.argsort(np.argsort(np.ascontiguousarray(part).view(f"V{ARM + 1}").ravel(), kind="stable")), tree))
+            x, y = order[:-1], order[1:]
+            fit = (self.text[x] != self.text[y]) & (tree[x] == tree[y])
+            x, y = x[fit], y[fit]
+            length = np.add(*_common(self.sketch[x], self.sketch[y])) if len(x) else x
+            fit = length >= SPAN - 1
+            found.append((x[fit], y[fit], length[fit]))
+        return tuple(np.concatenate(z) for z in zip(*found))
+
+    def join_alike(self, part: np.ndarray) -> None:
+        """Joins the windows of equal numbers ``part`` that agree place by place; the longest agreements of neighbours come first."""
+        x, y, length = self.neighbours(part)
+        order = np.argsort(-length, kind="stable")
+        self.forest.join(x[order], y[order])
+        column = np.ascontiguousarray(self.sketch.T)
+        value = [_BYTES[column[p]] * _POWERS[p] for p in range(2 * ARM + 1)]
+        total = hashed(part.astype(np.uint64), 0) + np.sum(value[:SPAN], axis=0, dtype=np.uint64)
+        for p in range(SPAN):
+            if p:
+                total += value[p + SPAN - 1] - value[p - 1]
+            fit = np.flatnonzero((self.low <= p) & (self.high >= p + SPAN))
+            order = np.argsort(total[fit], kind="stable")
+            key, at = total[fit][order], fit[order]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            if fresh.all():
+                continue
+            begin, place = np.flatnonzero(fresh), np.arange(len(at))
+            group = np.cumsum(fresh) - 1
+            first = at[begin][group]
+            other = self.text[at] != self.text[first]
+            second = np.minimum.reduceat(np.where(other, place, len(at)), begin)[group]  # the first one of another text
+            fit = other | ((second < len(at)) & ~fresh)
+            self.forest.join(np.where(other, first, at[np.minimum(second, len(at) - 1)])[fit], at[fit])
+
+    def join_edited(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Joins those of the pairs that agree, whichever of both is edited."""
+        root = self.forest.root
+        fit = (root[x] != root[y]) & (self.text[x] != self.text[y])
+        fit &= np.minimum(self.high[x], self.high[y]) - np.maximum(self.low[x], self.low[y]) >= SPAN
+        x, y = x[fit], y[fit]
+        fit = (self.sides[0][x] == self.sides[0][y]) | (self.sides[1][x] == self.sides[1][y])
+        x, y = x[fit], y[fit]
+        for k in range(0, len(x), AT_ONCE):
+            a, b = x[k : k + AT_ONCE], y[k : k + AT_ONCE]
+            hit = _agree(self.sketch[a], self.sketch[b])
+            rest = np.flatnonzero(~hit)
+            hit[rest] = _agree(self.sketch[b[rest]], self.sketch[a[rest]])
+            self.forest.join(a[hit], b[hit])
+
+    def centres(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Centres, and the number of the centre that each window has most places of. They bear on the time only, not on the result."""
+        chosen, home, most = np.arange(len(self.text)), np.zeros(len(self.text), dtype=np.int64), np.full(len(self.text), -1)
+        out: list[np.ndarray] = []
+        while len(out) < CENTRES:
+            counts = np.stack([np.bincount(self.sketch[chosen, p], minlength=256) for p in range(2 * ARM + 1)])
+            counts[:, 0] = 0
+            out.append(np.where(counts.max(1) >= min(FREQUENT, len(chosen)), counts.argmax(1), 0).astype(np.uint8))
+            near = _near(self.sketch, out[-1], 2).sum(1)
+            home[near > most] = len(out) - 1
+            most = np.maximum(most, near)
+            gram, row, place = self.strange(np.arange(len(self.text)), out, home)
+            values, n = np.unique(gram[::7] * 128 + place[::7], return_counts=True)
+            if not len(n) or n.max() * 7 < FREQUENT:
                 break
-            hit = _agree(sketch[x], sketch[left]) & (text[left] != text[x])
-            found, own = left[hit], known[left[hit]]
-            new = own < 0
-            new[np.unique(own, return_index=True)[1]] = True  # one link to rows that are linked already
-            edges.extend((x, y) for y in found[new].tolist())
-            taken = hit | np.isin(known[left], [k for k in {known[x], *own.tolist()} if k >= 0])
-            tree.extend(left[taken].tolist())
-            left = left[~taken]
-        if len(tree) > 2:
-            trees.append(tree)
-    if edges and trees:
-        at = np.array(edges)
-        ends = _common(sketch[at[:, 0]], sketch[at[:, 1]])
-        for side in (0, 1):
-            np.maximum.at(best, at[:, side], ends[0] + ends[1])
-    for tree in trees:
-        rows = np.array(tree)
-        for part in (sketch[rows, ARM:], sketch[rows, ARM::-1]):
-            order = rows[np.argsort(np.ascontiguousarray(part).view(f"V{ARM + 1}").ravel(), kind="stable")]
-            a, b = order[:-1], order[1:]
-            a, b = a[text[a] != text[b]], b[text[a] != text[b]]
-            if len(a):
-                before, after = _common(sketch[a], sketch[b])
-                length = before + after
-                more = (length >= SPAN - 1) & ((length > best[a] + SHINGLE) | (length > best[b] + SHINGLE))
-                edges.extend(zip(a[more].tolist(), b[more].tolist()))
-                np.maximum.at(best, a[more], length[more])
-                np.maximum.at(best, b[more], length[more])
-    return edges
+            frequent = gram * 128 + place == values[n.argmax()]
+            chosen = row[frequent]
+        return out, home
+
+    def strange(self, rows: np.ndarray, centres: list[np.ndarray], home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(three bytes, window, place) wherever one of three places in a row is not that of the window's centre, or of one nearby."""
+        found = []
+        for k, centre in enumerate(centres):
+            own = rows[home[rows] == k]
+            found.append(self.grams(own, ~_near(self.sketch[own], centre, 2)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def grams(self, rows: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(three bytes, window, place) of three places in a row that have a marked one."""
+        own = self.sketch[rows]
+        whole = own != 0
+        fit = whole[:, :-2] & whole[:, 1:-1] & whole[:, 2:] & (marked[:, :-2] | marked[:, 1:-1] | marked[:, 2:])
+        at, place = np.nonzero(fit)
+        gram = own[at, place].astype(np.int64) << 16 | own[at, place + 1].astype(np.int64) << 8 | own[at, place + 2]
+        return gram, rows[at], place
+
+    def join_near_centres(self, centres: list[np.ndarray], home: np.ndarray) -> None:
+        """Joins what agrees wherever it agrees with the centres of both. One of two has its places within two of a centre's, the other within four."""
+        rows = np.arange(len(home))
+        near = np.stack([_near(self.sketch, centre, 2) for centre in centres])
+        tight = np.stack([_stretches(x, 2) for x in near])
+        loose = np.stack([_stretches(_near(self.sketch, centre, 4), 4) for centre in centres])
+        near, own_tight, own_loose = near[home, rows], tight[home, rows], loose[home, rows]
+        some = np.flatnonzero(own_tight | own_loose)
+        some = some[np.argsort(-near[some].sum(1), kind="stable")]
+        some = some[self.foremost(np.where(near[some], self.sketch[some], np.uint8(0)), some)]
+        values, n = np.unique(self.forest.root[some], return_counts=True)
+        for y in some[self.forest.root[some] != values[n.argmax()]].tolist() if len(some) else []:
+            x = some[self.forest.root[some] != self.forest.root[y]]
+            x = x[((tight[home[y], x] & own_loose[y]) | (loose[home[y], x] & own_tight[y])) != 0]
+            x = x[((own_tight[x] & loose[home[x], y]) | (own_loose[x] & tight[home[x], y])) != 0]
+            n = 64
+            while len(x):
+                self.join_edited(x[:n], np.full(len(x[:n]), y))
+                x, n = x[n:], n * 8
+                x = x[self.forest.root[x] != self.forest.root[y]]
+
+    def foremost(self, held: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which windows to compare: not those of which two others of the tree, of two texts, have all that is ``held``."""
+        out = np.ones(len(rows), dtype=bool)
+        order = np.argsort(self.forest.root[rows], kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(self.forest.root[rows][order])) + 1):
+            tried = 0
+            first = np.full(len(own), -1)  # a window that has all that these have
+            while tried < len(own) > LEADERS:
+                lead = own[0]
+                text = self.text[rows[lead]]
+                less = ((held[own] == held[lead]) | (held[own] == 0)).all(1)
+                less[0] = False
+                again = less & (first >= 0)
+                again[again] = self.text[rows[first[again]]] != text
+                out[own[again]] = False
+                first[less & (first < 0)] = lead
+                own, first, tried = own[~again][1:], first[~again][1:], tried + 1
+                if tried >= LEADERS:
+                    break
+        return out
+
+    def join_strange(self, centres: list[np.ndarray], home: np.ndarray) -> None:
+        """Joins what shares three places in a row that the centre of one of both has not."""
+        rows = np.arange(len(self.text))
+        values, n = np.unique(self.forest.root, return_counts=True)
+        large = self.forest.root == values[n.argmax()]
+        for k, centre in enumerate(centres):
+            gram, row, place = self.strange(rows[home == k], centres, home)
+            key = gram * 128 + place
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            asked, asking, at = self.grams(rows, self.sketch != centre)
+            asked = asked * 128 + at
+            order = np.argsort(asked, kind="stable")
+            for own, met in ((~large, np.ones(len(row), dtype=bool)), (large, ~large[row])):
+                mine = order[own[asking[order]]]
+                keys, partner = key[met], row[met]
+                begin, end = np.searchsorted(keys, asked[mine] - 2), np.searchsorted(keys, asked[mine] + 2, "right")
+                alone = (end - begin == 1) & (partner[np.minimum(begin, len(partner) - 1)] == asking[mine]) if len(partner) else end == begin
+                mine, begin, end = (x[(end > begin) & ~alone] for x in (mine, begin, end))
+                by_row = np.argsort(asking[mine], kind="stable")
+                y, begin, size = asking[mine][by_row], begin[by_row], (end - begin)[by_row]
+                ends = np.cumsum(size)
+                cut = 0
+                while cut < len(y):
+                    upto = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + EXPANDED, "right")))
+                    n = size[cut:upto]
+                    a = np.repeat(y[cut:upto], n)
+                    b = partner[np.repeat(begin[cut:upto] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    apart = self.forest.root[a] != self.forest.root[b]
+                    pairs = np.unique(a[apart] * len(rows) + b[apart])
+                    self.join_edited(pairs // len(rows), pairs % len(rows))
+                    cut = upto
+
+    def link(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that make up the trees. Those of one number of ``part`` are linked elsewhere too."""
+        if (part != part[0]).any():
+            self.join_alike(part)
+        self.join_alike(np.zeros(len(part), dtype=np.int64))
+        if len(part) <= SMALL:
+            x, y = np.triu_indices(len(part), 1)
+            self.join_edited(x, y)
+        elif (self.forest.root != self.forest.root[0]).any():
+            centres, home = self.centres()
+            self.join_near_centres(centres, home)
+            self.join_strange(centres, home)
+        x, y = self.forest.pairs()
+        # Longer agreements of neighbours in a tree.
+        best = np.zeros(len(part), dtype=np.int64)
+        if len(x):
+            length = np.add(*_common(self.sketch[x], self.sketch[y]))
+            np.maximum.at(best, x, length)
+            np.maximum.at(best, y, length)
+        a, b, length = self.neighbours(self.forest.root)
+        more = (length > best[a] + SHINGLE) | (length > best[b] + SHINGLE)
+        return np.concatenate([x, a[more]]), np.concatenate([y, b[more]])
+
+
+def _near(sketch: np.ndarray, centre: np.ndarray, reach: int) -> np.ndarray:
+    """Which places of sketches have a byte that the centre has there, or, two in a row, up to ``reach`` places before or behind."""
+    held = np.pad(centre, reach)
+    out = sketch == centre
+    for d in range(2 * reach + 1):
+        if d != reach:
+            same = sketch == held[d : d + 2 * ARM + 1]
+            two = same[:, 1:] & same[:, :-1]
+            out[:, 1:] |= two
+            out[:, :-1] |= two
+    return out & (sketch != 0)
+
+
+def _stretches(near: np.ndarray, forgiven: int) -> np.ndarray:
+    """For each row a bit for the places before the anchor from which a stretch may begin that agrees with a centre. Ends may move
+    by two places, as two windows and the centre are laid on each other with shifts, and some places that differ are forgiven."""
+    gain = np.where(near, np.int16(1), np.int16(-PENALTY))
+    zero = np.zeros((len(near), 1), dtype=np.int16)
+    right = np.concatenate([zero, np.cumsum(gain[:, ARM + 1 :], axis=1, dtype=np.int16)], axis=1)
+    left = np.concatenate([zero, np.cumsum(gain[:, ARM - 1 :: -1], axis=1, dtype=np.int16)], axis=1)
+    right = np.maximum.accumulate(right[:, ::-1], axis=1)[:, np.minimum(np.arange(ARM + 1) + 2, ARM)]
+    can = left + right >= -1 - forgiven * (PENALTY + 1)
+    bits = (can * (np.uint64(1) << np.arange(8, ARM + 9, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    return bits | bits << np.uint64(1) | bits << np.uint64(2) | bits >> np.uint64(1) | bits >> np.uint64(2)
+
+
+def linked_windows(sketch: np.ndarray, text: np.ndarray, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of windows of different texts that agree: trees over all that do, and longer agreements of neighbours.
+
+    Of several ``part``, those within one may be missing, as long as they are in a tree of that part alone.
+    """
+    if len(text) < 2:
+        return []
+    x, y = _Group(sketch, text).link(np.zeros(len(text), dtype=np.int64) if part is None else part)
+    return list(zip(x.tolist(), y.tolist()))
 
 
 EDGE_SCHEMA = "a long, b long, a_c int, b_c int, left int, right int"
@@ -368,6 +586,8 @@ def _edge_batch(keys: np.ndarray, places: np.ndarray, sketch: np.ndarray, edges:
 
 #: Windows of a group that are compared pair by pair, and pairs that are compared at once.
 SMALL, AT_ONCE = 256, 16_384
+#: Larger groups: pairs that are made at once, centres at most, how many windows are worth one, and leaders of a tree.
+EXPANDED, CENTRES, FREQUENT, LEADERS = 400_000, 8, 64, 128
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +639,7 @@ def _link_groups(numbers: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordB
             if n > SMALL:
                 for k in at.tolist():
                     mine = reps[k : k + n]
-                    edges += [(int(mine[x]), int(mine[y])) for x, y in linked_windows(sketch[mine], keys[mine], np.full(n, -1))]
+                    edges += [(int(mine[x]), int(mine[y])) for x, y in linked_windows(sketch[mine], keys[mine])]
             elif n > 1:
                 edges += _small_groups(sketch, keys, reps[at[:, None] + np.arange(n)])
     if edges:
@@ -458,17 +678,7 @@ def _small_groups(sketch: np.ndarray, keys: np.ndarray, members: np.ndarray) ->
 
 def _across(sketch: np.ndarray, keys: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
     """Links between two blocks. What a block links within itself comes from its own task."""
-    if len(np.unique(keys)) < 2:
-        return []
-    known = np.full(len(own), -1)
-    for side in np.unique(own):
-        mine = np.flatnonzero(own == side)
-        root = list(range(len(mine)))
-        for x, y in linked_windows(sketch[mine], keys[mine], np.full(len(mine), -1)):
-            a, b = _root(root, x), _root(root, y)
-            root[max(a, b)] = min(a, b)
-        known[mine] = mine[[_root(root, k) for k in range(len(mine))]]
-    return [(x, y) for x, y in linked_windows(sketch, keys, known) if own[x] != own[y]]
+    return [(x, y) for x, y in linked_windows(sketch, keys, own) if own[x] != own[y]]
 
 
 def _root(root: list[int], x: int) -> int:
@@ -736,9 +946,10 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
 
     # The words of a class are counted once, however many copies it has.
     n_words = F.regexp_count(F.col("text"), F.lit("[^\\x20\\x09-\\x0D]+")).cast("int")
-    sizes = texts.join(_sized(many.select("text_key")), "text_key", "left_semi").select("text_key", n_words.alias("n_words")).where(F.col("n_words") >= LEAST)
+    sizes = texts.join(_sized(many.select("text_key")), "text_key", "left_semi").select("text_key", n_words.alias("n_words"))
     copies = by_id.join(_sized(many.select("text_key", "first_id", "first_rows")), "text_key").where("not id <=> first_id or first_rows > 1")
-    copies = copies.join(_sized(Stored(sizes).df), "text_key")
+    # A condition on what is stored does not move before the join, where it would count the words of every text.
+    copies = copies.join(_sized(Stored(sizes).df.where(F.col("n_words") >= LEAST)), "text_key")
     copies = copies.select(
         F.col("id").alias(id_column), F.lit(0).alias("start_word"), F.col("n_words").alias("end_word"), F.col("first_id").alias("partner_id"),
         F.lit(0).alias("partner_start"), F.col("n_words").alias("partner_end"), "n_words", F.lit(1.0).alias("similarity"), F.lit(None).cast("long").alias("passage_id"),

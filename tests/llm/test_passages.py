@@ -194,3 +194,70 @@ def test_periodic_texts(spark):
     rows = [(1, " ".join(unit * 60)), (2, " ".join(words(rng, 30) + unit * 40)), (3, " ".join(["same"] * 200)), (4, " ".join(["same"] * 90 + words(rng, 9)))]
     _, classes = run(spark, rows)
     assert sorted(map(sorted, classes.values())) == [[1, 2], [3, 4]]
+
+
+def group_of(texts, anchor):
+    """Sketches of one window of each text, at the shingle that begins with the word ``anchor``, as far as texts and ``ARM`` reach."""
+    out = []
+    for t in texts:
+        h = sub.shingle_hashes([w.encode() for w in t])
+        c = np.array([t.index(anchor)])
+        out.append(sub.sketches(h, c, np.minimum(c, sub.ARM) * 64 + np.minimum(len(h) - 1 - c, sub.ARM))[0])
+    return np.stack(out)
+
+
+def compared(monkeypatch):
+    made, counts = sub._agree, []
+    monkeypatch.setattr(sub, "_agree", lambda mine, others: (counts.append(len(others)), made(mine, others))[1])
+    return counts
+
+
+def trees(n, links):
+    root = list(range(n))
+    for x, y in links:
+        a, b = sub._root(root, x), sub._root(root, y)
+        root[max(a, b)] = min(a, b)
+    return [sub._root(root, x) for x in range(n)]
+
+
+def test_a_frequent_line_in_unlike_texts_is_not_compared_pair_by_pair(monkeypatch):
+    rng, n = random.Random(31), 1500
+    line = words(rng, 20)
+    texts = [words(rng, 40) + line + words(rng, 40) for _ in range(n)]
+    for k in range(0, 60, 3):  # some go on alike behind a word more, or before one that is another
+        texts[k + 1] = words(rng, 40) + line + words(rng, 1) + texts[k][60:]
+        texts[k + 2] = texts[k][:35] + words(rng, 1) + texts[k][36:60] + words(rng, 40)
+    sketch = group_of(texts, line[8])
+    agree = {(a, b) for k in range(0, 60, 3) for a, b in itertools.combinations((k, k + 1, k + 2), 2) if sub._agree(sketch[a], sketch[b][None])[0]}
+    counts = compared(monkeypatch)
+    root = trees(n, sub.linked_windows(sketch, np.arange(n), np.full(n, -1)))
+    assert len(agree) >= 20 and all(root[a] == root[b] for a, b in agree)
+    assert sum(counts) < 40 * n  # all pairs are over 700 * n
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_edited_copies_of_passages_end_in_the_trees_of_all_pairs(monkeypatch, blocks):
+    """Two passages round a line, copies with edits and copies of those, some cut off, against all pairs of windows."""
+    rng, n = random.Random(32), 400
+    line = words(rng, 20)
+    passages = [words(rng, 45) + line + words(rng, 45) for _ in range(2)]
+    texts = []
+    for d in range(n):
+        source = texts[rng.randrange(d)] if d % 5 == 4 else passages[d % 2]
+        copy = edited(rng, source, rng.randrange(6)) if d % 7 else words(rng, 45) + line + words(rng, 45)
+        if line[8] not in copy:
+            copy = list(source)
+        at = copy.index(line[8])
+        texts.append(copy[max(0, at - rng.randint(5, 60)) : at + rng.randint(10, 65)] + words(rng, 5))
+    sketch, text = group_of(texts, line[8]), np.arange(n) % 390
+    pairs = [(a, b) for a in range(n) for b in np.flatnonzero(sub._agree(sketch[a], sketch)).tolist() if text[a] != text[b]]
+    monkeypatch.setattr(sub, "SMALL", 8)
+    monkeypatch.setattr(sub, "FREQUENT", 16)
+    monkeypatch.setattr(sub, "LEADERS", 8)
+    own = np.arange(n) % blocks
+    links = [(x, y) for x, y in sub.linked_windows(sketch, text, own) if blocks == 1 or own[x] != own[y]]
+    for b in range(blocks) if blocks > 1 else ():
+        mine = np.flatnonzero(own == b)
+        links += [(mine[x], mine[y]) for x, y in sub.linked_windows(sketch[mine], text[mine])]
+    assert all(text[x] != text[y] for x, y in links) and len(set(trees(n, pairs))) > 5
+    assert trees(n, links) == trees(n, pairs)
