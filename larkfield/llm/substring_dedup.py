@@ -714,15 +714,14 @@ def _dealt_by(places: tuple[tuple[int, ...], ...]) -> Column:
 
 def window_links(texts: DataFrame) -> DataFrame:
     """(a, b, a_c, b_c, left, right): linked texts (a < b), their anchors and the common interval beside these."""
-    windows = Stored(texts.mapInArrow(_windows, WINDOW_SCHEMA))
-    ends = windows.df.groupBy("h").agg(F.min("text_key").alias("t0"), F.max("text_key").alias("t1"), F.count("*").alias("n"))
-    ends = Stored(ends.where("t0 != t1").select("h", "n"))
-    shared = Stored(windows.df.join(_sized(ends.df.select("h"), BROADCAST_KEYS), "h", "left_semi"))
-    windows.drop()
-    large = Stored(ends.df.where(F.col("n") > BLOCK).select("h")).df
+    # One shuffle brings together the windows of a key; those of one text alone go no further, and none are stored before.
+    key = W.partitionBy("h")
+    met = texts.mapInArrow(_windows, WINDOW_SCHEMA).select("*", F.min("text_key").over(key).alias("t0"), F.max("text_key").over(key).alias("t1"), F.count("*").over(key).alias("n"))
+    shared = Stored(met.where("t0 != t1").select("h", "text_key", "c", "arms", "n"))
+    release(texts.sparkSession)
+    large = Stored(shared.df.where(F.col("n") > BLOCK).select("h").distinct()).df
     n_large = large.count()
     cold = shared.df.join(_sized(large), "h", "left_anti") if n_large else shared.df
-    release(texts.sparkSession)
     tasks = _tasks(_blocks(_with_sketches(cold, texts), "h"))
     links = Stored(tasks.mapInArrow(_link, EDGE_SCHEMA))
     out, temporary = links.df, [shared]
