@@ -410,9 +410,10 @@ class _Group:
             near = _near(self.sketch, out[-1], 2).sum(1)
             home[near > most] = len(out) - 1
             most = np.maximum(most, near)
-            gram, row, place = self.strange(np.arange(len(self.text)), out, home)
+            step = -(-len(self.text) // (4 * PORTION))
+            gram, row, place = self.strange(np.arange(0, len(self.text), step), out, home)
             values, n = np.unique(gram[::7] * 128 + place[::7], return_counts=True)
-            if not len(n) or n.max() * 7 < FREQUENT:
+            if not len(n) or n.max() * 7 * step < FREQUENT:
                 break
             frequent = gram * 128 + place == values[n.argmax()]
             chosen = row[frequent]
@@ -423,7 +424,7 @@ class _Group:
         found = []
         for k, centre in enumerate(centres):
             own = rows[home[rows] == k]
-            found.append(self.grams(own, ~_near(self.sketch[own], centre, 2)))
+            found += [self.grams(x, ~_near(self.sketch[x], centre, 2)) for x in np.split(own, range(PORTION, len(own), PORTION))]
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def grams(self, rows: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,8 +433,8 @@ class _Group:
         whole = own != 0
         fit = whole[:, :-2] & whole[:, 1:-1] & whole[:, 2:] & (marked[:, :-2] | marked[:, 1:-1] | marked[:, 2:])
         at, place = np.nonzero(fit)
-        gram = own[at, place].astype(np.int64) << 16 | own[at, place + 1].astype(np.int64) << 8 | own[at, place + 2]
-        return gram, rows[at], place
+        gram = own[at, place].astype(np.int32) << 16 | own[at, place + 1].astype(np.int32) << 8 | own[at, place + 2]
+        return gram, rows[at].astype(np.int32), place.astype(np.int16)
 
     def join_near_centres(self, centres: list[np.ndarray], home: np.ndarray) -> None:
         """Joins what agrees wherever it agrees with the centres of both. One of two has its places within two of a centre's, the other within four."""
@@ -484,15 +485,17 @@ class _Group:
         large = self.forest.root == values[n.argmax()]
         for k, centre in enumerate(centres):
             gram, row, place = self.strange(rows[home == k], centres, home)
-            key = gram * 128 + place
+            key = gram * np.int32(128) + place
             order = np.argsort(key, kind="stable")
             key, row = key[order], row[order]
-            asked, asking, at = self.grams(rows, self.sketch != centre)
-            asked = asked * 128 + at
-            order = np.argsort(asked, kind="stable")
-            for own, met in ((~large, np.ones(len(row), dtype=bool)), (large, ~large[row])):
-                mine = order[own[asking[order]]]
-                keys, partner = key[met], row[met]
+            apart = ~large[row]
+            for portion, own, keys, partner in (
+                (x, own, *met) for own, met in ((~large, (key, row)), (large, (key[apart], row[apart]))) for x in np.split(rows, range(PORTION, len(rows), PORTION))
+            ):
+                portion = portion[own[portion]]
+                asked, asking, at = self.grams(portion, self.sketch[portion] != centre)
+                asked = asked * np.int32(128) + at
+                mine = np.argsort(asked, kind="stable")
                 begin, end = np.searchsorted(keys, asked[mine] - 2), np.searchsorted(keys, asked[mine] + 2, "right")
                 alone = (end - begin == 1) & (partner[np.minimum(begin, len(partner) - 1)] == asking[mine]) if len(partner) else end == begin
                 mine, begin, end = (x[(end > begin) & ~alone] for x in (mine, begin, end))
@@ -503,10 +506,10 @@ class _Group:
                 while cut < len(y):
                     upto = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + EXPANDED, "right")))
                     n = size[cut:upto]
-                    a = np.repeat(y[cut:upto], n)
+                    a = np.repeat(y[cut:upto], n).astype(np.int64)
                     b = partner[np.repeat(begin[cut:upto] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    apart = self.forest.root[a] != self.forest.root[b]
-                    pairs = np.unique(a[apart] * len(rows) + b[apart])
+                    differ = self.forest.root[a] != self.forest.root[b]
+                    pairs = np.unique(a[differ] * len(rows) + b[differ])
                     self.join_edited(pairs // len(rows), pairs % len(rows))
                     cut = upto
 
@@ -586,8 +589,8 @@ def _edge_batch(keys: np.ndarray, places: np.ndarray, sketch: np.ndarray, edges:
 
 #: Windows of a group that are compared pair by pair, and pairs that are compared at once.
 SMALL, AT_ONCE = 256, 16_384
-#: Larger groups: pairs that are made at once, centres at most, how many windows are worth one, and leaders of a tree.
-EXPANDED, CENTRES, FREQUENT, LEADERS = 400_000, 8, 64, 128
+#: Larger groups: pairs and windows that are worked off at once, centres at most, how many windows are worth one, and leaders of a tree.
+EXPANDED, PORTION, CENTRES, FREQUENT, LEADERS = 400_000, 8_192, 8, 64, 128
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
