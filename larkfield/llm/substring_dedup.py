@@ -58,8 +58,8 @@ SIDES = (tuple(range(-(ROUND // 2), 0)), tuple(range(1, ROUND // 2 + 1)))
 BLOCK = 32_768
 #: Texts that are verified in one task against the text that leads them.
 TEXTS = 512
-#: At most so many rows of a few numbers, or bare keys, are broadcast, counted before; more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
+#: At most so many rows of a few numbers are broadcast, counted before; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
